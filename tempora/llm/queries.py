@@ -7,11 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tempora.llm.chat_windows import chat_windows, read_back
 from tempora.llm.common import read
+from tempora.llm.language_id import identify_languages
 from tempora.llm.ngram_jaccard import jaccard_components
 from tempora.llm.nn_descent import near_duplicate_vectors
 from tempora.llm.packing import pack_documents
+from tempora.llm.page_differencing import extract_main_text
+from tempora.llm.string_tiling import leaked_items
 from tempora.llm.token_counts import token_counts
+from tempora.llm.warc_derivatives import derivatives, responses_of
+from tempora.llm.weak_quality import classify_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,24 +34,63 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and the conversion record of every page's response."""
+    return derivatives(responses_of(read(spark, sf_dir, "pages")))
+
+
 @query
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector: cosine 0.9 or more."""
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+@query
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted windows; conversation -7 holds control strings."""
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_back(chat_windows(turns, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page: its main text."""
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: four words, 85 per cent."""
     return jaccard_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; nothing of the held-out fold is learned from."""
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece: at most 4096 tokens of word_bpe_49k.json."""
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, coverage of every document that holds half of a benchmark item or more, in any order."""
+    return leaked_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, posterior, quality_score, kept of every document."""
+    return classify_quality(read(spark, sf_dir, "documents"))
+
+
 # Sets of shingles by hashing each list to a number; links by an inverted index; components by spreading minima.
 ORACLE_SQL["op6_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
