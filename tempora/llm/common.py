@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,27 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def numbered_words(column: pa.Array, ascii_only: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    """(numbers, bounds, words): the words of all texts of a column as numbers of its distinct words.
+
+    Text i has numbers[bounds[i]:bounds[i + 1]]; null has none.  Words are split at white space; with ascii_only at
+    [\\x20\\x09-\\x0D], and they come as bytes.
+    """
+    column = pc.fill_null(column, "")
+    lists = pc.ascii_split_whitespace(column) if ascii_only else pc.utf8_split_whitespace(column)
+    flat = lists.flatten()
+    bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+    coded = flat.dictionary_encode()
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:  # white space at the ends of a text leaves empty strings
+        real = numbers != empty
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        numbers = numbers[real]
+    words = coded.dictionary.cast(pa.binary()) if ascii_only else coded.dictionary
+    return numbers, bounds, words.to_pylist()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads all 64 bits."""
     with np.errstate(over="ignore"):

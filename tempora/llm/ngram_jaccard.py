@@ -1,13 +1,14 @@
 """Operator 6: exact Jaccard join of word shingles by size-banded tiles and bitmap signatures.
 
-1.  One scan counts, for every document, its shingles and a fingerprint of the set, and adds up a
-    sketch of how often shingles occur (2**20 counters over all documents).
-2.  A second scan emits each document's prefix: its ``n - ceil(t n) + 1`` shingles that come first
-    in the order (sketch level, hash).  Two documents that link must share one of them, whatever
-    the order, so nothing is lost; the sketch only keeps shingles that many documents share out of
-    the prefixes.  Entries of one batch, shingle and size band meet before the shuffle.
-3.  Entries of one shingle in equal or neighbouring size bands are chained: chains, not pairs.  The
-    components of the chains hold every link.
+1.  One scan counts, for every document, its shingles and a fingerprint of the set, and adds up
+    sketches of how often shingles and words occur (2**20 counters each, over all documents).
+2.  A second scan emits each document's prefix: its ``n - ceil(t n) + c`` shingles that come first in
+    one order of all shingles, c being 4 and a 32nd of n.  Two documents that link must share c of
+    them, whatever the order, so nothing is lost; the order, from the sketches, only keeps shingles that
+    many documents share, or that consist of common words, out of the prefixes.
+3.  Pairs of documents that share a rare entry are counted.  Through entries that more than eight share,
+    only documents with at least c such entries are linked, each to one head for its entry and band.
+    The components of both hold every link.
 4.  Each component is cut into tiles of one size band and bounded weight.  Pairs of tiles of equal
     or neighbouring bands are compared: bitmaps bound the overlap from above by
     ``(|A| + |B| - popcount(a xor b)) / 2``, then sorted arrays are intersected exactly.  Documents
@@ -20,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components, contracted, cut, mix64, parallelism, prepare, release, texts
+from tempora.llm.common import components, cut, mix64, numbered_words, parallelism, prepare
 
 SKETCH_BITS = 20
 BLOCK = 4096
 #: Most documents and shingles in one tile.
 TILE_DOCS, TILE_SHINGLES = 4096, 3_000_000
+#: Documents up to which an entry's pairs are counted.
+CROWD = 8
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,18 +47,34 @@ class WordHashes(dict):
         return h
 
 
-def shingles(text: bytes, k: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; the whole text is one if it has fewer words."""
-    words = text.lower().split()  # bytes: A-Z only, and splits at [\x20\x09-\x0D]
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def hashed_words(column: pa.Array, memo: WordHashes) -> list[np.ndarray]:
+    """The hashed words of each text: A-Z in lower case, split at [\x20\x09-\x0D]."""
+    numbers, bounds, words = numbered_words(pc.ascii_lower(column), ascii_only=True)
+    hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    return np.split(hashes[numbers], bounds[1:-1]) if len(bounds) > 1 else []
+
+
+def rolled(w: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the k-word shingles in order; the whole text is one if it has fewer words."""
+    if not len(w):
+        return w
     width = min(k, len(w))
     with np.errstate(over="ignore"):
-        h = np.full(len(w) - width + 1, width, np.uint64)
-        for i in range(width):
-            h = mix64(h * STEP + w[i : len(w) - width + 1 + i])
-    return np.unique(h)
+        h = w[: len(w) - width + 1] + np.uint64(width)
+        for i in range(1, width):
+            h = h * STEP + w[i : len(w) - width + 1 + i]
+    return mix64(h)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    keep = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
+
+
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -65,16 +85,19 @@ def _survey(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("block", pa.int32()), ("counts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int32)
+        memo, size = WordHashes(), 1 << SKETCH_BITS
+        sketch = np.zeros(2 * size, np.int32)  # of shingles, and of words
         for batch in batches:
-            n, fps, found = [], [], []
-            for text in texts(batch, "text"):
-                s = shingles(text, k, memo)
+            n, fps, found, spoken = [], [], [], []
+            for w in hashed_words(batch.column("text"), memo):
+                s = distinct(rolled(w, k))
                 found.append(s)
+                spoken.append(w)
                 n.append(len(s))
                 fps.append(xxhash.xxh3_128_intdigest(s.tobytes()))
-            every = np.concatenate(found) if found else np.empty(0, np.uint64)
-            sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+            for half, every in ((0, found), (size, spoken)):
+                if every:
+                    sketch[half : half + size] += np.bincount(counter_of(np.concatenate(every)), minlength=size).astype(np.int32)
             m = batch.num_rows
             low = np.array([f & 0xFFFFFFFFFFFFFFFF for f in fps], np.uint64)
             high = np.array([f >> 64 for f in fps], np.uint64)
@@ -93,16 +116,41 @@ def _add_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total], pa.list_(pa.int64()))})
 
 
-def _levels(sketch: DataFrame) -> np.ndarray:
-    """How often the shingles of each counter occur, in powers of two of the mean: 2**20 bytes, whatever the corpus."""
+def _levels(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter, how far its shingles are above the mean, and how often its words occur, in powers of two.
+
+    2**20 bytes each, whatever the corpus.
+    """
     kind = "block int, counts array<bigint>"
     parts = sketch.groupBy("block", "salt").applyInArrow(_add_blocks, kind)
-    rows = parts.groupBy("block").applyInArrow(_add_blocks, kind).collect()  # at most 256 rows of 4096 counters
-    total = np.zeros(1 << SKETCH_BITS, np.float64)
+    rows = parts.groupBy("block").applyInArrow(_add_blocks, kind).collect()  # at most 512 rows of 4096 counters
+    total = np.zeros(2 << SKETCH_BITS, np.float64)
     for r in rows:
         total[r.block * BLOCK : (r.block + 1) * BLOCK] = r.counts
-    mean = max(total.mean(), 1.0)
-    return np.clip(np.floor(2 * np.log2(np.maximum(total, mean) / mean)), 0, 120).astype(np.uint8)
+    found, spoken = total[: 1 << SKETCH_BITS], total[1 << SKETCH_BITS :]
+    mean = max(found.mean(), 1.0)
+    above = np.floor(2 * np.log2(np.maximum(found, mean) / mean))
+    return np.minimum(above, 100).astype(np.uint8), np.floor(np.log2(np.maximum(spoken, 1))).astype(np.uint8)
+
+
+def in_order(w: np.ndarray, k: int, levels: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The distinct shingles of a text in the global order: (level of the shingle, commonness of its words, hash)."""
+    above, spoken = levels
+    h = rolled(w, k)
+    own, width = spoken[counter_of(w)].astype(np.int64), min(k, len(w))
+    common = sum(own[i : len(w) - width + 1 + i] for i in range(width))
+    order = np.argsort(h)
+    h, common = h[order], common[order]
+    keep = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    h, common = h[keep], common[keep]
+    key = above[counter_of(h)].astype(np.int64) * 1024 + common
+    return h[np.argsort(key, kind="stable")]
+
+
+def common_entries(n: int) -> int:
+    """Entries that the prefixes of two documents that link must have in common, if theirs are long enough."""
+    return 4 + n // 32
 
 
 def bands(n: np.ndarray, percent: int) -> np.ndarray:
@@ -111,44 +159,126 @@ def bands(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, levels):
-    """(hash, band, id) of one document for each shingle and band of a batch, and links to it from the others there (hash null)."""
-    schema = pa.schema([("hash", pa.int64()), ("band", pa.int32()), ("id", pa.int64()), ("other", pa.int64())])
+    """(hash, band, id, need, crowd): a document's prefix, long enough for ``need`` common entries with any document it links with.
+
+    crowd: 0, or 1 where more than CROWD documents of the batch share the entry, and a 2 without id for each such entry.
+    """
+    schema = pa.schema([("hash", pa.int64()), ("band", pa.int32()), ("id", pa.int64()), ("need", pa.int32()), ("crowd", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, level = WordHashes(), levels.value
         for batch in batches:
             seen: set[bytes] = set()
-            ids, hashes, sizes = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
-                if doc is None:
+            ids, hashes, sizes, needs = [], [], [], []
+            for doc, w in zip(batch.column("doc_id").to_pylist(), hashed_words(batch.column("text"), memo), strict=True):
+                if doc is None or not len(w):
                     continue
-                s = shingles(text, k, memo)
-                if not len(s) or (same := s.tobytes() if len(s) < 4 else xxhash.xxh3_128_digest(s.tobytes())) in seen:
+                s = in_order(w, k, level)
+                if (same := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                     continue  # copies of one set are linked by their fingerprints
                 seen.add(same)
-                p = len(s) - (percent * len(s) + 99) // 100 + 1
-                at = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                if at.any():
-                    s = s[np.argsort(at, kind="stable")]
+                least = (percent * len(s) + 99) // 100
+                need = min(common_entries(len(s)), least)
+                p = len(s) - least + need
                 hashes.append(s[:p])
-                ids.append(np.full(p, doc, np.int64))
-                sizes.append(np.full(p, (len(s)), np.int64))
+                for values, x in ((ids, doc), (sizes, len(s)), (needs, need)):
+                    values.append(np.full(p, x, np.int64))
             if not ids:
                 continue
-            h, i, b = np.concatenate(hashes), np.concatenate(ids), bands(np.concatenate(sizes), percent)
-            order = np.lexsort((i, b, h))
-            h, i, b = h[order], i[order], b[order]
+            h, i, b, need = np.concatenate(hashes), np.concatenate(ids), bands(np.concatenate(sizes), percent), np.concatenate(needs)
+            order = np.argsort(h, kind="stable")
+            h, i, b, need = h[order], i[order], b[order], need[order]
             first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
-            head = i[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-            rest = np.unique(np.stack([i[~first], head[~first]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([_long(h[first]), pa.array(b[first], pa.int32()), pa.array(i[first]), pa.nulls(int(first.sum()), pa.int64())], schema=schema)
-            if len(rest):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.int32()), pa.array(rest[:, 0]), pa.array(rest[:, 1])], schema=schema)
+            first[1:] = h[1:] != h[:-1]
+            crowd = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1] > CROWD
+            yield pa.RecordBatch.from_arrays([_long(h), pa.array(b, pa.int32()), pa.array(i), pa.array(need, pa.int32()), pa.array(crowd.astype(np.int32))], schema=schema)
+            marks = h[first & crowd]
+            if len(marks):
+                zero = pa.array(np.zeros(len(marks), np.int32))
+                yield pa.RecordBatch.from_arrays([_long(marks), zero, pa.nulls(len(marks), pa.int64()), zero, pa.array(np.full(len(marks), 2, np.int32))], schema=schema)
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From entries sorted by (hash, band, id): for entries of at most CROWD documents all pairs (kind 0: a, b = documents,
+    c = entries in common, d = need); for larger ones their rows (kind 1: a = hash, b = document, c = band, d = need).
+    """
+    held: list[np.ndarray] = []
+
+    def rows(kind: int, a, b, c, d) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32))] + [pa.array(x.astype(np.int64)) for x in (a, b, c, d)], names=["kind", "a", "b", "c", "d"])
+
+    def out(h, b, i, need, crowd) -> Iterator[pa.RecordBatch]:
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        group = np.cumsum(first) - 1
+        large = ((np.bincount(group) > CROWD) | (np.bincount(group, weights=crowd) > 0))[group]
+        x = large & (crowd == 0)
+        yield rows(1, h[x], i[x], b[x], need[x])
+        small = ~large
+        h, b, i, need = h[small], b[small], i[small], need[small]
+        found = []
+        for step in range(1, min(CROWD, len(h))):
+            at = np.flatnonzero((h[step:] == h[:-step]) & (b[step:] - b[:-step] <= 1) & (i[step:] != i[:-step]))
+            found.append(np.stack([np.minimum(i[at], i[at + step]), np.maximum(i[at], i[at + step]), np.minimum(need[at], need[at + step])], 1))
+        if not found:
+            return
+        x = np.concatenate(found)
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:, :2] != x[:-1, :2]).any(1)
+        at = np.flatnonzero(new)
+        yield rows(0, x[at, 0], x[at, 1], np.diff(np.append(at, len(x))), x[at, 2])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([pc.fill_null(batch.column(c), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hash", "band", "id", "need", "crowd")]))
+        if sum(x.shape[1] for x in held) < 300_000:
+            continue
+        every = np.concatenate(held, 1)
+        last = int(np.searchsorted(every[0], every[0, -1]))
+        if last:
+            yield from out(*every[:, :last])
+            held = [every[:, last:]]
+        elif every.shape[1] > 1_000_000:  # one entry fills it all: its rows pass, and a mark says so to those that follow
+            yield from out(*every)
+            mark = every[:, -1:].copy()
+            mark[4] = 2
+            held = [mark]
+        else:
+            held = [every]
+    if held:
+        yield from out(*np.concatenate(held, 1))
+
+
+def _candidates(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
+    """(src, dst): links, not all pairs, whose components hold every link between documents of different sets.
+
+    A pair that links has ``need`` entries in common.  If one of them is rare, the pair is counted, and what it may have in
+    common of frequent entries is bounded by how many of them each document has.  If all are frequent, both documents
+    have ``need`` frequent entries; only such documents are linked through frequent entries, each to one document for its
+    entry and band.
+    """
+    spark = docs.sparkSession
+    entries = cut(docs.mapInArrow(_prefixes(k, percent, levels), "hash long, band int, id long, need int, crowd int"), "jaccard")
+    met = entries.where("crowd <> 1").repartition(parallelism(spark), "hash").sortWithinPartitions("hash", "band", "id").mapInArrow(_met, "kind int, a long, b long, c long, d long")
+    met = cut(met, "jaccard")
+    frequent = met.where("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("id"), F.col("c").cast("int").alias("band"), F.col("d").alias("need"))
+    frequent = frequent.unionByName(entries.where("crowd = 1").select("hash", "id", "band", F.col("need").cast("long").alias("need")))
+    per_doc = cut(frequent.groupBy("id").agg(F.count("*").alias("n"), F.min("need").alias("need")), "jaccard")
+    pairs = met.where("kind = 0").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("c").alias("common"), F.min("d").alias("need"))
+    of = lambda end: per_doc.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
+    known = pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    rare = known.where(F.col("common") + F.least(F.coalesce("n_src", F.lit(0)), F.coalesce("n_dst", F.lit(0))) >= F.col("need"))
+    crowded = frequent.join(per_doc.where("n >= need").select("id"), "id", "left_semi").select("hash", "band", "id")
+    heads = cut(crowded.groupBy("hash", "band").agg(F.min("id").alias("head")), "jaccard")
+    members = crowded.join(heads, ["hash", "band"]).select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    above = heads.select("hash", (F.col("band") - 1).alias("band"), F.col("head").alias("src"))
+    return rare.select("src", "dst").unionByName(members.where("src <> dst")).unionByName(heads.join(above, ["hash", "band"]).select("src", F.col("head").alias("dst")))
+
+
 def _tile_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links of one pair of tiles; with one tile only, side is all 0."""
     n = np.array([len(s) for s in sets], np.int64)
@@ -189,13 +319,13 @@ def _compare(k: int, percent: int):
         memo = WordHashes()
         comp = table.column("comp").to_numpy()
         ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
-        text = [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
+        sets = [distinct(rolled(w, k)) for chunk in table.column("text").chunks for w in hashed_words(chunk, memo)]
         order = np.lexsort((ids, comp))
         out: list[tuple[int, int]] = []
         cuts = np.flatnonzero(np.diff(comp[order])) + 1
         for rows in np.split(order, cuts):
             if len(rows) > 1:
-                out += _tile_links(ids[rows], side[rows], [shingles(text[x], k, memo) for x in rows], percent)
+                out += _tile_links(ids[rows], side[rows], [sets[x] for x in rows], percent)
         return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "dst": pa.array([x[1] for x in out], pa.int64())})
 
     return run
@@ -236,12 +366,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     survey = cut(docs.mapInArrow(_survey(k), "doc_id long, n long, fp_a long, fp_b long, block int, counts array<int>"), "jaccard")
     sets = survey.where("block is null").select("doc_id", "n", "fp_a", "fp_b")
     levels = spark.sparkContext.broadcast(_levels(survey.where("block is not null").select("block", "counts", F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt"))))
-    entries = docs.mapInArrow(_prefixes(k, percent, levels), "hash long, band int, id long, other long")
-    by = F.coalesce("hash", F.xxhash64("id", "other"))
-    w = Window.partitionBy("key").orderBy("band", "id")
-    chained = entries.withColumn("key", by).withColumn("last_band", F.lag("band").over(w)).withColumn("last_id", F.lag("id").over(w))
-    near = chained.where("other is not null or band - last_band <= 1").select(F.col("id").alias("src"), F.coalesce("other", "last_id").alias("dst"))
-    candidates = components(near)
+    candidates = components(_candidates(docs, k, percent, levels))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
     members = cut(classes.join(candidates, classes["rep"] == candidates["id"]).select(F.col("component_id").alias("comp"), F.col("rep").alias("doc_id"), "n").dropDuplicates(["doc_id"]), "jaccard")
     tiles = _tiles(members, percent)

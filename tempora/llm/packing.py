@@ -19,41 +19,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import cut, parallelism, prepare, release
+from tempora.llm.common import cut, numbered_words, parallelism, prepare, release
 
 CAPACITY, BLOCK, FULL = 4096, 6000, 0.998
-#: White space for str.split() that the tokenizer's pattern does not count as such.
-SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: The pattern of word_bpe_49k.json, for chunks in which all letters are Latin.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Chunks and words that a worker remembers; once full, they only serve.
+MOST_CHUNKS, MOST_WORDS = 700_000, 500_000
 
 
-class ChunkIds(dict):
-    """Little-endian 32-bit ids of text between white space, as the tokenizer gives them, remembered up to a bound.
+class ChunkIds:
+    """Little-endian 32-bit ids of texts, as the tokenizer gives them.
 
-    The tokenizer's patterns never match across white space, so the ids of a text are those of its chunks.
+    The tokenizer's patterns never match across white space, so the ids of a text are those of its chunks (texts with
+    U+001C to U+001F, which only the splitter takes for white space, are encoded whole); those of a plain
+    chunk are those of its words, each of which ends in a token that ends words.  Words not yet known are encoded together.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        if len(ends) != len(words) or (len(ids) and ends[-1] != 4 * len(ids)):
+            return {w: self.alone(w) for w in words}
+        raw, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
+        return {w: raw[i:j] for w, i, j in zip(words, starts, ends.tolist(), strict=True)}
+
+    def _resolve(self, missing: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        split: dict[str, list[str]] = {}
+        for c in missing:
+            if "<|" in c or not c.isascii() and max(c) > "\u024f":
+                out[c] = self.alone(c)
+            else:
+                plain = c.lower() if c.isascii() else self.tokenizer.normalizer.normalize_str(c)
+                split[c] = WORDS.findall(plain)
+        unknown = list({w for ws in split.values() for w in ws if w not in self.words})
+        fresh: dict[str, bytes] = {}
+        for i in range(0, len(unknown), 5000):
+            fresh |= self._learn(unknown[i : i + 5000])
+        known = self.words
+        for c, ws in split.items():
+            out[c] = b"".join([known[w] if w in known else fresh[w] for w in ws])
+        if len(known) < MOST_WORDS:
+            known |= fresh
+        return out
 
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in SEPARATORS):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.split()
-        missing = list({c for c in chunks if c not in self})
-        if missing:
-            if len(self) > 600_000:
-                self.clear()
-                missing = list(set(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, chunks))
+    def encode_all(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a column; each distinct chunk is looked up once, and new ones are settled together."""
+        numbers, bounds, chunks = numbered_words(column)
+        found = list(map(self.chunks.get, chunks))
+        missing = [c for c, x in zip(chunks, found, strict=True) if x is None and c]
+        fresh = self._resolve(missing)
+        raw = [fresh.get(c, b"") if x is None else x for c, x in zip(chunks, found, strict=True)]
+        if len(self.chunks) < MOST_CHUNKS:
+            self.chunks |= fresh
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        size = np.array([len(x) // 4 for x in raw], np.int64)
+        start = np.cumsum(size) - size
+        n = size[numbers]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        every = ids[np.repeat(start[numbers] - upto[:-1], n) + np.arange(upto[-1])]
+        out = np.split(every, upto[bounds[1:-1]])
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(pc.fill_null(column, ""), "[\\x1c-\\x1f]")))
+        for i in odd.tolist():
+            out[i] = np.frombuffer(self.alone(column[i].as_py()), "<u4")
+        return out
 
 
 _CODERS: dict[str, ChunkIds] = {}
@@ -74,8 +123,10 @@ def _pieces(path: str, end: int, capacity: int, with_ids: bool):
         c = coder(path)
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = c.encode(text or "") + tail
+            if not batch.num_rows:
+                continue
+            for doc, found in zip(batch.column("doc_id").to_pylist(), c.encode_all(batch.column("text")), strict=True):
+                ids = found.tobytes() + tail
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     for col, x in zip(cols, (doc, p, at // 4, len(own) // 4, zlib.crc32(own), own), strict=False):
