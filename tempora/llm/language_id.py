@@ -100,8 +100,10 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 2.0, seed: i
             g[y] -= 1
             step = rate * (1 - done / steps)
             back = w @ g
-            w -= step * np.outer(v, g)
-            e[ids] -= step * share[:, None] * back * min(len(ids), 200)
+            # each layer's step is divided by what the other multiplies it by, so no step overshoots
+            along = step / (1 + (w * w).sum()) / max(share @ share, 1 / 200)
+            w -= step / (1 + v @ v) * np.outer(v, g)
+            e[ids] -= along * share[:, None] * back
             done += 1
     seen = np.zeros(BUCKETS, bool)
     for i in learn:
@@ -119,9 +121,11 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 2.0, seed: i
     temperature = float(min(grid, key=lambda t: -np.log(np.maximum(at(t)[np.arange(len(y)), y], 1e-12)).mean())) if len(y) else 1.0
     q = at(temperature) if len(y) else np.zeros((0, 1))
     right, score = q.argmax(1) == y, q.max(1) if len(y) else np.zeros(0)
-    most = np.quantile(score[right], 0.001) if right.any() else 0.0
-    accept = next((s for s in np.sort(score) if (~right[score >= s]).mean() <= errors), 0.0) if len(y) else 0.0
     floor = 1.5 / max(len(languages), 1) if len(languages) > 1 else 0.0  # what says next to nothing
+    # the lowest score from which no more predictions are wrong than chance explains, but none that costs many right ones
+    most = np.quantile(score[right], 0.001) if right.any() else 0.0
+    chance = lambda n: errors * n + 2 * np.sqrt(errors * n) + 1
+    accept = next((s for s in (floor, *np.sort(score[score > floor])) if (~right[score >= s]).sum() <= chance((score >= s).sum())), floor)
     return LanguageModel(languages, table, temperature, float(max(floor, min(accept, most))))
 
 
