@@ -153,9 +153,9 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("number"), F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open").alias("state"), F.concat(F.lit("Episode: "), F.col("o_orderpriority")).alias("title"), body.alias("body"), labels.alias("labels"), assoc.alias("author_association"), F.when(k % 6 == 0, Q.BOT).otherwise("someone").alias("login"), F.lit(False).alias("pull_request"))
 
 
-@query(f"""WITH {ISSUES} SELECT number, 'acme' || o_custkey AS client, 'https://example.org/e/' || number || '.mp4' AS source, o_orderpriority AS title, CASE WHEN number % 3 = 1 THEN o_orderpriority ELSE '' END AS notes,
+@query(f"""WITH {ISSUES} SELECT number, 'acme' || o_custkey AS client, 'https://example.org/e/' || number || '.mp4' AS source, 'Episode: ' || o_orderpriority AS title, CASE WHEN number % 3 = 1 THEN o_orderpriority ELSE '' END AS notes,
 CASE WHEN number % 3 = 0 AND number % 40 BETWEEN 1 AND 30 THEN CAST(number % 40 AS INTEGER) END AS count FROM issues WHERE number % 3 <> 2 UNION ALL
-SELECT number, '', 'https://example.org/e/' || number || '.mp4', o_orderpriority, '', NULL FROM issues WHERE number % 3 = 2""")
+SELECT number, '', 'https://example.org/e/' || number || '.mp4', 'Episode: ' || o_orderpriority, '', NULL FROM issues WHERE number % 3 = 2""")
 def issue_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client, link, title, notes and count of requests written in three ways."""
     return Q.issue_fields(_issues(spark, sf_dir))
