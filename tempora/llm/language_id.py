@@ -110,7 +110,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 2.0, seed: i
         seen[grams(data[i][0])] = True
     e[~seen] = 0
     table = (e @ w).astype(np.float32)
-    z = np.array([table[grams(data[i][0])].mean(0, dtype=np.float64) for i in held]).reshape(len(held), -1)
+    z = np.array([table[grams(data[i][0])].mean(0, dtype=np.float64) for i in held]).reshape(len(held), table.shape[1])
     y = np.array([data[i][1] for i in held], int)
 
     def at(t: float) -> np.ndarray:
