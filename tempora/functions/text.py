@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Results depend on these lists.
 ABBREVIATIONS = ["mr.", "mrs.", "ms.", "dr.", "st.", "vs.", "etc.", "e.g.", "i.e.", "u.s.", "inc.", "jr.", "sr.", "no.", "prof.", "gov.", "sen.", "rep.", "a.m.", "p.m."]
@@ -146,7 +147,7 @@ def ass_colour(colour: Column | str, alpha: int = 0) -> Column:
     return F.upper(F.concat(F.lit(f"&H{alpha:02X}"), F.substring(c, 6, 2), F.substring(c, 4, 2), F.substring(c, 2, 2)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(text: pd.Series) -> pd.Series:
     """Compatibility decomposition, then ASCII only; Spark has no function for it."""
     return text.map(lambda t: unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode())

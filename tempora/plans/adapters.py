@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str], Callable]:
@@ -28,6 +30,10 @@ def registry() -> tuple[dict[str, Query], dict[str, str], Callable]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A standard table; Python workers can import this package from here on."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -135,7 +135,7 @@ def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLIPS = """clips AS (SELECT rec_id, CAST(max(idx) AS DOUBLE) + 1 AS total FROM levels GROUP BY rec_id), words AS (SELECT rec_id, idx + 0.1 AS start, idx + 0.4 AS "end" FROM levels WHERE db > 60)"""
-CUTS = f"""{ISLANDS}, {CLIPS}, cuts AS MATERIALIZED (SELECT s.rec_id, s.first + 0.18 AS a, s.last + 1 - 0.12 AS b FROM silent s JOIN clips c USING (rec_id) WHERE s.last + 1 - s.first > 2.5 AND s.first > 0 AND s.last + 1 < c.total
+CUTS = f"""{ISLANDS}, {CLIPS}, cuts AS MATERIALIZED (SELECT s.rec_id, CAST(s.first AS DOUBLE) + 0.18 AS a, CAST(s.last + 1 AS DOUBLE) - 0.12 AS b FROM silent s JOIN clips c USING (rec_id) WHERE s.last + 1 - s.first > 2.5 AND s.first > 0 AND s.last + 1 < c.total
   AND NOT EXISTS (SELECT 1 FROM words w WHERE w.rec_id = s.rec_id AND w.start >= s.first + 0.18 AND w."end" <= s.last + 1 - 0.12))"""
 
 
@@ -154,7 +154,7 @@ def tighten_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)[0].select("rec_id", r4("cut_start").alias("cut_start"), r4("cut_end").alias("cut_end"))
 
 
-PIECES = f"""{CUTS}, edges AS (SELECT rec_id, 0.0 AS "at", NULL AS stop FROM clips UNION ALL SELECT rec_id, b, a FROM cuts),
+PIECES = f"""{CUTS}, edges AS (SELECT rec_id, CAST(0 AS DOUBLE) AS "at", NULL AS stop FROM clips UNION ALL SELECT rec_id, b, a FROM cuts),
 pieces AS MATERIALIZED (SELECT rec_id, row_number() OVER w - 1 AS piece, "at" AS start, coalesce(lead(stop) OVER w, total) AS "end" FROM edges JOIN clips USING (rec_id) WINDOW w AS (PARTITION BY rec_id ORDER BY "at"))"""
 
 

@@ -1,0 +1,139 @@
+"""Small cases of the operators, by hand."""
+
+from __future__ import annotations
+
+import io
+import wave
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tempora.functions import links as K
+from tempora.functions import text as T
+from tempora.operators import candidates as C
+from tempora.operators import framing as V
+from tempora.operators import segment as S
+from tempora.operators import select as P
+from tempora.operators import signal as L
+from tempora.operators import temporal as M
+from tempora.sources import playlists as H
+from tempora.sources import readers as R
+
+
+def words(spark, text: str, gaps: dict[int, float] | None = None):
+    t, rows = 0.0, []
+    for i, w in enumerate(text.split()):
+        rows.append(("r", i, w, t, t + 0.3))
+        t += 0.35 + (gaps or {}).get(i, 0.0)
+    return spark.createDataFrame(rows, "rec_id string, word_idx int, text string, start double, end double")
+
+
+def test_sentences_end_at_punctuation_gaps_and_not_at_abbreviations(spark):
+    got = S.sentences(words(spark, "Dr. Who left. Then we all went home and slept", {5: 1.5})).orderBy("idx").collect()
+    assert [r.text for r in got] == ["Dr. Who left.", "Then we all", "went home and slept"]
+
+
+def test_runaway_sentences_are_cut_at_a_late_comma(spark):
+    text = " ".join(f"w{i}," if i == 29 else f"w{i}" for i in range(60))
+    got = S.sentences(words(spark, text)).orderBy("idx").collect()
+    assert [(r.first, r.last) for r in got] == [(0, 29), (30, 59)]
+
+
+def test_replacements_keep_punctuation_and_share_time(spark):
+    got = S.apply_replacements(words(spark, "we saw (clod code) today"), {"clod code": "new big name"}).orderBy("word_idx", "sub_idx").collect()
+    assert [r.text for r in got] == ["we", "saw", "(new", "big", "name)", "today"]
+    assert got[2].start == pytest.approx(0.7) and got[4].end == pytest.approx(1.35)
+
+
+def test_captions_break_at_four_words_sentences_and_pauses(spark):
+    got = S.caption_chunks(words(spark, "one two three four five. six seven eight", {6: 0.5})).groupBy("chunk").agg(F.count("*").alias("n")).orderBy("chunk").collect()
+    assert [r.n for r in got] == [4, 1, 2, 1]
+
+
+def test_pauses_follow_the_word_before_them(spark):
+    w = words(spark, "a b c d")
+    p = spark.createDataFrame([("r", 0.66, 0.9), ("r", 0.67, 1.5), ("r", 5.0, 6.0)], "rec_id string, start double, end double")
+    assert [(r.word_idx, round(r.length, 2)) for r in M.last_word_before(w, p).collect()] == [(2, 0.83)]
+    assert M.last_word_before(w, p.where("start > 4")).count() == 0  # after the last word
+
+
+def test_silences_need_a_spread(spark):
+    quiet, loud = [-60.0] * 30, [-10.0] * 70
+    rows = [("r", i, v) for i, v in enumerate(loud[:35] + quiet + loud[35:])] + [("flat", i, -20.0) for i in range(100)]
+    got = L.silences(spark.createDataFrame(rows, "rec_id string, idx int, db double")).collect()
+    assert [(r.rec_id, r.first, r.last) for r in got] == [("r", 35, 64)]
+
+
+def test_loud_moments_stand_out(spark):
+    db = [-40.0 + (i % 2) * 8 for i in range(200)]
+    db[100:104] = [-5.0] * 4
+    rows = [("r", i, v) for i, v in enumerate(db)]
+    got = L.loud_moments(spark.createDataFrame(rows, "rec_id string, sec int, db double"), half=50).collect()
+    assert [(r["at"], r["end"]) for r in got] == [(100.0, 104.0)]
+
+
+def test_greedy_ranges_share_nothing(spark):
+    rows = [("r", 0, 5, 3.0), ("r", 5, 9, 4.0), ("r", 10, 12, 1.0), ("r", 0, 4, 2.0)]
+    got = P.greedy_ranges(spark.createDataFrame(rows, "rec_id string, first int, last int, score double"))
+    assert sorted((r.first, r.last) for r in got.collect()) == [(0, 4), (5, 9), (10, 12)]
+
+
+def test_budget_drops_the_lowest(spark):
+    rows = [("r", i, 0.0, 100.0, s) for i, s in enumerate([3.0, 1.0, 2.0])]
+    got = P.within_budget(spark.createDataFrame(rows, "rec_id string, idx int, start double, end double, score double"), 200.0)
+    assert sorted(r.score for r in got.collect()) == [2.0, 3.0]
+
+
+def test_windows_merge_while_short(spark):
+    rows = [("r", 0, 0.0, 100.0, "a", 1.0), ("r", 1, 105.0, 200.0, "b", 2.0), ("r", 2, 150.0, 400.0, "c", 3.0)]
+    got = C.merged_windows(spark.createDataFrame(rows, "rec_id string, idx int, start double, end double, why string, score double")).orderBy("start").collect()
+    assert [(r.start, r.end, r.why) for r in got] == [(0.0, 200.0, "a / b"), (200.0, 400.0, "c")]
+
+
+def test_shots_are_half_a_second_apart(spark):
+    cuts = spark.createDataFrame([("r", 1.0), ("r", 1.3), ("r", 1.6), ("r", 9.8)], "rec_id string, t double")
+    ends = spark.createDataFrame([("r", 10.0), ("none", 2.0)], "rec_id string, duration double")
+    got = V.shot_bounds(cuts, ends).orderBy("rec_id", "shot").collect()
+    assert [(r.rec_id, r.start, r.end) for r in got] == [("none", 0.0, 2.0), ("r", 0.0, 1.0), ("r", 1.0, 1.6), ("r", 1.6, 10.0)]
+
+
+def test_cut_segments_stretch_to_the_range(spark):
+    kept = spark.createDataFrame([("r", 0, 100), ("r", 200, 250)], "rec_id string, first long, last long")
+    seg = spark.createDataFrame([("r", 0.5, 1.0, "one"), ("r", 1.0, 2.0, "one"), ("r", 2.0, 3.0, "pair")], "rec_id string, start double, end double, kind string")
+    got = M.cut_segments(kept, seg).orderBy("first").collect()
+    assert [(r.first, r.last, r.kind) for r in got] == [(0, 60, "one"), (60, 100, "pair"), (200, 250, "fit")]
+
+
+def test_sound_levels_of_a_wav(spark, tmp_path):
+    with wave.open(str(tmp_path / "a.wav"), "wb") as f:
+        f.setnchannels(1), f.setsampwidth(2), f.setframerate(16000)
+        tone = (np.sin(np.arange(16000) * 0.3) * 16000).astype(np.int16)
+        f.writeframes(tone.tobytes() + np.zeros(16000, np.int16).tobytes())
+    got = R.sound_levels(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("idx").collect()
+    assert len(got) == 100 and got[0].db > -12 and got[-1].db < -90
+
+
+def test_media_pieces_and_breaks(spark):
+    text = "#EXTM3U\n#EXTINF:4,\na.ts\n#EXT-X-DISCONTINUITY\n#EXTINF:2.5,\n/b.ts\n#EXTINF:1,\nhttps://x.org/c.ts\n#EXT-X-ENDLIST"
+    rows = [("p", i, x, "https://h.org/d/i.m3u8") for i, x in enumerate(text.split("\n"))]
+    got = H.media_pieces(spark.createDataFrame(rows, "list_id string, line_no int, line string, base string")).orderBy("seq").collect()
+    assert [(r.url, r.start, r.run) for r in got] == [("https://h.org/d/a.ts", 0.0, 0), ("https://h.org/b.ts", 4.0, 1), ("https://x.org/c.ts", 6.5, 1)]
+
+
+@pytest.mark.parametrize(("url", "want"), [
+    ("https://www.twitch.tv/videos/123?t=1", ("twitch", "vod", "123")), ("https://twitch.tv/SomeOne", ("twitch", "channel", "someone")), ("https://twitch.tv/directory", None),
+    ("https://kick.com/some/videos/0123abcd-0000-4000-8000-000000000001", ("kick", "vod", "0123abcd-0000-4000-8000-000000000001")), ("https://example.org/a.mp4", None), ("nothing", None),
+])
+def test_classify(spark, url, want):
+    got = spark.createDataFrame([(url,)], "url string").select(K.classify("url").alias("c")).first().c
+    assert (got and tuple(got)) == want
+
+
+def test_columns_of_text(spark):
+    row = spark.range(1).select(
+        T.clock(F.lit(3725.5)).alias("clock"), T.ass_time(F.lit(61.239)).alias("ass"), T.slug(F.lit("Café — déjà vu, it’s!")).alias("slug"), T.headline(F.lit("so here is one of the best of all things.")).alias("head"),
+        T.clean_hashtags(F.array(F.lit("#Über cool"), F.lit("ubercool"), F.lit("Über-Cool"), F.lit(" "))).alias("tags"), T.display_word(F.lit("“hello,”")).alias("shown"), T.is_sentence_end(F.lit("e.g.")).alias("end"),
+    ).first()
+    assert row.clock == "1:02:06" and row.ass == "0:01:01.24" and row.slug == "cafe-deja-vu-its" and row.head == "So here is one of the…"
+    assert row.tags == ["#übercool", "#ubercool"] and row.shown == "HELLO" and row.end is False
