@@ -73,6 +73,11 @@ def distinct(h: np.ndarray) -> np.ndarray:
     return h[keep]
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """128 bits of a sorted set of shingles."""
+    return xxhash.xxh3_128_intdigest(s.tobytes())
+
+
 def counter_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -94,7 +99,7 @@ def _survey(k: int):
                 found.append(s)
                 spoken.append(w)
                 n.append(len(s))
-                fps.append(xxhash.xxh3_128_intdigest(s.tobytes()))
+                fps.append(fingerprint(s))
             for half, every in ((0, found), (size, spoken)):
                 if every:
                     sketch[half : half + size] += np.bincount(counter_of(np.concatenate(every)), minlength=size).astype(np.int32)
@@ -159,7 +164,10 @@ def bands(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, levels):
-    """(hash, band, id, need, crowd): a document's prefix, long enough for ``need`` common entries with any document it links with.
+    """(hash, band, id, need, crowd): a set's prefix, long enough for ``need`` common entries with any set it links with.
+
+    id is half of the set's fingerprint, so copies have one id wherever they lie; sets that share it by chance only become
+    candidates of each other's candidates.
 
     crowd: 0, or 1 where more than CROWD documents of the batch share the entry, and a 2 without id for each such entry.
     """
@@ -168,20 +176,21 @@ def _prefixes(k: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, level = WordHashes(), levels.value
         for batch in batches:
-            seen: set[bytes] = set()
+            seen: set[int] = set()
             ids, hashes, sizes, needs = [], [], [], []
             for doc, w in zip(batch.column("doc_id").to_pylist(), hashed_words(batch.column("text"), memo), strict=True):
                 if doc is None or not len(w):
                     continue
                 s = in_order(w, k, level)
-                if (same := xxhash.xxh3_128_digest(s.tobytes())) in seen:
+                if (same := fingerprint(np.sort(s))) in seen:
                     continue  # copies of one set are linked by their fingerprints
                 seen.add(same)
                 least = (percent * len(s) + 99) // 100
                 need = min(common_entries(len(s)), least)
                 p = len(s) - least + need
                 hashes.append(s[:p])
-                for values, x in ((ids, doc), (sizes, len(s)), (needs, need)):
+                ids.append(np.full(p, same & 0xFFFFFFFFFFFFFFFF, np.uint64).view(np.int64))
+                for values, x in ((sizes, len(s)), (needs, need)):
                     values.append(np.full(p, x, np.int64))
             if not ids:
                 continue
@@ -254,7 +263,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """(src, dst): links, not all pairs, whose components hold every link between documents of different sets.
+    """(src, dst), halves of fingerprints: links, not all pairs, whose components hold every link between different sets.
 
     A pair that links has ``need`` entries in common.  If one of them is rare, the pair is counted, and what it may have in
     common of frequent entries is bounded by how many of them each document has.  If all are frequent, both documents
@@ -368,7 +377,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     levels = spark.sparkContext.broadcast(_levels(survey.where("block is not null").select("block", "counts", F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt"))))
     candidates = components(_candidates(docs, k, percent, levels))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    members = cut(classes.join(candidates, classes["rep"] == candidates["id"]).select(F.col("component_id").alias("comp"), F.col("rep").alias("doc_id"), "n").dropDuplicates(["doc_id"]), "jaccard")
+    members = cut(classes.join(candidates, classes["fp_a"] == candidates["id"]).select(F.col("component_id").alias("comp"), F.col("rep").alias("doc_id"), "n").dropDuplicates(["doc_id"]), "jaccard")
     tiles = _tiles(members, percent)
     found = docs.join(tiles, "doc_id").groupBy("task").applyInArrow(_compare(k, percent), "src long, dst long")
     copies = sets.where("n > 0 and doc_id is not null").join(classes.where("copies > 1"), ["fp_a", "fp_b"]).where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))

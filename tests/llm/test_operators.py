@@ -155,11 +155,11 @@ def test_chat_windows_repeat_system_and_history(spark):
 # 5 ---------------------------------------------------------------------------------------------------------------------
 def test_main_text_without_what_pages_share(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><div>Shop menu home</div><nav>a b</nav>{}<div>Shared footer line</div><div class='comments'><p>I disagree</p></div><script>x<y</script></body></html>"
-    rows = [(i, f"https://h.org/a/{i}", page.replace("{}", f"<p>Story &amp; number {i}\n is  here</p><p>More {i}</p>"), "x") for i in range(4)]
+    rows = [(i, f"https://h.org/a/{i}", page.replace("{}", f"<p>Story &amp; number {i}\n is  here</p><p>More of it {i} and then some</p>"), "x") for i in range(4)]
     rows += [(8, None, None, "x"), (9, "http://[bad", "", "x"), (10, "https://solo.org/", "<article><p>Only</article>", "x"), (10, "https://solo.org/", "<article><p>Only</article>", "x")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in extract_main_text(frame).collect())
-    assert [t for _, t, _ in got] == [f"Story & number {i} is here More {i}" for i in range(4)] + ["", "", "Only", "Only"] and all(n == len(t) for _, t, n in got)
+    assert [t for _, t, _ in got] == [f"Story & number {i} is here More of it {i} and then some" for i in range(4)] + ["", "", "Only", "Only"] and all(n == len(t) for _, t, n in got)
     assert extract_main_text(frame.limit(0)).count() == 0
 
 
