@@ -10,17 +10,17 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import mix64, prepare
+from tempora.llm.common import mix64, numbered_words, prepare
 
 LABELLERS = ("symbols", "shouting", "separators", "repeated_words", "sentences", "repeated_lines", "letters", "top_word")
 FEATURES = 1 << 14
@@ -28,81 +28,117 @@ FEATURES = 1 << 14
 SAMPLE, LONGEST_TEXT = 2500, 100_000
 #: Documents that score below are rejected.
 KEEP = 0.5
-SYMBOLS = re.compile(r"[#$%&*@^~<>{}=\\|+_]{2,}")
-#: Flags of a word.
-NOISY, UPPER, BARE, ENDING, LONG = 1, 2, 4, 8, 16
-
-
-class Shapes(dict):
-    """For each word: its hashed shape * 32 + its flags.  A shape folds runs of upper, lower and digit characters."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        shape = []
-        for c in word[:64]:
-            kind = "U" if c.isupper() else "l" if c.isalpha() else "0" if c.isdigit() else c
-            if len(shape) < 2 or shape[-1] != kind or shape[-2] != kind:
-                shape.append(kind)
-        letters = sum(map(str.isalpha, word))
-        flags = NOISY * bool(SYMBOLS.search(word)) | UPPER * (letters > 1 and word.isupper()) | BARE * (not letters and not word[0].isdigit()) | ENDING * (word[-1] in ".!?…。") | LONG * (len(word) > 40)
-        self[word] = out = (xxhash.xxh32_intdigest("".join(shape)) & 0xFFFFFFF) << 5 | flags
-        return out
-
-
-class Look:
-    """What the labellers and the scorer see of one text."""
-
-    def __init__(self, text: str, shapes: Shapes):
-        self.words = text.split()
-        n = self.n = len(self.words)
-        self.codes = np.fromiter(map(shapes.__getitem__, self.words), np.int64, n)
-        self.share = {f: float(((self.codes & f) > 0).mean()) if n else 0.0 for f in (NOISY, UPPER, BARE, ENDING, LONG)}
-        counts = Counter(self.words)
-        self.top = counts.most_common(1)[0][1] / n if n else 0.0
-        self.distinct = len(counts) / n if n else 0.0
-        same = sum(map(str.__eq__, self.words, self.words[1:]))
-        self.again = same / n if n else 0.0
-        lines = [x for x in (x.strip() for x in text.split("\n")) if x]
-        self.lines = len(lines)
-        self.lines_again = 1 - len(set(lines)) / len(lines) if lines else 0.0
-        solid = sum(map(len, self.words))
-        self.letters = sum(map(len, re.findall(r"[^\W\d_]+", text))) / solid if solid else 0.0
-
-    def votes(self) -> tuple[int, ...]:
-        if not self.n:
-            return (-1,) * len(LABELLERS)
+SYMBOLS = "#$%&*@^~<>{}=\\|+_"
+ENDS = ".!?…。"
+#: Flags of a character and of a word.
+LETTER, UPPER, LOWER, DIGIT, SYMBOL, END = 1, 2, 4, 8, 16, 32
+NOISY, CAPITAL, BARE, ENDING, LONG = range(5)
+
+
+@cache
+def characters() -> np.ndarray:
+    """Flags of every code point."""
+    table = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for flag, pattern in ((LETTER, r"\p{L}+"), (UPPER, r"\p{Lu}+"), (LOWER, r"\p{Ll}+"), (DIGIT, r"\p{Nd}+")):
+        for m in regex.finditer(pattern, every):
+            table[[ord(c) for c in m[0]]] |= flag
+    for flag, some in ((SYMBOL, SYMBOLS), (END, ENDS)):
+        table[[ord(c) for c in some]] |= flag
+    return table
+
+
+def shapes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed shape, flags[5], letters, length) of each word, all words at once.
+
+    A shape is the word's first 64 characters as upper, lower, digit or themselves, runs cut to two.
+    """
+    points = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.flatnonzero(points == 10)
+    start = np.concatenate([[0], ends[:-1] + 1])
+    length = ends - start
+    flag = characters()[points]
+    kind = np.where(flag & UPPER, 1, np.where(flag & LETTER, 2, np.where(flag & DIGIT, 3, points + 16))).astype(np.uint64)
+    place = np.arange(len(points)) - np.repeat(start, length + 1)
+    keep = (place < 64) & (points != 10)
+    keep[2:] &= ~((kind[2:] == kind[1:-1]) & (kind[2:] == kind[:-2]) & (place[2:] >= 2))
+    upto = np.cumsum(keep)
+    rank = (upto - np.repeat(upto[start] - keep[start], length + 1)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        each = mix64(kind + (rank << np.uint64(32))) * keep
+        shape = mix64(np.add.reduceat(each, start))
+
+    def count(x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x.astype(np.int64), start)
+
+    letters, upper = count(flag & LETTER > 0), count(flag & UPPER > 0)
+    twice = np.zeros(len(points), bool)
+    twice[:-1] = (flag[:-1] & flag[1:] & SYMBOL) > 0
+    flags = np.stack([count(twice) > 0, (letters > 1) & (upper > 0) & (count(flag & LOWER > 0) == 0), (letters == 0) & (flag[start] & DIGIT == 0), flag[np.maximum(ends - 1, start)] & END > 0, length > 40], 1)
+    return shape, flags, letters, length
+
+
+class Looks:
+    """What the labellers and the scorer see of the texts of one column."""
+
+    def __init__(self, column: pa.Array):
+        numbers, self.bounds, words = numbered_words(column)
+        n = self.n = np.diff(self.bounds)
+        shape, flags, letters, length = shapes(words) if words else (np.empty(0, np.uint64), np.zeros((0, 5), bool), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.shape = shape[numbers]
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(x)])[self.bounds])
+
+        per = np.maximum(n, 1)
+        self.share = np.stack([total(flags[numbers, f]) / per for f in range(5)], 1)
+        again = np.zeros(len(numbers))
+        again[:-1] = numbers[1:] == numbers[:-1]
+        inner = self.bounds[1:-1]
+        again[inner[inner > 0] - 1] = 0
+        self.again = total(again) / per
+        self.letters = total(letters[numbers]) / np.maximum(total(length[numbers]), 1)
+        m = len(n)
+        self.top, self.distinct, self.lines, self.lines_again = np.zeros(m), np.zeros(m), np.zeros(m, np.int64), np.zeros(m)
+        for i, text in enumerate(column.to_pylist()):
+            if n[i]:
+                counts = np.unique(numbers[self.bounds[i] : self.bounds[i + 1]], return_counts=True)[1]
+                self.top[i], self.distinct[i] = counts.max() / n[i], len(counts) / n[i]
+                lines = [x for x in map(str.strip, text.split("\n")) if x]
+                self.lines[i], self.lines_again[i] = len(lines), 1 - len(set(lines)) / len(lines) if lines else 0.0
+
+    def patterns(self) -> np.ndarray:
+        """The votes of all labellers on each text as one number."""
         s, n = self.share, self.n
-        vote = lambda bad, good: -1 if bad else 1 if good else 0
-        return (
-            vote(s[NOISY] > 0.15, s[NOISY] < 0.02),
-            vote(s[UPPER] > 0.4 and n >= 5, s[UPPER] < 0.1),
-            vote(s[BARE] > 0.2 and n >= 5, s[BARE] < 0.05),
-            vote(self.again > 0.2 or (n >= 100 and self.distinct < 0.08), self.again < 0.03),
-            vote(s[ENDING] < 1 / 80 and n >= 80, s[ENDING] > 1 / 40),
-            vote(self.lines >= 5 and self.lines_again > 0.4, self.lines >= 2 and self.lines_again < 0.1),
-            vote(self.letters < 0.7, self.letters > 0.88),
-            vote(self.top > 0.3 and n >= 15, self.top < 0.15 and n >= 15),
-        )
-
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, weights): shares of hashed shapes and pairs of shapes, then binned statistics."""
-        shape = (self.codes >> 5).astype(np.uint64)
+        votes = [
+            (s[:, NOISY] > 0.15, s[:, NOISY] < 0.02),
+            ((s[:, CAPITAL] > 0.4) & (n >= 5), s[:, CAPITAL] < 0.1),
+            ((s[:, BARE] > 0.2) & (n >= 5), s[:, BARE] < 0.05),
+            ((self.again > 0.2) | ((n >= 100) & (self.distinct < 0.08)), self.again < 0.03),
+            ((s[:, ENDING] < 1 / 80) & (n >= 80), s[:, ENDING] > 1 / 40),
+            ((self.lines >= 5) & (self.lines_again > 0.4), (self.lines >= 2) & (self.lines_again < 0.1)),
+            (self.letters < 0.7, self.letters > 0.88),
+            ((self.top > 0.3) & (n >= 15), (self.top < 0.15) & (n >= 15)),
+        ]
+        found = sum(np.where(bad | (n == 0), 0, np.where(good, 2, 1)) * 3**i for i, (bad, good) in enumerate(votes))
+        return np.asarray(found, np.int64)
+
+    def features(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, weights) of text i: shares of hashed shapes and pairs of shapes, then binned statistics."""
+        shape = self.shape[self.bounds[i] : self.bounds[i + 1]]
         with np.errstate(over="ignore"):
             pairs = shape[:-1] * np.uint64(0x9E3779B97F4A7C15) + shape[1:]
-        ids, counts = np.unique((mix64(np.concatenate([shape, pairs])) & np.uint64(FEATURES - 1)).astype(np.int64), return_counts=True)
-        binned = [self.share[NOISY], self.share[UPPER], self.share[BARE], self.share[ENDING], self.again, self.lines_again, 1 - self.letters, self.top, 1 - self.distinct, self.share[LONG]]
-        more = [FEATURES + 1 + 12 * i + min(11, int(12 * min(1.0, x * 2))) for i, x in enumerate(binned)]
-        return np.append(ids, [FEATURES, *more]), np.append(counts / max(self.n, 1), np.full(1 + len(more), 0.5))
+        counts = np.bincount((mix64(np.concatenate([shape, pairs])) & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
+        ids = np.flatnonzero(counts)
+        s = self.share[i]
+        binned = [s[NOISY], s[CAPITAL], s[BARE], s[ENDING], self.again[i], self.lines_again[i], 1 - self.letters[i], self.top[i], 1 - self.distinct[i], s[LONG]]
+        more = [FEATURES + 1 + 12 * j + min(11, int(12 * min(1.0, x * 2))) for j, x in enumerate(binned)]
+        return np.append(ids, [FEATURES, *more]), np.append(counts[ids] / max(self.n[i], 1), np.full(1 + len(more), 0.5))
 
 
 WIDTH = FEATURES + 1 + 12 * 10
 
 
-def pattern_of(votes: tuple[int, ...]) -> int:
-    return sum((v + 1) * 3**i for i, v in enumerate(votes))
-
-
 def votes_of(pattern: int) -> list[int]:
     return [pattern // 3**i % 3 - 1 for i in range(len(LABELLERS))]
 
@@ -137,8 +173,10 @@ def estimate(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarr
 
 def fit(rows: list[tuple[str, float]], epochs: int = 6, rate: float = 1.0, seed: int = 3) -> np.ndarray:
     """Weights of the scorer from (text, posterior) rows; both classes weigh the same."""
-    rng, shapes = np.random.default_rng(seed), Shapes()
-    data = [(*Look(t, shapes).features(), y) for t, y in rows]
+    rng, data = np.random.default_rng(seed), []
+    for at in range(0, len(rows), 500):
+        looks = Looks(pa.array([t for t, _ in rows[at : at + 500]], pa.string()))
+        data += [(*looks.features(i), y) for i, (_, y) in enumerate(rows[at : at + 500])]
     w = np.zeros(WIDTH)
     total = sum(y for *_, y in data)
     balance = {1: len(data) / (2 * max(total, 1)), 0: len(data) / (2 * max(len(data) - total, 1))} if data else {}
@@ -153,24 +191,20 @@ def fit(rows: list[tuple[str, float]], epochs: int = 6, rate: float = 1.0, seed:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shapes = Shapes()
     for batch in batches:
-        found = [pattern_of(Look(t or "", shapes).votes()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int32())], names=["doc_id", "pattern"])
+        yield pa.RecordBatch.from_arrays([pa.array(Looks(batch.column("text")).patterns(), pa.int32())], names=["pattern"])
 
 
 def _score(model, keep: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, posterior = model.value
-        shapes = Shapes()
         for batch in batches:
-            score, post = [], []
-            for t in batch.column("text").to_pylist():
-                look = Look(t or "", shapes)
-                ids, x = look.features()
-                score.append(float(1 / (1 + np.exp(-np.clip(weights[ids] @ x, -30, 30)))) if look.n else 0.0)
-                post.append(posterior.get(pattern_of(look.votes()), 0.5))
-            s = np.array(score, float)
+            looks = Looks(batch.column("text"))
+            s = np.zeros(batch.num_rows)
+            for i in np.flatnonzero(looks.n):
+                ids, x = looks.features(i)
+                s[i] = 1 / (1 + np.exp(-np.clip(weights[ids] @ x, -30, 30)))
+            post = [posterior.get(p, 0.5) for p in looks.patterns().tolist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(post, pa.float64()), pa.array(s), pa.array(s >= keep)], names=[*batch.schema.names, "posterior", "quality_score", "kept"])
 
     return run
@@ -184,7 +218,7 @@ def classify_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), sa
     ignored; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
-    voted = docs.select("doc_id", "text").mapInArrow(_vote, "doc_id long, pattern int")
+    voted = docs.select("text").mapInArrow(_vote, "pattern int")
     counts = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3**8 rows
     _, _, posterior = estimate(counts)
     size = {c: sum(n for p, n in counts.items() if (posterior[p] >= 0.5) == bool(c)) for c in (0, 1)}
@@ -192,14 +226,15 @@ def classify_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), sa
     known = spark.sparkContext.broadcast(posterior)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
         for batch in batches:
-            h = [xxhash.xxh32_intdigest(str(i)) / (1 << 32) for i in batch.column("doc_id").to_pylist()]
             text = batch.column("text").to_pylist()
-            some = [i for i, x in enumerate(h) if x < max(share) and text[i] and len(text[i]) <= LONGEST_TEXT]
-            post = [known.value.get(pattern_of(Look(text[i], shapes).votes()), 0.5) for i in some]
-            take = [(text[i], y) for i, y in zip(some, post, strict=True) if h[i] < share[int(y >= 0.5)]]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in take], pa.string()), pa.array([y for _, y in take], pa.float64())], names=["text", "y"])
+            h = np.array([xxhash.xxh32_intdigest(str(i)) for i in batch.column("doc_id").to_pylist()]) / (1 << 32)
+            some = [i for i in np.flatnonzero(h < max(share)) if text[i] and len(text[i]) <= LONGEST_TEXT]
+            if some:
+                chosen = batch.column("text").take(pa.array(some))
+                post = np.array([known.value.get(p, 0.5) for p in Looks(chosen).patterns().tolist()])
+                take = np.flatnonzero(h[some] < np.where(post >= 0.5, share[1], share[0]))
+                yield pa.RecordBatch.from_arrays([chosen.take(pa.array(take)), pa.array(post[take])], names=["text", "y"])
 
     rows = docs.select("doc_id", "text").mapInArrow(choose, "text string, y double").limit(3 * sample).collect()  # at most 3 * sample rows
     weights = fit([(r.text, r.y) for r in rows])
