@@ -143,7 +143,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     return fit([(r["text"], r["lang"]) for r in chosen.collect()])
 
 
-def _predict(model):
+def _predict(model, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = model.value
         for batch in batches:
@@ -158,8 +158,7 @@ def _predict(model):
                 lang.append(m.languages[int(p.argmax())])
                 score.append(float(p.max()))
                 accepted.append(score[-1] >= m.accept)
-            n = batch.schema.names
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*n, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*keep, "lang_pred", "score", "accepted"])
 
     return run
 
@@ -172,8 +171,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
     """
     spark = prepare(docs.sparkSession)
     used = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    schema = ", ".join(f"`{c}` {t}" for c, t in used.dtypes) + ", lang_pred string, score double, accepted boolean"
-    return used.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
+    schema = ", ".join(f"`{c}` {t}" for c, t in used.select(*keep).dtypes) + ", lang_pred string, score double, accepted boolean"
+    return used.mapInArrow(_predict(spark.sparkContext.broadcast(model), keep), schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -195,7 +195,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(Looks(batch.column("text")).patterns(), pa.int32())], names=["pattern"])
 
 
-def _score(model, keep: float):
+def _score(model, keep: float, columns: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, posterior = model.value
         for batch in batches:
@@ -205,7 +205,7 @@ def _score(model, keep: float):
                 ids, x = looks.features(i)
                 s[i] = 1 / (1 + np.exp(-np.clip(weights[ids] @ x, -30, 30)))
             post = [posterior.get(p, 0.5) for p in looks.patterns().tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(post, pa.float64()), pa.array(s), pa.array(s >= keep)], names=[*batch.schema.names, "posterior", "quality_score", "kept"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(post, pa.float64()), pa.array(s), pa.array(s >= keep)], names=[*columns, "posterior", "quality_score", "kept"])
 
     return run
 
@@ -239,5 +239,5 @@ def classify_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), sa
     rows = docs.select("doc_id", "text").mapInArrow(choose, "text string, y double").limit(3 * sample).collect()  # at most 3 * sample rows
     weights = fit([(r.text, r.y) for r in rows])
     used = docs.select(*columns, *(["text"] if "text" not in columns else []))
-    schema = ", ".join(f"`{c}` {t}" for c, t in used.dtypes) + ", posterior double, quality_score double, kept boolean"
-    return used.mapInArrow(_score(spark.sparkContext.broadcast((weights, posterior)), keep), schema)
+    schema = ", ".join(f"`{c}` {t}" for c, t in used.select(*columns).dtypes) + ", posterior double, quality_score double, kept boolean"
+    return used.mapInArrow(_score(spark.sparkContext.broadcast((weights, posterior)), keep, columns), schema)
