@@ -5,8 +5,9 @@
     more than its share is split by hash, so no task gathers more than LEAF vectors.
 3.  Rounds of the local join: each class looks at its neighbours and reverse neighbours, compares
     those that are new with the others, and proposes each to the other if it beats the worst one there.
-    Lists hold K, and four times as many where they are saturated with links.
-4.  Edges at or above the threshold give components.  Inside a component the lists are enlarged to the
+    Lists hold K, and four times as many where they are saturated with links.  Links that a list has no room for
+    still join components: each step hands on chains through the groups that all links it saw make up.
+4.  Edges at or above the threshold and chains give components.  Inside a component the lists are enlarged to the
     whole component: tiles of bounded size count, in double precision, the links of each class; pairs are not emitted.
 5.  The recall is audited: the links of a bounded sample of classes are counted against all classes; while
     less than the goal was found, more trees and rounds follow.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components, cut, parallelism, prepare, release
+from tempora.llm.common import components, cut, forest, parallelism, prepare, release
 
 K, LEAF, TILE, AUDIT = 10, 512, 2048, 256
 
@@ -69,9 +70,27 @@ def _best(u: np.ndarray, v: np.ndarray, sim: np.ndarray, k: int, threshold: floa
     return order[(rank < k) | ((sim[order] >= threshold) & (rank < 4 * k))]
 
 
+def _chains(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges along each component of the edges (a, b), at most two at an id."""
+    root, member = forest(a, b)
+    order = np.lexsort((member, root))
+    root, member = root[order], member[order]
+    before = root.copy()
+    same = np.flatnonzero(root[1:] == root[:-1]) + 1
+    before[same] = member[same - 1]
+    return before, member
+
+
+def _edges(us: list[np.ndarray], vs: list[np.ndarray], sims: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    """Proposals (u, v, sim), and chains (chain is true) through what the links (a, b) join."""
+    x, y = _chains(np.concatenate(a), np.concatenate(b)) if a else (np.array([], np.int64),) * 2
+    u, v, sim = (np.concatenate([*z, e]) for z, e in ((us, x), (vs, y), (sims, np.ones(len(x)))))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sim": pa.array(sim, pa.float64()), "chain": pa.array(np.arange(len(u)) >= len(u) - len(x))})
+
+
 def _leaf(k: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        ids, us, vs, sims = table.column("cid").to_numpy(), [], [], []
+        ids, us, vs, sims, left, right = table.column("cid").to_numpy(), [], [], [], [], []
         leaf = table.column("leaf").to_numpy()
         order = np.lexsort((ids, leaf))
         for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
@@ -88,7 +107,12 @@ def _leaf(k: int, threshold: float):
                 us.append(np.repeat(own, n))
                 vs.append(own[top].ravel())
                 sims.append(np.take_along_axis(s, top, 1).ravel())
-        return pa.table({"u": pa.array(np.concatenate(us) if us else [], pa.int64()), "v": pa.array(np.concatenate(vs) if vs else [], pa.int64()), "sim": pa.array(np.concatenate(sims) if sims else [], pa.float64())})
+                a, b = np.nonzero(np.triu(s >= threshold, 1))
+                if len(a):
+                    a, b = _chains(a, b)
+                    left.append(own[a])
+                    right.append(own[b])
+        return _edges(us, vs, sims, left, right)
 
     return run
 
@@ -99,7 +123,8 @@ def _local_join(k: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
         new, worst = table.column("fresh").to_numpy(zero_copy_only=False).astype(bool), table.column("worst").to_numpy()
-        us, vs, sims = [], [], []
+        linked = table.column("sim").to_numpy() >= threshold
+        us, vs, sims, left, right = [], [], [], [], []
         for kind, m in _unit(table.column("embedding")):
             order = kind[np.argsort(u[kind], kind="stable")]
             place = np.empty(len(u), np.int64)
@@ -114,8 +139,13 @@ def _local_join(k: int, threshold: float):
                 us.append(v[rows][a])
                 vs.append(v[rows][b])
                 sims.append(s[a, b])
+                far = np.flatnonzero(~linked[rows])  # links of u are joined by u itself
+                a, b = np.nonzero((s[far] >= threshold) & (v[rows][far][:, None] != v[rows][None, :]))
+                if len(a):
+                    left.append(v[rows][far[a]])
+                    right.append(v[rows][b])
         if not us:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+            return _edges([], [], [], left, right)
         a, b, s = np.concatenate(us), np.concatenate(vs), np.concatenate(sims)
         order = np.lexsort((b, a))
         a, b, s = a[order], b[order], s[order]
@@ -123,7 +153,7 @@ def _local_join(k: int, threshold: float):
         single[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         a, b, s = a[single], b[single], s[single]
         keep = _best(a, b, s, k, threshold)
-        return pa.table({"u": pa.array(a[keep]), "v": pa.array(b[keep]), "sim": pa.array(s[keep])})
+        return _edges([a[keep]], [b[keep]], [s[keep]], left, right)
 
     return run
 
@@ -188,11 +218,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
     truth = classes.repartition(parts).mapInArrow(_queries(sample, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
     real = {r.cid: r.links for r in truth.collect()}  # at most AUDIT rows
 
-    edge = "u long, v long, sim double"
-    near = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
+    edge = "u long, v long, sim double, chain boolean"
+    near = Window.partitionBy("u", "chain").orderBy(F.desc("sim"), "v")
 
     def shortened(e: DataFrame) -> DataFrame:
-        return e.withColumn("rank", F.row_number().over(near)).where((F.col("rank") <= k) | ((F.col("sim") >= threshold) & (F.col("rank") <= 4 * k)))
+        return e.withColumn("rank", F.row_number().over(near)).where(F.col("chain") | (F.col("rank") <= k) | ((F.col("sim") >= threshold) & (F.col("rank") <= 4 * k)))
 
     graph = None
     for attempt in range(attempts):
@@ -202,27 +232,28 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
         packs = max(parts, n * trees // 5000)
         first = leaves.join(classes.select("cid", "embedding"), "cid").withColumn("pack", F.pmod("leaf", F.lit(packs))).groupBy("pack").applyInArrow(_leaf(k, threshold), edge).withColumn("fresh", F.lit(True))
         if graph is not None:
-            first = first.unionByName(graph.select("u", "v", "sim", "fresh"))
-        merged = first.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+            first = first.unionByName(graph.select("u", "v", "sim", "chain", "fresh"))
+        merged = first.groupBy("u", "v", "chain").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
         nxt = cut(shortened(merged), "vectors")
         if graph is not None:
             release(graph)
         graph = nxt
         release(codes)
         for _ in range(rounds):
-            back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "fresh")
-            around = graph.select("u", "v", "fresh").unionByName(shortened(back).select("u", "v", "fresh")).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-            worst = graph.groupBy("u").agg(F.count("*").alias("held"), F.min("sim").alias("low")).select(F.col("u").alias("cid"), F.when(F.col("held") < k, -2.0).otherwise(F.col("low")).alias("worst"))
+            lists = graph.where(~F.col("chain"))
+            back = lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "chain", "fresh")
+            around = lists.select("u", "v", "sim", "fresh").unionByName(shortened(back).select("u", "v", "sim", "fresh")).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh"))
+            worst = lists.groupBy("u").agg(F.count("*").alias("held"), F.min("sim").alias("low")).select(F.col("u").alias("cid"), F.when(F.col("held") < k, -2.0).otherwise(F.col("low")).alias("worst"))
             nodes = classes.select("cid", "embedding").join(worst, "cid", "left").select(F.col("cid").alias("v"), "embedding", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
             buckets = max(parts, n // 2000)
             proposed = around.join(nodes, "v").withColumn("bucket", F.pmod(F.xxhash64("u"), F.lit(buckets))).groupBy("bucket").applyInArrow(_local_join(k, threshold), edge)
-            both = graph.select("u", "v", "sim", F.lit(False).alias("fresh")).unionByName(proposed.withColumn("fresh", F.lit(True)))
-            nxt = cut(shortened(both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))), "vectors")
+            both = graph.select("u", "v", "sim", "chain", F.lit(False).alias("fresh")).unionByName(proposed.withColumn("fresh", F.lit(True)))
+            nxt = cut(shortened(both.groupBy("u", "v", "chain").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))), "vectors")
             release(graph)
             graph = nxt
-            if not graph.where("fresh").limit(1).count():
+            if not graph.where("fresh and not chain").limit(1).count():
                 break
-        comps = components(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+        comps = components(graph.where(F.col("chain") | (F.col("sim") >= threshold)).select(F.col("u").alias("src"), F.col("v").alias("dst")))
         members = cut(classes.select("cid", "rep", "copies").join(comps, classes["cid"] == comps["id"]).select("cid", "rep", "copies", F.col("component_id").alias("comp")), "vectors")
         size = members.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.count("*").alias("size"))
         packs = max(parts, n // 2000)

@@ -120,6 +120,22 @@ def test_near_vectors_against_all_pairs(spark):
     assert near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+def test_near_vectors_of_two_saturated_groups(spark):
+    rng = np.random.default_rng(5)
+    centres = np.eye(32)[:2] * 3 + np.full(32, 1.2)
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    m = np.repeat(centres, 200, 0) + rng.standard_normal((400, 32)) * 0.01
+    middle = m.mean(0) * 0.45
+    m = np.concatenate([m + middle, rng.standard_normal((400, 32))]).astype(np.float32)
+    x = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    s = x @ x.T
+    cross, inner = s[:200, 200:400], s[:200, :200]
+    assert (cross >= 0.9).mean() > 0.9 and inner.min() > cross.max()
+    got = {r.vec_id: r for r in near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")).collect()}
+    assert [got[i].n_links for i in range(400)] == ((s >= 0.9).sum(1) - 1)[:400].tolist()
+    assert {got[i].component_id for i in range(400)} == {0}
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 def expected_chat(turns):
     h, loss = hashlib.sha256(), "".join(t or "" for r, t in turns if r == "assistant")
