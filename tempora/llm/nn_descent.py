@@ -9,8 +9,10 @@
     still join components: each step hands on chains through the groups that all links it saw make up.
 4.  Edges at or above the threshold and chains give components.  Inside a component the lists are enlarged to the
     whole component: tiles of bounded size count, in double precision, the links of each class; pairs are not emitted.
-5.  The recall is audited: the links of a bounded sample of classes are counted against all classes; while
-    less than the goal was found, more trees and rounds follow.
+5.  The recall is audited: the links of a sample of classes are counted against all classes.  It is the mean over
+    linked classes, for those of few and of many links apart, so a large group outweighs nothing; the sample grows until
+    it holds LINKED classes of few links, or AUDIT classes.  While less than the goal was found, more trees and rounds
+    follow; after the last attempt, all classes are compared with all, in tiles.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components, cut, forest, parallelism, prepare, release
+from tempora.llm.common import components, contracted, cut, forest, parallelism, prepare, release
+
+K, LEAF, TILE, AUDIT, LINKED = 10, 512, 2048, 4096, 64
+#: Rows that one pass of the comparison of all classes deals out.
+PASS_ROWS = 20_000_000
 
-K, LEAF, TILE, AUDIT = 10, 512, 2048, 256
 
 
 def _unit(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -180,31 +185,108 @@ def _count_links(threshold: float):
     return run
 
 
+def _tile_chains(threshold: float):
+    """Chains through what the links of one pair of tiles join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, side = table.column("cid").to_numpy(), table.column("side").to_numpy()
+        left, right = [], []
+        for r, m in _unit(table.column("embedding")):
+            a = np.flatnonzero(side[r] == 0)
+            b = np.flatnonzero(side[r] == 1) if (side == 1).any() else a
+            x, y = np.nonzero(m[a] @ m[b].T >= threshold)
+            x, y = a[x], b[y]
+            if (x != y).any():
+                x, y = _chains(x[x != y], y[x != y])
+                left.append(ids[r][x])
+                right.append(ids[r][y])
+        return pa.table({"src": pa.array(np.concatenate(left) if left else [], pa.int64()), "dst": pa.array(np.concatenate(right) if right else [], pa.int64())})
+
+    return run
+
+
 def _queries(sample, threshold: float):
     """Links of the sample's vectors with all of one partition, counted in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = sample.value
+        ids, groups = sample.value
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             copies, own = batch.column("copies").to_numpy(), batch.column("cid").to_numpy()
             for rows, m in _unit(batch.column("embedding")):
-                for q, x in enumerate(vectors):
-                    if len(x) == m.shape[1]:
-                        total[q] += copies[rows][(m @ x >= threshold) & (own[rows] != ids[q])].sum()
+                for which, x in groups:
+                    if x.shape[1] != m.shape[1]:
+                        continue
+                    for at in range(0, len(which), 512):
+                        q = which[at : at + 512]
+                        total[q] += copies[rows] @ ((m @ x[at : at + 512].T >= threshold) & (own[rows][:, None] != ids[q][None, :]))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], names=["cid", "links"])
 
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, trees: int = 4, rounds: int = 2, goal: float = 0.97, attempts: int = 3, seed: int = 7) -> DataFrame:
+def audited(classes: DataFrame, n: int, threshold: float, few: int) -> dict[int, int]:
+    """True links of a sample of at most AUDIT classes; it grows until LINKED of them have some links, but no more than few."""
+    spark, real, size = classes.sparkSession, {}, 256
+    while True:
+        drawn = classes.orderBy(F.xxhash64("cid"), "cid").limit(size).collect()[len(real) :]  # at most AUDIT vectors
+        groups = _unit(pa.array([r.embedding for r in drawn], pa.list_(pa.float32()))) if drawn else []
+        sample = spark.sparkContext.broadcast((np.array([r.cid for r in drawn], np.int64), groups))
+        truth = classes.repartition(parallelism(spark)).mapInArrow(_queries(sample, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+        real |= {r.cid: r.links for r in truth.collect()}  # at most AUDIT rows
+        if size >= min(n, AUDIT) or sum(0 < x <= few for x in real.values()) >= LINKED:
+            return real
+        size = min(size * 4, AUDIT)
+
+
+def recall(real: dict[int, int], got: dict[int, int], few: int) -> float:
+    """The mean share of a linked class's links that was found: of classes with few or with more links, the lower one."""
+    found = [(x, min(got.get(c, 0), x) / x) for c, x in real.items() if x]
+    kinds = [[r for x, r in found if x <= few], [r for x, r in found if x > few]]
+    return min((sum(r) / len(r) for r in kinds if r), default=1.0)
+
+
+def enough_trees(bits: int, threshold: float, goal: float) -> int:
+    """Trees of which one at least has both ends of a link, at the threshold, in one leaf with the probability goal."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return int(np.ceil(np.log(1 - goal) / np.log1p(-np.clip(together, 1e-9, 1 - 1e-9))))
+
+
+def _dealt(members: DataFrame, packs: int, low: int = 0, high: int | None = None) -> DataFrame:
+    """(cid, comp, copies, task, side) of the pairs of tiles of each component of members (cid, comp, copies), first tiles from low to high."""
+    size = members.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.count("*").alias("size"))
+    firsts = F.sequence(F.lit(low).cast("long"), F.col("tiles") - 1 if high is None else F.least(F.col("tiles") - 1, F.lit(high - 1).cast("long")))
+    pairs = size.select("comp", "size", "tiles", F.explode(firsts).alias("a")).select("comp", "tiles", "a", F.explode(F.sequence(F.col("a"), F.col("tiles") - 1)).alias("b"))
+    task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("string")).otherwise(F.concat_ws("-", "comp", "a", "b"))
+    sides = pairs.select("comp", "a", "b", task.alias("task")).select("comp", "task", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("salt"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("salt"), F.lit(0).alias("side")), F.struct(F.col("b").alias("salt"), F.lit(1).alias("side"))))).alias("x")).select("comp", "task", "x.salt", "x.side")
+    return members.join(size, "comp").withColumn("salt", F.pmod(F.xxhash64("cid"), "tiles")).join(sides, ["comp", "salt"]).select("cid", "comp", "copies", "task", "side")
+
+
+def all_links(classes: DataFrame, n: int, threshold: float, packs: int) -> DataFrame:
+    """Edges (src, dst) that join what the links of all classes join: every pair of tiles, in passes of bounded disk."""
+    whole, edges = classes.select("cid", "copies", F.lit(0).cast("long").alias("comp")), None
+    tiles = -(-n // TILE)
+    step = max(1, PASS_ROWS // (n + TILE * tiles))
+    for low in range(0, tiles, step):
+        dealt = _dealt(whole, packs, low, low + step)
+        found = dealt.join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_tile_chains(threshold), "src long, dst long")
+        both = cut(contracted(found if edges is None else found.unionByName(edges)), "vectors")
+        if edges is not None:
+            release(edges)
+        edges = both
+    return edges
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, trees: int | None = None, rounds: int = 2, goal: float = 0.97, attempts: int = 3, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...).
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of
     different lengths never link.  Equal rows are separate vectors; rows with one vec_id too.  Components are
-    named by their smallest vec_id.  Extra columns are ignored; an empty table gives an empty result.
+    named by their smallest vec_id.  Trees, if not given, grow with the table until a pair at the threshold meets in a
+    leaf with the probability goal (or comparing all would cost no more).  A recall below the goal is never returned:
+    after the last attempt all classes are compared with all, which costs the square of the table.  Extra columns are ignored; an empty table gives an empty result.
     """
     spark = prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
@@ -213,10 +295,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
     n = classes.count()
     parts = parallelism(spark)
     bits = int(np.clip(np.ceil(np.log2(max(n, 2) / 100)), 1, 40))
-    sample_rows = classes.orderBy(F.xxhash64("cid"), "cid").limit(AUDIT).collect()  # at most AUDIT vectors
-    sample = spark.sparkContext.broadcast(([r.cid for r in sample_rows], [m[0] for r in sample_rows for _, m in _unit(pa.array([r.embedding], pa.list_(pa.float32())))]))
-    truth = classes.repartition(parts).mapInArrow(_queries(sample, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
-    real = {r.cid: r.links for r in truth.collect()}  # at most AUDIT rows
+    trees = trees or max(4, min(enough_trees(bits, threshold, goal), n // LEAF))
+    real = audited(classes, n, threshold, k)
 
     edge = "u long, v long, sim double, chain boolean"
     near = Window.partitionBy("u", "chain").orderBy(F.desc("sim"), "v")
@@ -224,13 +304,24 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
     def shortened(e: DataFrame) -> DataFrame:
         return e.withColumn("rank", F.row_number().over(near)).where(F.col("chain") | (F.col("rank") <= k) | ((F.col("sim") >= threshold) & (F.col("rank") <= 4 * k)))
 
+    packs = max(parts, n // 2000)
+
+    def settled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members (cid, rep, copies, comp) of the components of edges, and (cid, links), counted inside them."""
+        comps = components(edges)
+        members = cut(classes.select("cid", "rep", "copies").join(comps, classes["cid"] == comps["id"]).select("cid", "rep", "copies", F.col("component_id").alias("comp")), "vectors")
+        counted = _dealt(members, packs).join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_count_links(threshold), "cid long, links long")
+        return members, cut(counted.groupBy("cid").agg(F.sum("links").alias("links")), "vectors")
+
+    def found(links: DataFrame) -> float:
+        return recall(real, {r.cid: r.links for r in links.where(F.col("cid").isin(list(real))).collect()} if real else {}, k)  # at most AUDIT rows
+
     graph = None
     for attempt in range(attempts):
         codes = cut(classes.mapInArrow(_codes(trees, bits, seed + attempt), "cid long, tree int, code long"), "vectors")
         full = codes.groupBy("tree", "code").count().where(F.col("count") > 1).select("tree", "code", F.ceil(F.col("count") / LEAF).alias("salts"))
         leaves = codes.join(full, ["tree", "code"]).select("cid", F.xxhash64("tree", "code", F.pmod(F.xxhash64("cid", "tree"), "salts")).alias("leaf"))
-        packs = max(parts, n * trees // 5000)
-        first = leaves.join(classes.select("cid", "embedding"), "cid").withColumn("pack", F.pmod("leaf", F.lit(packs))).groupBy("pack").applyInArrow(_leaf(k, threshold), edge).withColumn("fresh", F.lit(True))
+        first = leaves.join(classes.select("cid", "embedding"), "cid").withColumn("pack", F.pmod("leaf", F.lit(max(parts, n * trees // 5000)))).groupBy("pack").applyInArrow(_leaf(k, threshold), edge).withColumn("fresh", F.lit(True))
         if graph is not None:
             first = first.unionByName(graph.select("u", "v", "sim", "chain", "fresh"))
         merged = first.groupBy("u", "v", "chain").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
@@ -253,19 +344,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
             graph = nxt
             if not graph.where("fresh and not chain").limit(1).count():
                 break
-        comps = components(graph.where(F.col("chain") | (F.col("sim") >= threshold)).select(F.col("u").alias("src"), F.col("v").alias("dst")))
-        members = cut(classes.select("cid", "rep", "copies").join(comps, classes["cid"] == comps["id"]).select("cid", "rep", "copies", F.col("component_id").alias("comp")), "vectors")
-        size = members.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.count("*").alias("size"))
-        packs = max(parts, n // 2000)
-        pairs = size.select("comp", "size", "tiles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("a")).select("comp", "tiles", "a", F.explode(F.sequence(F.col("a"), F.col("tiles") - 1)).alias("b"))
-        task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("string")).otherwise(F.concat_ws("-", "comp", "a", "b"))
-        sides = pairs.select("comp", "a", "b", task.alias("task")).select("comp", "task", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("salt"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("salt"), F.lit(0).alias("side")), F.struct(F.col("b").alias("salt"), F.lit(1).alias("side"))))).alias("x")).select("comp", "task", "x.salt", "x.side")
-        dealt = members.join(size, "comp").withColumn("salt", F.pmod(F.xxhash64("cid"), "tiles")).join(sides, ["comp", "salt"]).select("cid", "comp", "copies", "task", "side")
-        counted = dealt.join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_count_links(threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
-        links = cut(counted, "vectors")
-        got = {r.cid: r.links for r in links.where(F.col("cid").isin(list(real))).collect()} if real else {}  # at most AUDIT rows
-        if sum(min(got.get(c, 0), x) for c, x in real.items()) >= goal * sum(real.values()):
+        members, links = settled(graph.where(F.col("chain") | (F.col("sim") >= threshold)).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+        if found(links) >= goal:
             break
+    else:
+        members, links = settled(all_links(classes, n, threshold, packs))
     low = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
     known = classes.select("cid", "embedding", "copies", "rep").join(links, "cid", "left").join(members.select("cid", "comp"), "cid", "left").join(low, "comp", "left")
     known = known.select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))

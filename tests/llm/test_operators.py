@@ -16,7 +16,7 @@ from tempora.llm import queries
 from tempora.llm.chat_windows import chat_windows, read_back, read_turns
 from tempora.llm.language_id import identify_languages, predict, train
 from tempora.llm.ngram_jaccard import jaccard_components
-from tempora.llm.nn_descent import near_duplicate_vectors
+from tempora.llm.nn_descent import near_duplicate_vectors, recall
 from tempora.llm.packing import pack_documents
 from tempora.llm.page_differencing import extract_main_text
 from tempora.llm.string_tiling import leaked_items
@@ -136,6 +136,23 @@ def test_near_vectors_of_two_saturated_groups(spark):
     assert {got[i].component_id for i in range(400)} == {0}
 
 
+def test_near_vectors_of_lost_pairs(spark):
+    assert recall({1: 2000, 2: 2000, 3: 1, 4: 1}, {1: 2000, 2: 2000}, 10) == 0  # a large group does not outweigh pairs
+    assert recall({1: 2, 2: 0}, {1: 1}, 10) == 0.5 and recall({}, {}, 10) == 1
+    rng = np.random.default_rng(6)
+    one = rng.standard_normal((1200, 48))
+    side = rng.standard_normal((1200, 48))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    side -= (side * one).sum(1, keepdims=True) * one
+    m = np.concatenate([one, 0.901 * one + (1 - 0.901**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)])
+    m = np.concatenate([m, one[:1] + 0.002 * rng.standard_normal((300, 48))]).astype(np.float32)
+    x = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    want = ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(frame, trees=1, rounds=0, attempts=1).collect()}
+    assert [got[i] for i in range(len(m))] == want
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 def expected_chat(turns):
     h, loss = hashlib.sha256(), "".join(t or "" for r, t in turns if r == "assistant")
