@@ -4,9 +4,12 @@
     set aside (menus, footers, forms, comments and the like).
 2.  Pages are dealt in ranges of (host, path, page_id), by cut points from a bounded sample of the URLs; the ranges
     only lay out the work, and a host of any size spreads over as many of them as it needs.
-3.  Within a range each page is paired with the neighbour whose path shares the longest beginning; their blocks are
-    aligned by a longest common subsequence.  A shared block is deleted unless it is main text by its place;
-    one that is mostly links goes even there.  Pages that share most of their text are copies, and keep it.
+3.  Within a range each page is paired with the page whose path shares the longest beginning and that is no copy; their
+    blocks are aligned by a longest common subsequence.  A shared block is deleted unless it is main text by its place;
+    one that is mostly links goes even there.
+4.  Pages of one text are copies, however many lie between a page and the next other text.  A page that shares most of
+    its body may be an edited copy or a short article among long menus: further pages are tried, and only where no page
+    shares less, what the page shares with two others goes, if either leaves it words of its own that the other lacks.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -26,6 +30,10 @@ from tempora.llm.html_text import Block, blocks
 
 #: URLs that lay out the ranges.
 SAMPLE = 20_000
+#: Different texts of the host that a page is held against on each side, nearest first.
+REACH = 4
+#: Words that a page must keep to count as different from one with which it shares most of its body.
+OWN_WORDS = 3
 
 
 def place(url: str | None) -> tuple[str, str]:
@@ -80,18 +88,33 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[Block], near: list[Block] | None) -> str:
-    """The main text of a page, given the blocks of the nearest page."""
+def main_text(own: list[Block], near: list[list[Block]]) -> str:
+    """The main text of a page, given the blocks of other pages of its host, the nearest first."""
     placed = any(b.main and not b.aside for b in own)
     kept = [not b.aside and (b.main or not placed) for b in own]
-    if near:
-        shared = shared_lines([b.text for b in own], [b.text for b in near])
-        body = [i for i, k in enumerate(kept) if k]
-        copied = sum(len(own[i].text) for i in body if i in shared)
-        if 2 * copied <= sum(len(own[i].text) for i in body) or len(shared) < 2:
-            for i in shared:
-                if not own[i].main or 2 * own[i].linked > len(own[i].text):
-                    kept[i] = False
+    body = [i for i, k in enumerate(kept) if k]
+    texts = [b.text for b in own]
+    whole = sum(len(texts[i]) for i in body)
+    mostly: list[tuple[int, set[int]]] = []
+    shared: set[int] = set()
+    for other in near:
+        if texts == (theirs := [b.text for b in other]):
+            continue
+        found = shared_lines(texts, theirs)
+        copied = sum(len(texts[i]) for i in body if i in found)
+        if 2 * copied <= whole or len(found) < 2:
+            shared = found
+            break
+        rest = " ".join(texts[i] for i in body if i not in found)
+        if len(rest.split()) >= OWN_WORDS:
+            mostly.append((copied, found))
+    else:
+        if len(mostly) > 1:
+            mostly.sort(key=lambda x: x[0])
+            shared = mostly[0][1] & mostly[1][1]
+    for i in shared:
+        if not own[i].main or 2 * own[i].linked > len(own[i].text):
+            kept[i] = False
     return " ".join(b.text for b, k in zip(own, kept, strict=True) if k)
 
 
@@ -111,16 +134,22 @@ def _parsed(cuts: list[tuple[str, str, int]]):
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order; holds three pages at a time and one batch of results."""
+    """Rows in order; holds REACH different texts on each side, the ids of copies between them, and one batch of results."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     out: list[tuple] = []
-    before = now = None
-
-    def done(previous, page, following) -> None:
-        near = [x for x in (previous, following) if x is not None and x["part"] == page["part"] and x["host"] == page["host"] and page["host"]]
-        best = max(near, key=lambda x: common_beginning(x["path"], page["path"])) if near else None
-        text = main_text(page["blocks"], best and best["blocks"])
-        out.append((page["page_id"], page["url"], text, len(text)))
+    group = None
+    #: Texts of the host in order, (first path, last path, blocks, packed, waiting pages); copies in a row are one.
+    runs: deque[dict] = deque()
+    at = 0  # the first run with waiting pages
+
+    def done(i: int) -> None:
+        others = [runs[j] for j in range(max(0, i - REACH), min(len(runs), i + REACH + 1)) if j != i and group[1]]
+        for page in runs[i]["pages"]:
+            # sorted() is stable: of equal paths, the nearer run comes first
+            near = sorted(sorted(others, key=lambda x: abs(x["n"] - runs[i]["n"])), key=lambda x: -common_beginning(x["path"], page[2]))
+            text = main_text(runs[i]["blocks"], [x["blocks"] for x in near])
+            out.append((page[0], page[1], text, len(text)))
+        runs[i]["pages"] = []
 
     def batch_of() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
@@ -128,15 +157,27 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             page = {c: batch.column(c)[i].as_py() for c in ("part", "host", "path", "page_id", "url", "packed")}
-            page["blocks"] = [Block(*b) for b in json.loads(zlib.decompress(page.pop("packed")))]
-            if now is not None:
-                done(before, now, page)
-            before, now = now, page
+            if group != (page["part"], page["host"]):
+                for j in range(at, len(runs)):
+                    done(j)
+                runs.clear()
+                at, group = 0, (page["part"], page["host"])
+            if not runs or runs[-1]["packed"] != page["packed"]:
+                found = [Block(*b) for b in json.loads(zlib.decompress(page["packed"]))]
+                runs.append({"n": runs[-1]["n"] + 1 if runs else 0, "path": page["path"], "blocks": found, "packed": page["packed"], "pages": []})
+                if len(runs) - at > REACH + 1:
+                    done(at)
+                    at += 1
+                if at > REACH:
+                    runs.popleft()
+                    at -= 1
+            runs[-1]["pages"].append((page["page_id"], page["url"], page["path"]))
+            runs[-1]["path"] = page["path"]
             if len(out) >= 1000:
                 yield batch_of()
                 out.clear()
-    if now is not None:
-        done(before, now, None)
+    for j in range(at, len(runs)):
+        done(j)
     if out:
         yield batch_of()
 

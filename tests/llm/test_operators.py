@@ -196,6 +196,23 @@ def test_main_text_without_what_pages_share(spark):
     assert extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_main_text_of_short_articles_and_copies(spark):
+    page = "<body><div>Home and shop and contact and help and a long menu line</div><div>This site needs your kind attention to this notice</div>{}<div>All rights reserved by the owners of this site</div></body>"
+    story = "<p>The {} story</p>"
+    rows = [(i, f"https://short.org/a/{i}", page.replace("{}", story.replace("{}", w))) for i, w in enumerate(["first", "second", "third", "fourth"])]
+    long = "<p>Copied " + "words of a long article " * 20 + "</p>"
+    rows += [(10 + i, f"https://copies.org/b/{i:03}", page.replace("{}", long)) for i in range(20)]
+    rows += [(50, "https://copies.org/z", page.replace("{}", "<p>Another " + "text of some length " * 20 + "</p>"))]
+    edited = "<p>Article " + "that was edited twice " * 20 + "</p><p>{} edit of a few words</p>"
+    rows += [(60 + i, f"https://edits.org/{i}", page.replace("{}", edited.replace("{}", w))) for i, w in enumerate(["One", "Two"])]
+    got = {}
+    for some in (rows[:4], rows[4:25], rows[25:]):  # few enough for one range each
+        got |= {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(some, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"The {w} story" for w in ["first", "second", "third", "fourth"]]
+    assert all(got[10 + i].startswith("Copied") and got[10 + i].endswith("article") for i in range(20))
+    assert all("that was edited twice" in got[60 + i] for i in range(2))
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 def sets_of(text, k):
     w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if x]
