@@ -37,7 +37,7 @@ class Block(NamedTuple):
     linked: int
 
 
-def _attributes(raw: str) -> dict[str, str]:
+def attributes(raw: str) -> dict[str, str]:
     out = {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] for m in ATTRIBUTE.finditer(raw)}
     if re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", raw), re.I):
         out["hidden"] = ""
@@ -50,7 +50,7 @@ def set_aside(name: str, raw: str, in_main: bool) -> bool:
         return True
     if not raw or name in ("html", "body", "main"):
         return False
-    at = _attributes(raw)
+    at = attributes(raw)
     if "hidden" in at or at.get("aria-hidden") == "true" or HIDDEN.search(at.get("style", "")) or at.get("role", "").lower() in ASIDE_ROLES:
         return True
     for label in f"{at.get('class', '')} {at.get('id', '')}".split():

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.common import prepare
-from tempora.llm.html_text import blocks
+from tempora.llm.html_text import MARKUP, RAW, attributes, blocks
 
 FIELDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_payload_digest string, header string, content string"
 KINDS = [("page_id", pa.int64()), *((n, pa.string()) for n in "record_type record_id refers_to target_uri date content_type".split()), ("content_length", pa.int64()), *((n, pa.string()) for n in "block_digest source_payload_digest header content".split())]
@@ -38,9 +38,28 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(10).join(parts))}>"
 
 
-def charset(content_type: str, page: str) -> str:
-    m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", content_type, re.I) or re.search(r"<meta[^>]{0,200}charset\s*=\s*[\"']?([\w.:-]+)", page[:4096], re.I)
-    return m[1].lower() if m else ""
+def declared(page: str, with_charset: bool = True) -> tuple[str, str]:
+    """(language, charset) of the first html tag and of the first meta tag that names a charset, wherever they are."""
+    lang = found = None
+    at = 0
+    while (m := MARKUP.search(page, at)) and (lang is None or with_charset and found is None):
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if m[1] or m[4] or not name:
+            continue
+        raw = (m[3] if m[2] else m[6]) or ""
+        if name == "html" and lang is None:
+            of = attributes(raw)
+            lang = of.get("lang") or of.get("xml:lang") or ""
+        elif name == "meta" and found is None:
+            of = attributes(raw)
+            named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", of.get("content", ""), re.I)
+            found = of.get("charset") or (named[1] if named else None)
+        elif name in RAW and not raw.rstrip().endswith("/"):
+            end = re.compile(rf"</{re.escape(name)}\s*/?\s*>", re.I).search(page, at)
+            at = end.end() if end else at
+    lang = re.match(r"\s*([\w-]+)", lang or "")
+    return lang[1] if lang else "", (found or "").strip().lower()
 
 
 def header_of(fields: list[tuple[str, str]]) -> str:
@@ -57,11 +76,13 @@ def derive(source: dict) -> list[tuple]:
     body = payload.encode()
     of_payload = digest(body)
     text = "\n".join(b.text for b in blocks(payload))
-    lang = re.search(r"<html[^>]{0,200}\blang\s*=\s*[\"']?([\w-]+)", payload[:4096], re.I)
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
+    lang, charset = declared(payload, not named)
+    charset = named[1].lower() if named else charset
     title = re.search(r"<title[^>]*>(.*?)</title", payload, re.I | re.S)
     facts = [("source-record-id", refers), ("http-status", "" if source["http_status"] is None else str(source["http_status"]))]
     facts += [(f"http-header-{k.lower()}", v) for k, v in http]
-    facts += [("charset", charset(kind, payload)), ("language", lang[1] if lang else ""), ("title", clean(title[1]) if title else ""), ("source-payload-length", str(len(body))), ("source-payload-digest", of_payload), ("conversion-record-id", record_id("conversion", refers)), ("conversion-payload-digest", digest(text.encode()))]
+    facts += [("charset", charset), ("language", lang), ("title", clean(title[1]) if title else ""), ("source-payload-length", str(len(body))), ("source-payload-digest", of_payload), ("conversion-record-id", record_id("conversion", refers)), ("conversion-payload-digest", digest(text.encode()))]
     made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts if v)), ("conversion", "text/plain; charset=utf-8", text)]
     rows = []
     for what, content_type, content in made:

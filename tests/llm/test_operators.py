@@ -100,6 +100,16 @@ def test_warc_of_odd_rows(spark):
     assert derivatives(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_warc_language_and_charset_anywhere(spark):
+    kind = "page_id long, record_id string, target_uri string, date string, http_status int, http_headers string, payload string"
+    far = "<!-- <html lang='xx'> " + "x" * 5000 + " --><html " + " ".join(f"data-n{i}='a>b'" for i in range(60)) + " lang='pt-BR'><script>'<meta charset=bad>'</script><meta name='a' content='b'><meta http-equiv='Content-Type' content='text/html; charset=ISO-8859-1'>"
+    rows = [(1, "<urn:a>", "http://h/", "2024", 200, "A: b", far), (2, "<urn:b>", "http://h/", "2024", 200, "Content-Type: text/html; charset=UTF-8", far), (3, "<urn:c>", "http://h/", "2024", 200, None, "<p>lang")]
+    got = {r.page_id: r.content for r in derivatives(spark.createDataFrame(rows, kind)).collect() if r.record_type == "metadata"}
+    assert "language: pt-BR\r\n" in got[1] and "charset: iso-8859-1\r\n" in got[1]
+    assert "language: pt-BR\r\n" in got[2] and "charset: utf-8\r\n" in got[2]
+    assert "language" not in got[3] and "charset" not in got[3]
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 def test_near_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(1)
