@@ -14,19 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Rows of whole texts that one Arrow batch may hold; batches bound a worker's memory.
-BATCH_ROWS = 1000
+#: Bytes of text, and rows, that a worker works on at a time, whatever the length of the Arrow batches Spark hands it.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep Arrow batches of texts small."""
+    """Let Python workers import this package."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of at most SLICE_BYTES of the column (or one row) and SLICE_ROWS rows; nothing is copied."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = min(max(at + 1, int(np.searchsorted(upto, before + SLICE_BYTES, "right"))), at + SLICE_ROWS)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -191,4 +202,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     ids = now.select(F.col("src").alias("id"), F.col("dst").alias("component_id"))
-    return ids.unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component_id")).distinct())
+    out = ids.unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component_id")).distinct())
+    out._cut_path = now._cut_path  # release() deletes what it reads
+    return out

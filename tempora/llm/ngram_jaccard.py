@@ -9,24 +9,26 @@
 3.  Pairs of documents that share a rare entry are counted.  Through entries that more than eight share,
     only documents with at least c such entries are linked, each to one head for its entry and band.
     The components of both hold every link.
-4.  Each component is cut into tiles of one size band and bounded weight.  Pairs of tiles of equal
-    or neighbouring bands are compared: bitmaps bound the overlap from above by
+4.  Each component is cut into tiles of one size band and bounded weight.  A third scan makes the sorted arrays of
+    its sets only (a Bloom filter of at most BLOOM_BITS bits keeps most other documents from the shuffle).  Pairs of tiles of
+    equal or neighbouring bands are compared: bitmaps bound the overlap from above by
     ``(|A| + |B| - popcount(a xor b)) / 2``, then sorted arrays are intersected exactly.  Documents
     that are already joined inside a tile pair are not compared again.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components, cut, mix64, numbered_words, parallelism, prepare
+from tempora.llm.common import components, contracted, cut, mix64, numbered_words, parallelism, prepare, release, slices
 
 SKETCH_BITS = 20
 BLOCK = 4096
@@ -34,6 +36,8 @@ BLOCK = 4096
 TILE_DOCS, TILE_SHINGLES = 4096, 3_000_000
 #: Documents up to which an entry's pairs are counted.
 CROWD = 8
+#: Most bits of the filter of sets to compare (16 MB); more sets than a tenth of that only let more others pass.
+BLOOM_BITS = 1 << 27
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +45,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -86,39 +90,47 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    fps = [fingerprint(s) for s in sets]
+    return np.array([f & 0xFFFFFFFFFFFFFFFF for f in fps], np.uint64), np.array([f >> 64 for f in fps], np.uint64)
+
+
 def _survey(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("block", pa.int32()), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, size = WordHashes(), 1 << SKETCH_BITS
-        sketch = np.zeros(2 * size, np.int32)  # of shingles, and of words
-        for batch in batches:
-            n, fps, found, spoken = [], [], [], []
-            for w in hashed_words(batch.column("text"), memo):
-                s = distinct(rolled(w, k))
-                found.append(s)
-                spoken.append(w)
-                n.append(len(s))
-                fps.append(fingerprint(s))
+        sketch = np.zeros(2 * size, np.int64)  # of shingles, and of words
+        for batch in slices(batches):
+            spoken = hashed_words(batch.column("text"), memo)
+            found = [distinct(rolled(w, k)) for w in spoken]
             for half, every in ((0, found), (size, spoken)):
                 if every:
-                    sketch[half : half + size] += np.bincount(counter_of(np.concatenate(every)), minlength=size).astype(np.int32)
+                    np.add.at(sketch, half + counter_of(np.concatenate(every)), 1)
+            low, high = _fingerprints(found)
             m = batch.num_rows
-            low = np.array([f & 0xFFFFFFFFFFFFFFFF for f in fps], np.uint64)
-            high = np.array([f >> 64 for f in fps], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), _long(low), _long(high), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), _long(low), _long(high), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         blocks = [b for b in range(len(sketch) // BLOCK) if sketch[b * BLOCK : (b + 1) * BLOCK].any()]
         none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(blocks, pa.int32()), pa.array([sketch[b * BLOCK : (b + 1) * BLOCK] for b in blocks], pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(blocks, pa.int32()), pa.array([_packed(sketch[b * BLOCK : (b + 1) * BLOCK]) for b in blocks], pa.binary())], schema=schema)
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """One block of counters, small: most are far below 2**64."""
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), "<i8")
+
+
 def _add_blocks(table: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.int64)
-    for x in table.column("counts").chunks:
-        total += x.flatten().to_numpy(zero_copy_only=False).reshape(-1, BLOCK).sum(0)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total], pa.list_(pa.int64()))})
+    for x in table.column("counts"):
+        total += _unpacked(x.as_py())
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
 
 
 def _levels(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +138,12 @@ def _levels(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     2**20 bytes each, whatever the corpus.
     """
-    kind = "block int, counts array<bigint>"
+    kind = "block int, counts binary"
     parts = sketch.groupBy("block", "salt").applyInArrow(_add_blocks, kind)
     rows = parts.groupBy("block").applyInArrow(_add_blocks, kind).collect()  # at most 512 rows of 4096 counters
     total = np.zeros(2 << SKETCH_BITS, np.float64)
     for r in rows:
-        total[r.block * BLOCK : (r.block + 1) * BLOCK] = r.counts
+        total[r.block * BLOCK : (r.block + 1) * BLOCK] = _unpacked(bytes(r.counts))
     found, spoken = total[: 1 << SKETCH_BITS], total[1 << SKETCH_BITS :]
     mean = max(found.mean(), 1.0)
     above = np.floor(2 * np.log2(np.maximum(found, mean) / mean))
@@ -175,7 +187,7 @@ def _prefixes(k: int, percent: int, levels):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, level = WordHashes(), levels.value
-        for batch in batches:
+        for batch in slices(batches):
             seen: set[int] = set()
             ids, hashes, sizes, needs = [], [], [], []
             for doc, w in zip(batch.column("doc_id").to_pylist(), hashed_words(batch.column("text"), memo), strict=True):
@@ -210,7 +222,7 @@ def _prefixes(k: int, percent: int, levels):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by (hash, band, id): for entries of at most CROWD documents all pairs (kind 0: a, b = documents,
+    """From entries, those not yet known to be large sorted by (hash, band, id): for entries of at most CROWD documents all pairs (kind 0: a, b = documents,
     c = entries in common, d = need); for larger ones their rows (kind 1: a = hash, b = document, c = band, d = need).
     """
     held: list[np.ndarray] = []
@@ -241,9 +253,14 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(0, x[at, 0], x[at, 1], np.diff(np.append(at, len(x))), x[at, 2])
 
     for batch in batches:
-        if not batch.num_rows:
+        every = np.stack([pc.fill_null(batch.column(c), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hash", "band", "id", "need", "crowd")])
+        known = every[4] == 1  # known to be of a large entry, whose other rows lie elsewhere
+        if known.any():
+            h, b, i, need, _ = every[:, known]
+            yield rows(1, h, i, b, need)
+        if known.all():
             continue
-        held.append(np.stack([pc.fill_null(batch.column(c), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hash", "band", "id", "need", "crowd")]))
+        held.append(every[:, ~known])
         if sum(x.shape[1] for x in held) < 300_000:
             continue
         every = np.concatenate(held, 1)
@@ -271,11 +288,11 @@ def _candidates(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
     entry and band.
     """
     spark = docs.sparkSession
-    entries = cut(docs.mapInArrow(_prefixes(k, percent, levels), "hash long, band int, id long, need int, crowd int"), "jaccard")
-    met = entries.where("crowd <> 1").repartition(parallelism(spark), "hash").sortWithinPartitions("hash", "band", "id").mapInArrow(_met, "kind int, a long, b long, c long, d long")
-    met = cut(met, "jaccard")
+    entries = docs.mapInArrow(_prefixes(k, percent, levels), "hash long, band int, id long, need int, crowd int")
+    # what a batch already knows to be large needs no other rows of its entry: it is dealt evenly
+    dealt = F.when(F.col("crowd") == 1, F.xxhash64("hash", "id")).otherwise(F.col("hash"))
+    met = cut(entries.repartition(parallelism(spark), dealt).sortWithinPartitions("hash", "band", "id").mapInArrow(_met, "kind int, a long, b long, c long, d long"), "jaccard")
     frequent = met.where("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("id"), F.col("c").cast("int").alias("band"), F.col("d").alias("need"))
-    frequent = frequent.unionByName(entries.where("crowd = 1").select("hash", "id", "band", F.col("need").cast("long").alias("need")))
     per_doc = cut(frequent.groupBy("id").agg(F.count("*").alias("n"), F.min("need").alias("need")), "jaccard")
     pairs = met.where("kind = 0").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("c").alias("common"), F.min("d").alias("need"))
     of = lambda end: per_doc.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
@@ -285,7 +302,11 @@ def _candidates(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
     heads = cut(crowded.groupBy("hash", "band").agg(F.min("id").alias("head")), "jaccard")
     members = crowded.join(heads, ["hash", "band"]).select(F.col("id").alias("src"), F.col("head").alias("dst"))
     above = heads.select("hash", (F.col("band") - 1).alias("band"), F.col("head").alias("src"))
-    return rare.select("src", "dst").unionByName(members.where("src <> dst")).unionByName(heads.join(above, ["hash", "band"]).select("src", F.col("head").alias("dst")))
+    found = rare.select("src", "dst").unionByName(members.where("src <> dst")).unionByName(heads.join(above, ["hash", "band"]).select("src", F.col("head").alias("dst")))
+    edges = cut(contracted(found), "jaccard")
+    for table in (met, per_doc, heads):
+        release(table)
+    return edges
 
 
 def _tile_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -323,25 +344,72 @@ def _tile_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perce
     return found
 
 
-def _compare(k: int, percent: int):
+def _key() -> Column:
+    return F.xxhash64("doc_id")
+
+
+def _bloom(members: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, filter) of the hashed ids of members: ten bits for each, two of them set, BLOOM_BITS at most."""
+    n = members.count()
+    bits = min(BLOOM_BITS, max(1 << 15, 1 << (10 * n).bit_length()))
+    # Spark's buckets and positions count from 1
+    at = members.select(F.explode(F.array(_key().bitwiseAND(bits - 1) + 1, F.shiftrightunsigned(_key(), 32).bitwiseAND(bits - 1) + 1)).alias("at"))
+    blocks = at.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")).collect()  # at most BLOOM_BITS bits
+    out = np.zeros(bits // 8, np.uint8)
+    for r in blocks:
+        out[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(bytes(r.bitmap), np.uint8)
+    return bits, out
+
+
+def in_bloom(key: np.ndarray, bits: int, known: np.ndarray) -> np.ndarray:
+    key = key.view(np.uint64)
+    ok = np.ones(len(key), bool)
+    for at in (key & np.uint64(bits - 1), (key >> np.uint64(32)) & np.uint64(bits - 1)):
+        ok &= ((known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    return ok
+
+
+def _sets(k: int, bloom):
+    """(fp_a, fp_b, doc_id, shingles) of the rows (doc_id, text, key) that pass the filter; repeated ones of a slice come once."""
+    schema = pa.schema([("fp_a", pa.int64()), ("fp_b", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (bits, known) = WordHashes(), bloom.value
+        passed = (b.filter(pa.array(in_bloom(b.column("key").to_numpy(), bits, known))) for b in batches)
+        for batch in slices(passed):
+            doc = batch.column("doc_id").to_numpy()
+            found = [distinct(rolled(w, k)) for w in hashed_words(batch.column("text"), memo)]
+            low, high = _fingerprints(found)
+            at = np.unique(np.stack([low, high, doc.view(np.uint64)], 1), axis=0, return_index=True)[1]
+            at = at[[len(found[i]) > 0 for i in at]]
+            yield pa.RecordBatch.from_arrays([_long(low[at]), _long(high[at]), pa.array(doc[at]), pa.array([found[i].view(np.int64) for i in at], pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        memo = WordHashes()
-        comp = table.column("comp").to_numpy()
-        ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
-        sets = [distinct(rolled(w, k)) for chunk in table.column("text").chunks for w in hashed_words(chunk, memo)]
-        order = np.lexsort((ids, comp))
+        table = table.combine_chunks()
+        comp, ids, side, low = (table.column(c).to_numpy() for c in ("comp", "doc_id", "side", "fp_a"))
+        lists = table.column("shingles").combine_chunks()
+        flat, starts = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(lists.offsets)
+        order = np.lexsort((side, ids, low, comp))
+        same = np.zeros(len(order), bool)  # rows that repeat a document come more than once
+        for x in (comp, ids, low, side):
+            same[1:] += x[order][1:] != x[order][:-1]
+        order = order[same | (np.arange(len(order)) == 0)]
         out: list[tuple[int, int]] = []
         cuts = np.flatnonzero(np.diff(comp[order])) + 1
         for rows in np.split(order, cuts):
             if len(rows) > 1:
-                out += _tile_links(ids[rows], side[rows], [sets[x] for x in rows], percent)
+                out += _tile_links(ids[rows], side[rows], [flat[starts[x] : starts[x + 1]] for x in rows], percent)
         return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "dst": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """(comp, doc_id, task, side): which comparison each document takes part in.
+    """(fp_a, fp_b, doc_id, comp, task, side): which comparisons each set takes part in.
 
     Components of one tile share tasks; larger ones get a task for each pair of tiles of equal or neighbouring bands.
     """
@@ -352,14 +420,14 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     per_band = m.groupBy("comp", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("w"))
     whole = per_band.groupBy("comp").agg(F.sum("docs").alias("docs"), F.sum("w").alias("w")).where("docs > 1").select("comp", weight.alias("load"))
     packs = max(parallelism(spark), int((whole.where("load <= 1").agg(F.sum("load")).first()[0] or 0) * 8))
-    small = m.join(whole.where("load <= 1").select("comp"), "comp").select("comp", "doc_id", F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs))).alias("task"), F.lit(0).alias("side"))
+    small = m.join(whole.where("load <= 1").select("comp"), "comp").select("fp_a", "fp_b", "doc_id", "comp", F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs))).alias("task"), F.lit(0).alias("side"))
     large = per_band.join(whole.where("load > 1").select("comp"), "comp").withColumn("tiles", F.ceil(weight * 1.2).cast("long")).select("comp", "band", "tiles")
     tile = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("comp", "band", "salt")
     a, b = tile.alias("a"), tile.select("comp", F.col("band").alias("band_b"), F.col("salt").alias("salt_b"))
     pairs = a.join(b, "comp").where("band_b = band and salt_b >= salt or band_b = band + 1").withColumn("task", F.concat_ws("-", F.lit("t"), "comp", "band", "salt", "band_b", "salt_b"))
     sides = pairs.select("comp", "band", "salt", "task", F.lit(0).alias("side")).unionByName(pairs.where("band_b <> band or salt_b <> salt").select("comp", F.col("band_b").alias("band"), F.col("salt_b").alias("salt"), "task", F.lit(1).alias("side")))
-    docs = m.join(large, ["comp", "band"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
-    return small.unionByName(docs.join(sides, ["comp", "band", "salt"]).select("comp", "doc_id", "task", "side"))
+    docs = m.join(large, ["comp", "band"]).withColumn("salt", F.pmod(F.xxhash64("fp_a", "fp_b"), F.col("tiles")))
+    return small.unionByName(docs.join(sides, ["comp", "band", "salt"]).select("fp_a", "fp_b", "doc_id", "comp", "task", "side"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -367,19 +435,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles, which is
     exact but for 64-bit hashes.  Null and empty texts, and texts of white space, have no shingles and link with
-    nothing.  Rows with one doc_id are one node; a null doc_id links with nothing and is its own component (null).
-    Extra columns are ignored; an empty table gives an empty result.
+    nothing.  Texts of any length are read whole.  Rows with one doc_id are one node that has the links of all its texts; a
+    null doc_id links with nothing and is its own component (null).  Ties do not arise: a component is named by its smallest
+    doc_id.  Extra columns are ignored; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = cut(docs.mapInArrow(_survey(k), "doc_id long, n long, fp_a long, fp_b long, block int, counts array<int>"), "jaccard")
+    survey = cut(docs.mapInArrow(_survey(k), "doc_id long, n long, fp_a long, fp_b long, block int, counts binary"), "jaccard")
     sets = survey.where("block is null").select("doc_id", "n", "fp_a", "fp_b")
     levels = spark.sparkContext.broadcast(_levels(survey.where("block is not null").select("block", "counts", F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt"))))
-    candidates = components(_candidates(docs, k, percent, levels))
+    edges = _candidates(docs, k, percent, levels)
+    candidates = components(edges)
+    release(edges)
+    # a class holds the rows of one set; it goes by its fingerprint, as classes may share their smallest doc_id
     classes = sets.where("n > 0 and doc_id is not null").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    members = cut(classes.join(candidates, classes["fp_a"] == candidates["id"]).select(F.col("component_id").alias("comp"), F.col("rep").alias("doc_id"), "n").dropDuplicates(["doc_id"]), "jaccard")
-    tiles = _tiles(members, percent)
-    found = docs.join(tiles, "doc_id").groupBy("task").applyInArrow(_compare(k, percent), "src long, dst long")
-    copies = sets.where("n > 0 and doc_id is not null").join(classes.where("copies > 1"), ["fp_a", "fp_b"]).where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
+    members = cut(classes.join(candidates, classes["fp_a"] == candidates["id"]).select(F.col("component_id").alias("comp"), "fp_a", "fp_b", F.col("rep").alias("doc_id"), "n"), "jaccard")
+    release(candidates)
+    arrays = docs.where("doc_id is not null").withColumn("key", _key()).mapInArrow(_sets(k, spark.sparkContext.broadcast(_bloom(members))), "fp_a long, fp_b long, doc_id long, shingles array<long>")
+    found = arrays.join(_tiles(members, percent), ["fp_a", "fp_b", "doc_id"]).select("task", "comp", "side", "fp_a", "doc_id", "shingles").groupBy("task").applyInArrow(_compare(percent), "src long, dst long")
+    copies = sets.where("n > 0 and doc_id is not null").join(classes.where("copies > 1").select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"]).where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
     final = components(found.unionByName(copies))
+    release(members)
     return sets.join(final, sets["doc_id"] == final["id"], "left").select(sets["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component_id", sets["doc_id"]).alias("component_id"))

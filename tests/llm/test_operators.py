@@ -260,6 +260,15 @@ def test_jaccard_of_odd_rows(spark, odd, duck, data):
     assert sorted(tuple(r) for r in queries.op6_ngram_jaccard(spark, data).collect()) == want
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    rng = np.random.default_rng(8)
+    a, b = ([f"{side}{x}" for x in rng.integers(0, 900, 120)] for side in "ab")
+    near = lambda w: " ".join([*w[:60], "changed", *w[61:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (7, near(b)), (8, " ".join(a + b)), (None, near(a))]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(0, 0), (5, 5), (5, 5), (6, 5), (7, 5), (7, 5), (8, 8)]
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 def test_languages_of_held_out_documents(spark, data, documents):
     lang = {i: x for i, _, x in documents}
