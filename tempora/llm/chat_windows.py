@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import cut, parallelism, prepare
+from tempora.llm.common import cut, parallelism, prepare, slices
 from tempora.llm.token_counts import counter
 
 BLOCK = 256
@@ -60,7 +60,7 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             role, text = ([x or "" for x in batch.column(c).to_pylist()] for c in ("role", "text"))
             n = count([format_turn(r, t)[0] for r, t in zip(role, text, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64())], names=["conv_id", "turn", "role", "text", "tokens"])

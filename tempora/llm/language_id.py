@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import mix64, prepare
+from tempora.llm.common import mix64, prepare, slices
 
 BUCKETS, DIMENSION, LONGEST = 1 << 18, 12, 4
-#: Labelled rows for each language at most, and the longest text (bytes) that is used to learn from.
-SAMPLE, LONGEST_TEXT = 1500, 50_000
+#: Labelled rows to learn from for each language; of a longer text than LONGEST_TEXT characters, that many from a place chosen by its hash.
+SAMPLE, LONGEST_TEXT = 1500, 20_000
+#: Languages to learn at most, those with the most rows.
+MOST_LANGUAGES = 400
 UNKNOWN = "und"
 
 
@@ -133,20 +135,29 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from docs (doc_id, text, lang): for each language at most about ``sample`` rows, chosen by a hash of doc_id,
-    none of the held-out fold (crc32 of doc_id mod 4 is 2)."""
-    usable = docs.where((fold_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST_TEXT))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / n) * (1 << 20)))) for lang, n in counts.items()]) if counts else F.lit(0)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text", "lang").limit(2 * sample * max(len(counts), 1))
-    return fit([(r["text"], r["lang"]) for r in chosen.collect()])
+def train(docs: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
+    """Learn from docs (doc_id, text, lang), none of the held-out fold (crc32 of doc_id mod 4 is 2).
+
+    The bounds of the sample: the ``most_languages`` languages with the most rows, and about ``sample`` rows of each, chosen
+    by a hash of doc_id and text (copies under one id count once) and learned from in the order of that hash, so how files
+    and partitions lie changes nothing.  Of a text longer than LONGEST_TEXT characters a stretch of that length is learned.
+    """
+    usable = docs.where((fold_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & (F.col("text") != ""))
+    top = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not top:
+        return fit([])
+    share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], int(min(1.0, sample / r["n"]) * (1 << 40)))])
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    at = F.pmod(h, F.greatest(F.char_length("text") - LONGEST_TEXT + 1, F.lit(1))) + 1
+    chosen = usable.withColumn("_h", h).where(F.col("_h") < F.coalesce(share[F.col("lang")], F.lit(0))).select("_h", F.substr(F.col("text"), at.cast("int"), F.lit(LONGEST_TEXT)).alias("text"), "lang")
+    rows = chosen.dropDuplicates(["_h"]).collect()  # about sample rows of each of the languages
+    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["_h"], r["text"]))])
 
 
 def _predict(model, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = model.value
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, accepted = [], [], []
             for text in batch.column("text").to_pylist():
                 if not text or not any(map(str.isalpha, text)) or not m.languages:
@@ -166,8 +177,9 @@ def _predict(model, keep: tuple[str, ...]):
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep`` with lang_pred, score (0 to 1) and accepted, for docs (text, ...).
 
-    lang_pred is ``und`` with score 0, and rejected, where a text is null, empty or without letters.  Only the text is
-    read.  One narrow pass; repeated rows are kept; an empty table gives an empty result.
+    lang_pred is ``und`` with score 0, and rejected, where a text is null, empty or without letters; whole texts of any
+    length are read; of languages with equal scores the first by name wins.  Only the text is read.  One narrow pass;
+    repeated rows are kept; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     used = docs.select(*keep, *(["text"] if "text" not in keep else []))

@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import cut, numbered_words, parallelism, prepare, release
+from tempora.llm.common import cut, numbered_words, parallelism, prepare, release, slices
 
 CAPACITY, BLOCK, FULL = 4096, 6000, 0.998
 #: The pattern of word_bpe_49k.json, for chunks in which all letters are Latin.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks and words that a worker remembers; once full, they only serve.
-MOST_CHUNKS, MOST_WORDS = 700_000, 500_000
+MOST_CHUNKS, MOST_WORDS = 250_000, 150_000
 
 
 class ChunkIds:
@@ -121,10 +121,8 @@ def _pieces(path: str, end: int, capacity: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in names]
-            if not batch.num_rows:
-                continue
             for doc, found in zip(batch.column("doc_id").to_pylist(), c.encode_all(batch.column("text")), strict=True):
                 ids = found.tobytes() + tail
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):

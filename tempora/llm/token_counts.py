@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import prepare
+from tempora.llm.common import prepare, slices
 
 CHUNK, SPAN = 64, 2_000_000
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE, WHITE_LAST, WHITE, RESET = range(10)
@@ -116,7 +116,7 @@ def boundaries(kind: np.ndarray) -> np.ndarray:
 class Merger:
     """The transducer of the merges: count(bytes of a pre-token) is the number of its tokens."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list, most: int = 400_000):
+    def __init__(self, vocabulary: dict[str, int], merges: list, most: int = 100_000):
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in set(plain)]
         back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
@@ -151,7 +151,7 @@ class Merger:
         if not a:
             return True
         if (found := self.fits.get((a, b))) is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             found = self.fits[a, b] = self.encode(a + b) == [a, b]
         return found
@@ -196,7 +196,7 @@ class Counts(dict):
     def __missing__(self, piece: str) -> int:
         n = self.merger.count(piece.encode())
         if len(piece) <= 64:
-            if len(self) > 600_000:
+            if len(self) > 250_000:
                 self.clear()
             self[piece] = n
         return n
@@ -266,7 +266,7 @@ def counter(path: str) -> Counter:
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             text = [x or "" for x in batch.column("text").to_pylist()]
             n = np.array(c(text), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(x.encode()) for x in text], pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -277,7 +277,7 @@ def _count(path: str, limit: int):
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs (doc_id, text, ...), in one narrow pass.
 
-    Null and empty texts have 0 tokens.  Strings of the vocabulary's special tokens inside a text count as one token.
+    Null and empty texts have 0 tokens; texts of any length are counted whole.  Strings of the vocabulary's special tokens inside a text count as one token.
     Repeated rows and null doc_ids are kept; extra columns are ignored; an empty table gives an empty result.
     ``path`` is a byte-level tokenizer file that every executor can read.
     """

@@ -1,8 +1,9 @@
 """Operator 10: quality classifier from weak labels.
 
-1.  Eight heuristic labellers look at every document and vote good (1), bad (-1) or abstain (0).
-2.  The votes of all documents are counted by pattern (at most 3**8 of them), and expectation-maximisation over the
-    patterns estimates how each labeller votes on good and on bad documents, and how many documents are good.
+1.  Ten heuristic labellers look at every document and vote good (1), bad (-1) or abstain (0).
+2.  The votes of all documents are counted by pattern (at most 3**10 of them), and expectation-maximisation over the
+    patterns estimates how each labeller votes on good documents and on each kind of bad ones, and how many there are of
+    each.  A document is good or bad in one of a few ways: labellers of one flaw overlap, and say nothing of another.
 3.  The posterior of a document's pattern labels it.  A linear scorer over hashed word shapes, their pairs and
     statistics of the text is trained on the posteriors of a bounded sample by stochastic gradient descent, and scores
     all documents; so it also decides where labellers abstain.
@@ -16,15 +17,16 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import mix64, numbered_words, prepare
+from tempora.llm.common import mix64, numbered_words, prepare, slices
 
-LABELLERS = ("symbols", "shouting", "separators", "repeated_words", "sentences", "repeated_lines", "letters", "top_word")
+LABELLERS = ("symbols", "shouting", "separators", "repeated_words", "sentences", "repeated_lines", "letters", "top_word", "repeated_pairs", "runs")
+#: Labellers, by number, that look for one kind of flaw.
+KINDS = ((0, 2, 6), (1,), (3, 7, 8, 9), (4,), (5,))
 FEATURES = 1 << 14
-#: Documents to train on for each class, and the longest text (bytes) used for that.
+#: Documents to train on for each class; of a longer text than LONGEST_TEXT characters, that many from a place chosen by its hash.
 SAMPLE, LONGEST_TEXT = 2500, 100_000
 #: Documents that score below are rejected.
 KEEP = 0.5
@@ -100,10 +102,18 @@ class Looks:
         self.letters = total(letters[numbers]) / np.maximum(total(length[numbers]), 1)
         m = len(n)
         self.top, self.distinct, self.lines, self.lines_again = np.zeros(m), np.zeros(m), np.zeros(m, np.int64), np.zeros(m)
+        self.pairs, self.longest = np.ones(m), np.zeros(m, np.int64)
+        ends = np.flatnonzero(again == 0)  # a run of one word ends where the next differs
+        run = np.diff(ends, prepend=-1)
+        two = numbers[:-1] * len(words) + numbers[1:] if len(numbers) else numbers
         for i, text in enumerate(column.to_pylist()):
             if n[i]:
-                counts = np.unique(numbers[self.bounds[i] : self.bounds[i + 1]], return_counts=True)[1]
+                a, b = self.bounds[i], self.bounds[i + 1]
+                counts = np.unique(numbers[a:b], return_counts=True)[1]
                 self.top[i], self.distinct[i] = counts.max() / n[i], len(counts) / n[i]
+                self.longest[i] = run[np.searchsorted(ends, a) : np.searchsorted(ends, b)].max()
+                if n[i] > 1:
+                    self.pairs[i] = len(np.unique(two[a : b - 1])) / (n[i] - 1)
                 lines = [x for x in map(str.strip, text.split("\n")) if x]
                 self.lines[i], self.lines_again[i] = len(lines), 1 - len(set(lines)) / len(lines) if lines else 0.0
 
@@ -119,6 +129,8 @@ class Looks:
             ((self.lines >= 5) & (self.lines_again > 0.4), (self.lines >= 2) & (self.lines_again < 0.1)),
             (self.letters < 0.7, self.letters > 0.88),
             ((self.top > 0.3) & (n >= 15), (self.top < 0.15) & (n >= 15)),
+            ((self.pairs < 0.6) & (n >= 12), self.pairs > 0.9),
+            (self.longest >= 5, self.longest < 4),
         ]
         found = sum(np.where(bad | (n == 0), 0, np.where(good, 2, 1)) * 3**i for i, (bad, good) in enumerate(votes))
         return np.asarray(found, np.int64)
@@ -131,44 +143,49 @@ class Looks:
         counts = np.bincount((mix64(np.concatenate([shape, pairs])) & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
         ids = np.flatnonzero(counts)
         s = self.share[i]
-        binned = [s[NOISY], s[CAPITAL], s[BARE], s[ENDING], self.again[i], self.lines_again[i], 1 - self.letters[i], self.top[i], 1 - self.distinct[i], s[LONG]]
+        binned = [s[NOISY], s[CAPITAL], s[BARE], s[ENDING], self.again[i], self.lines_again[i], 1 - self.letters[i], self.top[i], 1 - self.distinct[i], s[LONG], 1 - self.pairs[i], self.longest[i] / 20]
         more = [FEATURES + 1 + 12 * j + min(11, int(12 * min(1.0, x * 2))) for j, x in enumerate(binned)]
         return np.append(ids, [FEATURES, *more]), np.append(counts[ids] / max(self.n[i], 1), np.full(1 + len(more), 0.5))
 
 
-WIDTH = FEATURES + 1 + 12 * 10
+WIDTH = FEATURES + 1 + 12 * 12
 
 
 def votes_of(pattern: int) -> list[int]:
     return [pattern // 3**i % 3 - 1 for i in range(len(LABELLERS))]
 
 
-def estimate(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[int, float]]:
-    """(share of good documents, table[labeller, class, vote + 1], posterior of good by pattern) by expectation-maximisation.
+def estimate(counts: dict[int, int], rounds: int = 300) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+    """(shares of the classes, table[labeller, class, vote + 1], posterior of good by pattern) by expectation-maximisation.
 
-    It starts from labellers that are right four times in five when they vote.
+    Class 0 is good, the others are the kinds of bad documents.  It starts from labellers that rarely find fault with a
+    good document and mostly do with the flaw they look for; that belief keeps a sixth of the weight in each class.
     """
-    patterns = sorted(counts)
+    patterns, classes, every = sorted(counts), 1 + len(KINDS), np.arange(len(LABELLERS))
+    belief = np.empty((len(LABELLERS), classes, 3))
+    belief[:, 0], belief[:, 1:] = [0.02, 0.13, 0.85], [0.1, 0.3, 0.6]
+    for kind, own in enumerate(KINDS, 1):
+        belief[list(own), kind] = [0.8, 0.15, 0.05]
+    share = np.array([0.8, *[0.2 / len(KINDS)] * len(KINDS)])
     if not patterns:
-        return 0.5, np.full((len(LABELLERS), 2, 3), 1 / 3), {}
+        return share, belief, {}
     v = np.array([votes_of(p) for p in patterns]) + 1
     n = np.array([counts[p] for p in patterns], float)
-    table = np.tile(np.array([[0.6, 0.25, 0.15], [0.15, 0.25, 0.6]]), (len(LABELLERS), 1, 1))  # rows: bad, good
-    good, before = 0.8, None
+    table, before = belief.copy(), None
     for _ in range(rounds):
-        logs = np.log(table[np.arange(len(LABELLERS))[None, :, None], np.array([0, 1])[None, None, :], v[:, :, None]]).sum(1) + np.log([1 - good, good])
+        logs = np.log(table[every[None, :, None], np.arange(classes)[None, None, :], v[:, :, None]]).sum(1) + np.log(share)
         q = np.exp(logs - logs.max(1, keepdims=True))
         q /= q.sum(1, keepdims=True)
-        for c in (0, 1):
-            weight = n * q[:, c]
-            for i in range(len(LABELLERS)):
-                seen = np.bincount(v[:, i], weights=weight, minlength=3) + 0.5
-                table[i, c] = seen / seen.sum()
-        good = float(np.clip((n * q[:, 1]).sum() / n.sum(), 0.02, 0.98))
+        weight = n[:, None] * q
+        for i in every:
+            seen = np.stack([weight[v[:, i] == vote].sum(0) for vote in range(3)], 1)
+            seen += belief[i] * (1 + 0.2 * weight.sum(0) + 0.002 * n.sum())[:, None]
+            table[i] = seen / seen.sum(1, keepdims=True)
+        share = (weight.sum(0) + 1) / (n.sum() + classes)
         if before is not None and np.abs(q - before).max() < 1e-7:
             break
         before = q
-    return good, table, dict(zip(patterns, q[:, 1].tolist(), strict=True))
+    return share, table, dict(zip(patterns, q[:, 0].tolist(), strict=True))
 
 
 def fit(rows: list[tuple[str, float]], epochs: int = 6, rate: float = 1.0, seed: int = 3) -> np.ndarray:
@@ -191,14 +208,14 @@ def fit(rows: list[tuple[str, float]], epochs: int = 6, rate: float = 1.0, seed:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([pa.array(Looks(batch.column("text")).patterns(), pa.int32())], names=["pattern"])
 
 
 def _score(model, keep: float, columns: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, posterior = model.value
-        for batch in batches:
+        for batch in slices(batches):
             looks = Looks(batch.column("text"))
             s = np.zeros(batch.num_rows)
             for i in np.flatnonzero(looks.n):
@@ -213,31 +230,32 @@ def _score(model, keep: float, columns: tuple[str, ...]):
 def classify_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """``columns`` with posterior, quality_score (0 to 1) and kept, of every row of docs (doc_id, text, ...).
 
-    Null, empty and white texts score 0 and are rejected.  Votes of all documents are counted; the scorer learns from at
-    most about ``sample`` documents of each class, chosen by a hash of doc_id.  Repeated rows are kept; other columns are
-    ignored; an empty table gives an empty result.
+    Null, empty and white texts score 0 and are rejected; whole texts of any length are looked at.  Votes of all documents
+    are counted.  The scorer learns from about ``sample`` documents of each class at most, chosen by a hash of doc_id
+    and text (so copies under one id, and null ids, count once for each text), in the order of that hash: how files and
+    partitions lie changes nothing.  A posterior of 0.5 counts as good, a score of ``keep`` is kept.  Repeated rows are
+    kept; other columns are ignored; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     voted = docs.select("text").mapInArrow(_vote, "pattern int")
-    counts = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3**8 rows
+    counts = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3**10 rows
     _, _, posterior = estimate(counts)
     size = {c: sum(n for p, n in counts.items() if (posterior[p] >= 0.5) == bool(c)) for c in (0, 1)}
     share = [min(1.0, sample / max(size[c], 1)) for c in (0, 1)]
     known = spark.sparkContext.broadcast(posterior)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text").to_pylist()
-            h = np.array([xxhash.xxh32_intdigest(str(i)) for i in batch.column("doc_id").to_pylist()]) / (1 << 32)
-            some = [i for i in np.flatnonzero(h < max(share)) if text[i] and len(text[i]) <= LONGEST_TEXT]
-            if some:
-                chosen = batch.column("text").take(pa.array(some))
-                post = np.array([known.value.get(p, 0.5) for p in Looks(chosen).patterns().tolist()])
-                take = np.flatnonzero(h[some] < np.where(post >= 0.5, share[1], share[0]))
-                yield pa.RecordBatch.from_arrays([chosen.take(pa.array(take)), pa.array(post[take])], names=["text", "y"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(choose, "text string, y double").limit(3 * sample).collect()  # at most 3 * sample rows
-    weights = fit([(r.text, r.y) for r in rows])
+        for batch in slices(batches):
+            h = batch.column("h").to_numpy()
+            post = np.array([known.value.get(p, 0.5) for p in Looks(batch.column("text")).patterns().tolist()])
+            take = np.flatnonzero((h < np.where(post >= 0.5, share[1], share[0]) * (1 << 40)))
+            if len(take):
+                text = [t[(at := int(x) % max(1, len(t) - LONGEST_TEXT + 1)) : at + LONGEST_TEXT] for t, x in zip(batch.column("text").take(pa.array(take)).to_pylist(), h[take], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(text, pa.string()), pa.array(post[take])], names=["h", "text", "y"])
+
+    hashed = docs.where("text <> ''").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h")).where(F.col("h") < int(max(share) * (1 << 40)))
+    rows = hashed.mapInArrow(choose, "h long, text string, y double").dropDuplicates(["h"]).collect()  # about 2 * sample rows: the share of each class is set by its size
+    weights = fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.text))])
     used = docs.select(*columns, *(["text"] if "text" not in columns else []))
     schema = ", ".join(f"`{c}` {t}" for c, t in used.select(*columns).dtypes) + ", posterior double, quality_score double, kept boolean"
     return used.mapInArrow(_score(spark.sparkContext.broadcast((weights, posterior)), keep, columns), schema)
