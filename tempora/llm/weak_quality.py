@@ -24,7 +24,7 @@ from tempora.llm.common import mix64, numbered_words, prepare, slices
 
 LABELLERS = ("symbols", "shouting", "separators", "repeated_words", "sentences", "repeated_lines", "letters", "top_word", "repeated_pairs", "runs")
 #: Labellers, by number, that look for one kind of flaw.
-KINDS = ((0, 2, 6), (1,), (3, 7, 8, 9), (4,), (5,))
+KINDS = ((0, 6), (1,), (2, 7), (3, 5, 8, 9), (4,))
 FEATURES = 1 << 14
 #: Documents to train on for each class; of a longer text than LONGEST_TEXT characters, that many from a place chosen by its hash.
 SAMPLE, LONGEST_TEXT = 2500, 100_000
@@ -159,13 +159,13 @@ def estimate(counts: dict[int, int], rounds: int = 300) -> tuple[np.ndarray, np.
     """(shares of the classes, table[labeller, class, vote + 1], posterior of good by pattern) by expectation-maximisation.
 
     Class 0 is good, the others are the kinds of bad documents.  It starts from labellers that rarely find fault with a
-    good document and mostly do with the flaw they look for; that belief keeps a sixth of the weight in each class.
+    good document and mostly do with the flaw they look for; that belief keeps a third of the weight in each class.
     """
     patterns, classes, every = sorted(counts), 1 + len(KINDS), np.arange(len(LABELLERS))
     belief = np.empty((len(LABELLERS), classes, 3))
-    belief[:, 0], belief[:, 1:] = [0.02, 0.13, 0.85], [0.1, 0.3, 0.6]
+    belief[:, 0], belief[:, 1:] = [0.02, 0.13, 0.85], [0.1, 0.13, 0.77]
     for kind, own in enumerate(KINDS, 1):
-        belief[list(own), kind] = [0.8, 0.15, 0.05]
+        belief[list(own), kind] = [0.8, 0.13, 0.07]
     share = np.array([0.8, *[0.2 / len(KINDS)] * len(KINDS)])
     if not patterns:
         return share, belief, {}
@@ -179,7 +179,7 @@ def estimate(counts: dict[int, int], rounds: int = 300) -> tuple[np.ndarray, np.
         weight = n[:, None] * q
         for i in every:
             seen = np.stack([weight[v[:, i] == vote].sum(0) for vote in range(3)], 1)
-            seen += belief[i] * (1 + 0.2 * weight.sum(0) + 0.002 * n.sum())[:, None]
+            seen += belief[i] * (1 + 0.5 * weight.sum(0) + 0.002 * n.sum())[:, None]
             table[i] = seen / seen.sum(1, keepdims=True)
         share = (weight.sum(0) + 1) / (n.sum() + classes)
         if before is not None and np.abs(q - before).max() < 1e-7:

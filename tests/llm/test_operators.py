@@ -20,7 +20,7 @@ from tempora.llm.ngram_jaccard import jaccard_components
 from tempora.llm.nn_descent import near_duplicate_vectors, recall
 from tempora.llm.packing import pack_documents
 from tempora.llm.page_differencing import extract_main_text
-from tempora.llm.string_tiling import leaked_items
+from tempora.llm.string_tiling import Items, flag_leaks, greedy_tiles, leaked_items, running_tiles
 from tempora.llm.token_counts import token_counts
 from tempora.llm.warc_derivatives import derivatives, read_records, responses_of, serialized
 from tempora.llm.weak_quality import KINDS, LABELLERS, classify_quality, estimate
@@ -331,11 +331,54 @@ def test_leaks_reordered_or_not_by_both_ways(spark, odd):
     d = spark.createDataFrame([(*x, 1.0) for x in docs], "doc_id long, text string, coverage double")
     b = spark.createDataFrame([(10, item, 0), (11, "too short", 0), (12, None, 0), (None, item, 0), (13, LONG, 0)], "item_id long, text string, hash int")
     got = sorted((r.doc_id, r.item_id, r.matched, r.tiles) for r in leaked_items(d, b).collect())
-    assert got == sorted((r.doc_id, r.item_id, r.matched, r.tiles) for r in leaked_items(d, b, broadcast_words=0).collect())
+    assert got == sorted((r.doc_id, r.item_id, r.matched, r.tiles) for r in leaked_items(d, b, broadcast_bytes=0).collect())
     assert [(x, y) for x, y, _, _ in got] == [(1, 10), (2, 10), (5, 10), (8, 10), (8, 13)] and (2, 10, 16, 2) in got
     assert leaked_items(d.limit(0), b).count() == 0 and leaked_items(d, b.limit(0)).count() == 0
 
 
+def plain_tiles(item, doc, least):
+    """Greedy tiling as it is defined: of all free matches the longest, then the first in the item, then in the document."""
+    free_item, free_doc, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and free_item[a + n] and free_doc[b + n] and item[a + n] == doc[b + n]:
+                    n += 1
+                best = max(best, (n, -a, -b))
+        n, a, b = best[0], -best[1], -best[2]
+        if n < least:
+            return out
+        free_item[a : a + n] = free_doc[b : b + n] = [False] * n
+        out.append(n)
+
+
+def test_tiles_against_their_definition():
+    rng = np.random.default_rng(9)
+    for size in (2, 3, 6):
+        for _ in range(25):
+            item, doc = (rng.integers(1, size + 1, int(rng.integers(4, 40))).astype(np.uint64) for _ in range(2))
+            known = Items([(1, " ".join(f"w{x}" for x in item))], 4)
+            spelled = np.array([known.vocabulary[f"w{x}"] for x in doc], np.uint64)
+            at, low, n = known._met(spelled)
+            rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            want = plain_tiles(item.tolist(), doc.tolist(), 4)
+            assert greedy_tiles(known.ids[0], spelled, known.place[rows], np.repeat(at, n), 4) == want == running_tiles(item, doc, 4)
+            covered = known.tile(spelled, 0.5)
+            assert [x[2] for x in covered] == [sum(want)] * (sum(want) >= 0.5 * len(item) and bool(want))
+
+
+def test_leaks_of_repetitive_and_foreign_texts(spark):
+    again = "so it goes " * 7000
+    foreign = " ".join(f"слово{i}" for i in range(60))
+    b = spark.createDataFrame([(1, "so it goes " * 3000), (2, foreign)], "item_id long, text string")
+    d = spark.createDataFrame([(1, again), (2, "x " + foreign.upper()), (None, foreign), (4, "so it goes on")], "doc_id long, text string")
+    for most in (1 << 20, 100):
+        assert sorted((r.doc_id, r.item_id, r.coverage) for r in leaked_items(d, b, broadcast_bytes=most).collect()) == [(1, 1, 1.0), (2, 2, 1.0)]
+        assert sorted((r.doc_id or 0, r.leaked) for r in flag_leaks(d, b, broadcast_bytes=most).collect()) == [(0, True), (1, True), (2, True), (4, False)]
+
+
 def test_leaks_of_documents(spark, data, documents, duck):
     plain = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
     items = [(i, plain(t)) for i, t in duck.execute("SELECT item_id, text FROM benchmark").fetchall()]
