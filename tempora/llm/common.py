@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text, and rows, that a worker works on at a time, whatever the length of the Arrow batches Spark hands it.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 1000
+#: Most bits of a Bloom filter (16 MB); beyond a tenth as many entries it only lets more others pass.
+BLOOM_BITS = 1 << 27
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -64,18 +66,43 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete a table that cut() wrote and that no later plan reads."""
-    path = getattr(df, "_cut_path", None)
-    if path:
+    """Delete a table that cut() wrote, or what reads() names, once no later plan reads it."""
+    for path in getattr(df, "_cut_path", "").split():
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def reads(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, for which release() deletes the tables of cut() that it reads; for results that are written before they are used."""
+    df._cut_path = " ".join(t._cut_path for t in tables)
+    return df
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def bloom(ids: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """(bits, filter) of a column of evenly spread 64-bit numbers: ten bits for each, two of them set, BLOOM_BITS at most."""
+    bits = min(BLOOM_BITS, max(1 << 15, 1 << (10 * ids.count()).bit_length()))
+    x = F.col(column)  # Spark's buckets and positions count from 1
+    at = ids.select(F.explode(F.array(x.bitwiseAND(bits - 1) + 1, F.shiftrightunsigned(x, 32).bitwiseAND(bits - 1) + 1)).alias("at"))
+    blocks = at.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")).collect()  # at most BLOOM_BITS bits
+    out = np.zeros(bits // 8, np.uint8)
+    for r in blocks:
+        out[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(bytes(r.bitmap), np.uint8)
+    return bits, out
+
+
+def in_bloom(key: np.ndarray, bits: int, known: np.ndarray) -> np.ndarray:
+    key = key.view(np.uint64)
+    ok = np.ones(len(key), bool)
+    for at in (key & np.uint64(bits - 1), (key >> np.uint64(32)) & np.uint64(bits - 1)):
+        ok &= ((known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    return ok
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
@@ -202,6 +229,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     ids = now.select(F.col("src").alias("id"), F.col("dst").alias("component_id"))
-    out = ids.unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component_id")).distinct())
-    out._cut_path = now._cut_path  # release() deletes what it reads
-    return out
+    return reads(ids.unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component_id")).distinct()), now)

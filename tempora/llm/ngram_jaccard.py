@@ -10,7 +10,7 @@
     only documents with at least c such entries are linked, each to one head for its entry and band.
     The components of both hold every link.
 4.  Each component is cut into tiles of one size band and bounded weight.  A third scan makes the sorted arrays of
-    its sets only (a Bloom filter of at most BLOOM_BITS bits keeps most other documents from the shuffle).  Pairs of tiles of
+    its sets only (a Bloom filter of bounded size keeps most other documents from the shuffle).  Pairs of tiles of
     equal or neighbouring bands are compared: bitmaps bound the overlap from above by
     ``(|A| + |B| - popcount(a xor b)) / 2``, then sorted arrays are intersected exactly.  Documents
     that are already joined inside a tile pair are not compared again.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components, contracted, cut, mix64, numbered_words, parallelism, prepare, release, slices
+from tempora.llm.common import bloom, components, contracted, cut, in_bloom, mix64, numbered_words, parallelism, prepare, reads, release, slices
 
 SKETCH_BITS = 20
 BLOCK = 4096
@@ -36,8 +36,6 @@ BLOCK = 4096
 TILE_DOCS, TILE_SHINGLES = 4096, 3_000_000
 #: Documents up to which an entry's pairs are counted.
 CROWD = 8
-#: Most bits of the filter of sets to compare (16 MB); more sets than a tenth of that only let more others pass.
-BLOOM_BITS = 1 << 27
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -348,33 +346,12 @@ def _key() -> Column:
     return F.xxhash64("doc_id")
 
 
-def _bloom(members: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, filter) of the hashed ids of members: ten bits for each, two of them set, BLOOM_BITS at most."""
-    n = members.count()
-    bits = min(BLOOM_BITS, max(1 << 15, 1 << (10 * n).bit_length()))
-    # Spark's buckets and positions count from 1
-    at = members.select(F.explode(F.array(_key().bitwiseAND(bits - 1) + 1, F.shiftrightunsigned(_key(), 32).bitwiseAND(bits - 1) + 1)).alias("at"))
-    blocks = at.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")).collect()  # at most BLOOM_BITS bits
-    out = np.zeros(bits // 8, np.uint8)
-    for r in blocks:
-        out[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(bytes(r.bitmap), np.uint8)
-    return bits, out
-
-
-def in_bloom(key: np.ndarray, bits: int, known: np.ndarray) -> np.ndarray:
-    key = key.view(np.uint64)
-    ok = np.ones(len(key), bool)
-    for at in (key & np.uint64(bits - 1), (key >> np.uint64(32)) & np.uint64(bits - 1)):
-        ok &= ((known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-    return ok
-
-
-def _sets(k: int, bloom):
+def _sets(k: int, wanted):
     """(fp_a, fp_b, doc_id, shingles) of the rows (doc_id, text, key) that pass the filter; repeated ones of a slice come once."""
     schema = pa.schema([("fp_a", pa.int64()), ("fp_b", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (bits, known) = WordHashes(), bloom.value
+        memo, (bits, known) = WordHashes(), wanted.value
         passed = (b.filter(pa.array(in_bloom(b.column("key").to_numpy(), bits, known))) for b in batches)
         for batch in slices(passed):
             doc = batch.column("doc_id").to_numpy()
@@ -451,9 +428,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     classes = sets.where("n > 0 and doc_id is not null").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
     members = cut(classes.join(candidates, classes["fp_a"] == candidates["id"]).select(F.col("component_id").alias("comp"), "fp_a", "fp_b", F.col("rep").alias("doc_id"), "n"), "jaccard")
     release(candidates)
-    arrays = docs.where("doc_id is not null").withColumn("key", _key()).mapInArrow(_sets(k, spark.sparkContext.broadcast(_bloom(members))), "fp_a long, fp_b long, doc_id long, shingles array<long>")
+    arrays = docs.where("doc_id is not null").withColumn("key", _key()).mapInArrow(_sets(k, spark.sparkContext.broadcast(bloom(members.select(_key().alias("key")), "key"))), "fp_a long, fp_b long, doc_id long, shingles array<long>")
     found = arrays.join(_tiles(members, percent), ["fp_a", "fp_b", "doc_id"]).select("task", "comp", "side", "fp_a", "doc_id", "shingles").groupBy("task").applyInArrow(_compare(percent), "src long, dst long")
     copies = sets.where("n > 0 and doc_id is not null").join(classes.where("copies > 1").select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"]).where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
     final = components(found.unionByName(copies))
     release(members)
-    return sets.join(final, sets["doc_id"] == final["id"], "left").select(sets["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component_id", sets["doc_id"]).alias("component_id"))
+    out = sets.join(final, sets["doc_id"] == final["id"], "left").select(sets["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component_id", sets["doc_id"]).alias("component_id"))
+    return reads(out, survey, final)

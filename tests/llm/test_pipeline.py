@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from tempora.llm.common import cut
 
-from tests.llm.test_operators import LONG, check_packing
+from tests.llm.test_operators import LONG, check_packing, linked, sets_of
 
 
 def test_stages_keep_columns_and_take_effect(spark, data, duck):
@@ -37,4 +37,31 @@ def test_stages_on_odd_rows(spark, data):
             if given is not docs:
                 assert not got
         if name == "ngram_jaccard":
-            assert sorted(r.doc_id or 0 for r in stage(spark, docs, data).collect()) == [0, 0, 1, 4, 5, 6, 7]
+            assert sorted(r.doc_id or 0 for r in stage(spark, docs, data).collect()) == [0, 1, 4, 5, 6, 7]
+
+
+def test_stages_on_rows_without_or_with_one_id(spark, data, duck):
+    """A row goes by its text, whether it has an id of its own or not."""
+    item = duck.execute("SELECT text FROM benchmark ORDER BY length(text) DESC").fetchall()[0][0]
+    a, b = (" ".join(f"{x}{i * i % 89}" for i in range(80)) for x in "ab")
+    kind = "doc_id long, text string, source string"
+    docs = spark.createDataFrame([(None, "so " + item, "x"), (1, item, "y"), (5, a, "u"), (5, b, "u"), (6, a + " end", "v"), (None, b, "w"), (5, a, "t"), (None, "", "z"), (None, "", "z"), (9, None, "z")], kind)
+    stages = dict(corpus_pipeline.STAGES)
+    clean = cut(stages["benchmark_decontamination"](spark, docs, data), "clean")
+    assert sorted((r.doc_id or 0, r.source) for r in clean.collect()) == [(0, "w"), (0, "z"), (0, "z"), (5, "t"), (5, "u"), (5, "u"), (6, "v"), (9, "z")]
+    single = stages["ngram_jaccard"](spark, clean, data).collect()
+    assert sorted((r.doc_id or 0, r.source, r.text) for r in single if r.text) == [(5, "t", a), (5, "u", b)]
+    assert sorted((r.doc_id or 0, r.source) for r in single if not r.text) == [(0, "z"), (9, "z")]
+
+
+def test_single_copies_against_all_pairs(spark, data, duck):
+    """The n-gram stage against brute force over the documents of the smallest table."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = [sets_of(t, 5) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    low = linked(pairs, range(len(rows)))
+    groups: dict = {}
+    for i, root in low.items():
+        groups.setdefault(root, []).append(rows[i][0])
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, data).collect()) == sorted(min(g) for g in groups.values())
