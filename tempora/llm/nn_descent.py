@@ -1,6 +1,6 @@
 """Operator 3: near-duplicate vectors by NN-descent.
 
-1.  Equal vectors fold into one class, with a count.
+1.  Equal vectors fold into one class, with a count, by a fingerprint of 128 bits.
 2.  Leaves of a few random-hyperplane trees give each class its first neighbours.  A leaf that holds
     more than its share is split by hash, so no task gathers more than LEAF vectors.
 3.  Rounds of the local join: each class looks at its neighbours and reverse neighbours, compares
@@ -31,7 +31,6 @@ K, LEAF, TILE, AUDIT, LINKED = 10, 512, 2048, 4096, 64
 PASS_ROWS = 20_000_000
 
 
-
 def _unit(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, unit vectors in double precision) of a list column, for each length."""
     if isinstance(column, pa.ChunkedArray):
@@ -222,23 +221,29 @@ def _queries(sample, threshold: float):
                     for at in range(0, len(which), 512):
                         q = which[at : at + 512]
                         total[q] += copies[rows] @ ((m @ x[at : at + 512].T >= threshold) & (own[rows][:, None] != ids[q][None, :]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], names=["cid", "links"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(total[some])], names=["cid", "links"])
 
     return run
 
 
 def audited(classes: DataFrame, n: int, threshold: float, few: int) -> dict[int, int]:
-    """True links of a sample of at most AUDIT classes; it grows until LINKED of them have some links, but no more than few."""
-    spark, real, size = classes.sparkSession, {}, 256
+    """True links of a sample of about AUDIT classes at most; it grows until LINKED of them have some links, but no more than few.
+
+    Classes are drawn by a hash of their vectors, so the sample is the same however they lie.
+    """
+    spark, real, size, low = classes.sparkSession, {}, 256, 0
     while True:
-        drawn = classes.orderBy(F.xxhash64("cid"), "cid").limit(size).collect()[len(real) :]  # at most AUDIT vectors
-        groups = _unit(pa.array([r.embedding for r in drawn], pa.list_(pa.float32()))) if drawn else []
+        high = (1 << 40) if size >= n else int(size / n * (1 << 40))
+        place = F.pmod(F.xxhash64("fp_a", "fp_b"), F.lit(1 << 40))
+        drawn = sorted(classes.where((place >= low) & (place < high)).select("cid", "embedding").collect())  # about AUDIT vectors at most
+        groups = _unit(pa.array([r.embedding for r in drawn], pa.list_(pa.float64()))) if drawn else []
         sample = spark.sparkContext.broadcast((np.array([r.cid for r in drawn], np.int64), groups))
-        truth = classes.repartition(parallelism(spark)).mapInArrow(_queries(sample, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
-        real |= {r.cid: r.links for r in truth.collect()}  # at most AUDIT rows
+        truth = classes.select("cid", "copies", "embedding").repartition(parallelism(spark)).mapInArrow(_queries(sample, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+        real |= {r.cid: 0 for r in drawn} | {r.cid: r.links for r in truth.collect()}  # about AUDIT rows at most
         if size >= min(n, AUDIT) or sum(0 < x <= few for x in real.values()) >= LINKED:
             return real
-        size = min(size * 4, AUDIT)
+        size, low = min(size * 4, AUDIT), high
 
 
 def recall(real: dict[int, int], got: dict[int, int], few: int) -> float:
@@ -283,15 +288,17 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...).
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of
-    different lengths never link.  Equal rows are separate vectors; rows with one vec_id too.  Components are
-    named by their smallest vec_id.  Trees, if not given, grow with the table until a pair at the threshold meets in a
+    different lengths never link; vectors of any length are compared whole, in double precision.  Equal rows are separate
+    vectors; rows with one vec_id too; rows without vec_id come after all others.  Components are named by their smallest
+    vec_id.  Of neighbours that are equally near those made first are held, which decides no link.  Trees, if not given, grow with the table until a pair at the threshold meets in a
     leaf with the probability goal (or comparing all would cost no more).  A recall below the goal is never returned:
     after the last attempt all classes are compared with all, which costs the square of the table.  Extra columns are ignored; an empty table gives an empty result.
     """
     spark = prepare(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.withColumn("fp_a", F.xxhash64("embedding")).withColumn("fp_b", F.xxhash64(F.lit(1), "embedding"))
     sound = F.expr("embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)")
-    classes = cut(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    classes = cut(rows.where(sound).groupBy("fp_a", "fp_b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")).withColumn("cid", F.monotonically_increasing_id()), "vectors")
     n = classes.count()
     parts = parallelism(spark)
     bits = int(np.clip(np.ceil(np.log2(max(n, 2) / 100)), 1, 40))
@@ -350,8 +357,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
     else:
         members, links = settled(all_links(classes, n, threshold, packs))
     low = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    known = classes.select("cid", "embedding", "copies", "rep").join(links, "cid", "left").join(members.select("cid", "comp"), "cid", "left").join(low, "comp", "left")
-    known = known.select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    good = rows.where(sound).join(known, "embedding").select("vec_id", "n_links", "component_id")
+    known = classes.select("cid", "fp_a", "fp_b", "copies", "rep").join(links, "cid", "left").join(members.select("cid", "comp"), "cid", "left").join(low, "comp", "left")
+    known = known.select("fp_a", "fp_b", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    good = rows.where(sound).select("vec_id", "fp_a", "fp_b").join(known, ["fp_a", "fp_b"]).select("vec_id", "n_links", "component_id")
     bad = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))
