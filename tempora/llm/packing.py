@@ -2,12 +2,13 @@
 
 1.  One scan tokenises whole texts and cuts those longer than a sequence.  Pieces that fill a sequence
     are done; the others are dealt by hash into blocks of bounded size.
-2.  Each block is packed by islands.  A crossover injects whole well-filled bins of one solution into
+2.  Each block is packed by best fit.  Blocks whose bins are as few as a lower bound says are done; the others are
+    packed by islands.  A crossover injects whole well-filled bins of one solution into
     another, removes the duplicates together with the bins that held them, and best-fits the displaced
     pieces; a mutation dissolves the least filled bins.  Between epochs the best solution of each island
     migrates to the next island of its block.
 3.  Bins filled to 99.8 per cent stay.  The pieces of the others, of all blocks, are dealt again and packed
-    together, level by level, until one block is left or dealing again saves nothing.
+    together, level by level, until one block is left or dealing again saves less than a thousandth of the bins.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import cut, numbered_words, parallelism, prepare, release, slices
+from tempora.llm.common import cut, numbered_words, prepare, reads, release, slices
 
 CAPACITY, BLOCK, FULL = 4096, 6000, 0.998
 #: The pattern of word_bpe_49k.json, for chunks in which all letters are Latin.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks and words that a worker remembers; once full, they only serve.
-MOST_CHUNKS, MOST_WORDS = 250_000, 150_000
+MOST_CHUNKS, MOST_WORDS = 100_000, 80_000
 
 
 class ChunkIds:
@@ -167,6 +168,24 @@ class Bins:
             if left > n:
                 bisect.insort(room, (left - n, i))
 
+    def swap_in(self, loose: list[int]) -> list[int]:
+        """Put longer loose items in the place of shorter ones where a bin has the room, the best fit first; what is loose then."""
+        free = sorted((self.length[x], x) for x in loose)
+        for i, g in enumerate(self.items):
+            room = self.capacity - self.fill[i]
+            for k in range(len(g)):
+                if not room or not free:
+                    break
+                n = self.length[g[k]]
+                at = bisect.bisect_right(free, (n + room, len(self.length))) - 1
+                if at >= 0 and free[at][0] > n:
+                    longer, y = free.pop(at)
+                    bisect.insort(free, (n, g[k]))
+                    g[k] = y
+                    self.fill[i] += longer - n
+                    room -= longer - n
+        return [x for _, x in free]
+
     def fitness(self) -> float:
         """Falkenauer's: the mean of squared fill, larger for fuller bins."""
         f = np.array(self.fill, float) / self.capacity
@@ -203,7 +222,7 @@ def crossover(donor: Bins, receiver: Bins, rng: np.random.Generator) -> Bins:
         else:
             loose += [x for x in g if x not in taken]
     child = Bins.of(donor.length, donor.capacity, [list(g) for g in injected] + kept)
-    child.best_fit(loose)
+    child.best_fit(child.swap_in(loose))
     return child
 
 
@@ -212,23 +231,38 @@ def mutate(one: Bins, rng: np.random.Generator) -> Bins:
     order = np.argsort(one.fill, kind="stable")
     gone = set(order[: max(1, len(order) // 50)].tolist()) | set(rng.integers(0, len(order), max(1, len(order) // 50)).tolist())
     out = Bins.of(one.length, one.capacity, [list(g) for i, g in enumerate(one.items) if i not in gone])
-    out.best_fit([x for i in sorted(gone) for x in one.items[i]])
+    out.best_fit(out.swap_in([x for i in sorted(gone) for x in one.items[i]]))
     return out
 
 
+def least_bins(length: list[int], capacity: int) -> int:
+    """A lower bound (Martello and Toth): pieces over half a bin cannot share one; what they leave of room takes the others.
+
+    For each size k: pieces over capacity - k stand alone, those over a half have a bin each, and those from k to a half go
+    into what room these leave, and then into more bins.
+    """
+    if not len(length):
+        return 0
+    count = np.bincount(np.asarray(length, np.int64), minlength=capacity + 1)
+    upto = np.concatenate([[0], np.cumsum(count)])  # pieces shorter than i
+    total = np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
+    half = capacity // 2 + 1  # the shortest that is over a half
+    k = np.arange(0, capacity // 2 + 1)
+    large = upto[-1] - upto[half]
+    room = (upto[capacity - k + 1] - upto[half]) * capacity - (total[capacity - k + 1] - total[half])
+    small = total[half] - total[k]
+    return int((large + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
 def evolve(length: list[int], capacity: int, solutions: list[list[int]], seed: int, generations: int, size: int = 4) -> Bins:
     """The best of a small population, from the given solutions (labels by item) and best-fit ones."""
     rng = np.random.default_rng(seed)
-    least = -(-sum(length) // capacity)
+    least = least_bins(length, capacity)
     pool = [Bins.of(length, capacity, groups_of(s)) for s in solutions]
-    while len(pool) < size:
-        b = Bins(length, capacity)
-        if len(pool) == len(solutions):
-            b.best_fit(list(range(len(length))))
-        else:  # a random share first, so that the population differs
-            some = rng.random(len(length)) < 0.3
-            b.best_fit(np.flatnonzero(some).tolist())
-            b.best_fit(np.flatnonzero(~some).tolist())
+    while len(pool) < size:  # best fit after a random share, so that the population differs
+        b, some = Bins(length, capacity), rng.random(len(length)) < 0.3
+        b.best_fit(np.flatnonzero(some).tolist())
+        b.best_fit(np.flatnonzero(~some).tolist())
         pool.append(b)
     pool.sort(key=Bins.rank)
     for _ in range(generations):
@@ -241,12 +275,27 @@ def evolve(length: list[int], capacity: int, solutions: list[list[int]], seed: i
     return pool[0]
 
 
+SOLVED = "block long, island int, labels array<int>, bins long, least long, fitness double"
+
+
+def _solved(block: int, island: int, best: Bins) -> pa.Table:
+    return pa.table({"block": pa.array([block], pa.int64()), "island": pa.array([island], pa.int32()), "labels": pa.array([best.labels()], pa.list_(pa.int32())), "bins": pa.array([len(best.items)], pa.int64()), "least": pa.array([least_bins(best.length, best.capacity)], pa.int64()), "fitness": pa.array([best.fitness()])})
+
+
+def _first(capacity: int):
+    def run(table: pa.Table) -> pa.Table:
+        b = Bins(table.column("lengths")[0].as_py(), capacity)
+        b.best_fit(list(range(len(b.length))))
+        return _solved(table.column("block")[0].as_py(), -1, b)
+
+    return run
+
+
 def _epoch(capacity: int, generations: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
         block, island = table.column("block")[0].as_py(), table.column("island")[0].as_py()
         given = [x for c in ("own", "guest") if (x := table.column(c)[0].as_py())]
-        best = evolve(table.column("lengths")[0].as_py(), capacity, given, seed + 1009 * block + 31 * island, generations)
-        return pa.table({"block": pa.array([block], pa.int64()), "island": pa.array([island], pa.int32()), "labels": pa.array([best.labels()], pa.list_(pa.int32())), "bins": pa.array([len(best.items)], pa.int64()), "fitness": pa.array([best.fitness()])})
+        return _solved(block, island, evolve(table.column("lengths")[0].as_py(), capacity, given, seed + 1009 * block + 31 * island, generations))
 
     return run
 
@@ -265,53 +314,60 @@ def _placed(table: pa.Table) -> pa.Table:
     return pa.table({"pid": pids, "block": np.full(len(pids), block), "bin": labels, "offset": before - start, "fill": fill})
 
 
-def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs: int = 2, generations: int = 6, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """(pid, sequence_id, offset) for pieces (pid, length), lengths from 1 to capacity; pids are distinct."""
-    spark = pieces.sparkSession
+def _evolved(sizes: DataFrame, first: DataFrame, capacity: int, islands: int, epochs: int, generations: int, seed: int) -> DataFrame:
+    """The solutions of all islands of the blocks of first, after the last epoch; first leads island 0."""
+    state = first.select("block", F.lit(0).alias("island"), "labels")
+    isles = first.join(sizes, "block").select("block", "lengths", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    for epoch in range(epochs):
+        own, guests = state.withColumnRenamed("labels", "own"), state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("labels").alias("guest"))
+        dealt = isles.join(own, ["block", "island"], "left").join(guests, ["block", "island"], "left").select("block", "island", "lengths", "own", "guest")
+        nxt = cut(dealt.groupBy("block", "island").applyInArrow(_epoch(capacity, generations, seed + 7 * epoch), SOLVED), "packing")
+        release(state)
+        state = reads(nxt.select("block", "island", "labels"), nxt)
+    return nxt
+
+
+def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs: int = 2, generations: int = 20, block: int = BLOCK, saving: float = 0.001, seed: int = 11) -> DataFrame:
+    """(pid, sequence_id, offset) for pieces (pid, length), lengths from 1 to capacity; pids are distinct.
+
+    At every size: blocks of about ``block`` pieces, and levels until one block is left or a level saves less than the share
+    ``saving`` of the bins that it was given.
+    """
     done = pieces.where(F.col("length") >= capacity).select("pid", (-F.col("pid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = pieces.where(F.col("length") < capacity).select("pid", "length")
-    n, level = left.count(), 0
-    parts = parallelism(spark)
+    n, level, given = left.count(), 0, None
     while n:
         blocks = max(1, round(n / block))
         keyed = left.withColumn("block", F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(blocks)))
         sizes = keyed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pid", "length"))).alias("x")).select("block", F.col("x.pid").alias("pids"), F.col("x.length").alias("lengths"))
         sizes = cut(sizes, "packing")
-        state = None
-        for epoch in range(epochs):
-            isles = sizes.select("block", "lengths", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-            if state is None:
-                isles = isles.withColumn("own", F.lit(None).cast("array<int>")).withColumn("guest", F.lit(None).cast("array<int>"))
-            else:
-                guests = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("labels").alias("guest"))
-                isles = isles.join(state.select("block", "island", F.col("labels").alias("own")), ["block", "island"]).join(guests, ["block", "island"])
-            nxt = cut(isles.repartition(min(parts, blocks * islands), "block", "island").groupBy("block", "island").applyInArrow(_epoch(capacity, generations, seed + 7 * epoch), "block long, island int, labels array<int>, bins long, fitness double"), "packing")
-            if state is not None:
-                release(state)
-            state = nxt
-        best = state.groupBy("block").agg(F.min_by("labels", F.struct("bins", -F.col("fitness"), "island")).alias("labels"))
+        first = cut(sizes.groupBy("block").applyInArrow(_first(capacity), SOLVED), "packing")
+        tables, solved, over = [first], first, first.where("bins > least")
+        if epochs and over.limit(1).count():
+            tables.append(_evolved(sizes, over, capacity, islands, epochs, generations, seed))
+            solved = first.unionByName(tables[-1])
+        best = solved.groupBy("block").agg(F.min_by("labels", F.struct("bins", -F.col("fitness"), "island")).alias("labels"))
         placed = cut(sizes.join(best, "block").groupBy("block").applyInArrow(_placed, "pid long, block long, bin long, offset long, fill long"), "packing")
-        release(sizes)
-        release(state)
-        stays = F.lit(True) if blocks == 1 else F.col("fill") >= FULL * capacity
+        for table in (sizes, *tables):
+            release(table)
+        level, full = level + 1, F.col("fill") >= FULL * capacity
         number = F.lit(level).cast("long") * F.lit(1 << 56) + F.col("block") * F.lit(1 << 24) + F.col("bin")
-        done = done.unionByName(placed.where(stays).select("pid", number.alias("sequence_id"), "offset"))
-        if blocks == 1:
-            break
-        left = cut(placed.where(~stays).select("pid").join(left, "pid"), "packing")
-        before, n, level = n, left.count(), level + 1
-        block = max(block, n) if n > 0.9 * before and n <= 4 * BLOCK else block
-        if n > 0.9 * before and n > 4 * BLOCK:  # dealing again saves little: keep what there is
-            done = done.unionByName(placed.where(~stays).select("pid", number.alias("sequence_id"), "offset"))
+        last = blocks == 1 or (given is not None and placed.where("offset = 0").count() > (1 - saving) * given)
+        done = done.unionByName(placed.where(F.lit(True) if last else full).select("pid", number.alias("sequence_id"), "offset"))
+        if last:
             break
+        given = placed.where(~full & (F.col("offset") == 0)).count()
+        left = cut(placed.where(~full).select("pid").join(left, "pid"), "packing")
+        n = left.count()
     return done
 
 
 def pack_documents(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY, with_ids: bool = False, **how) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece of docs (doc_id, text, ...).
 
-    A document is its ids followed by ``end``; null and empty texts are the end alone.  Longer ones are cut into
-    pieces of ``capacity``.  Repeated rows and rows without doc_id are packed each for itself; extra columns are
+    A document is its ids followed by ``end``; null and empty texts are the end alone.  Longer ones, of any length, are cut
+    into pieces of ``capacity``.  Of solutions with equally few bins the one with fuller bins is taken, then that of the first
+    island; in best fit longer pieces come first, then those that the scan met first.  Repeated rows and rows without doc_id are packed each for itself; extra columns are
     ignored; an empty table gives an empty result.  ``path`` is a tokenizer file that every executor can read.
     """
     prepare(docs.sparkSession)
