@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text, and rows, that a worker works on at a time, whatever the length of the Arrow batches Spark hands it.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Most bits of a Bloom filter (16 MB); beyond a tenth as many entries it only lets more others pass.
 BLOOM_BITS = 1 << 27
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package."""
+    """Let Python workers import this package; where the session leaves Arrow batches at Spark's default, hold them to SLICE_ROWS rows.
+
+    Batches are whole texts here: ten thousand rows of them, in the JVM and in a worker, are what fills an executor.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(SLICE_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
