@@ -18,8 +18,8 @@ from tempora.llm.chat_windows import chat_windows, read_back, read_turns
 from tempora.llm.language_id import identify_languages, predict, train
 from tempora.llm.ngram_jaccard import jaccard_components
 from tempora.llm.nn_descent import near_duplicate_vectors, recall
-from tempora.llm.packing import pack_documents
-from tempora.llm.page_differencing import extract_main_text
+from tempora.llm.packing import Bins, evolve, least_bins, pack_documents, pack_lengths
+from tempora.llm.page_differencing import extract_main_text, shared_lines
 from tempora.llm.string_tiling import Items, flag_leaks, greedy_tiles, leaked_items, running_tiles
 from tempora.llm.token_counts import token_counts
 from tempora.llm.warc_derivatives import derivatives, read_records, responses_of, serialized
@@ -224,6 +224,51 @@ def test_main_text_of_short_articles_and_copies(spark):
     assert all("that was edited twice" in got[60 + i] for i in range(2))
 
 
+def longest_common(a, b):
+    """The length of a longest common subsequence, by its table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_shared_lines_against_the_table():
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        a, b = ([f"l{x}" for x in rng.integers(0, int(rng.integers(1, 9)), int(rng.integers(0, 14)))] for _ in range(2))
+        found = sorted(shared_lines(a, b))
+        left = iter(b)
+        assert len(found) == longest_common(a, b) and all(a[i] in left for i in found)  # a subsequence of both
+
+
+def test_main_text_of_pages_without_telling_tags(spark):
+    """Nothing but the alignment tells the article: no article element, no class names.  Any number of ranges gives the same."""
+    top, bottom = "<div>Home of things and contact</div><div>Please mind this notice about the site</div>", "<div>Some rights are kept by somebody</div>"
+    page = lambda i: f"{top}<div>Story {i} begins with words of its own {i * 7}</div><div>and goes on {i} for a while {i * 3} and ends</div>{bottom}"
+    rows = [(i, f"https://plain.org/s/{i:03}", page(i)) for i in range(60)] + [(100 + i, f"https://plain.org/s/020/{i}", page(20)) for i in range(25)] + [(200 + i, "https://one.org/p", page(i)) for i in range(3)]
+    rows += [(300, "https://alone.org/x", page(300)), (301, None, page(301)), (None, "https://plain.org/s/030", page(99))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story {i} begins with words of its own {i * 7} and goes on {i} for a while {i * 3} and ends" for i in range(100)}
+    results = []
+    for parts in (1, 2, 9, 40, 200):
+        got = sorted((r.page_id or 0, r.url or "", r.text) for r in extract_main_text(frame.repartition(3), parts).collect())
+        results.append(got)
+        assert len(got) == len(rows)
+    assert all(r == results[0] for r in results)
+    text = {(i, u): t for i, u, t in results[0]}
+    assert all(text[i, f"https://plain.org/s/{i:03}"] == want[i] for i in range(60)) and all(text[100 + i, f"https://plain.org/s/020/{i}"] == want[20] for i in range(25))
+    assert all(text[200 + i, "https://one.org/p"] == want[i] for i in range(3)) and text[0, "https://plain.org/s/030"] == want[99]
+    assert "mind this notice" in text[300, "https://alone.org/x"] and "mind this notice" in text[301, ""]  # nothing to tell them by
+
+
+def test_main_text_by_ranges_of_real_pages(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    one, many = (sorted((r.page_id, r.url, r.text) for r in extract_main_text(pages, n).collect()) for n in (1, 23))
+    assert one == many
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 def sets_of(text, k):
     w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if x]
@@ -322,6 +367,67 @@ def test_packing_of_odd_rows(spark, odd):
     assert pack_documents(odd.limit(0), WORDS).count() == 0
 
 
+def fewest_bins(lengths, capacity):
+    """By trying every way: pieces in order, each into every open bin or a new one."""
+    best = len(lengths)
+
+    def put(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lengths):
+            best = len(room)
+            return
+        for j in {r: j for j, r in enumerate(room) if r >= lengths[i]}.values():
+            put(i + 1, [r - lengths[i] * (k == j) for k, r in enumerate(room)])
+        put(i + 1, [*room, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_bounds_and_evolution_of_bins():
+    rng = np.random.default_rng(10)
+    for _ in range(40):
+        x = sorted(rng.integers(1, 21, int(rng.integers(1, 11))).tolist(), reverse=True)
+        least = fewest_bins(x, 20)
+        b = Bins(x, 20)
+        b.best_fit(list(range(len(x))))
+        found = evolve(x, 20, [b.labels()], 1, 30)
+        assert least_bins(x, 20) <= least <= len(found.items) <= len(b.items)
+        assert sorted(i for g in found.items for i in g) == list(range(len(x))) and max(found.fill) <= 20
+    better = 0
+    for seed in range(8):
+        x = np.random.default_rng(100 + seed).integers(150, 450, 80).tolist()
+        b = Bins(x, 1000)
+        b.best_fit(list(range(len(x))))
+        found = len(evolve(x, 1000, [b.labels()], seed, 150).items)
+        assert least_bins(x, 1000) <= found <= len(b.items)
+        better += found < len(b.items)
+    assert better >= 3
+
+
+def test_packing_levels_and_islands(spark):
+    """Many small blocks: what they leave is dealt again; islands save bins that best fit does not."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(150, 450, 1600).tolist()
+    frame = spark.createDataFrame(list(enumerate(x)), "pid long, length long").repartition(3)
+
+    def bins(**how):
+        rows = pack_lengths(frame, 1000, **how).collect()
+        at: dict = {}
+        for r in rows:
+            at.setdefault(r.sequence_id, []).append((r.offset, x[r.pid]))
+        assert sorted(r.pid for r in rows) == list(range(len(x)))
+        for b in at.values():
+            b.sort()
+            assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 1000
+        return len(at)
+
+    plain, evolved = bins(block=80, epochs=0), bins(block=80, generations=150)
+    assert least_bins(x, 1000) <= evolved < plain
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------
 def test_leaks_reordered_or_not_by_both_ways(spark, odd):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
