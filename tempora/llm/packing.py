@@ -31,7 +31,7 @@ CAPACITY, BLOCK, FULL = 4096, 6000, 0.998
 #: The pattern of word_bpe_49k.json, for chunks in which all letters are Latin.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks and words that a worker remembers; once full, they only serve.
-MOST_CHUNKS, MOST_WORDS = 100_000, 80_000
+MOST_CHUNKS, MOST_WORDS = 80_000, 200_000
 
 
 class ChunkIds:
