@@ -30,8 +30,8 @@ from tempora.llm.common import cut, numbered_words, prepare, reads, release, sli
 CAPACITY, BLOCK, FULL = 4096, 6000, 0.998
 #: The pattern of word_bpe_49k.json, for chunks in which all letters are Latin.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Chunks and words that a worker remembers; once full, they only serve.
-MOST_CHUNKS, MOST_WORDS = 80_000, 200_000
+#: Chunks and words that a worker remembers (some 200 bytes each); once full, they only serve.
+REMEMBER = (700_000, 500_000)
 
 
 class ChunkIds:
@@ -42,7 +42,8 @@ class ChunkIds:
     chunk are those of its words, each of which ends in a token that ends words.  Words not yet known are encoded together.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: tuple[int, int] = REMEMBER):
+        self.most_chunks, self.most_words = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,7 +81,7 @@ class ChunkIds:
         known = self.words
         for c, ws in split.items():
             out[c] = b"".join([known[w] if w in known else fresh[w] for w in ws])
-        if len(known) < MOST_WORDS:
+        if len(known) < self.most_words:
             known |= fresh
         return out
 
@@ -91,7 +92,7 @@ class ChunkIds:
         missing = [c for c, x in zip(chunks, found, strict=True) if x is None and c]
         fresh = self._resolve(missing)
         raw = [fresh.get(c, b"") if x is None else x for c, x in zip(chunks, found, strict=True)]
-        if len(self.chunks) < MOST_CHUNKS:
+        if len(self.chunks) < self.most_chunks:
             self.chunks |= fresh
         ids = np.frombuffer(b"".join(raw), "<u4")
         size = np.array([len(x) // 4 for x in raw], np.int64)
@@ -106,23 +107,23 @@ class ChunkIds:
         return out
 
 
-_CODERS: dict[str, ChunkIds] = {}
+_CODERS: dict[tuple, ChunkIds] = {}
 
 
-def coder(path: str) -> ChunkIds:
+def coder(path: str, remember: tuple[int, int]) -> ChunkIds:
     """One for each worker process, kept between tasks."""
-    if path not in _CODERS:
-        _CODERS[path] = ChunkIds(path)
-    return _CODERS[path]
+    if (path, remember) not in _CODERS:
+        _CODERS[path, remember] = ChunkIds(path, remember)
+    return _CODERS[path, remember]
 
 
-def _pieces(path: str, end: int, capacity: int, with_ids: bool):
+def _pieces(path: str, end: int, capacity: int, with_ids: bool, remember: tuple[int, int]):
     tail = np.array([end], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
-        for batch in slices(batches):
+        c = coder(path, remember)
+        for batch in slices(batches, most=4 << 20):
             cols: list[list] = [[] for _ in names]
             for doc, found in zip(batch.column("doc_id").to_pylist(), c.encode_all(batch.column("text")), strict=True):
                 ids = found.tobytes() + tail
@@ -362,15 +363,16 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2,
     return done
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY, with_ids: bool = False, **how) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY, with_ids: bool = False, remember: tuple[int, int] = REMEMBER, **how) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece of docs (doc_id, text, ...).
 
     A document is its ids followed by ``end``; null and empty texts are the end alone.  Longer ones, of any length, are cut
     into pieces of ``capacity``.  Of solutions with equally few bins the one with fuller bins is taken, then that of the first
     island; in best fit longer pieces come first, then those that the scan met first.  Repeated rows and rows without doc_id are packed each for itself; extra columns are
-    ignored; an empty table gives an empty result.  ``path`` is a tokenizer file that every executor can read.
+    ignored; an empty table gives an empty result.  ``path`` is a tokenizer file that every executor can read; ``remember``, how
+    many chunks and words a worker keeps, trades its memory for time and changes no result.
     """
     prepare(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, end, capacity, with_ids), schema).withColumn("pid", F.monotonically_increasing_id()), "packing")
+    pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, end, capacity, with_ids, remember), schema).withColumn("pid", F.monotonically_increasing_id()), "packing")
     return pieces.join(pack_lengths(pieces.select("pid", "length"), capacity, **how), "pid").drop("pid")
