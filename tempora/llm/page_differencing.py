@@ -314,10 +314,10 @@ def extract_main_text(pages: DataFrame, parts: int | None = None) -> DataFrame:
     cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     edges = pages.mapInArrow(_edges(cuts), "part int, last boolean, fp long, path string, page_id long, url string")
     place_of = F.struct("path", F.coalesce("page_id", F.lit(0)).alias("k"), F.coalesce("url", F.lit("")).alias("u"), "page_id", "url")
-    first = edges.where("not last").groupBy("part", "last", "fp").agg(F.min(place_of).alias("at"))
-    last = edges.where("last").groupBy("part", "last", "fp").agg(F.max(place_of).alias("at"))
-    rank = lambda d, order: d.withColumn("_n", F.row_number().over(Window.partitionBy("part").orderBy(order, "fp"))).where(F.col("_n") <= REACH + 1)
-    found = rank(first, F.asc("at")).unionByName(rank(last, F.desc("at"))).select("part", "last", "fp", "at.path", "at.page_id", "at.url")
+    near = edges.groupBy("part", "last", "fp").agg(F.min(place_of).alias("low"), F.max(place_of).alias("high")).withColumn("at", F.when(F.col("last"), F.col("high")).otherwise(F.col("low")))
+    side = Window.partitionBy("part", "last")
+    near = near.withColumn("up", F.row_number().over(side.orderBy("at", "fp"))).withColumn("down", F.row_number().over(side.orderBy(F.desc("at"), "fp")))
+    found = near.where(F.when(F.col("last"), F.col("down")).otherwise(F.col("up")) <= REACH + 1).select("part", "last", "fp", "at.path", "at.page_id", "at.url")
     rows = [r.asDict() for r in found.collect()] if cuts else []  # at most 2 * (REACH + 1) a range
     beside = spark.sparkContext.broadcast(_beside(rows, cuts))
     dealt = pages.mapInArrow(_dealt(cuts, beside), "part int, host string, path string, page_id long, url string, fp long, own boolean, packed binary")
