@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,14 +35,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of batches in slices of at most SLICE_BYTES of the column (or one row) and SLICE_ROWS rows; nothing is copied."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of at most ``most`` bytes of the column (or one row) and SLICE_ROWS rows; nothing is copied."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         upto, at = np.cumsum(size), 0
         while at < batch.num_rows:
             before = upto[at - 1] if at else 0
-            end = min(max(at + 1, int(np.searchsorted(upto, before + SLICE_BYTES, "right"))), at + SLICE_ROWS)
+            end = min(max(at + 1, int(np.searchsorted(upto, before + most, "right"))), at + SLICE_ROWS)
             yield batch.slice(at, end - at)
             at = end
 
@@ -51,10 +52,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named and Spark runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
