@@ -105,7 +105,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are pieces of one token, the end; longer documents than a sequence are cut; repeated rows and rows
     without doc_id are packed each for itself; an empty table gives an empty result.
     """
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers that have run four stages before have less room to remember in
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=(80_000, 200_000))
 
 
 STAGES = [
