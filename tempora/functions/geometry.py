@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Results depend on these sizes.
-OUT_W, OUT_H, SPLIT_TOP, CAM_FACE_SHARE = 1080, 1920, 656, 0.40
+OUT_W, OUT_H, SPLIT_TOP, CAM_FACE_SHARE = 1080, 1920, 656, 0.20
 
 
 def _i(c: Column) -> Column:
@@ -82,3 +82,33 @@ def fit_band(fitted: Column) -> Column:
     """struct(top, bottom) of a fit_box in the output frame."""
     inner = OUT_W * fitted["h"] / fitted["w"]
     return F.struct(((OUT_H - inner) / 2).alias("top"), ((OUT_H + inner) / 2).alias("bottom"))
+
+
+def head_top(kind: Column, person: Column, fitted: Column, height: Column) -> Column:
+    """Where the top of the (upper) person's head lands in the output; fitted is the window that shows them.  Null where nobody is followed.
+
+    person is struct(cx, cy, w, h); without h it is 1.2 of the width.
+    """
+    out_h = F.when(kind == "stack", OUT_H // 2).otherwise(OUT_H)
+    hairline = (person["cy"] - 0.85 * F.coalesce(person["h"], person["w"] * 1.2)) * height
+    seen = (kind == "stack") | ((kind == "crop") & (person["h"] > 0))
+    return F.when(seen, F.greatest(F.lit(0.0), (hairline - fitted["y"]) * out_h / fitted["h"]))
+
+
+def layout_graph(kind: Column, first: Column, second: Column, inner: Column, whole: Column, tag: Column) -> Column:
+    """The filter graph from one picture to a 1080 x 1920 frame.  first and second are windows (second for two pictures only),
+    inner the height of a fitted picture, whole whether it is all of the frame.  Fixed values: an encoder reads these texts.
+    """
+    crop = lambda b: F.format_string("crop=%d:%d:%d:%d", b["w"], b["h"], b["x"], b["y"])
+    t = lambda s: F.concat(F.lit("["), tag, F.lit(f"{s}]"))
+    split = F.concat(F.lit("split=2"), t("a"), t("b"), F.lit(";"))
+
+    def two(top: int, bottom: int) -> Column:
+        return F.concat(split, t("a"), crop(first), F.lit(f",scale={OUT_W}:{top}:flags=bicubic"), t("t"), F.lit(";"), t("b"), crop(second), F.lit(f",scale={OUT_W}:{bottom}:flags=bicubic"), t("u"), F.lit(";"), t("t"), t("u"), F.lit("vstack=inputs=2,setsar=1"))
+
+    blurred = F.lit(f"scale={OUT_W // 4}:{OUT_H // 4}:force_original_aspect_ratio=increase,crop={OUT_W // 4}:{OUT_H // 4},boxblur=10:2,scale={OUT_W}:{OUT_H}:flags=bilinear,eq=brightness=-0.12:saturation=0.9")
+    fit = F.concat(
+        F.when(whole, "").otherwise(F.concat(crop(first), F.lit(","))), split, t("a"), blurred, t("g"), F.lit(";"), t("b"),
+        F.format_string(f"scale={OUT_W}:%d:flags=bicubic", inner), t("f"), F.lit(";"), t("g"), t("f"), F.lit("overlay=(W-w)/2:(H-h)/2,setsar=1"),
+    )
+    return F.when(kind == "crop", F.concat(crop(first), F.lit(f",scale={OUT_W}:{OUT_H}:flags=bicubic,setsar=1"))).when(kind == "stack", two(OUT_H // 2, OUT_H // 2)).when(kind == "split", two(SPLIT_TOP, OUT_H - SPLIT_TOP)).otherwise(fit)

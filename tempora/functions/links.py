@@ -59,6 +59,19 @@ def classify(url: Column | str) -> Column:
     return F.when(host.isin(TWITCH_HOSTS), twitch).when(host.isin(KICK_HOSTS), kick).when(host.isNotNull(), listed)
 
 
+def is_long(url: Column | str, kind: Column | str) -> Column:
+    """Whether a recording is skimmed first: a stream's link, or what its client says is a stream."""
+    return classify(url).isNotNull() | F.coalesce(_c(kind) == "stream", F.lit(False))
+
+
+def channel_name(value: Column | str, platform: str) -> Column:
+    """A channel from its name, @name or link; empty for none, null for what is no channel of the platform."""
+    v = F.trim(F.coalesce(_c(value), F.lit("")))
+    host = "twitch.tv" if platform == "twitch" else "kick.com"
+    found = classify(F.when(v.contains("://"), v).otherwise(F.concat(F.lit(f"https://{host}/"), F.ltrim(v, F.lit("@")))))
+    return F.when(v == "", "").when((found["platform"] == platform) & (found["kind"] == "channel"), found["key"])
+
+
 def channel_url(platform: Column | str, channel: Column | str) -> Column:
     return F.concat(F.when(_c(platform) == "twitch", "https://www.twitch.tv/").otherwise("https://kick.com/"), _c(channel))
 

@@ -5,6 +5,7 @@ Patterns spell out ``[^\\p{L}\\p{N}_]`` for "not a word character", which both J
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -48,6 +49,11 @@ def bare(text: Column | str) -> Column:
     return F.lower(F.regexp_replace(_c(text), f"^{NOT_WORD}+|{NOT_WORD}+$", ""))
 
 
+def bare_of(text: str) -> str:
+    """bare() of one word of a rule, on the driver."""
+    return re.sub(r"^[^\w]+|[^\w]+$", "", text).lower()
+
+
 def is_sentence_end(text: Column | str) -> Column:
     """Ends in . ? or ! before closing marks, and is no abbreviation."""
     core = _right_strip(_c(text), CLOSERS)
@@ -165,7 +171,45 @@ def slug(text: Column | str, most: int = 40, decompose: bool = True) -> Column:
 
 
 def picker_line(picker: Column | str, model: Column | str) -> Column:
-    return F.when(_c(picker) == "claude", F.format_string("Picked by Claude (%s).", _c(model))).otherwise(F.lit("Picked by the built-in fallback picker."))
+    """Who picked: a model by its family's name, or the fallback."""
+    return F.when(_c(picker) != "heuristic", F.format_string("Picked by %s (%s).", F.initcap(_c(picker)), _c(model))).otherwise(F.lit("Picked by the built-in fallback picker."))
+
+
+def wrapped_title(title: Column | str, size: float, width: float = 840.0, most: int = 3) -> Column:
+    """A headline in the fewest lines that fit, as even as can be (of equally even ones the earliest breaks); a character is
+    0.62 of the size wide.  Too long for ``most`` lines, it is filled line by line and cut with an ellipsis.
+    """
+    room = int(width / (size * 0.62) + 1e-9)
+    words = F.filter(F.split(_c(title), r"\s+"), lambda w: w != "")
+    n = F.size(words)
+    upto = F.transform(F.sequence(F.lit(0), n), lambda k: F.char_length(F.array_join(F.slice(words, F.lit(1), k), " ")))
+    long = lambda a, b: F.get(upto, b) - F.get(upto, a) - F.when(a > 0, 1).otherwise(0)
+    line = lambda a, b: F.array_join(F.slice(words, a + 1, b - a), " ")
+    none = F.array().cast("array<struct<widest:int,a:int,b:int>>")
+    way = lambda widest, a, b: F.struct(widest.cast("int").alias("widest"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+    two = F.array_min(F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda a: way(F.greatest(long(F.lit(0), a), long(a, n)), a, a))).otherwise(none))
+    ways = F.transform(F.sequence(F.lit(1), n - 2), lambda a: F.transform(F.sequence(a + 1, n - 1), lambda b: way(F.greatest(long(F.lit(0), a), long(a, b), long(b, n)), a, b)))
+    three = F.array_min(F.when(n > 2, F.flatten(ways)).otherwise(none))
+
+    def fill(lines: Column, w: Column) -> Column:
+        now = F.concat_ws(" ", F.nullif(F.element_at(lines, -1), F.lit("")), w)
+        full = (F.element_at(lines, -1) != "") & (F.char_length(now) > room)
+        return F.when(full, F.concat(lines, F.array(w))).otherwise(F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(now)))
+
+    filled = F.slice(F.aggregate(words, F.array(F.lit("")), fill), 1, most)
+    cut = F.concat(F.slice(filled, F.lit(1), F.size(filled) - 1), F.array(F.concat(_right_strip(F.element_at(filled, -1), ".,;:"), F.lit("…"))))
+    out = F.when(n == 0, F.array().cast("array<string>")).when(F.get(upto, n) <= room, F.array(F.array_join(words, " ")))
+    if most >= 2:
+        out = out.when(two["widest"] <= room, F.array(line(F.lit(0), two["a"]), line(two["a"], n)))
+    if most >= 3:
+        out = out.when(three["widest"] <= room, F.array(line(F.lit(0), three["a"]), line(three["a"], three["b"]), line(three["b"], n)))
+    return out.otherwise(cut)
+
+
+def inline_colour(colour: Column | str) -> Column:
+    """#RRGGBB as a colour tag inside a subtitle line."""
+    c = _c(colour)
+    return F.concat(F.lit("\\c&H"), F.upper(F.concat(F.substring(c, 6, 2), F.substring(c, 4, 2), F.substring(c, 2, 2))), F.lit("&"))
 
 
 def explain_failure(message: Column | str) -> Column:
@@ -178,6 +222,7 @@ def explain_failure(message: Column | str) -> Column:
             out = out | low.contains(s)
         return out
 
+    # Results depend on these signs.
     return (
         F.when(has("proxy", "timed out", "name or service not known", "temporary failure in name", "connection reset", "connection refused"), "unreachable")
         .when(has("subscriber-only", "logged into an account"), "subscribers")

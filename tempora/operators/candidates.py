@@ -6,38 +6,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import text as T
+from tempora.operators.temporal import overlap_join, part_at
 
 
-def clip_candidates(sentences: DataFrame, low: float = 20.0, high: float = 60.0, edges: float = 600.0) -> DataFrame:
+def clip_candidates(sentences: DataFrame, low: float = 20.0, high: float = 60.0, edges: float = 600.0, parts: DataFrame | None = None) -> DataFrame:
     """(rec_id, first, last, score, length): for each sentence the best end, and its score.
 
-    Ends lie at most ``high`` seconds on, so each sentence meets only those of its own and the next time bucket.
+    Ends lie at most ``high`` seconds on, so each sentence meets only those of its own and the next time bucket.  A clip
+    stays in one part of a recording that has parts; the edges of other long recordings cost two points.
     """
     target = low + (high - low) * 0.4
     w = Window.partitionBy("rec_id").orderBy("idx")
     pause = F.coalesce(F.col("start") - F.lag("end").over(w), F.lit(1.0))
     s = sentences.withColumn("pause", pause).withColumn("opener", T.opener_score("text", "pause")).withColumn("house", T.is_housekeeping("text").cast("int"))
+    if parts is None:
+        s = s.withColumn("stretch", F.lit(0)).withColumn("whole", F.lit(True))
+    else:
+        s = part_at(s.withColumn("t", F.col("start")), parts).withColumn("whole", F.col("part_idx").isNull())
+        left = F.coalesce((F.lag("part_idx").over(w) != F.col("part_idx")).cast("int"), F.lit(0))
+        s = s.withColumn("_left", left).withColumn("stretch", F.sum("_left").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     s = s.withColumn("after", F.coalesce(F.lead("pause").over(w), F.lit(1.0))).withColumn("next_opener", F.lead("opener").over(w))
     s = s.withColumn("houses", F.sum("house").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.max("end").over(Window.partitionBy("rec_id")))
     clean = F.right(F.rtrim(F.col("text"), F.lit("\"')”’")), F.lit(1)).isin(".", "!")
     s = s.withColumn("ending", F.when(clean, 1.0).otherwise(0.0) + F.least(F.lit(2.0), F.col("after") * 2) + F.when(F.col("next_opener") >= 2, 1.0).otherwise(0.0))
-    a = s.select("rec_id", F.col("idx").alias("first"), F.col("start").alias("a_start"), "opener", (F.col("houses") - F.col("house")).alias("houses_before"), F.col("first").alias("first_word"), "total").withColumn("bucket", F.explode(F.array(F.floor(F.col("a_start") / high), F.floor(F.col("a_start") / high) + 1)))
-    b = s.select("rec_id", F.col("idx").alias("j"), F.col("end").alias("b_end"), "ending", "houses", F.col("last").alias("last_word")).withColumn("bucket", F.floor(F.col("b_end") / high))
+    a = s.select("rec_id", F.col("idx").alias("first"), F.col("start").alias("a_start"), "opener", (F.col("houses") - F.col("house")).alias("houses_before"), F.col("first").alias("first_word"), "total", "whole", "stretch").withColumn("bucket", F.explode(F.array(F.floor(F.col("a_start") / high), F.floor(F.col("a_start") / high) + 1)))
+    b = s.select("rec_id", F.col("idx").alias("j"), F.col("end").alias("b_end"), "ending", "houses", F.col("last").alias("last_word"), "stretch").withColumn("bucket", F.floor(F.col("b_end") / high))
     length = F.col("b_end") - F.col("a_start")
-    pairs = a.join(b, ["rec_id", "bucket"]).where((F.col("j") >= F.col("first")) & (length >= low) & (length <= high)).withColumn("length", length)
+    pairs = a.join(b, ["rec_id", "bucket", "stretch"]).where((F.col("j") >= F.col("first")) & (length >= low) & (length <= high)).withColumn("length", length)
     value = F.col("ending") + (1 - F.least(F.lit(1.0), F.abs(F.col("length") - target) / max(target, 1.0)))
-    best = pairs.withColumn("value", value).groupBy("rec_id", "first", "opener", "houses_before", "first_word", "total", "a_start").agg(F.max_by(F.struct("j", "value", "length", "houses", "last_word", "b_end"), F.struct("value", -F.col("j"))).alias("m"))
+    best = pairs.withColumn("value", value).groupBy("rec_id", "first", "opener", "houses_before", "first_word", "total", "whole", "a_start").agg(F.max_by(F.struct("j", "value", "length", "houses", "last_word", "b_end"), F.struct("value", -F.col("j"))).alias("m"))
     words = F.col("m.last_word") - F.col("first_word") + 1
     score = F.col("opener") * 2 + F.col("m.value") + F.least(F.lit(1.5), words / F.greatest(F.col("m.length"), F.lit(1.0)) / 2) - 4 * (F.col("m.houses") - F.col("houses_before"))
-    score = score - F.when((F.col("total") > edges) & ((F.col("a_start") < F.col("total") * 0.03) | (F.col("m.b_end") > F.col("total") * 0.97)), 2.0).otherwise(0.0)
+    score = score - F.when(F.col("whole") & (F.col("total") > edges) & ((F.col("a_start") < F.col("total") * 0.03) | (F.col("m.b_end") > F.col("total") * 0.97)), 2.0).otherwise(0.0)
     return best.select("rec_id", "first", F.col("m.j").alias("last"), F.round(score, 6).alias("score"), F.col("m.length").alias("length"))
 
 
-def trimmed_back(picks: DataFrame, sentences: DataFrame, low: float, high: float) -> DataFrame:
-    """Picks cut back by whole sentences to 1.1 * high seconds, five points each; those still out of range are dropped."""
+def trimmed_back(picks: DataFrame, sentences: DataFrame, low: float, high: float, parts: DataFrame | None = None) -> DataFrame:
+    """Picks (rec_id, pick_id, first, last, title, score) cut back by whole sentences to 1.1 * high seconds, five points each.
+
+    Those that point at no sentences, have no title, begin and end in different parts or are still out of range go.  asked is
+    the score before.
+    """
     a = sentences.select("rec_id", F.col("idx").alias("first"), F.col("start").alias("a_start"))
+    z = sentences.select("rec_id", F.col("idx").alias("last"), F.col("start").alias("z_start"))
     b = sentences.select("rec_id", F.col("idx").alias("j"), F.col("end").alias("b_end"))
-    reach = picks.join(a, ["rec_id", "first"]).join(b, "rec_id").where((F.col("j") >= F.col("first")) & (F.col("j") <= F.col("last")))
+    sound = picks.where("first <= last and coalesce(title, '') <> ''").join(a, ["rec_id", "first"]).join(z, ["rec_id", "last"])
+    if parts is not None:
+        owner = lambda d, at, name: part_at(d.withColumn("t", F.col(at)), parts).withColumnRenamed("part_idx", name).drop("t", "origin_time")
+        sound = owner(owner(sound, "a_start", "_p"), "z_start", "_q").where("_p <=> _q").drop("_p", "_q")
+    reach = sound.drop("z_start").join(b, "rec_id").where((F.col("j") >= F.col("first")) & (F.col("j") <= F.col("last")))
     fits = reach.where((F.col("b_end") - F.col("a_start") <= high * 1.1) | (F.col("j") == F.col("first")))
     best = fits.groupBy("rec_id", "pick_id", "first", "last", "score", "a_start").agg(F.max(F.struct("j", "b_end")).alias("m"))
     length = F.col("m.b_end") - F.col("a_start")
@@ -45,22 +62,27 @@ def trimmed_back(picks: DataFrame, sentences: DataFrame, low: float, high: float
 
 
 def stretch_candidates(lines: DataFrame, loud: DataFrame, hints: DataFrame, span: float, least_words: int = 12) -> DataFrame:
-    """(rec_id, idx, start, end, score, words): what begins at each line and lasts ``span`` seconds, scored by its talk, loud moments and hints."""
-    t = F.lower("text")
-    marks = F.char_length("text") - F.char_length(F.regexp_replace("text", "[!?]", ""))
-    l = lines.select("*", F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).alias("n"), marks.alias("marks"), F.regexp_count(t, F.lit(T.EXCITED)).alias("excited"), F.regexp_count(t, F.lit(T.DULL)).alias("dull"))
+    """(rec_id, idx, start, end, score, words, why): what begins at each line and lasts ``span`` seconds, scored by its talk,
+    its first two loud moments and the views of hints within 15 seconds.  Phrases are looked for in the talk as a whole.
+    """
+    l = lines.select("*", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n"))
     a = l.select("rec_id", "idx", F.col("start").alias("a_start"), F.explode(F.sequence(F.floor(F.col("start") / span), F.floor(F.col("start") / span) + 1)).alias("bucket"))
-    b = l.select("rec_id", F.col("idx").alias("j"), "end", "n", "marks", "excited", "dull", F.floor(F.col("end") / span).alias("bucket"))
+    b = l.select("rec_id", F.col("idx").alias("j"), "end", "n", "text", F.floor(F.col("end") / span).alias("bucket"))
     near = a.join(b, ["rec_id", "bucket"]).where((F.col("j") >= F.col("idx")) & (F.col("end") <= F.col("a_start") + span))
-    c = near.groupBy("rec_id", "idx", F.col("a_start").alias("start")).agg(F.max_by("end", "j").alias("end"), *[F.sum(x).alias(x) for x in ("n", "marks", "excited", "dull")]).where(F.col("n") >= least_words)
+    said = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "text"))), lambda x: x["text"]), " "))
+    c = near.groupBy("rec_id", "idx", F.col("a_start").alias("start")).agg(F.max_by("end", "j").alias("end"), F.sum("n").alias("n"), said.alias("talk")).where(F.col("n") >= least_words)
+    c = c.select("rec_id", "idx", "start", "end", "n", (F.char_length("talk") - F.char_length(F.regexp_replace("talk", "[!?]", ""))).alias("marks"), F.regexp_count("talk", F.lit(T.EXCITED)).alias("excited"), F.regexp_count("talk", F.lit(T.DULL)).alias("dull"))
     at = loud.select("rec_id", F.col("at").alias("l_at"), F.col("end").alias("l_end"), "lift")
-    e = c.select("rec_id", "idx", "start", "end").join(at, "rec_id").where((F.col("l_at") <= F.col("end")) & (F.col("l_end") >= F.col("start")))
+    e = overlap_join(c.select("rec_id", "idx", "start", "end"), at, span, "start", "end", "l_at", "l_end")
     e = e.withColumn("r", F.row_number().over(Window.partitionBy("rec_id", "idx").orderBy("l_at"))).where("r <= 2").groupBy("rec_id", "idx").agg(F.sum(2.0 + F.col("lift") / 4).alias("loud_score"))
-    h = c.select("rec_id", "idx", "start", "end").join(hints.select("rec_id", F.col("at").alias("h_at"), "views"), "rec_id").where((F.col("h_at") >= F.col("start") - 15) & (F.col("h_at") <= F.col("end") + 15))
+    wide = c.select("rec_id", "idx", (F.col("start") - 15).alias("start"), (F.col("end") + 15).alias("end"))
+    h = overlap_join(wide, hints.select("rec_id", F.col("at").alias("h_at"), F.col("at").alias("h_end"), "views"), span, "start", "end", "h_at", "h_end")
     h = h.groupBy("rec_id", "idx").agg(F.least(F.lit(4.0), 1.5 * F.log10(F.sum("views") + 10)).alias("hint_score"))
     score = 2.0 * F.least(F.lit(2.5), F.col("n") / span) + 0.6 * F.least(F.lit(6), F.col("marks")) + 1.0 * F.least(F.lit(5), F.col("excited")) - 3.0 * F.col("dull")
     score = score + F.coalesce("loud_score", F.lit(0.0)) + F.coalesce("hint_score", F.lit(0.0))
-    return c.join(e, ["rec_id", "idx"], "left").join(h, ["rec_id", "idx"], "left").select("rec_id", "idx", "start", "end", F.round(score, 6).alias("score"), F.col("n").alias("words"))
+    reasons = F.concat_ws(", ", F.lit("lively talk"), F.when(F.col("loud_score").isNotNull(), "a loud moment"), F.when(F.col("hint_score").isNotNull(), "viewer clips nearby"))
+    found = c.join(e, ["rec_id", "idx"], "left").join(h, ["rec_id", "idx"], "left")
+    return found.select("rec_id", "idx", "start", "end", F.round(score, 6).alias("score"), F.col("n").alias("words"), F.concat(F.lit("Chosen by the built-in fallback: "), reasons, F.lit(".")).alias("why"))
 
 
 def padded_windows(stretches: DataFrame, totals: DataFrame, wanted: int, high: float = 60.0, before: float = 20.0, after: float = 12.0, most: float = 300.0) -> DataFrame:
@@ -100,7 +122,70 @@ def merged_windows(windows: DataFrame, touch: float = 8.0, most: float = 300.0,
     return folded.select("rec_id", "idx", "m.start", "m.end", "m.why", "m.score")
 
 
-def text_chunks(lines: DataFrame, budget: int = 450_000) -> DataFrame:
-    """lines with chunk: a budget of characters for one prompt, dealt by running sums."""
-    w = Window.partitionBy("rec_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("chunk", F.floor(F.coalesce(F.sum(F.char_length("text") + 1).over(w), F.lit(0)) / budget))
+def text_chunks(lines: DataFrame, budget: int = 450_000, overhead: int = 20) -> DataFrame:
+    """lines with chunk: as many prompts of equally many lines as the characters (and an overhead a line) need budgets."""
+    w = Window.partitionBy("rec_id")
+    parts = F.ceil(F.sum(F.char_length("text") + overhead).over(w) / budget)
+    place = F.row_number().over(w.orderBy("idx")) - 1
+    x = lines.withColumn("_parts", parts).withColumn("_n", F.count("*").over(w)).withColumn("_place", place)
+    return x.withColumn("chunk", F.floor(F.col("_place") / F.ceil(F.col("_n") / F.col("_parts")))).drop("_parts", "_n", "_place")
+
+
+def line_marks(loud: DataFrame, views: DataFrame) -> DataFrame:
+    """(rec_id, idx, marks): what a prompt adds to a line, from the lines that are loud and the views near each line."""
+    l = loud.select("rec_id", "idx", F.lit("{LOUD}").alias("a"))
+    v = views.select("rec_id", "idx", F.concat(F.lit("{CLIPPED "), F.col("views").cast("string"), F.lit("}")).alias("b"))
+    return l.join(v, ["rec_id", "idx"], "full").select("rec_id", "idx", F.concat_ws(" ", "a", "b").alias("marks"))
+
+
+def shortlist_prompts(lines: DataFrame, marks: DataFrame, recordings: DataFrame, wanted: int, low: int = 20, high: int = 60, budget: int = 450_000) -> DataFrame:
+    """(rec_id, chunk, prompt): what a model is asked about each stretch of lines of recordings (rec_id, brief, title, duration, notes)."""
+    fact = lambda label, c: F.when(F.coalesce(T.one_line(c, 1_000_000), F.lit("")) != "", F.concat(F.lit(label + ": "), T.one_line(c, 1_000_000), F.lit("\n"))).otherwise("")
+    said = F.concat(F.format_string("[%d] ", "idx"), T.clock("start"), F.lit(" "), "text", F.coalesce(F.concat(F.lit(" "), "marks"), F.lit("")))
+    x = text_chunks(lines, budget).join(marks, ["rec_id", "idx"], "left").withColumn("_line", said).withColumn("_all", F.count("*").over(Window.partitionBy("rec_id")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "_line"))), lambda r: r["_line"]), "\n")
+    per = x.groupBy("rec_id", "chunk", "_all").agg(F.count("*").alias("_n"), F.min("idx").alias("_a"), F.max("idx").alias("_b"), body.alias("_body")).join(recordings, "rec_id")
+    share = F.greatest(F.lit(3), F.bround(F.lit(wanted) * F.col("_n") / F.col("_all"), 0).cast("int") + 2)
+    part = F.when(F.col("_n") < F.col("_all"), F.format_string("This is one part of the recording: lines %d to %d.\n", "_a", "_b")).otherwise("")
+    asked = F.concat(
+        F.format_string(f"Shortlist up to %d stretches, best first. The clips cut from them will each run {low} to {high} seconds.\n", share), fact("Recording", "title"),
+        F.lit("Length: "), T.clock("duration"), F.lit("\n"), fact("Editor's notes for this recording", "notes"), part,
+    )
+    prompt = F.concat(F.lit("<brief>\n"), F.coalesce("brief", F.lit("")), F.lit("</brief>\n\n<request>\n"), asked, F.lit("</request>\n\n<transcript>\n"), "_body", F.lit("\n</transcript>"))
+    return per.select("rec_id", "chunk", prompt.alias("prompt"))
+
+
+def clip_prompts(sentences: DataFrame, parts: DataFrame, recordings: DataFrame, wanted: int, low: int = 20, high: int = 60) -> DataFrame:
+    """(rec_id, prompt): what a model is asked about the sentences of recordings (rec_id, brief, title, duration, notes), under a heading for each part (rec_id, idx, start, end, origin, why)."""
+    fact = lambda label, c: F.when(T.one_line(c, 1_000_000) != "", F.concat(F.lit(label + ": "), T.one_line(c, 1_000_000), F.lit("\n"))).otherwise("")
+    w = Window.partitionBy("rec_id").orderBy("idx")
+    s = part_at(sentences.withColumn("t", F.col("start")), parts)
+    s = s.join(parts.select("rec_id", F.col("idx").alias("part_idx"), F.col("origin").alias("_origin"), "why"), ["rec_id", "part_idx"], "left")
+    why = F.when(F.coalesce("why", F.lit("")) != "", F.concat(F.lit(" First pass: "), "why")).otherwise("")
+    head = F.concat(F.format_string("\n--- Stretch %d, starting ", F.col("part_idx") + 1), T.clock("_origin"), F.lit(" into the recording."), why, F.lit(" ---\n"))
+    fresh = F.col("part_idx").isNotNull() & F.coalesce(F.lag("part_idx").over(w) != F.col("part_idx"), F.lit(True))
+    row = F.concat(F.when(fresh, head).otherwise(""), F.format_string("[%d] ", "idx"), T.clock("origin_time"), F.lit(" "), "text")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "_row"))), lambda r: r["_row"]), "\n")
+    per = s.withColumn("_row", row).groupBy("rec_id").agg(F.trim(body, F.lit("\n")).alias("_body")).join(recordings, "rec_id").join(parts.groupBy("rec_id").agg(F.count("*").alias("_parts")), "rec_id", "left")
+    long = F.format_string("This is a long recording. You are seeing %d stretches of it that a first pass shortlisted, each under its own heading. A clip must come from a single stretch.\n", "_parts")
+    asked = F.concat(
+        F.lit(f"Pick the {wanted} strongest moments, best first. Each must run between {low} and {high} seconds.\n"), fact("Episode title", "title"),
+        F.when(F.col("_parts") > 0, long).otherwise(F.concat(F.lit("Episode length: "), T.clock("duration"), F.lit("\n"))), fact("Editor's notes for this episode", "notes"),
+    )
+    prompt = F.concat(F.lit("<brief>\n"), F.coalesce("brief", F.lit("")), F.lit("</brief>\n\n<request>\n"), asked, F.lit("</request>\n\n<transcript>\n"), "_body", F.lit("\n</transcript>"))
+    return per.select("rec_id", prompt.alias("prompt"))
+
+
+def with_fallback(chosen: DataFrame, fallback: DataFrame, recordings: DataFrame, failed: DataFrame, auto: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(picks, notes): a model's picks where a recording has any, else the fallback's; and what to say about it.
+
+    recordings (rec_id, asked): whether a model could be asked at all.  failed (rec_id, error): recordings whose request failed.
+    notes has rec_id, picker and note.  Fixed values: the notes are those that people read.
+    """
+    got = chosen.select("rec_id").distinct().withColumn("_got", F.lit(True))
+    r = recordings.join(got, "rec_id", "left").join(failed, "rec_id", "left").withColumn("_got", F.coalesce("_got", F.lit(False)))
+    note = F.when(F.col("_got"), "").when(F.col("error").isNotNull(), F.concat(F.lit("The model was not reachable ("), F.left("error", F.lit(200)), F.lit("), so the built-in fallback picked instead.")))
+    note = note.when(F.col("asked"), "The model returned no usable clips, so the built-in fallback picked instead.").otherwise("No credential is set, so the built-in fallback picked these." if auto else "")
+    notes = r.select("rec_id", F.when(F.col("_got"), "model").otherwise("heuristic").alias("picker"), note.alias("note"))
+    picks = chosen.unionByName(fallback.join(got, "rec_id", "left_anti").select(chosen.columns))
+    return picks, notes

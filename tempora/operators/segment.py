@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import text as T
+from tempora.operators.temporal import part_breaks
 
 
 def clean_words(words: DataFrame) -> DataFrame:
@@ -16,9 +17,25 @@ def clean_words(words: DataFrame) -> DataFrame:
     return kept.withColumn("end", F.greatest(F.col("end"), F.col("start") + 0.02))
 
 
-def hard_units(words: DataFrame, max_gap: float = 1.0, pauses: DataFrame | None = None) -> DataFrame:
-    """words with unit, soft and unit_end: units end at end punctuation, long gaps and pauses, and at the last word."""
+def rough_lines(phrases: DataFrame) -> DataFrame:
+    """(rec_id, idx, start, end, text) of a quick model's phrases (rec_id, idx, start, end, text, logprob, no_speech).
+
+    Guesses go (a low log-probability, or a fairly low one where there is hardly speech), and so do phrases that repeat the
+    one kept before.  No phrase begins earlier than its words could take to say.
+    """
+    w = Window.partitionBy("rec_id").orderBy("idx")
+    folded = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    guess = (F.col("logprob") < -1.3) | ((F.col("no_speech") > 0.85) & (F.col("logprob") < -0.8))
+    x = phrases.withColumn("text", folded).where((F.col("text") != "") & ~F.coalesce(guess, F.lit(False)))
+    x = x.withColumn("_was", F.lag("text").over(w)).where("_was is null or _was <> text")
+    said = 0.45 * F.size(F.split("text", " ")) + 1.5
+    return x.select("rec_id", (F.row_number().over(w) - 1).alias("idx"), F.greatest("start", F.col("end") - said).alias("start"), "end", "text")
+
+
+def hard_units(words: DataFrame, max_gap: float = 1.0, pauses: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """words with unit, soft and unit_end: units end at end punctuation, long gaps and pauses, where the part ends, and at the last word."""
     w = Window.partitionBy("rec_id").orderBy("word_idx")
+    words = part_breaks(words, parts).drop("part_idx") if parts is not None else words.withColumn("part_end", F.lit(False))
     if pauses is not None:
         words = words.join(pauses.select("rec_id", "word_idx", F.col("length").alias("pause")), ["rec_id", "word_idx"], "left")
     else:
@@ -26,18 +43,18 @@ def hard_units(words: DataFrame, max_gap: float = 1.0, pauses: DataFrame | None
     pause = F.coalesce("pause", F.lit(0.0))
     soft = T.is_soft_break("text")
     following = F.lead("start").over(w)
-    ends = following.isNull() | T.is_sentence_end("text") | (following - F.col("end") >= max_gap) | (pause >= 0.7) | (soft & (pause >= 0.3))
+    ends = following.isNull() | T.is_sentence_end("text") | (following - F.col("end") >= max_gap) | (pause >= 0.7) | (soft & (pause >= 0.3)) | F.col("part_end")
     marked = words.withColumn("soft", soft).withColumn("unit_end", ends)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return marked.withColumn("unit", F.coalesce(F.sum(F.col("unit_end").cast("int")).over(before), F.lit(0)))
 
 
-def sentences(words: DataFrame, max_gap: float = 1.0, max_words: int = 40, pauses: DataFrame | None = None) -> DataFrame:
+def sentences(words: DataFrame, max_gap: float = 1.0, max_words: int = 40, pauses: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """(rec_id, idx, first, last, start, end, text); runaway units are cut at their last comma, if it comes late enough.
 
     The cuts are a fold over one unit at a time (units end at hard breaks), never over a whole recording.
     """
-    marked = hard_units(words, max_gap, pauses)
+    marked = hard_units(words, max_gap, pauses, parts)
     unit = marked.groupBy("rec_id", "unit").agg(F.array_sort(F.collect_list(F.struct("word_idx", "soft", "unit_end"))).alias("w"))
     state = F.struct(F.element_at("w", 1)["word_idx"].cast("long").alias("begin"), F.lit(-1).cast("long").alias("comma"), F.array().cast("array<bigint>").alias("cuts"))
 
@@ -62,7 +79,8 @@ def apply_replacements(words: DataFrame, rules: dict[str, str]) -> DataFrame:
     Matches of a rule are found by comparing each word and those after it (window functions); overlapping matches of one
     chain are settled by a fold over that chain only.
     """
-    ordered = sorted(((w.split(), r.split()) for w, r in rules.items() if w.split() and r.split()), key=lambda x: -len(x[0]))
+    plain = [([T.bare_of(x) for x in w.split()], r.split()) for w, r in rules.items()]
+    ordered = sorted(((w, r) for w, r in plain if w and all(w) and r), key=lambda x: -len(x[0]))
     if not ordered:
         return words.select("rec_id", "word_idx", F.lit(0).alias("sub_idx"), "text", "start", "end")
     longest = max(len(w) for w, _ in ordered)
@@ -72,7 +90,7 @@ def apply_replacements(words: DataFrame, rules: dict[str, str]) -> DataFrame:
     keyed = keyed.select("*", *[a.alias(f"k{k}") for k, a in enumerate(ahead)])
     rule, size = F.lit(None).cast("int"), F.lit(1)
     for r in reversed(range(len(ordered))):
-        pattern = [x.lower().strip(".,;:!?\"'()[]{}“”‘’-") for x in ordered[r][0]]
+        pattern = ordered[r][0]
         hit = F.lit(True)
         for k, p in enumerate(pattern):
             hit = hit & F.coalesce(F.col(f"k{k}") == p, F.lit(False))
@@ -132,11 +150,11 @@ def caption_chunks(words: DataFrame, size: float = 72.0, most: int = 4, width: f
 
 
 def caption_events(chunks: DataFrame, durations: DataFrame, linger: float = 0.35) -> DataFrame:
-    """(rec_id, chunk, pos, start, until, text): one event per word, held until the next; the last lingers."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    per = chunks.groupBy("rec_id", "chunk").agg(F.min("start").alias("c_start"), F.max_by("end", "pos").alias("c_end"), joined.alias("line"))
+    """(rec_id, chunk, pos, start, until, text, words): one event per word, held until the next; the last lingers."""
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    per = chunks.groupBy("rec_id", "chunk").agg(F.min("start").alias("c_start"), F.max_by("end", "pos").alias("c_end"), joined.alias("words"))
     following = F.coalesce(F.lead("c_start").over(Window.partitionBy("rec_id").orderBy("chunk")), F.col("duration"))
     stop = F.when(F.col("following") - F.col("c_end") < 0.12, F.col("following")).otherwise(F.least(F.col("following"), F.greatest(F.col("c_end"), F.col("c_start") + 0.25) + linger))
     per = per.join(durations, "rec_id").withColumn("following", following).withColumn("stop", stop)
     until = F.coalesce(F.lead("start").over(Window.partitionBy("rec_id", "chunk").orderBy("pos")), F.col("stop"))
-    return chunks.join(per.select("rec_id", "chunk", "stop", "line"), ["rec_id", "chunk"]).withColumn("until", until).where(F.col("until") - F.col("start") >= 0.02).select("rec_id", "chunk", "pos", "start", "until", "text", "line")
+    return chunks.join(per.select("rec_id", "chunk", "stop", "words"), ["rec_id", "chunk"]).withColumn("until", until).where(F.col("until") - F.col("start") >= 0.02).select("rec_id", "chunk", "pos", "start", "until", "text", "words")

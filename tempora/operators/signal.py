@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.select import greedy_spaced
-from tempora.operators.temporal import islands, merge_gaps
+from tempora.operators.temporal import islands
 
 
 def silences(levels: DataFrame, frame: float = 0.02, min_len: float = 0.25, spread: float = 18.0, below_loud: float = 30.0, above_quiet: float = 6.0) -> DataFrame:
@@ -36,21 +36,63 @@ def rolling_median(series: DataFrame, half: int, order: str = "sec", value: str
     return padded.withColumn("around", F.expr(f"percentile({value}, 0.5)").over(w)).where("_real").drop("_real")
 
 
+def _around(series: DataFrame, half: int) -> DataFrame:
+    """series with around: the median of as many rows on each side as half, or as half of the recording if that is less.
+
+    Short recordings are arrays of fewer than 2 * half values; long ones go through a window.
+    """
+    n = series.groupBy("rec_id").agg(F.count("*").alias("_n"))
+    long = series.join(n.where(F.col("_n") >= 2 * half).select("rec_id"), "rec_id", "left_semi")
+    short = series.join(n.where(F.col("_n") < 2 * half).select("rec_id"), "rec_id", "left_semi")
+    per = short.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("sec", "db"))).alias("s")).withColumn("h", F.floor(F.size("s") / 2).cast("int"))
+    ends = lambda at: F.array_repeat(F.element_at("s", at)["db"], F.col("h"))
+    per = per.withColumn("v", F.concat(ends(1), F.transform("s", lambda x: x["db"]), ends(-1)))
+    middle = lambda i: F.element_at(F.array_sort(F.slice("v", i + 1, 2 * F.col("h") + 1)), F.col("h") + 1)
+    rows = per.select("rec_id", F.explode(F.transform("s", lambda x, i: F.struct(x["sec"].alias("sec"), x["db"].alias("db"), middle(i).alias("around")))).alias("x"))
+    return rolling_median(long, half).unionByName(rows.select("rec_id", "x.sec", "x.db", "x.around"))
+
+
 def loud_moments(series: DataFrame, limit: int = 12, least: int = 60, half: int = 150, spread: float = 6.0, local: float = 7.0, typical: float = 3.5, join: int = 3, apart: float = 20.0) -> DataFrame:
-    """(rec_id, at, end, lift): stretches much louder than ordinary talk and their surroundings, in series (rec_id, sec, db)."""
+    """(rec_id, at, end, lift): stretches much louder than ordinary talk and their surroundings, in series (rec_id, sec, db).
+
+    Every second knows the last loud one before it, so a stretch is a run of rows: no join of stretches with the series.
+    """
     facts = series.groupBy("rec_id").agg(F.percentile("db", F.lit(0.85)).alias("typical"), F.percentile("db", F.lit(0.15)).alias("low"), F.count("*").alias("n"))
     facts = facts.where((F.col("n") >= least) & (F.col("typical") - F.col("low") >= spread)).select("rec_id", "typical")
-    around = rolling_median(series.join(facts.select("rec_id"), "rec_id", "left_semi"), half)
-    loud = around.join(facts, "rec_id").where(F.col("db") >= F.greatest(F.col("around") + local, F.col("typical") + typical))
-    events = merge_gaps(loud.withColumnRenamed("sec", "t"), join)
-    inside = events.join(facts, "rec_id").join(series, "rec_id").where(F.col("sec").between(F.col("first"), F.col("last")))
-    lifted = inside.groupBy("rec_id", "first", "last").agg((F.max("db") - F.first("typical")).alias("lift"))
+    around = _around(series.select("rec_id", "sec", "db").join(facts.select("rec_id"), "rec_id", "left_semi"), half)
+    w = Window.partitionBy("rec_id").orderBy("sec")
+    x = around.join(facts, "rec_id").withColumn("_hit", F.when(F.col("db") >= F.greatest(F.col("around") + local, F.col("typical") + typical), F.col("sec")))
+    x = x.withColumn("_was", F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.coalesce((F.col("_hit").isNotNull() & F.coalesce(F.col("_hit") - F.col("_was") > join, F.lit(True))).cast("int"), F.lit(0))
+    x = x.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_run > 0")
+    x = x.withColumn("_last", F.max("_hit").over(Window.partitionBy("rec_id", "_run"))).where(F.col("sec") <= F.col("_last"))
+    lifted = x.groupBy("rec_id", "_run").agg(F.min("sec").alias("first"), F.max("sec").alias("last"), (F.max("db") - F.first("typical")).alias("lift")).drop("_run")
     size = F.col("last") - F.col("first") + 1
     scored = lifted.where((size >= 2) | (F.col("lift") >= 8)).withColumn("score", F.col("lift") + F.least(F.lit(6), size))
     kept = greedy_spaced(scored, apart, limit)
     return kept.select("rec_id", F.col("first").cast("double").alias("at"), (F.col("last") + 1).cast("double").alias("end"), F.round("lift", 1).alias("lift"))
 
 
+def chunk_edges(series: DataFrame, chunk: int = 900, tail: int = 20) -> DataFrame:
+    """(rec_id, chunk, start, end): stretches of about ``chunk`` seconds of a series (rec_id, sec, db), each ended in the middle
+    of the quietest of its last ``tail`` seconds; the last takes what is left.  A fold over the seconds of one recording.
+    """
+    per = series.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sec", "db"))), lambda x: x["db"]).alias("v")).withColumn("n", F.size("v"))
+
+    def step(edges: Column, _: Column) -> Column:
+        at = F.element_at(edges, -1)
+        edge = F.floor(at + chunk).cast("int")
+        low = F.greatest(edge - tail, F.lit(0))
+        near = F.slice("v", low + 1, F.greatest(edge - low, F.lit(1)))
+        quiet = low + F.array_position(near, F.array_min(near)) - 1
+        return F.when(at >= F.col("n"), edges).when(at + chunk >= F.col("n"), F.concat(edges, F.array(F.col("n").cast("double")))).otherwise(F.concat(edges, F.array(quiet + 0.5)))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.col("n") / (chunk - tail)).cast("int"))
+    edged = per.select("rec_id", F.aggregate(steps, F.array(F.lit(0.0)), step).alias("e"))
+    spans = F.transform(F.slice("e", F.lit(1), F.size("e") - 1), lambda x, i: F.struct(x.alias("start"), F.get(F.col("e"), i + 1).alias("end")))
+    return edged.select("rec_id", F.posexplode(spans).alias("chunk", "s")).select("rec_id", "chunk", "s.start", "s.end")
+
+
 def scene_cuts(scores: DataFrame, floor: float = 0.06, outright: float = 0.30, times: float = 5.0, plus: float = 0.03) -> DataFrame:
     """(rec_id, frame, score) of one-frame spikes: none of three neighbours each side is higher, and it is large or towers over the median of fifteen."""
     w = Window.partitionBy("rec_id").orderBy("frame")

@@ -1,7 +1,7 @@
 """Joins and folds over timed rows of recordings.
 
-Every operator takes and returns DataFrames keyed by ``rec_id``; order is a column.  Range conditions always come with an
-equality on ``rec_id`` and on a time bucket, so no plan falls back to a nested loop.
+Every operator takes and returns DataFrames keyed by ``rec_id``; order is a column.  Range joins come with an equality on
+``rec_id`` and on a time bucket; moments meet what began before them in one union and one window.
 """
 
 from __future__ import annotations
@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Results depend on these lengths (seconds of quiet kept before and after a clip's words).
+LEAD_IN, TAIL = 0.10, 0.30
+
+
 def buckets(start: Column, end: Column, width: float) -> Column:
     """The time buckets that [start, end] touches."""
     return F.sequence(F.floor(start / width), F.floor(end / width))
@@ -58,23 +62,46 @@ def loud_lines(lines: DataFrame, loud: DataFrame, slack: float = 1.0) -> DataFra
 
 
 def part_at(times: DataFrame, parts: DataFrame) -> DataFrame:
-    """times with part_idx and origin_time: the part a moment falls in, or else the nearest by its edges.
+    """times with part_idx and origin_time: the part a moment falls in, or else the nearest by its edges (then the first).
 
-    Recordings have a handful of parts, so each moment meets the parts of its recording.
+    Recordings have a handful of parts, which travel as one array; rows of times stay as they are, equal ones too.  Without
+    parts part_idx is null and origin_time is t.
     """
-    p = parts.select("rec_id", F.col("idx").alias("part_idx"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), "origin")
-    outside = ~((F.col("p_start") <= F.col("t")) & (F.col("t") < F.col("p_end")))
-    key = F.struct(outside.alias("out"), F.when(outside, F.least(F.abs(F.col("p_start") - F.col("t")), F.abs(F.col("p_end") - F.col("t")))).otherwise(0.0).alias("far"), "part_idx", (F.col("origin") + (F.col("t") - F.col("p_start"))).alias("origin_time"))
-    best = times.join(p, "rec_id").groupBy(*times.columns).agg(F.min(key).alias("m"))
-    return best.select(*times.columns, "m.part_idx", "m.origin_time")
+    p = parts.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end", "origin"))).alias("_parts"))
+    t = F.col("t")
+
+    def key(x: Column) -> Column:
+        outside = ~((x["start"] <= t) & (t < x["end"]))
+        far = F.when(outside, F.least(F.abs(x["start"] - t), F.abs(x["end"] - t))).otherwise(0.0)
+        return F.struct(outside.alias("out"), far.alias("far"), x["idx"].alias("part_idx"), (x["origin"] + (t - x["start"])).alias("origin_time"))
+
+    found = times.join(p, "rec_id", "left").withColumn("_m", F.array_min(F.transform("_parts", key)))
+    return found.select(*times.columns, F.col("_m.part_idx").alias("part_idx"), F.coalesce("_m.origin_time", t).alias("origin_time"))
+
+
+def part_breaks(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """words with part_idx and part_end: whether the next word belongs to another part."""
+    owned = part_at(words.withColumn("t", F.col("start")), parts).drop("t", "origin_time")
+    following = F.lead("part_idx").over(Window.partitionBy("rec_id").orderBy("word_idx"))
+    return owned.withColumn("part_end", F.coalesce(following != F.col("part_idx"), F.lit(False)))
+
+
+def words_inside(words: DataFrame, parts: DataFrame, slack: float = 0.05) -> DataFrame:
+    """The words that lie whole in a part, both on the working clock; an end may be ``slack`` late."""
+    p = parts.select("rec_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.explode(buckets(F.col("start"), F.col("end"), 60.0)).alias("_bucket"))
+    w = words.withColumn("_bucket", F.floor(F.col("start") / 60.0)).alias("w")
+    inside = (F.col("w.start") >= F.col("p_start")) & (F.col("w.end") <= F.col("p_end") + slack)
+    return w.join(p.alias("p"), (F.col("w.rec_id") == F.col("p.rec_id")) & (F.col("w._bucket") == F.col("p._bucket")) & inside, "left_semi").drop("_bucket")
 
 
 def words_in_parts(words: DataFrame, parts: DataFrame, slack: float = 0.05) -> DataFrame:
     """(rec_id, part_idx, word_idx, text, start, end): words inside each part, on the working clock; a word may lie in several."""
-    p = parts.select("rec_id", F.col("idx").alias("part_idx"), "origin", F.col("start").alias("p_start"), (F.col("end") - F.col("start")).alias("length"))
+    last = F.col("origin") + (F.col("end") - F.col("start"))
+    p = parts.select("rec_id", F.col("idx").alias("part_idx"), "origin", F.col("start").alias("p_start"), (F.col("end") - F.col("start")).alias("length"), F.explode(buckets(F.col("origin"), last, 60.0)).alias("_bucket"))
     inside = (F.col("start") >= F.col("origin")) & (F.col("end") <= F.col("origin") + F.col("length") + slack)
     moved = lambda c: (F.col("p_start") + (F.col(c) - F.col("origin"))).alias(c)
-    return words.join(p, "rec_id").where(inside).select("rec_id", "part_idx", "word_idx", "text", moved("start"), moved("end"))
+    found = words.withColumn("_bucket", F.floor(F.col("start") / 60.0)).join(p, ["rec_id", "_bucket"]).where(inside)
+    return found.select("rec_id", "part_idx", "word_idx", "text", moved("start"), moved("end"))
 
 
 def lay_end_to_end(windows: DataFrame, gap: float = 1.0) -> DataFrame:
@@ -102,7 +129,8 @@ def merge_gaps(rows: DataFrame, gap: Column | float, at: str = "t", by: str = "r
 def removed_middles(clips: DataFrame, silences: DataFrame, words: DataFrame, max_pause: float = 0.6, after: float = 0.18, before: float = 0.12) -> DataFrame:
     """(rec_id, clip, cut_start, cut_end): the middles of long pauses inside clips that hold no whole word."""
     s = silences.select("rec_id", F.col("start").alias("a"), F.col("end").alias("b")).where(F.col("b") - F.col("a") > max_pause)
-    cuts = s.join(clips.select("rec_id", "clip", "start", "end"), "rec_id").where("a > start and b < end")
+    c = clips.select("rec_id", "clip", "start", "end", F.explode(buckets(F.col("start"), F.col("end"), 60.0)).alias("_bucket"))
+    cuts = s.withColumn("_bucket", F.floor(F.col("a") / 60.0)).join(c, ["rec_id", "_bucket"]).where("a > start and b < end").drop("_bucket")
     cuts = cuts.withColumn("cut_start", F.col("a") + after).withColumn("cut_end", F.col("b") - before).where("cut_end - cut_start >= 0.15")
     w = words.select("rec_id", F.col("start").alias("w_start"), F.col("end").alias("w_end"))
     x = cuts.withColumn("_bucket", F.explode(buckets(F.col("cut_start"), F.col("cut_end"), 10.0)))
@@ -123,10 +151,83 @@ def kept_pieces(clips: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def retime(times: DataFrame, pieces: DataFrame) -> DataFrame:
-    """times (rec_id, clip, t) with clip_t: the moment on the clip's clock; moments that were cut go to the join."""
-    p = pieces.select("rec_id", "clip", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    add = F.greatest(F.lit(0.0), F.least(F.col("t"), F.col("p_end")) - F.col("p_start"))
-    return times.join(p, ["rec_id", "clip"]).groupBy(*times.columns).agg(F.sum(add).alias("clip_t"))
+    """times (rec_id, clip, t, ...) with clip_t: the moment on the clip's clock; moments that were cut go to the join.
+
+    Each moment meets the last piece that began before it: one union and one window.  Equal rows stay separate.
+    """
+    p = pieces.select("rec_id", "clip", F.col("start").alias("_at"), F.lit(0).alias("_tag"), F.struct("start", "end", "clip_start").alias("_p"))
+    x = times.select("*", F.col("t").alias("_at"), F.lit(1).alias("_tag")).unionByName(p, allowMissingColumns=True)
+    upto = Window.partitionBy("rec_id", "clip").orderBy("_at", "_tag").rowsBetween(Window.unboundedPreceding, 0)
+    met = x.withColumn("_p", F.last("_p", ignorenulls=True).over(upto)).where("_tag = 1")
+    at = F.col("_p.clip_start") + F.least(F.col("t"), F.col("_p.end")) - F.col("_p.start")
+    return met.select(*times.columns, F.coalesce(at, F.lit(0.0)).alias("clip_t"))
+
+
+def snapped(clips: DataFrame, words: DataFrame, silences: DataFrame, durations: DataFrame) -> DataFrame:
+    """clips (rec_id, clip, first, last) with start and end that clip no speech and keep no dead air.
+
+    A pause that ends about where the first word begins marks the start, one that begins during the last word the end;
+    without them, a part of the gap to the neighbouring word is kept.  An edge that would lie inside a pause moves to its
+    end (start) or beginning (end).  Only the pauses around the two edges meet a clip, in a fold in their order.
+    """
+    w = Window.partitionBy("rec_id").orderBy("word_idx")
+    x = words.select("rec_id", "word_idx", "start", "end", F.lag("end").over(w).alias("_before"), F.lead("start").over(w).alias("_next"))
+    head = x.select("rec_id", F.col("word_idx").alias("first"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), F.coalesce("_before", F.lit(0.0)).alias("before"))
+    tail = x.select("rec_id", F.col("word_idx").alias("last"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), "_next")
+    c = clips.join(head, ["rec_id", "first"]).join(tail, ["rec_id", "last"]).join(durations.select("rec_id", F.col("duration").alias("whole")), "rec_id")
+    c = c.withColumn("following", F.coalesce("_next", "whole"))
+    around = F.array(F.struct((F.col("h_start") - 0.6).alias("a"), (F.col("h_start") + 0.3).alias("b")), F.struct((F.col("t_start") - 0.4).alias("a"), (F.col("t_end") + 0.8).alias("b")))
+    edges = c.select("rec_id", "clip", F.explode(around).alias("e")).select("rec_id", "clip", F.col("e.a").alias("e_start"), F.col("e.b").alias("e_end"))
+    s = silences.select("rec_id", F.col("start").alias("a"), F.col("end").alias("b"))
+    near = overlap_join(edges, s, 10.0, "e_start", "e_end", "a", "b").groupBy("rec_id", "clip").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("_s"))
+    c = c.join(near, ["rec_id", "clip"], "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<a:double,b:double>>")))
+    h, t, over = F.col("h_start"), F.col("t_start"), F.col("following")
+    onset = F.array_min(F.transform(F.filter("_s", lambda p: (p["b"] >= h - 0.45) & (p["b"] <= h + 0.20)), lambda p: F.struct(F.abs(p["b"] - h).alias("far"), p["a"].alias("a"), p["b"].alias("b"))))
+    offset = F.try_element_at(F.filter("_s", lambda p: (p["a"] >= t + 0.05) & (p["a"] <= F.col("t_end") + 0.45) & (p["a"] <= over + 0.2)), F.lit(1))
+    c = c.withColumn("_on", onset).withColumn("_off", offset)
+    start = F.when(F.col("_on").isNotNull(), F.greatest(F.col("_on.a") + 0.02, F.col("_on.b") - LEAD_IN)).otherwise(h - F.least(F.lit(LEAD_IN), F.greatest(h - F.col("before"), F.lit(0.0)) / 2))
+    end = F.when(F.col("_off").isNotNull(), F.least(F.col("_off.a") + TAIL, F.col("_off.b") - 0.02)).otherwise(F.col("t_end") + F.least(F.lit(0.15), F.greatest(over - F.col("t_end"), F.lit(0.0)) / 2))
+    start = F.aggregate("_s", start, lambda at, p: F.when((p["a"] <= at + 0.05) & (at + LEAD_IN + 0.05 < p["b"]) & (p["b"] < t), p["b"] - LEAD_IN).otherwise(at))
+    end = F.aggregate("_s", end, lambda at, p: F.when((F.col("h_end") < p["a"]) & (p["a"] < at - TAIL - 0.05) & (p["b"] >= at - 0.05), p["a"] + TAIL).otherwise(at))
+    c = c.withColumn("start", F.greatest(F.lit(0.0), start)).withColumn("_end", end)
+    end = F.when(F.col("whole") != 0, F.least("whole", "_end")).otherwise(F.col("_end"))
+    return c.select(*clips.columns, "start", F.greatest(end, F.col("start") + 0.5).alias("end"))
+
+
+def samples_in_shots(samples: DataFrame, shots: DataFrame) -> DataFrame:
+    """samples (rec_id, t, ...) with the shot (shot, t0, t1) that they fall in: t0 <= t < t1."""
+    s = shots.select("rec_id", "shot", F.col("start").alias("t0"), F.col("end").alias("t1"), F.explode(buckets(F.col("start"), F.col("end"), 30.0)).alias("_bucket"))
+    return samples.withColumn("_bucket", F.floor(F.col("t") / 30.0)).join(s, ["rec_id", "_bucket"]).where("t0 <= t and t < t1").drop("_bucket")
+
+
+def kept_frames(pieces: DataFrame, fps: int = 30, least: int = 2) -> DataFrame:
+    """(rec_id, clip, piece, first, last) in whole frames from the clip's start; pieces shorter than ``least`` frames go."""
+    w = Window.partitionBy("rec_id", "clip")
+    begin = F.min("start").over(w)
+    frame = lambda c: F.bround((F.col(c) - F.col("_begin")) * fps, 0).cast("long")
+    x = pieces.withColumn("_begin", begin)
+    return x.select("rec_id", "clip", "piece", frame("start").alias("first"), frame("end").alias("last")).where(F.col("last") - F.col("first") >= least)
+
+
+def stitch_plan(items: DataFrame, rate: int = 16000, gap: float = 1.0) -> DataFrame:
+    """(rec_id, idx, src_frame, dst_frame, n, start, end): where the sound of each item (rec_id, idx, offset, length) goes when
+    they are laid end to end, ``gap`` seconds apart, in samples and on the working clock.  Running sums of whole samples.
+    """
+    n = F.bround(F.col("length") * rate, 0).cast("long")
+    before = Window.partitionBy("rec_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    x = items.withColumn("n", n).withColumn("dst_frame", F.coalesce(F.sum(F.col("n") + int(gap * rate)).over(before), F.lit(0)))
+    return x.select("rec_id", "idx", F.bround(F.col("offset") * rate, 0).cast("long").alias("src_frame"), "dst_frame", "n", (F.col("dst_frame") / rate).alias("start"), ((F.col("dst_frame") + F.col("n")) / rate).alias("end"))
+
+
+def sound_plan(pieces: DataFrame, limit: float, rate: int = 16000, stub: float = 5.0) -> DataFrame:
+    """(list_id, run, dst_frame, n): the samples that each uninterrupted run of pieces begun before ``limit`` takes on the
+    playlist's clock; runs shorter than ``stub`` seconds leave silence.
+    """
+    per = pieces.where(F.col("start") < limit).groupBy("list_id", "run").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("duration")).alias("b")).where(F.col("b") - F.col("a") >= stub)
+    at = lambda c: F.bround(F.col(c) * rate, 0).cast("long")
+    written = F.coalesce(F.max(at("b")).over(Window.partitionBy("list_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = per.withColumn("dst_frame", F.greatest(at("a"), written))
+    return x.select("list_id", "run", "dst_frame", F.greatest(at("b") - F.col("dst_frame"), F.lit(0)).alias("n"))
 
 
 def cut_segments(kept: DataFrame, segments: DataFrame, fps: int = 30) -> DataFrame:

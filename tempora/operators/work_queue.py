@@ -25,31 +25,41 @@ def eligible(issues: DataFrame) -> DataFrame:
     return issues.where(ok)
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def issue_fields(issues: DataFrame) -> DataFrame:
-    """(number, client, source, title, notes, count) of issues (number, title, body, labels), from headings, ``key: value`` lines and labels."""
+    """(number, client, source, title, notes, count) of issues (number, title, body, labels), from headings, ``key: value`` lines and labels.
+
+    A heading that comes again replaces its value, in its first place; a line counts only where no heading and no line before
+    has its key.
+    """
+    # Results depend on these patterns.
+    headings, line = r"(?m)^#{2,4}\s+", r"(?mi)^\s*\**([a-z][a-z ]{1,24}?)\**\s*:\s*(\S.*)$"
     body = F.replace(F.coalesce("body", F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    blocks = F.slice(F.split(body, r"(?m)^#{2,4}\s+"), F.lit(2), F.lit(1_000_000))
-    headed = F.transform(blocks, lambda b: F.struct(F.lower(F.trim(F.substring_index(b, "\n", 1))).alias("k"), F.regexp_replace(F.regexp_replace(F.when(b.contains("\n"), F.regexp_replace(b, r"^[^\n]*\n", "")).otherwise(""), r"^\s+", ""), r"\s+$", "").alias("v")))
-    line = r"(?mi)^\s*\**([a-z][a-z ]{1,24}?)\**\s*:\s*(\S.*)$"
+    blocks = F.slice(F.split(body, headings), F.lit(2), F.lit(1_000_000))
+    headed = F.transform(blocks, lambda b: F.struct(F.lower(_strip(F.substring_index(b, "\n", 1))).alias("k"), F.when(b.contains("\n"), _strip(F.regexp_replace(b, r"^[^\n]*\n", ""))).otherwise("").alias("v")))
     keys, values = F.regexp_extract_all(body, F.lit(line), F.lit(1)), F.regexp_extract_all(body, F.lit(line), F.lit(2))
-    typed = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda z: F.struct(F.lower(F.trim(z["k"])).alias("k"), F.trim(F.trim(F.trim(z["v"]), F.lit("*"))).alias("v")))
-    x = issues.withColumn("_f", F.concat(headed, typed))
-    # a key counts once: a heading's last value, else a line's first; headings come first
-    own = lambda name: F.filter("_f", lambda f: F.lit(False) | (f["k"] == name) | f["k"].startswith(name))
+    typed = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda z: F.struct(F.lower(_strip(z["k"])).alias("k"), _strip(F.trim(_strip(z["v"]), F.lit("*"))).alias("v")))
+    x = issues.withColumn("_h", headed).withColumn("_t", typed).withColumn("_hk", F.array_distinct(F.transform("_h", lambda f: f["k"])))
+    x = x.withColumn("_tk", F.array_except(F.transform("_t", lambda f: f["k"]), "_hk"))
+    value = lambda fields, k, at: F.struct(k.alias("k"), F.element_at(F.filter(fields, lambda f: f["k"] == k), at)["v"].alias("v"))
+    x = x.withColumn("_f", F.concat(F.transform("_hk", lambda k: value("_h", k, -1)), F.transform("_tk", lambda k: value("_t", k, 1))))
 
     def first(*names: str) -> Column:
-        found = [F.try_element_at(F.filter(own(n), lambda f: ~F.lower(f["v"]).isin(EMPTY)), F.lit(1))["v"] for n in names]
+        found = [F.try_element_at(F.filter("_f", lambda f: f["k"].startswith(n) & ~F.lower(f["v"]).isin(EMPTY)), F.lit(1))["v"] for n in names]  # noqa: B023
         return F.coalesce(*found, F.lit(""))
 
     client = F.lower(F.trim(first("client", "show"), F.lit("`")))
     label = F.try_element_at(F.filter("labels", lambda l: F.lower(l).startswith("client:")), F.lit(1))
-    client = F.when(client != "", client).otherwise(F.coalesce(F.lower(F.trim(F.regexp_replace(label, r"^[^:]*:", ""))), F.lit("")))
+    client = F.when(client != "", client).otherwise(F.coalesce(F.lower(_strip(F.regexp_replace(label, r"^[^:]*:", ""))), F.lit("")))
     told = first("episode link", "link", "url", "source", "file", "episode file")
     link = F.coalesce(F.nullif(F.regexp_extract(told, LINK, 0), F.lit("")), F.regexp_extract(body, LINK, 0))
     number = first("number of clips", "clips", "count")
     count = F.when(number.rlike(r"^\d+$"), number.try_cast("int"))
     title = first("episode title", "title")
-    own_title = F.regexp_replace(F.trim(F.coalesce("title", F.lit(""))), r"(?i)^episode:?\s*$", "")
+    own_title = F.regexp_replace(_strip(F.coalesce("title", F.lit(""))), r"(?i)^episode:?\s*$", "")
     return x.select("number", client.alias("client"), F.rtrim(link, F.lit(".,;")).alias("source"), F.when(title != "", title).otherwise(own_title).alias("title"), first("notes", "note", "focus").alias("notes"), F.when(count.between(1, 30), count).alias("count"))
 
 
@@ -59,6 +69,42 @@ def not_filed(items: DataFrame, issues: DataFrame, kind: str = "feed") -> DataFr
     return items.join(filed, "key", "left_anti")
 
 
+def fresh(items: DataFrame, now: Column, days: int = 7, limit: int = 2) -> DataFrame:
+    """Of each feed's items (feed, key, published in seconds, ...) the newest of the last days; without a time they are not new."""
+    w = Window.partitionBy("feed").orderBy(F.desc("published"), "key")
+    recent = items.where(F.col("published") >= now - days * 86400)
+    return recent.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def unfiled_broadcasts(listed: DataFrame, read: DataFrame, issues: DataFrame, now: Column, min_minutes: float, max_age: float = 4 * 86400.0) -> DataFrame:
+    """Broadcasts to file, from listings (ord, platform, id, live, duration, title) and what reading each gave (platform, id, key,
+    live, duration, started, title): not live, not filed under the listing's id nor under the key it turned out to have, long
+    enough, recent, and each key once, the first in order.
+    """
+    filed = issues.select(F.explode(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"stream-item:([\w-]+)"), F.lit(1))).alias("key")).distinct()
+    known = F.concat(F.col("platform"), F.lit("-"), F.left(F.regexp_replace("id", r"[^A-Za-z0-9]", ""), F.lit(40)))
+    new = listed.where(~F.col("live")).withColumn("_known", known).join(filed.withColumnRenamed("key", "_known"), "_known", "left_anti").drop("_known")
+    r = read.select("platform", "id", "key", F.col("live").alias("_live"), F.col("duration").alias("_duration"), "started", F.col("title").alias("_title"))
+    x = new.join(r, ["platform", "id"]).where(~F.col("_live")).join(filed, "key", "left_anti")
+    x = x.withColumn("duration", F.coalesce(F.nullif(F.col("_duration"), F.lit(0.0)), "duration")).withColumn("title", F.coalesce(F.nullif(F.col("_title"), F.lit("")), F.nullif(F.col("title"), F.lit("")), F.lit("Stream")))
+    length = F.coalesce("duration", F.lit(0.0))
+    x = x.where(~((length > 0) & (length < min_minutes * 60)) & ~F.coalesce((F.coalesce("started", F.lit(0.0)) > 0) & (now - F.col("started") - length > max_age), F.lit(False)))
+    once = x.groupBy("key").agg(F.min_by(F.struct("ord", "platform", "id", "title", "duration"), "ord").alias("x"))
+    return once.select("key", "x.*")
+
+
+def latest_finished(broadcasts: DataFrame) -> DataFrame:
+    """The first finished broadcast of each channel's listing (channel, ord, live, ...)."""
+    w = Window.partitionBy("channel").orderBy("ord")
+    return broadcasts.where(~F.col("live")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def with_client(requests: DataFrame, clients: DataFrame) -> DataFrame:
+    """requests with the client they name, or the only real one (clients has client, real) where they name none; null if several are real."""
+    only = clients.where("real").agg(F.when(F.count("*") == 1, F.first("client")).alias("_only"))
+    return requests.crossJoin(F.broadcast(only)).withColumn("client", F.coalesce(F.nullif(F.col("client"), F.lit("")), "_only")).drop("_only")
+
+
 def watchable(broadcasts: DataFrame, now: Column, min_minutes: float, max_age: float = 4 * 86400.0) -> DataFrame:
     """Finished broadcasts that are long enough and whose end is recent; without a start they count as recent."""
     fresh = F.col("started").isNull() | (now - (F.col("started") + F.col("duration")) <= max_age)

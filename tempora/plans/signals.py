@@ -49,35 +49,36 @@ def rolling_median_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("rec_id", "idx", r4("around").alias("around"), (F.col("db") >= F.col("around") + 7).alias("stands_out"))
 
 
-LOUD = f"""{PADS}, facts AS (SELECT rec_id, quantile_cont(db, 0.85) AS typical FROM levels GROUP BY rec_id HAVING count(*) >= 30 AND quantile_cont(db, 0.85) - quantile_cont(db, 0.15) >= 6),
+LOUD = f"""{LEVELS}, series AS (SELECT rec_id, list(db ORDER BY idx) AS v, count(*) AS n, least(150, count(*) // 2) AS h FROM levels GROUP BY rec_id),
+rolled AS MATERIALIZED (SELECT l.rec_id, l.idx, l.db, list_median(list_transform(range(l.idx - h, l.idx + h + 1), lambda k: v[greatest(1, least(n, k + 1))])) AS around FROM levels l JOIN series USING (rec_id)), facts AS (SELECT rec_id, quantile_cont(db, 0.85) AS typical FROM levels GROUP BY rec_id HAVING count(*) >= 30 AND quantile_cont(db, 0.85) - quantile_cont(db, 0.15) >= 6),
 hit AS (SELECT r.rec_id, idx, CASE WHEN idx - lag(idx) OVER (PARTITION BY r.rec_id ORDER BY idx) <= 3 THEN 0 ELSE 1 END AS new FROM rolled r JOIN facts USING (rec_id) WHERE db >= greatest(around + 7, typical + 3.5)),
 run AS (SELECT rec_id, idx, sum(new) OVER (PARTITION BY rec_id ORDER BY idx) AS g FROM hit),
 ev AS (SELECT rec_id, min(idx) AS a, max(idx) AS b FROM run GROUP BY rec_id, g),
 lifted AS (SELECT e.rec_id, a, b, max(l.db) - any_value(typical) AS lift FROM ev e JOIN facts USING (rec_id) JOIN levels l ON l.rec_id = e.rec_id AND l.idx BETWEEN a AND b GROUP BY e.rec_id, a, b),
-ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY lift + least(6, b - a + 1) DESC, a DESC, b DESC) AS r FROM lifted WHERE b - a + 1 >= 2 OR lift >= 8),
-chosen AS (
-  SELECT rec_id, r, [a] AS kept, true AS taken FROM ranked WHERE r = 1
+loud_ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY lift + least(6, b - a + 1) DESC, a DESC, b DESC) AS r FROM lifted WHERE b - a + 1 >= 2 OR lift >= 8),
+loud_chosen AS (
+  SELECT rec_id, r, [a] AS kept, true AS taken FROM loud_ranked WHERE r = 1
   UNION ALL
   SELECT rec_id, r, CASE WHEN free THEN list_append(kept, a) ELSE kept END, free FROM (
-    SELECT x.rec_id, x.r, x.a, c.kept, len(c.kept) < 12 AND len(list_filter(c.kept, lambda k: abs(k - x.a) < 20)) = 0 AS free FROM chosen c JOIN ranked x ON x.rec_id = c.rec_id AND x.r = c.r + 1)
-), loud AS MATERIALIZED (SELECT x.rec_id, CAST(x.a AS DOUBLE) AS "at", CAST(x.b + 1 AS DOUBLE) AS "end", round(x.lift, 1) AS lift FROM ranked x JOIN chosen c ON c.rec_id = x.rec_id AND c.r = x.r AND c.taken)"""
+    SELECT x.rec_id, x.r, x.a, c.kept, len(c.kept) < 12 AND len(list_filter(c.kept, lambda k: abs(k - x.a) < 20)) = 0 AS free FROM loud_chosen c JOIN loud_ranked x ON x.rec_id = c.rec_id AND x.r = c.r + 1)
+), loud AS MATERIALIZED (SELECT x.rec_id, CAST(x.a AS DOUBLE) AS "at", CAST(x.b + 1 AS DOUBLE) AS "end", round(x.lift, 1) AS lift FROM loud_ranked x JOIN loud_chosen c ON c.rec_id = x.rec_id AND c.r = x.r AND c.taken)"""
 
 
-def _loud(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loud_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = levels(spark, sf_dir).select("rec_id", F.col("idx").alias("sec"), "db")
-    return L.loud_moments(series, least=30, half=5)
+    return L.loud_moments(series, least=30)
 
 
 @query(f"""WITH RECURSIVE {LOUD} SELECT rec_id, "at", "end", lift FROM loud""")
 def loud_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches much louder than the talk around them, twelve a recording at most, twenty seconds apart."""
-    return _loud(spark, sf_dir)
+    return loud_of(spark, sf_dir)
 
 
 @query(f"""WITH RECURSIVE {LOUD}, {TURN_LINES} SELECT DISTINCT t.rec_id, t.idx FROM turn_lines t JOIN loud l ON l.rec_id = t.rec_id AND t.start <= l."end" + 1 AND t."end" >= l."at" - 1""")
 def loud_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversation n during which user n's series is loud."""
-    return M.loud_lines(turn_lines(spark, sf_dir), _loud(spark, sf_dir)).select("rec_id", "idx")
+    return M.loud_lines(turn_lines(spark, sf_dir), loud_of(spark, sf_dir)).select("rec_id", "idx")
 
 
 @query(f"""WITH {MOMENTS}, w AS (SELECT rec_id, id, t FROM moments WHERE kind <> 'error'), p AS (SELECT rec_id, t AS a, value AS length FROM moments WHERE kind = 'error'),
@@ -165,14 +166,18 @@ def tighten_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)[1].select("rec_id", "piece", r4("start").alias("start"), r4("end").alias("end"), r4("clip_start").alias("clip_start"))
 
 
-@query(f"""WITH {PIECES} SELECT l.rec_id, l.idx, round(sum(greatest(0.0, least(l.idx + 0.1, p."end") - p.start)), 4) AS clip_t FROM levels l JOIN pieces p USING (rec_id) GROUP BY l.rec_id, l.idx""")
+@query(f"""WITH {PIECES}, t AS (SELECT *, row_number() OVER () AS id FROM (SELECT rec_id, idx FROM levels UNION ALL SELECT rec_id, idx FROM levels WHERE idx % 5 = 0))
+SELECT t.rec_id, t.idx, round(sum(greatest(0.0, least(t.idx + 0.1, p."end") - p.start)), 4) AS clip_t FROM t JOIN pieces p USING (rec_id) GROUP BY t.id, t.rec_id, t.idx""")
 def retimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every frame's moment on the clock of the tightened clip."""
-    t = levels(spark, sf_dir).select("rec_id", F.lit(0).alias("clip"), "idx", (F.col("idx") + 0.1).alias("t"))
+    """Every frame's moment on the clock of the tightened clip; each fifth comes twice."""
+    frames = levels(spark, sf_dir)
+    t = frames.unionByName(frames.where("idx % 5 = 0"))
+    t = t.select("rec_id", F.lit(0).alias("clip"), "idx", (F.col("idx") + 0.1).alias("t"))
     return M.retime(t, _pieces(spark, sf_dir)[1]).select("rec_id", "idx", r4("clip_t").alias("clip_t"))
 
 
-@query(None)
+@query(f"""WITH {PIECES} SELECT rec_id, CAST(0 AS INTEGER) AS clip, string_agg(printf('[0:V:0]trim=start_frame=%d:end_frame=%d,setpts=PTS-STARTPTS[v%d]', CAST(round_even(start * 30, 0) AS BIGINT), CAST(round_even("end" * 30, 0) AS BIGINT), piece), ';' ORDER BY piece) || ';'
+|| string_agg('[v' || piece || ']', '' ORDER BY piece) || printf('concat=n=%d:v=1:a=0[vcat]', count(*)) AS plan FROM pieces GROUP BY rec_id""")
 def cut_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter graph that cuts and joins the pieces of each clip."""
     return sinks.cut_plans(_pieces(spark, sf_dir)[1])
@@ -250,7 +255,20 @@ def fit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pictures(spark, sf_dir).select("id", b.alias("b")).select("id", F.col("b.w").cast("int").alias("w"), F.col("b.h").cast("int").alias("h"), "b.x", "b.y")
 
 
-@query(None)
+PICTURES = "p AS (SELECT p_partkey AS id, 640 + p_size * 32 AS width, 480 + (p_partkey % 7) * 60 AS height, (p_partkey % 100) / 100.0 AS cx, (p_partkey % 90) / 90.0 AS cy, (p_partkey % 13) / 100.0 AS face FROM part)"
+TWO = f"""{PICTURES}, s1 AS (SELECT *, {EVEN.format("least(greatest(face * width / 0.2, 160.0), CAST(width AS DOUBLE), height * (1080.0 / 656))")} AS w, {EVEN.format("least(CAST(width AS DOUBLE), height * 1080 / 1264.0)")} AS gw FROM p),
+s2 AS (SELECT *, {EVEN.format("least(CAST(height AS DOUBLE), w / (1080.0 / 656))")} AS h, {EVEN.format("least(CAST(height AS DOUBLE), gw * 1264 / 1080.0)")} AS gh FROM s1),
+s3 AS (SELECT *, least(greatest(cx * width - w / 2, 0.0), CAST(width - w AS DOUBLE)) AS x, least(greatest(cy * height - 0.44 * h, 0.0), CAST(height - h AS DOUBLE)) AS y, (width - gw) / 2 AS gx, 0.06 * width AS room FROM s2),
+split AS (SELECT id, w, h, CAST(round_even(x, 0) AS INTEGER) AS x, CAST(round_even(y, 0) AS INTEGER) AS y, gw, gh, CAST(round_even(CASE WHEN x + w / 2 < width / 2 THEN gx + least(greatest((x + w) - gx, 0.0), room, width - gw - gx) ELSE gx - least(greatest((gx + gw) - x, 0.0), room, gx) END, 0) AS INTEGER) AS gx,
+  CAST(round_even((height - gh) / 2, 0) AS INTEGER) AS gy FROM s3),
+t1 AS (SELECT *, least(cx, 1 - cx) AS l, greatest(cx, 1 - cx) AS r, face * width AS f FROM p), t2 AS (SELECT *, least(abs(r - l) * width * 1.15, CAST(width AS DOUBLE), height * (1080 / 960.0)) AS widest, 2 * least(l, 1 - r) * width AS centred FROM t1),
+t3 AS (SELECT *, {EVEN.format("greatest(least(4.0 * f, centred, widest), least(3.0 * f, widest), least(widest, 400.0))")} AS w FROM t2), t4 AS (SELECT *, {EVEN.format("least(CAST(height AS DOUBLE), w / (1080 / 960.0))")} AS h FROM t3),
+stack AS (SELECT id, w, h, CAST(round_even(least(greatest(cx * width - w / 2, 0.0), CAST(width - w AS DOUBLE)), 0) AS INTEGER) AS x1, CAST(round_even(least(greatest(cy * height - 0.62 * h, 0.0), CAST(height - h AS DOUBLE)), 0) AS INTEGER) AS y1,
+  CAST(round_even(least(greatest((1 - cx) * width - w / 2, 0.0), CAST(width - w AS DOUBLE)), 0) AS INTEGER) AS x2, CAST(round_even(least(greatest(cy * height - 0.42 * h, 0.0), CAST(height - h AS DOUBLE)), 0) AS INTEGER) AS y2 FROM t4)"""
+BOX = """printf('{{"w":%d,"h":%d,"x":%d,"y":%d}}', {})"""
+
+
+@query(f"""WITH {TWO} SELECT id, {BOX.format("a.w, a.h, a.x, a.y")} AS cam, {BOX.format("a.gw, a.gh, a.gx, a.gy")} AS game, {BOX.format("b.w, b.h, b.x1, b.y1")} AS top, {BOX.format("b.w, b.h, b.x2, b.y2")} AS bottom FROM split a JOIN stack b USING (id)""")
 def split_stack_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows for a camera over a game, and for two people one above the other, for pictures of many sizes."""
     at = lambda cx: F.struct(cx.alias("cx"), F.col("cy").alias("cy"), F.col("face").alias("w"))

@@ -10,7 +10,8 @@ from tempora.operators import candidates as C
 from tempora.operators import segment as S
 from tempora.operators import select as P
 from tempora.operators import temporal as M
-from tempora.plans.adapters import DOCUMENT_WORDS, TURN_LINES, TURN_WORDS, document_words, quoted, r4, registry, table, turn_lines, turn_words
+from tempora.plans.adapters import DOCUMENT_WORDS, MOMENTS, TURN_LINES, TURN_WORDS, document_words, moments, quoted, r4, registry, table, turn_lines, turn_words
+from tempora.plans.signals import LOUD, loud_of
 from tempora.sources import sinks
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -157,16 +158,31 @@ def stitch_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.lay_end_to_end(timed.withColumn("idx", F.col("first"))).select("rec_id", "first", r4("work_start").alias("work_start"), r4("work_end").alias("work_end"))
 
 
-@query(None)
+HEADLINE = """CASE left(c, 1) WHEN 'ß' THEN 'SS' ELSE upper(left(c, 1)) END || substr(c, 2)"""
+HEADED = f"""split AS (SELECT rec_id, idx, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM sentences),
+cut AS (SELECT rec_id, idx, text, CASE WHEN len(w) > 7 THEN rtrim(array_to_string(w[1:6], ' '), '.,;:!?"'')”’') || '…' ELSE rtrim(array_to_string(w[1:7], ' '), '.,;:"'')”’') END AS c FROM split),
+clips AS (SELECT s.rec_id, CAST(row_number() OVER (PARTITION BY s.rec_id ORDER BY s.score DESC, s.first) AS INTEGER) AS rank, s.first, s.last, {HEADLINE} AS title, cut.text AS caption, CAST(round(s.score, 4) AS DOUBLE) AS score FROM selected s JOIN cut ON cut.rec_id = s.rec_id AND cut.idx = s.first)"""
+
+
+def titled_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, rank, first, last, title, caption, score) of the chosen clips."""
+    titles = turn_sentences(spark, sf_dir).select("rec_id", F.col("idx").alias("first"), T.headline("text").alias("title"), F.col("text").alias("caption"))
+    return clip_selected(spark, sf_dir).join(titles, ["rec_id", "first"])
+
+
+@query(f"""WITH RECURSIVE {GREEDY}, {HEADED} SELECT rec_id, CAST(to_json({{'client': 'client ' || rec_id, 'show': 'Talks', 'title': '', 'source': 'https://example.org/' || rec_id, 'picker': 'heuristic', 'model': '',
+'clips': list({{'rank': rank, 'first': first, 'last': last, 'title': title, 'caption': caption, 'hashtags': ['#talk'], 'why': 'its opening', 'score': score}} ORDER BY rank), 'note': CASE WHEN rec_id % 2 = 0 THEN 'one two' ELSE 'two' END}}) AS VARCHAR) AS manifest FROM clips GROUP BY rec_id""")
 def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen clips of each conversation as one JSON text, with titles."""
-    titles = turn_sentences(spark, sf_dir).select("rec_id", F.col("idx").alias("first"), T.headline("text").alias("title"))
-    return sinks.manifests(clip_selected(spark, sf_dir).join(titles, ["rec_id", "first"]))
+    """The chosen clips of each conversation as one JSON text, with titles and notes."""
+    clips = titled_clips(spark, sf_dir).withColumn("hashtags", F.array(F.lit("#talk"))).withColumn("why", F.lit("its opening"))
+    name = F.col("rec_id").cast("string")
+    runs = clips.select("rec_id").distinct().select("rec_id", F.concat(F.lit("client "), name).alias("client"), F.lit("Talks").alias("show"), F.lit("").alias("title"), F.concat(F.lit("https://example.org/"), name).alias("source"), F.lit("heuristic").alias("picker"), F.lit("").alias("model"), F.array(F.when(F.col("rec_id") % 2 == 0, "one").otherwise(""), F.lit("two")).alias("notes"))
+    return sinks.manifests(clips, runs)
 
 
 @query(f"""WITH RECURSIVE {SENTENCES}, split AS (SELECT rec_id, idx, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM sentences),
 cut AS (SELECT rec_id, idx, CASE WHEN len(w) > 7 THEN rtrim(array_to_string(w[1:6], ' '), '.,;:!?"'')”’') || '…' ELSE rtrim(array_to_string(w[1:7], ' '), '.,;:"'')”’') END AS c FROM split)
-SELECT rec_id, idx, CASE left(c, 1) WHEN 'ß' THEN 'SS' ELSE upper(left(c, 1)) END || substr(c, 2) AS title FROM cut""")
+SELECT rec_id, idx, {HEADLINE} AS title FROM cut""")
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in title for each sentence."""
     return turn_sentences(spark, sf_dir).select("rec_id", "idx", T.headline("text").alias("title"))
@@ -206,12 +222,20 @@ def caption_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.caption_chunks(turn_words(spark, sf_dir), uppercase=False).select("rec_id", "chunk", "pos", "text", r4("start").alias("start"), r4("end").alias("end"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CHUNKS}, placed AS (SELECT *, row_number() OVER (PARTITION BY rec_id, chunk ORDER BY word_idx) - 1 AS pos FROM chunked),
+per AS (SELECT rec_id, chunk, min(start) AS a, arg_max("end", pos) AS b, list(text ORDER BY pos) AS words FROM placed GROUP BY rec_id, chunk), whole AS (SELECT rec_id, max("end") + 1.0 AS d FROM turn_words GROUP BY rec_id),
+nxt AS (SELECT per.*, coalesce(lead(a) OVER (PARTITION BY rec_id ORDER BY chunk), d) AS f FROM per JOIN whole USING (rec_id)),
+stopped AS (SELECT *, CASE WHEN f - b < 0.12 THEN f ELSE least(f, greatest(b, a + 0.25) + 0.35) END AS stop, length(array_to_string(words, ' ')) * (72.0 * 0.62) AS wide FROM nxt),
+timed AS (SELECT p.rec_id, p.chunk, p.pos, p.start, s.words, s.wide, coalesce(lead(p.start) OVER (PARTITION BY p.rec_id, p.chunk ORDER BY p.pos), s.stop) AS until FROM placed p JOIN stopped s ON s.rec_id = p.rec_id AND s.chunk = p.chunk),
+cs AS (SELECT *, greatest(0, CAST(round_even(start * 100, 0) AS BIGINT)) AS c0, greatest(0, CAST(round_even(until * 100, 0) AS BIGINT)) AS c1 FROM timed WHERE until - start >= 0.02)
+SELECT rec_id, CAST(chunk AS BIGINT) AS chunk, CAST(pos AS INTEGER) AS pos, printf('Dialogue: 0,%d:%02d:%02d.%02d,%d:%02d:%02d.%02d,Cap,,0,0,0,,', c0 // 360000, c0 % 360000 // 6000, c0 % 6000 // 100, c0 % 100, c1 // 360000, c1 % 360000 // 6000, c1 % 6000 // 100, c1 % 100)
+|| '{{\\an5\\pos(540,1267)' || CASE WHEN wide > 900 THEN printf('\\fscx%d\\fscy%d', CAST(round_even(900.0 / wide * 100, 0) AS INTEGER), CAST(round_even(900.0 / wide * 100, 0) AS INTEGER)) WHEN pos = 0 THEN '\\fscx92\\fscy92\\t(0,70,\\fscx100\\fscy100)' ELSE '' END || '}}'
+|| array_to_string(list_transform(words, lambda w, i: CASE WHEN i = pos + 1 THEN '{{\\c&H00D4FF&}}' || w || '{{\\c&HFFFFFF&}}' ELSE w END), ' ') AS event FROM cs""")
 def subtitle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtitle lines of the captions, one for each word that lights up."""
     w = turn_words(spark, sf_dir)
     ends = w.groupBy("rec_id").agg((F.max("end") + 1.0).alias("duration"))
-    return sinks.subtitle_events(S.caption_events(S.caption_chunks(w), ends))
+    return sinks.subtitle_events(S.caption_events(S.caption_chunks(w, uppercase=False), ends), 1267)
 
 
 @query(r"""SELECT conv_id AS rec_id, turn, length(regexp_replace(text, '[^!?]', '', 'g')) AS marks, CAST(len(regexp_extract_all(lower(text), '""" + T.EXCITED.replace("'", "''") + r"""')) AS INTEGER) AS excited, CAST(len(regexp_extract_all(lower(text), '""" + T.DULL.replace("'", "''") + r"""')) AS INTEGER) AS dull FROM conversations WHERE text IS NOT NULL""")
@@ -223,22 +247,30 @@ def lexical_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EX, DU = T.EXCITED.replace("'", "''"), T.DULL.replace("'", "''")
-STRETCHES = f"""{TURN_LINES}, l AS (SELECT *, len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS n, length(regexp_replace(text, '[^!?]', '', 'g')) AS marks,
-  len(regexp_extract_all(lower(text), '{EX}')) AS excited, len(regexp_extract_all(lower(text), '{DU}')) AS dull FROM turn_lines),
-stretches AS MATERIALIZED (SELECT a.rec_id, a.idx, a.start, arg_max(b."end", b.idx) AS "end", sum(b.n) AS words,
-  round(2.0 * least(2.5, sum(b.n) / 80.0) + 0.6 * least(6, sum(b.marks)) + 1.0 * least(5, sum(b.excited)) - 3.0 * sum(b.dull), 6) AS score
-  FROM l a JOIN l b ON b.rec_id = a.rec_id AND b.idx >= a.idx AND b."end" <= a.start + 80 GROUP BY a.rec_id, a.idx, a.start HAVING sum(b.n) >= 12)"""
+HINTS = f"""{MOMENTS}, hints AS (SELECT rec_id, t % 300 AS "at", CAST(round_even(value, 0) AS BIGINT) AS views FROM moments WHERE kind = 'purchase')"""
+STRETCHES = f"""{TURN_LINES}, {LOUD}, {HINTS}, lines AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM turn_lines),
+talks AS MATERIALIZED (SELECT a.rec_id, a.idx, a.start, arg_max(b."end", b.idx) AS "end", sum(b.n) AS words, lower(string_agg(b.text, ' ' ORDER BY b.idx)) AS talk
+  FROM lines a JOIN lines b ON b.rec_id = a.rec_id AND b.idx >= a.idx AND b."end" <= a.start + 80 GROUP BY a.rec_id, a.idx, a.start HAVING sum(b.n) >= 12),
+heard AS (SELECT rec_id, idx, sum(2.0 + lift / 4) AS score FROM (SELECT t.rec_id, t.idx, l.lift, row_number() OVER (PARTITION BY t.rec_id, t.idx ORDER BY l."at") AS r FROM talks t JOIN loud l ON l.rec_id = t.rec_id AND l."at" <= t."end" AND l."end" >= t.start) WHERE r <= 2 GROUP BY rec_id, idx),
+seen AS (SELECT t.rec_id, t.idx, least(4.0, 1.5 * log10(sum(h.views) + 10)) AS score FROM talks t JOIN hints h ON h.rec_id = t.rec_id AND h."at" >= t.start - 15 AND h."at" <= t."end" + 15 GROUP BY t.rec_id, t.idx),
+stretches AS MATERIALIZED (SELECT t.rec_id, t.idx, t.start, t."end", words, 'Chosen by the built-in fallback: lively talk' || CASE WHEN heard.score IS NULL THEN '' ELSE ', a loud moment' END || CASE WHEN seen.score IS NULL THEN '' ELSE ', viewer clips nearby' END || '.' AS why,
+  round(2.0 * least(2.5, words / 80.0) + 0.6 * least(6, length(regexp_replace(talk, '[^!?]', '', 'g'))) + 1.0 * least(5, len(regexp_extract_all(talk, '{EX}'))) - 3.0 * len(regexp_extract_all(talk, '{DU}')) + coalesce(heard.score, 0.0) + coalesce(seen.score, 0.0), 6) AS score
+  FROM talks t LEFT JOIN heard ON heard.rec_id = t.rec_id AND heard.idx = t.idx LEFT JOIN seen ON seen.rec_id = t.rec_id AND seen.idx = t.idx)"""
+
+
+def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, at, views): purchases of user n as hints to conversation n, somewhere in its first five minutes."""
+    return moments(spark, sf_dir, "purchase").select("rec_id", (F.col("t") % 300).alias("at"), F.bround("value", 0).cast("long").alias("views"))
 
 
 def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "rec_id long, at double, end double, lift double, views long")
-    return C.stretch_candidates(turn_lines(spark, sf_dir), none, none, 80.0)
+    return C.stretch_candidates(turn_lines(spark, sf_dir), loud_of(spark, sf_dir), hints(spark, sf_dir), 80.0)
 
 
-@query(f"""WITH {STRETCHES} SELECT rec_id, idx, round(start, 4) AS start, round("end", 4) AS "end", CAST(round(score, 4) AS DOUBLE) AS score, CAST(words AS BIGINT) AS words FROM stretches""")
+@query(f"""WITH RECURSIVE {STRETCHES} SELECT rec_id, idx, round(start, 4) AS start, round("end", 4) AS "end", CAST(round(score, 4) AS DOUBLE) AS score, CAST(words AS BIGINT) AS words, why FROM stretches""")
 def stretch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What begins at each turn and lasts eighty seconds, scored by its talk."""
-    return _stretches(spark, sf_dir).select("rec_id", "idx", r4("start").alias("start"), r4("end").alias("end"), r4("score").alias("score"), "words")
+    """What begins at each turn and lasts eighty seconds, scored by its talk, loud moments and hints."""
+    return _stretches(spark, sf_dir).select("rec_id", "idx", r4("start").alias("start"), r4("end").alias("end"), r4("score").alias("score"), "words", "why")
 
 
 SPREAD = f"""{STRETCHES}, ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, idx) AS r FROM stretches),
@@ -267,10 +299,10 @@ padded AS MATERIALIZED (SELECT rec_id, r AS idx, s AS start, least(e, s + 300) A
 
 def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = turn_lines(spark, sf_dir).groupBy("rec_id").agg(F.max("end").alias("total"))
-    return C.padded_windows(_stretches(spark, sf_dir).withColumn("why", F.lit("talk")), total, P.wanted_count(8))
+    return C.padded_windows(_stretches(spark, sf_dir), total, P.wanted_count(8))
 
 
-@query(f"""WITH {PADDED} SELECT rec_id, CAST(idx AS INTEGER) AS idx, round(start, 4) AS start, round("end", 4) AS "end", CAST(round(score, 4) AS DOUBLE) AS score FROM padded""")
+@query(f"""WITH RECURSIVE {PADDED} SELECT rec_id, CAST(idx AS INTEGER) AS idx, round(start, 4) AS start, round("end", 4) AS "end", CAST(round(score, 4) AS DOUBLE) AS score FROM padded""")
 def windows_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best stretches of each conversation with room around them."""
     return _padded(spark, sf_dir).select("rec_id", "idx", r4("start").alias("start"), r4("end").alias("end"), r4("score").alias("score"))
@@ -300,9 +332,12 @@ def windows_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("rec_id", "idx", r4(F.col("end") - F.col("start")).alias("length"))
 
 
-@query(f"""WITH {TURN_LINES} SELECT rec_id, idx, CAST(floor(coalesce(sum(length(text) + 1) OVER (PARTITION BY rec_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS chunk FROM turn_lines""")
+CHUNKED = f"""{TURN_LINES}, sized AS (SELECT *, ceil(sum(length(text) + 20) OVER (PARTITION BY rec_id) / 2000.0) AS parts, count(*) OVER (PARTITION BY rec_id) AS n FROM turn_lines), chunked_lines AS (SELECT *, CAST(floor(idx / ceil(n / parts)) AS BIGINT) AS chunk FROM sized)"""
+
+
+@query(f"""WITH {CHUNKED} SELECT rec_id, idx, chunk FROM chunked_lines""")
 def prompt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns dealt into prompts of 2000 characters."""
+    """Turns dealt into as many prompts of equally many turns as their characters need."""
     return C.text_chunks(turn_lines(spark, sf_dir), 2000).select("rec_id", "idx", "chunk")
 
 
@@ -311,5 +346,5 @@ t AS (SELECT *, coalesce(lead(key) OVER w, '') AS nxt, coalesce(lag(key) OVER w,
 SELECT rec_id, count(*) AS words, count(*) FILTER (key = 'the') AS the_words FROM t GROUP BY rec_id""")
 def replacement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each conversation after a replacement that keeps their number, and how many were replaced."""
-    w = S.apply_replacements(turn_words(spark, sf_dir), {"the": "THE"})
+    w = S.apply_replacements(turn_words(spark, sf_dir), {"(the++)": "THE", "++": "nothing", "no such pair of words": "x"})
     return w.groupBy("rec_id").agg(F.count("*").alias("words"), F.count_if(T.bare("text") == "the").alias("the_words"))

@@ -129,14 +129,25 @@ def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.chosen_levels(_levels(spark, sf_dir)).select("list_id", "scan", "best")
 
 
-@query("""SELECT p_partkey AS reply_id, CAST(0 AS INTEGER) AS pos, CAST(p_size AS INTEGER) AS first, CAST(p_size + 3 AS INTEGER) AS last, p_name AS title, CASE WHEN p_partkey % 5 = 1 THEN 0.0 ELSE p_retailprice END AS score FROM part WHERE p_partkey % 5 <> 3""")
+@query("""SELECT p_partkey AS reply_id, CAST(0 AS INTEGER) AS pos, CAST(p_size AS INTEGER) AS first, CAST(p_size + 3 AS INTEGER) AS last, p_name AS title, 'Cap: ' || p_name AS caption, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '#ab #x' END AS tags, 'two lines' AS why,
+CASE p_partkey % 5 WHEN 2 THEN least(100.0, p_retailprice) WHEN 3 THEN 0.0 WHEN 4 THEN 70.5 ELSE 50.0 END AS score FROM part WHERE p_partkey % 7 NOT IN (4, 5) AND p_partkey % 4 <> 3""")
 def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of replies that are plain, fenced, quoted, surrounded by talk or broken."""
+    """Items of replies that are plain, fenced, objects, surrounded by talk or broken.
+
+    A list of one object inside talk is read as that object, which holds no clips, before it is read as a list.
+    """
     k, size = F.col("p_partkey"), F.col("p_size")
-    score = F.when(k % 5 == 1, F.lit('"high"')).otherwise(F.col("p_retailprice").cast("string"))
-    item = F.format_string('[{"first": %d, "last": "%d", "title": "  %s ", "score": %s}]', size, size + 3, F.col("p_name"), score)
-    text = F.when(k % 5 == 2, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(k % 5 == 3, "no list").when(k % 5 == 4, F.concat(F.lit("Here: "), item, F.lit(" Enjoy."))).otherwise(item)
-    return R.valid_items(table(spark, sf_dir, "part").select(k.alias("reply_id"), text.alias("reply")))
+    first = F.when(k % 4 == 0, size.cast("string")).when(k % 4 == 1, F.concat(F.lit('"'), size.cast("string"), F.lit('"'))).when(k % 4 == 2, F.concat(size.cast("string"), F.lit(".7"))).otherwise(F.lit('"2.5"'))
+    score = F.when(k % 5 == 1, '"score": "high", ').when(k % 5 == 2, F.concat(F.lit('"score": '), F.col("p_retailprice").cast("string"), F.lit(", "))).when(k % 5 == 3, '"score": -5, ').when(k % 5 == 4, '"score": "70.5", ').otherwise("")
+    tags = F.when(k % 3 == 0, '"none"').otherwise('["#A b", "x", "X"]')
+    item = F.concat(F.lit('{"first": '), first, F.format_string(', "last": "%d", "title": "  %s ", "caption": "Cap:\\n%s", ', size + 3, "p_name", "p_name"), score, F.lit('"hashtags": '), tags, F.lit(', "why": "two\\n lines"}'))
+    both = F.concat(F.lit("["), item, F.lit(', "junk"]'))
+    text = (
+        F.when(k % 7 == 1, F.concat(F.lit("```json\n"), both, F.lit("\n```"))).when(k % 7 == 2, F.concat(F.lit('{"clips": '), both, F.lit("}"))).when(k % 7 == 3, F.concat(F.lit('Here: {"clips": '), both, F.lit("} ok")))
+        .when(k % 7 == 4, "no list").when(k % 7 == 5, F.concat(F.lit("Here: "), both, F.lit(" Enjoy."))).when(k % 7 == 6, F.concat(F.lit("Here: ["), item, F.lit(', {"last": 1}] Enjoy.'))).otherwise(both)
+    )
+    found = R.valid_items(table(spark, sf_dir, "part").select(k.alias("reply_id"), text.alias("reply")))
+    return found.select("reply_id", "pos", "first", "last", "title", "caption", F.array_join("hashtags", " ").alias("tags"), "why", "score")
 
 
 ISSUES = """issues AS (SELECT o_orderkey AS number, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, o_orderkey % 5 = 0 AS labelled, o_orderkey % 9 = 0 AS clipped, CASE o_orderkey % 4 WHEN 0 THEN 'OWNER' WHEN 1 THEN 'MEMBER' ELSE 'NONE' END AS assoc,
@@ -146,14 +157,15 @@ ISSUES = """issues AS (SELECT o_orderkey AS number, o_custkey, o_orderstatus, o_
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request for each order."""
     k = F.col("o_orderkey")
-    body = F.when(k % 3 == 0, F.format_string("### Client\n\nacme%d\n\n### Episode link\n\nhttps://example.org/e/%d.mp4.\n\n### Number of clips\n\n%d\n\n### Notes\n\n_No response_", F.col("o_custkey"), k, k % 40)).when(
-        k % 3 == 1, F.format_string("client: Acme%d\nlink: https://example.org/e/%d.mp4\nnote: %s", F.col("o_custkey"), k, F.col("o_orderpriority"))).otherwise(F.format_string("please look at https://example.org/e/%d.mp4, feed-item:%s", k, F.left(F.sha1(k.cast("string").cast("binary")), F.lit(16))))
+    body = F.when(k % 6 == 3, F.format_string("### Client\n\nold\n\n### Client\n\n_No response_\n\n### Episode link\n\nhttps://example.org/e/%d.mp4.\n\n### Number of clips\n\n%d\n\n### Notes\n\nclient: other\nclient: third", k, k % 40)).when(
+        k % 3 == 0, F.format_string("### Client\n\nold\n\n### Client\n\nacme%d\n\n### Episode link\n\nhttps://example.org/e/%d.mp4.\n\n### Number of clips\n\n%d\n\n### Notes\n\n_No response_", F.col("o_custkey"), k, k % 40)).when(
+        k % 3 == 1, F.format_string("client: Acme%d\nlink: https://example.org/e/%d.mp4\n**note:** %s\nclient: second\nnote: again", F.col("o_custkey"), k, F.col("o_orderpriority"))).otherwise(F.format_string("please look at https://example.org/e/%d.mp4, feed-item:%s", k, F.left(F.sha1(k.cast("string").cast("binary")), F.lit(16))))
     labels = F.filter(F.array(F.when(k % 5 == 0, "episode"), F.when(k % 9 == 0, "clipped"), F.lit("other")), lambda x: x.isNotNull())
     assoc = F.when(k % 4 == 0, "OWNER").when(k % 4 == 1, "MEMBER").otherwise("NONE")
     return table(spark, sf_dir, "orders").select(k.alias("number"), F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open").alias("state"), F.concat(F.lit("Episode: "), F.col("o_orderpriority")).alias("title"), body.alias("body"), labels.alias("labels"), assoc.alias("author_association"), F.when(k % 6 == 0, Q.BOT).otherwise("someone").alias("login"), F.lit(False).alias("pull_request"))
 
 
-@query(f"""WITH {ISSUES} SELECT number, 'acme' || o_custkey AS client, 'https://example.org/e/' || number || '.mp4' AS source, 'Episode: ' || o_orderpriority AS title, CASE WHEN number % 3 = 1 THEN o_orderpriority ELSE '' END AS notes,
+@query(f"""WITH {ISSUES} SELECT number, CASE WHEN number % 6 = 3 THEN '' ELSE 'acme' || o_custkey END AS client, 'https://example.org/e/' || number || '.mp4' AS source, 'Episode: ' || o_orderpriority AS title, CASE WHEN number % 3 = 1 THEN o_orderpriority WHEN number % 6 = 3 THEN 'client: other' || chr(10) || 'client: third' ELSE '' END AS notes,
 CASE WHEN number % 3 = 0 AND number % 40 BETWEEN 1 AND 30 THEN CAST(number % 40 AS INTEGER) END AS count FROM issues WHERE number % 3 <> 2 UNION ALL
 SELECT number, '', 'https://example.org/e/' || number || '.mp4', 'Episode: ' || o_orderpriority, '', NULL FROM issues WHERE number % 3 = 2""")
 def issue_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.links import to_float, to_int
+from tempora.operators.temporal import overlap_join
 
 
 def attribute(line: Column, name: str) -> Column:
@@ -24,6 +25,23 @@ def resolved(base: Column, url: Column) -> Column:
     return F.when(url.rlike(r"^https?://"), url).when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(folder, url))
 
 
+def faults(lines: DataFrame, master: bool = False) -> DataFrame:
+    """(list_id, fault) of playlists that cannot be used: no playlist, encrypted, in byte ranges, sound kept apart, or empty."""
+    x = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    starts = lambda *tags: F.bool_or(F.greatest(*[F.col("line").startswith(t) for t in tags]) if len(tags) > 1 else F.col("line").startswith(tags[0]))
+    method = attribute(F.col("line"), "METHOD")
+    facts = x.groupBy("list_id").agg(
+        F.min_by("line", "line_no").alias("head"), starts("#EXTINF").alias("timed"), starts("#EXT-X-STREAM-INF:").alias("levels"), F.bool_or(~F.col("line").startswith("#")).alias("links"),
+        F.bool_or(F.col("line").startswith("#EXT-X-KEY:") & ~method.isin("", "NONE")).alias("locked"), starts("#EXT-X-BYTERANGE").alias("ranges"), F.bool_or(F.col("line").startswith("#EXT-X-MEDIA:") & (attribute(F.col("line"), "URI") != "")).alias("apart"),
+    )
+    fault = F.when(~F.col("head").startswith("#EXTM3U"), "no playlist")
+    if master:
+        fault = fault.when(F.col("timed"), F.lit(None)).when(F.col("apart"), "sound apart").when(~(F.col("levels") & F.col("links")), "empty")
+    else:
+        fault = fault.when(F.col("locked"), "encrypted").when(F.col("ranges"), "byte ranges").when(~(F.col("timed") & F.col("links")), "empty")
+    return facts.select("list_id", fault.alias("fault")).where("fault is not null")
+
+
 def media_pieces(lines: DataFrame) -> DataFrame:
     """(list_id, seq, url, start, duration, run, init) of media playlists (list_id, line_no, line, base)."""
     w = Window.partitionBy("list_id").orderBy("line_no")
@@ -60,12 +78,13 @@ def runs(pieces: DataFrame) -> DataFrame:
 
 def between(pieces: DataFrame, spans: DataFrame) -> DataFrame:
     """(list_id, span_id, run, urls): the pieces that each span (list_id, span_id, a, b) touches, by run, in order."""
-    inside = pieces.join(spans, "list_id").where((F.col("start") < F.col("b")) & (F.col("start") + F.col("duration") > F.col("a")))
+    p = pieces.select(F.col("list_id").alias("rec_id"), "run", "seq", "url", "start", (F.col("start") + F.col("duration")).alias("stop"))
+    inside = overlap_join(p, spans.select(F.col("list_id").alias("rec_id"), "span_id", "a", "b"), 60.0, "start", "stop", "a", "b", strict=True).withColumnRenamed("rec_id", "list_id")
     return inside.groupBy("list_id", "span_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "url"))), lambda x: x["url"]).alias("urls"))
 
 
 def master_levels(lines: DataFrame) -> DataFrame:
-    """(list_id, level, url, name, bandwidth, width, height, fps, codecs) of master playlists (list_id, line_no, line, base)."""
+    """(list_id, level, url, name, bandwidth, width, height, fps, codecs) of master playlists (list_id, line_no, line, base); a media playlist is one level."""
     w = Window.partitionBy("list_id").orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     x = lines.withColumn("line", F.trim("line")).where("line <> ''")
@@ -77,10 +96,13 @@ def master_levels(lines: DataFrame) -> DataFrame:
     names = x.where(F.col("line").startswith("#EXT-X-MEDIA:")).groupBy("list_id", attribute(F.col("line"), "GROUP-ID").alias("grp")).agg(F.max_by(attribute(F.col("line"), "NAME"), "line_no").alias("named"))
     size = F.lower(attribute(F.col("_p"), "RESOLUTION"))
     levels = levels.withColumn("grp", attribute(F.col("_p"), "VIDEO")).join(names, ["list_id", "grp"], "left")
-    return levels.select(
+    plain = x.where(F.col("line").startswith("#EXTINF")).groupBy("list_id").agg(F.first("base").alias("base"))
+    none, zero = F.lit(""), F.lit(0).cast("long")
+    single = plain.select("list_id", F.lit(0).alias("level"), F.col("base").alias("url"), F.lit("only").alias("name"), zero.alias("bandwidth"), zero.alias("width"), zero.alias("height"), F.lit(0.0).alias("fps"), none.alias("codecs"))
+    return single.unionByName(levels.join(plain.select("list_id"), "list_id", "left_anti").select(
         "list_id", (F.row_number().over(w) - 1).alias("level"), resolved(F.col("base"), F.col("line")).alias("url"), F.coalesce(F.nullif(F.col("named"), F.lit("")), "grp").alias("name"), to_int(attribute(F.col("_p"), "BANDWIDTH")).alias("bandwidth"),
         to_int(F.substring_index(size, "x", 1)).alias("width"), to_int(F.when(size.contains("x"), F.substring_index(size, "x", -1)).otherwise("")).alias("height"), to_float(attribute(F.col("_p"), "FRAME-RATE")).alias("fps"), attribute(F.col("_p"), "CODECS").alias("codecs"),
-    )
+    ))
 
 
 def video_codec(codecs: Column) -> Column:
@@ -88,18 +110,21 @@ def video_codec(codecs: Column) -> Column:
     return F.when(low.rlike("avc1|avc3"), "h264").when(low.rlike("hvc1|hev1"), "hevc").when(low.contains("av01"), "av1").otherwise("")
 
 
-def sound_only(codecs: Column, height: Column) -> Column:
-    return (F.coalesce(codecs, F.lit("")) != "") & (video_codec(codecs) == "") & (height == 0)
+def sound_only(codecs: Column, name: Column, height: Column) -> Column:
+    """By the codecs, or without them by a name that says so and no height."""
+    told = F.coalesce(codecs, F.lit("")) != ""
+    return F.when(told, (video_codec(codecs) == "") & F.lower(codecs).contains("mp4a")).otherwise((F.coalesce(height, F.lit(0)) == 0) & F.lower(F.coalesce(name, F.lit(""))).contains("audio"))
 
 
 def chosen_levels(levels: DataFrame, most: int = 1080) -> DataFrame:
     """(list_id, scan, best): the cheapest level that carries the sound, and the sharpest picture up to ``most`` lines, h264 first."""
-    v = levels.withColumn("audio", sound_only(F.col("codecs"), F.col("height"))).withColumn("codec", video_codec(F.col("codecs")))
+    v = levels.withColumn("audio", sound_only(F.col("codecs"), F.col("name"), F.col("height"))).withColumn("codec", video_codec(F.col("codecs")))
     rate, lines = F.nullif(F.col("bandwidth"), F.lit(0)), F.nullif(F.col("height"), F.lit(0))
     cheap = F.min_by("level", F.when(F.col("audio"), F.struct(F.lit(0).alias("a"), F.coalesce("bandwidth", F.lit(0)).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "level")).otherwise(F.struct(F.lit(1).alias("a"), F.coalesce(rate, F.lit(10**12)).cast("long").alias("b"), F.coalesce(lines, F.lit(10**6)).cast("long").alias("c"), "level")))
     tall = F.coalesce(lines, F.lit(most))
     rank = F.when(F.col("codec") == "h264", 0).when(F.col("codec") == "", 1).when(F.col("codec") == "hevc", 2).otherwise(3)
     over = (tall > most).cast("int")
-    key = F.struct(over.alias("o"), F.when(tall > most, F.coalesce(lines, F.lit(10**6))).otherwise(-tall).alias("h"), rank.alias("r"), (-F.col("bandwidth")).alias("b"), "level")
+    # if all are too tall, the lowest is taken whatever its codec
+    key = F.struct(over.alias("o"), F.when(tall > most, F.coalesce(lines, F.lit(10**6))).otherwise(-tall).alias("h"), F.when(tall > most, 0).otherwise(rank).alias("r"), F.when(tall > most, 0).otherwise(-F.col("bandwidth")).alias("b"), "level")
     best = v.where(~F.col("audio")).groupBy("list_id").agg(F.min_by("level", key).alias("best"))
     return v.groupBy("list_id").agg(cheap.alias("scan")).join(best, "list_id", "left")

@@ -1,35 +1,93 @@
-"""Manifests, review sheets, subtitles and transcripts as text columns; writing them is df.write."""
+"""Manifests, review sheets, comments, subtitles and transcripts as text columns; writing them is df.write."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import text as T
 
 
-def manifests(clips: DataFrame) -> DataFrame:
-    """(rec_id, manifest): the clips of a recording, best first, as one JSON text."""
-    one = F.struct("rank", "first", "last", "title", "score")
-    return clips.groupBy("rec_id").agg(F.to_json(F.struct(F.col("rec_id"), F.count("*").alias("count"), F.array_sort(F.collect_list(one)).alias("clips"))).alias("manifest"))
+def in_order(key: str, text: Column, between: str) -> Column:
+    """The texts of a group, in the order of key, as one."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, text.alias("t")))), lambda x: x["t"]), between)
 
 
-def review_sheets(clips: DataFrame) -> DataFrame:
-    """(rec_id, sheet): a markdown list of clips (rec_id, rank, title, start, end, score)."""
-    line = F.format_string("%d. %s (%s to %s, score %s)", F.col("rank"), F.replace(F.col("title"), F.lit("|"), F.lit("\\|")), T.clock("start"), T.clock("end"), F.format_number("score", 1))
-    rows = clips.withColumn("line", line).groupBy("rec_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return rows.select("rec_id", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " clip, best first.\n\n").otherwise(" clips, best first.\n\n"), "body").alias("sheet"))
+def manifests(clips: DataFrame, runs: DataFrame, fields: tuple[str, ...] = ("rank", "first", "last", "title", "caption", "hashtags", "why", "score")) -> DataFrame:
+    """(rec_id, manifest): a run (rec_id, client, show, title, source, picker, model, notes array) and its clips, best first, as one JSON text.
 
+    Empty notes are left out, the others joined.
+    """
+    per = clips.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("clips"))
+    note = F.array_join(F.filter("notes", lambda n: F.coalesce(n, F.lit("")) != ""), " ").alias("note")
+    return runs.join(per, "rec_id").select("rec_id", F.to_json(F.struct("client", "show", "title", "source", "picker", "model", "clips", note)).alias("manifest"))
 
-def subtitle_events(events: DataFrame) -> DataFrame:
-    """(rec_id, chunk, pos, event): subtitle lines for caption events (rec_id, chunk, pos, start, until, line)."""
-    return events.select("rec_id", "chunk", "pos", F.format_string("Dialogue: 0,%s,%s,Cap,,0,0,0,,%s", T.ass_time("start"), T.ass_time("until"), F.col("line")).alias("event"))
 
+def _heading(runs: DataFrame) -> DataFrame:
+    return runs.withColumn("_heading", F.array_join(F.filter(F.array("show", "title"), lambda x: x != ""), " — "))
 
-def transcript_json(words: DataFrame) -> DataFrame:
-    """(rec_id, json): words as [text, start, end], times to three decimals."""
-    w = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text", F.round("start", 3).alias("s"), F.round("end", 3).alias("e")))), lambda x: F.array(x["text"], x["s"].cast("string"), x["e"].cast("string")))
-    return words.groupBy("rec_id").agg(F.to_json(F.struct(F.lit(1).alias("version"), w.alias("words"))).alias("json"))
+
+def review_sheets(clips: DataFrame, runs: DataFrame, whole: str = "episode") -> DataFrame:
+    """(rec_id, sheet): the markdown list of clips (rec_id, rank, title, file, duration, source_start, source_end, trimmed, post, why,
+    text, watch) of runs (rec_id, show, title, picker, model, note).  Fixed values: people read these texts.
+    """
+    linked = F.when(F.coalesce("watch", F.lit("")) != "", F.concat(F.lit(" ([watch it there]("), "watch", F.lit("))"))).otherwise("")
+    where = F.concat(F.lit("from "), T.clock("source_start"), F.lit(" to "), T.clock("source_end"), F.lit(f" of the {whole}"), linked)
+    less = F.when(F.col("trimmed") >= 0.5, F.format_string("%.1fs of pauses removed", "trimmed"))
+    facts = F.concat_ws(" · ", F.concat(F.lit("`"), "file", F.lit("`")), T.clock("duration"), where, less)
+    why = F.when(F.coalesce("why", F.lit("")) != "", F.concat(F.lit("\n\n**Why this one:** "), "why")).otherwise("")
+    entry = F.concat(F.format_string("\n## %d. %s\n\n", "rank", "title"), facts, F.lit("\n\n**Post text**\n\n"), "post", why, F.lit("\n\n**What is said:** "), "text")
+    per = clips.groupBy("rec_id").agg(F.count("*").alias("_n"), in_order("rank", entry, "\n").alias("_body"))
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n> "), "note", F.lit("\n"))).otherwise("")
+    count = F.concat(F.col("_n").cast("string"), F.when(F.col("_n") == 1, " clip").otherwise(" clips"), F.lit(", best first. "), T.picker_line("picker", "model"))
+    x = _heading(runs).join(per, "rec_id")
+    return x.select("rec_id", F.concat(F.lit("# "), "_heading", F.lit("\n\n"), count, F.lit("\n"), note, "_body", F.lit("\n")).alias("sheet"))
+
+
+def comment_tables(clips: DataFrame, runs: DataFrame) -> DataFrame:
+    """(rec_id, comment): what is said under a request when its clips are ready; runs have release_url and download_url too.
+    Fixed values: people read these texts.
+    """
+    at = F.when(F.coalesce("watch", F.lit("")) != "", F.concat(F.lit("["), T.clock("source_start"), F.lit("]("), "watch", F.lit(")"))).otherwise(T.clock("source_start"))
+    c = clips.join(runs.select("rec_id", "download_url"), "rec_id")
+    row = F.concat(F.format_string("| %d | ", "rank"), F.replace("title", F.lit("|"), F.lit("\\|")), F.lit(" | "), T.clock("duration"), F.lit(" | "), at, F.lit(" | ["), "file", F.lit("]("), "download_url", F.lit("/"), "file", F.lit(") |"))
+    why = F.when(F.coalesce("why", F.lit("")) != "", F.concat(F.lit("\n_Why:_ "), "why", F.lit("\n"))).otherwise("")
+    more = F.concat(F.format_string("**%d. %s**\n\n", "rank", "title"), "post", F.lit("\n"), why)
+    per = c.groupBy("rec_id").agg(F.count("*").alias("_n"), in_order("rank", row, "\n").alias("_rows"), in_order("rank", more, "\n").alias("_more"))
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n> **Note:** "), "note", F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("### "), F.col("_n").cast("string"), F.when(F.col("_n") == 1, " clip ready\n\n").otherwise(" clips ready\n\n"), T.picker_line("picker", "model"), F.lit(" [All files and the contact sheet]("), "release_url", F.lit(")\n"), note)
+    table = F.concat(F.lit("\n| # | Headline | Length | Starts at | File |\n|---|---|---|---|---|\n"), "_rows", F.lit("\n\n<details><summary>Post text and reasons</summary>\n\n"), "_more", F.lit("\n</details>\n"))
+    return runs.join(per, "rec_id").select("rec_id", F.concat(head, table).alias("comment"))
+
+
+def subtitle_events(events: DataFrame, place: int, colour: str = "#FFFFFF", highlight: str = "#FFD400", size: float = 72.0, width: float = 900.0) -> DataFrame:
+    """(rec_id, chunk, pos, event): subtitle lines for caption events (rec_id, chunk, pos, start, until, words), each lighting up one word.
+
+    A caption too long for the line is squeezed; any other pops up with its first word.  Fixed values: players read these tags.
+    """
+    long = F.char_length(F.array_join("words", " ")) * (size * 0.62)
+    share = F.bround(F.lit(width) / long * 100, 0).cast("int")
+    more = F.when(long > width, F.concat(F.lit("\\fscx"), share.cast("string"), F.lit("\\fscy"), share.cast("string"))).when(F.col("pos") == 0, "\\fscx92\\fscy92\\t(0,70,\\fscx100\\fscy100)").otherwise("")
+    tag = lambda c: F.concat(F.lit("{"), T.inline_colour(F.lit(c)), F.lit("}"))
+    said = F.array_join(F.transform("words", lambda w, i: F.when(i == F.col("pos"), F.concat(tag(highlight), w, tag(colour))).otherwise(w)), " ")
+    event = F.concat(F.format_string("Dialogue: 0,%s,%s,Cap,,0,0,0,,", T.ass_time("start"), T.ass_time("until")), F.lit(f"{{\\an5\\pos(540,{place})"), more, F.lit("}"), said)
+    return events.select("rec_id", "chunk", "pos", event.alias("event"))
+
+
+def subtitle_files(events: DataFrame, header: str) -> DataFrame:
+    """(rec_id, text): a header and the events of a recording in order."""
+    return events.groupBy("rec_id").agg(F.concat(F.lit(header), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "pos", "event"))), lambda x: x["event"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def transcript_json(words: DataFrame, pauses: DataFrame, facts: DataFrame) -> DataFrame:
+    """(rec_id, json): words as [text, start, end] to three decimals and pauses by word to two, with facts (rec_id, language, duration, model)."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    word = F.concat(F.lit("["), quoted(F.col("text")), F.lit(","), F.round("start", 3).cast("string"), F.lit(","), F.round("end", 3).cast("string"), F.lit("]"))
+    w = words.groupBy("rec_id").agg(in_order("word_idx", word, ",").alias("_w"))
+    pause = F.concat(F.lit('"'), F.col("word_idx").cast("string"), F.lit('":'), F.round("length", 2).cast("string"))
+    p = pauses.groupBy("rec_id").agg(in_order("word_idx", pause, ",").alias("_p"))
+    x = facts.join(w, "rec_id").join(p, "rec_id", "left")
+    return x.select("rec_id", F.concat(F.lit('{"version":1,"language":'), quoted(F.col("language")), F.lit(',"duration":'), F.round("duration", 3).cast("string"), F.lit(',"model":'), quoted(F.col("model")), F.lit(',"pauses":{'), F.coalesce("_p", F.lit("")), F.lit('},"words":['), "_w", F.lit("]}")).alias("json"))
 
 
 def cut_plans(pieces: DataFrame, fps: int = 30) -> DataFrame:
@@ -38,3 +96,20 @@ def cut_plans(pieces: DataFrame, fps: int = 30) -> DataFrame:
     per = pieces.withColumn("t", trim).groupBy("rec_id", "clip").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("piece", "t"))), lambda x: x["t"]).alias("t"))
     inputs = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.concat(F.lit("[v"), i.cast("string"), F.lit("]"))), "")
     return per.select("rec_id", "clip", F.concat(F.array_join("t", ";"), F.lit(";"), inputs, F.format_string("concat=n=%d:v=1:a=0[vcat]", F.col("n"))).alias("plan"))
+
+
+def sound_graphs(frames: DataFrame, fps: int = 30) -> DataFrame:
+    """(rec_id, clip, graph): the filter graph that joins the sound of frames (rec_id, clip, piece, first, last), joins faded, and levels it
+    by gain (decibels, from runs).  Fixed values: an encoder reads these texts.
+    """
+    w = Window.partitionBy("rec_id", "clip")
+    x = frames.withColumn("_i", F.row_number().over(w.orderBy("piece")) - 1).withColumn("_n", F.count("*").over(w))
+    cut = F.format_string("atrim=start=%.5f:end=%.5f", F.col("first") / float(fps), F.col("last") / float(fps))
+    out = F.format_string("afade=t=out:st=%.5f:d=0.008", F.greatest(F.lit(0.0), (F.col("last") - F.col("first")) / float(fps) - 0.008))
+    chain = F.concat_ws(",", cut, F.lit("asetpts=PTS-STARTPTS"), F.when(F.col("_i") > 0, "afade=t=in:st=0:d=0.008"), F.when(F.col("_i") < F.col("_n") - 1, out))
+    part = F.concat(F.format_string("[a%d]", "_i"), chain, F.format_string("[q%d]", "_i"))
+    names = lambda c: F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda i: F.concat(F.lit(f"[{c}"), i.cast("string"), F.lit("]"))), "")
+    head = "[0:a:0]aresample=48000,aformat=sample_fmts=fltp:channel_layouts=stereo,apad=pad_dur=1.5"
+    per = x.groupBy("rec_id", "clip", "_n").agg(in_order("_i", part, ";").alias("_parts"), F.first(chain).alias("_one"))
+    many = F.concat(F.lit(head + ",asplit="), F.col("_n").cast("string"), names("a"), F.lit(";"), "_parts", F.lit(";"), names("q"), F.format_string("concat=n=%d:v=0:a=1[acat]", "_n"))
+    return per.select("rec_id", "clip", F.when(F.col("_n") == 1, F.concat(F.lit(head + ","), "_one", F.lit("[acat]"))).otherwise(many).alias("graph"))
