@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -10,7 +11,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tempora.llm import queries
@@ -93,6 +93,30 @@ def test_warc_records_are_read_back(spark, data, tmp_path):
     assert all(p["metadata"].refers_to == p["conversion"].refers_to and p["conversion"].record_id in p["metadata"].content for p in pairs.values())
 
 
+def test_warc_fields_against_plain_code(spark, data, duck):
+    """Every page's two records, their fields taken apart and made again with hashlib only."""
+    html = dict(duck.execute("SELECT page_id, coalesce(html, '') FROM pages").fetchall())
+    url = dict(duck.execute("SELECT page_id, url FROM pages").fetchall())
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    rows = queries.op2_warc_derivatives(spark, data).collect()
+    of = {(r.page_id, r.record_type): r for r in rows}
+    assert len(rows) == len(of) == 2 * len(html)
+    for (page, kind), r in of.items():
+        head = dict(x.split(": ", 1) for x in r.header.strip().split("\r\n")[1:])
+        body, payload = r.content.encode(), html[page].encode()
+        assert head["WARC-Type"] == kind and head["WARC-Block-Digest"] == sha1(body) == r.block_digest and head["Content-Length"] == str(len(body))
+        assert head["WARC-Source-Payload-Digest"] == sha1(payload) and head["WARC-Target-URI"] == head["WARC-Refers-To-Target-URI"] == url[page]
+        assert head["WARC-Refers-To"] == of[page, "metadata"].refers_to == of[page, "conversion"].refers_to != head["WARC-Record-ID"]
+        if kind == "metadata":
+            facts = dict(x.split(": ", 1) for x in r.content.split("\r\n") if x)
+            assert facts["source-payload-length"] == str(len(payload)) and facts["http-header-content-type"] == "text/html; charset=utf-8" and facts["charset"] == "utf-8" and facts["http-status"] == "200"
+            assert facts["conversion-record-id"] == of[page, "conversion"].record_id and facts["conversion-payload-digest"] == sha1(of[page, "conversion"].content.encode())
+            lang = re.search(r'<html lang="(\w+)"', html[page])
+            assert facts.get("language") == (lang and lang[1])
+        else:
+            assert "<p>" not in r.content and "&amp;" not in r.content
+
+
 def test_warc_of_odd_rows(spark):
     kind = "page_id long, record_id string, target_uri string, date string, http_status int, http_headers string, payload string, content string"
     rows = [(None, None, None, None, None, None, None, "x"), (1, "<urn:a>", "http://h/", "2024", 200, "A: b\r\nC: d", "", "x"), (1, "<urn:a>", "http://h/", "2024", 200, "A: b\r\nC: d", "", "x")]
