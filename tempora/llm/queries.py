@@ -14,6 +14,7 @@ from tempora.llm.ngram_jaccard import jaccard_components
 from tempora.llm.nn_descent import near_duplicate_vectors
 from tempora.llm.packing import pack_documents
 from tempora.llm.page_differencing import extract_main_text
+from tempora.llm.source_mixing import mix_sources
 from tempora.llm.string_tiling import leaked_items
 from tempora.llm.token_counts import token_counts
 from tempora.llm.warc_derivatives import derivatives, responses_of
@@ -91,6 +92,12 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(read(spark, sf_dir, "documents"))
 
 
+@query
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document: sources weigh 1, 2, 3 in turn, at most 3 times their words."""
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 # Sets of shingles by hashing each list to a number; links by an inverted index; components by spreading minima.
 ORACLE_SQL["op6_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
@@ -111,3 +118,34 @@ reach AS (
 ), low AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id FROM sets s LEFT JOIN low l ON l.id = s.doc_id
 """
+
+# Keys by the same hash; the sources that are full are found by sharing the excess again, round by round.
+ORACLE_SQL["op13_source_mixing"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h,
+    length(regexp_replace(text, '[\x21-\x40\x5B-\x60\x7B-\x7E]+', '', 'g')) / nullif(length(text), 0) AS share
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM docs GROUP BY source
+), rounds AS (
+  SELECT 0 AS step, source, s, w, false AS is_full, CAST((SELECT sum(s) FROM sources) AS BIGINT) AS remaining, CAST((SELECT sum(w) FROM sources) AS BIGINT) AS weights FROM sources
+  UNION ALL
+  SELECT step + 1, source, s, w, now_full,
+    CAST((SELECT sum(s) FROM sources) - sum(CASE WHEN now_full THEN 3 * s ELSE 0 END) OVER () AS BIGINT),
+    CAST(sum(CASE WHEN now_full THEN 0 ELSE w END) OVER () AS BIGINT)
+  FROM (SELECT *, is_full OR CAST(3 * s AS HUGEINT) * weights <= CAST(remaining AS HUGEINT) * w AS now_full, bool_or(NOT is_full AND CAST(3 * s AS HUGEINT) * weights <= CAST(remaining AS HUGEINT) * w) OVER () AS more FROM rounds)
+  WHERE more
+), targets AS (
+  SELECT source, s, CASE WHEN is_full THEN CAST(3 * s AS DOUBLE) ELSE CAST(remaining * w AS DOUBLE) / weights END AS target,
+    CASE WHEN is_full THEN 3 * s ELSE (remaining * w) // weights END AS budget
+  FROM rounds WHERE step = (SELECT max(step) FROM rounds)
+), placed AS (
+  SELECT d.doc_id, d.size, t.s, t.target, t.budget, coalesce(t.budget // nullif(t.s, 0), 0) AS epochs,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY
+      -ln((CAST('0x' || substr(d.h, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / greatest(0.01::DOUBLE, coalesce(d.share * d.share, 0.0::DOUBLE)), d.doc_id, d.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, s AS source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * s - before)) AS BIGINT) AS taken FROM placed
+"""
