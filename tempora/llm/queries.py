@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tempora.llm.chat_windows import chat_windows, read_back
 from tempora.llm.common import read
@@ -14,11 +15,13 @@ from tempora.llm.ngram_jaccard import jaccard_components
 from tempora.llm.nn_descent import near_duplicate_vectors
 from tempora.llm.packing import pack_documents
 from tempora.llm.page_differencing import extract_main_text
+from tempora.llm.phrase_mining import collocations
 from tempora.llm.source_mixing import mix_sources
 from tempora.llm.string_tiling import leaked_items
 from tempora.llm.token_counts import token_counts
 from tempora.llm.warc_derivatives import derivatives, responses_of
 from tempora.llm.weak_quality import classify_quality
+from tempora.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,6 +95,18 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error of every vector: up to eight components."""
+    return whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the first 2000 phrases of two to four words of every language."""
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document: sources weigh 1, 2, 3 in turn, at most 3 times their words."""
@@ -119,6 +134,32 @@ reach AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id FROM sets s LEFT JOIN low l ON l.id = s.doc_id
 """
 
+# All n-grams counted outright; each phrase's cuts by a join on both sides.
+ORACLE_SQL["op12_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists WHERE len(w) > 0),
+counts AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, count(*) AS f FROM starts, (VALUES (1), (2), (3), (4)) AS t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k AS words, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, words)) AS cut FROM cand),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut+1:], ' ')
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, array_to_string(w[i:i+k-1], ' ') AS phrase, max(a) AS a FROM (SELECT *, unnest(range(1, words + 1)) AS i FROM cand WHERE words >= 3), (VALUES (2), (3)) AS t(k)
+  WHERE k < words AND i + k - 1 <= words GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.a IS NULL OR 100 * o.a < 80 * b.a
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept k JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 # Keys by the same hash; the sources that are full are found by sharing the excess again, round by round.
 ORACLE_SQL["op13_source_mixing"] = r"""
 WITH RECURSIVE docs AS (

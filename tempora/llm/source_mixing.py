@@ -22,7 +22,7 @@ def plainness(text: Column) -> Column:
 
     Null and empty texts weigh 0.01.
     """
-    share = F.length(F.regexp_replace(text, SIGNS, "")) / F.length(text)
+    share = F.length(F.regexp_replace(text, SIGNS, "")) / F.nullif(F.length(text), F.lit(0))
     return F.greatest(F.lit(0.01), F.coalesce(share * share, F.lit(0.0)))
 
 
@@ -66,17 +66,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("one_before") % len(weights) + 1).cast("int"))
     full = F.col("source_size") * most
     levels = ranged(numbered.select("source_key", "source_size", weight.alias("weight"), full.alias("bound")).withColumn("level", F.expr(f"bound * ({unit} div weight)")), ["level", "source_key"])
-    total = levels.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("weight"), F.lit(0)).alias("all_weights"))
-    at = running(levels, [], ["level", "source_key"], ["bound", "weight"]).crossJoin(F.broadcast(total))  # one row
+    words, all_weights = [F.lit(int(v or 0)).cast("long") for v in levels.agg(F.sum("source_size"), F.sum("weight")).first()]
+    at = running(levels, [], ["level", "source_key"], ["bound", "weight"])
     big = lambda c, digits: c.cast(f"decimal({digits},0)")
-    is_full = big(F.col("bound"), 19) * big(F.col("all_weights") - F.col("weight_before"), 18) <= big(F.col("words") - F.col("bound_before"), 19) * big(F.col("weight"), 18)
-    marked = cut(at.select("source_key", "source_size", "weight", "bound", "words", is_full.alias("is_full")), "mix")
-    left = marked.agg(F.sum(F.when(F.col("is_full"), F.col("bound")).otherwise(0)).alias("spent"), F.sum(F.when(F.col("is_full"), 0).otherwise(F.col("weight"))).alias("rest"))
-    shares = marked.crossJoin(F.broadcast(left))  # one row
-    out = shares.select(
+    is_full = big(F.col("bound"), 19) * big(all_weights - F.col("weight_before"), 18) <= big(words - F.col("bound_before"), 19) * big(F.col("weight"), 18)
+    marked = cut(at.select("source_key", "source_size", "weight", "bound", is_full.alias("is_full")), "mix")
+    spent, rest = [F.lit(int(v or 0)).cast("long") for v in marked.agg(F.sum(F.when(F.col("is_full"), F.col("bound"))), F.sum(F.when(~F.col("is_full"), F.col("weight")))).first()]
+    share = marked.withColumn("share", (words - spent) * F.col("weight")).withColumn("rest", rest)
+    out = share.select(
         "source_key", "source_size",
-        F.when(F.col("is_full"), F.col("bound").cast("double")).otherwise(((F.col("words") - F.col("spent")) * F.col("weight")).cast("double") / F.col("rest")).alias("target"),
-        F.when(F.col("is_full"), F.col("bound")).otherwise(F.expr("((words - spent) * weight) div nullif(rest, 0)")).alias("budget"),
+        F.when(F.col("is_full"), F.col("bound").cast("double")).otherwise(F.col("share").cast("double") / F.nullif("rest", F.lit(0))).alias("target"),
+        F.when(F.col("is_full"), F.col("bound")).otherwise(F.expr("share div nullif(rest, 0)")).alias("budget"),
     )
     done = cut(out, "targets")
     for t in (named, levels, marked):
