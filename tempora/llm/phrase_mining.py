@@ -6,6 +6,8 @@ Phrases are then scored at their weakest cut, and those that live inside longer
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 from tempora.llm.common import cut, mix64, numbered_words, parallelism, prepare, reads, slices
 
 BREAKS = r"[.,;:!?\x0A-\x0D]+"
-#: Counters of one of the sketch's two rows: one for BYTES_EACH bytes of text, but from 2^LEAST_BITS to 2^MOST_BITS.
+#: Counters of one of a sketch's two rows: one for BYTES_EACH bytes of text, but from 2^LEAST_BITS to 2^MOST_BITS.
 BYTES_EACH, LEAST_BITS, MOST_BITS = 64, 18, 26
 #: Counters that travel together, and adds between looks for counters that are full.
 TILE, ADDS = 1 << 16, 60_000
-#: Phrases, and bytes of them, that a task counts before it hands them on.
-HELD, HELD_BYTES = 200_000, 32 << 20
-#: Groups that the candidates of a language are dealt to before the best of all are chosen.
-LANES = 32
+#: Bytes of text that a task looks at together, and phrases that it counts before it hands them on.
+TOGETHER, HELD = 4 << 20, 2_000_000
+#: A word is a number of so many bits inside a task, so three words are one number of 63 bits.
+WORD_BITS = 21
+#: Groups that the candidates of a language are dealt to before the best of all are chosen, and most groups that counts are dealt to.
+LANES, GROUPS = 32, 1024
 
 
 def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, list[str], np.ndarray]:
@@ -58,19 +62,55 @@ def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys & low).astype(np.int64), ((keys >> np.uint64(32)) & low).astype(np.int64) + (1 << bits)
 
 
-def _sketch(bits: int, least: int, longest: int, lanes: int) -> Callable:
+class _Text:
+    """The n-grams of a batch, length by length: where one begins and its key; only those whose parts passed are gone on with."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.numbers, is_word, self.words, self.lang, self.langs, self.hashes = _read(batch)
+        self.is_word, self.n = is_word, 1
+        self.at = np.flatnonzero(is_word)
+        self.keys = _first_keys(self.numbers, self.lang, self.langs, self.hashes)[self.at]
+
+    def keep(self, passed: np.ndarray) -> None:
+        self.at, self.keys = self.at[passed], self.keys[passed]
+
+    def lengthen(self) -> None:
+        """To the n-grams of one word more whose first n words and last n words are both among those kept."""
+        both = np.zeros(len(self.numbers) + 1, bool)
+        both[self.at] = True
+        going = both[self.at + 1]
+        self.at = self.at[going]
+        self.keys = _longer_keys(self.keys[going], self.hashes[self.numbers[self.at + self.n]])
+        self.n += 1
+
+
+class Sketch:
+    """Two rows of 2^bits counters over keys, one after the other; counters stop at ``least``."""
+
+    def __init__(self, table: np.ndarray, bits: int, least: int):
+        self.table, self.bits, self.least = table, bits, least
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        low, high = _places(keys, self.bits)
+        return (self.table[low] >= self.least) & (self.table[high] >= self.least)
+
+
+def _sketch(bits: int, least: int, longest: int, lanes: int, short: object) -> Callable:
+    """Count words and pairs; with ``short``, their sketch, count longer n-grams all of whose pairs it lets through."""
     kept, wide, adds = (np.uint8, np.uint16, ADDS) if least <= 255 else (np.uint32, np.uint64, 1 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(2 << bits, wide)
         one = wide(1)
-        for batch in slices(batches):
-            numbers, is_word, _, lang, langs, hashes = _read(batch)
-            keys, valid = _first_keys(numbers, lang, langs, hashes), is_word
-            for n in range(1, longest + 1):
+        for batch in slices(batches, most=TOGETHER):
+            text = _Text(batch)
+            for n in range(1, (longest if short is not None else min(longest, 2)) + 1):
                 if n > 1:
-                    keys, valid = _longer_keys(keys[:-1], hashes[numbers[n - 1 :]]), valid[:-1] & is_word[n - 1 :]
-                for at in _places(keys[valid], bits):
+                    text.lengthen()
+                if short is not None and n <= 2:
+                    text.keep(short.value.passes(text.keys))
+                    continue
+                for at in _places(text.keys, bits):
                     for i in range(0, len(at), adds):  # counters stop at ``least``, so none overflows in between
                         some = at[i : i + adds]
                         np.add.at(table, some, one)
@@ -112,75 +152,164 @@ def sketch_bits(docs: DataFrame) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (size // BYTES_EACH).bit_length()))
 
 
-def count_min(docs: DataFrame, least: int, longest: int, bits: int) -> np.ndarray:
-    """Two rows of 2^bits counters, one after the other, over every n-gram of every text; they stop at ``least``.
+def count_min(docs: DataFrame, least: int, longest: int, bits: int, short: object = None) -> Sketch:
+    """A sketch of the words and pairs of every text, or given the broadcast of that one, of its longer n-grams.
 
     Each task counts its own texts; the parts are added up tile by tile, by lanes first where many tasks wrote some.
     """
     n = parallelism(docs.sparkSession)
     lanes = 1 if n < 256 else isqrt(n)
-    parts = docs.select("text", "lang").mapInArrow(_sketch(bits, least, longest, lanes), "tile int, lane int, counts binary")
+    parts = docs.select("text", "lang").mapInArrow(_sketch(bits, least, longest, lanes, short), "tile int, lane int, counts binary")
     merged = parts.repartition(n, "tile", "lane").sortWithinPartitions("tile", "lane").mapInArrow(_merge(least), parts.schema)
     if lanes > 1:
         merged = merged.withColumn("lane", F.lit(0)).repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_merge(least), parts.schema)
     table = np.zeros(2 << bits, np.uint8 if least <= 255 else np.uint32)
     for r in merged.select("tile", "counts").collect():  # 2^(bits + 1) counters
         table[r.tile * TILE : (r.tile + 1) * TILE] = np.frombuffer(zstandard.decompress(bytes(r.counts)), table.dtype)
-    return table
+    return Sketch(table, bits, least)
+
+
+COUNTS = "lang string, bucket int, phrases binary, counts binary"
+
+
+class _Counts:
+    """Exact counts of phrases as numbers of their words: one number for the first three, one for those after."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[str, bytes], int] = {}
+        self.names: list[tuple[str, bytes]] = []
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def number(self, lang: str, word: bytes) -> int:
+        found = self.numbers.setdefault((lang, word), len(self.names))
+        if found == len(self.names):
+            self.names.append((lang, word))
+        return found
+
+    def add(self, n: int, head: np.ndarray, tail: np.ndarray, times: np.ndarray) -> None:
+        self.parts.setdefault(n, []).append((head, tail, times))
+        self.held += len(head)
+
+    def compact(self) -> None:
+        self.held = 0
+        for n, parts in self.parts.items():
+            head, tail, times = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            order = np.lexsort((tail, head))
+            head, tail, times = head[order], tail[order], times[order]
+            begins = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])) if len(head) else np.zeros(0, np.int64)
+            self.parts[n] = [(head[begins], tail[begins], np.add.reduceat(times, begins) if len(begins) else times)]
+            self.held += len(begins)
+
+    def packed(self, groups: int) -> Iterator[pa.RecordBatch]:
+        """Rows of COUNTS: the phrases of one language and group in order, and how often each occurs."""
+        self.compact()
+        found: dict[tuple[str, int], list[tuple[bytes, int]]] = {}
+        low = (1 << WORD_BITS) - 1
+        for n, [(head, tail, times)] in self.parts.items():
+            columns = [head >> (WORD_BITS * (min(n, 3) - 1 - i)) & low for i in range(min(n, 3))] + [tail >> (WORD_BITS * (n - 4 - i)) & low for i in range(n - 3)]
+            for *ids, c in zip(*[x.tolist() for x in columns], times.tolist(), strict=True):
+                phrase = b" ".join([self.names[i][1] for i in ids])
+                found.setdefault((self.names[ids[0]][0], zlib.crc32(phrase) % groups), []).append((phrase, c))
+        for (lang, bucket), rows in found.items():
+            rows.sort()
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([bucket], pa.int32()), pa.array([zstandard.compress(b"\n".join([r[0] for r in rows]), 3)], pa.binary()), pa.array([zstandard.compress(np.array([r[1] for r in rows], np.int64).tobytes(), 3)], pa.binary())], names=["lang", "bucket", "phrases", "counts"])
+
+
+def _count(short: object, long: object, longest: int, groups: int) -> Callable:
+    """Exact counts of the n-grams that the sketches let through; a phrase holds no line break, so one parts them.
+
+    The number of all words of a language goes with the empty phrase.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, words = _Counts(), Counter()
+        for batch in slices(batches, most=TOGETHER):
+            text = _Text(batch)
+            for i, c in enumerate(np.bincount(text.lang[text.is_word], minlength=len(text.langs))):
+                words[text.langs[i]] += int(c)
+            if len(counts.names) + len(text.words) * len(text.langs) >= 1 << WORD_BITS or counts.held >= HELD:
+                counts.compact()
+                if len(counts.names) + len(text.words) * len(text.langs) >= 1 << WORD_BITS or counts.held >= HELD // 2:
+                    yield from counts.packed(groups)
+                    counts = _Counts()
+            size = len(text.words)
+            text.keep(short.value.passes(text.keys))
+            found, back, times = np.unique(text.lang[text.at] * size + text.numbers[text.at], return_inverse=True, return_counts=True)
+            own = np.array([counts.number(text.langs[x // size], text.words[x % size]) for x in found.tolist()], np.int64)
+            if len(own) and own.max() >= 1 << WORD_BITS:
+                raise ValueError("more than two million frequent words in one text")
+            counts.add(1, own, np.zeros(len(own), np.int64), times)
+            named = np.zeros(len(text.numbers), np.int64)
+            named[text.at] = own[back]
+            for n in range(2, longest + 1):
+                text.lengthen()
+                text.keep((short if n == 2 else long).value.passes(text.keys))
+                head, tail = named[text.at], np.zeros(len(text.at), np.int64)
+                for i in range(1, n):
+                    if i < 3:
+                        head = head << WORD_BITS | named[text.at + i]
+                    else:
+                        tail = tail << WORD_BITS | named[text.at + i]
+                firsts, rank = np.unique(head, return_inverse=True)
+                if n <= 3:
+                    counts.add(n, firsts, np.zeros(len(firsts), np.int64), np.bincount(rank, minlength=len(firsts)))
+                else:
+                    order = np.lexsort((tail, rank))
+                    rank, tail = rank[order], tail[order]
+                    begins = np.flatnonzero(np.concatenate([[True], (rank[1:] != rank[:-1]) | (tail[1:] != tail[:-1])])) if len(rank) else np.zeros(0, np.int64)
+                    counts.add(n, firsts[rank[begins]], tail[begins], np.diff(np.append(begins, len(rank))))
+        yield from counts.packed(groups)
+        for lang, c in words.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([zstandard.compress(b"")], pa.binary()), pa.array([zstandard.compress(np.array([c], np.int64).tobytes())], pa.binary())], names=["lang", "bucket", "phrases", "counts"])
+
+    return run
 
-def _count(shared: object, bits: int, least: int, longest: int) -> Callable:
-    """Exact counts of the n-grams that the sketch lets through, by their words; n-grams count as let through only if their parts are."""
+
+def _total(least: int) -> Callable:
+    """Add up the counts of each language and group, whose rows come one after another; one group is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        held: dict[tuple[str, int, str], int] = {}
-        size = 0
+        now: tuple[str, int] | None = None
+        held: dict[bytes, int] = {}
 
         def out() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "words", "phrase", "f"])
-
-        for batch in slices(batches):
-            numbers, is_word, words, lang, langs, hashes = _read(batch)
-            for i, c in enumerate(np.bincount(lang[is_word], minlength=len(langs))):
-                held[langs[i], 0, ""] = held.get((langs[i], 0, ""), 0) + int(c)
-            keys, some, rank = _first_keys(numbers, lang, langs, hashes), is_word, lang
-            for n in range(1, longest + 1):
-                if n > 1:
-                    keys, some, rank = _longer_keys(keys[:-1], hashes[numbers[n - 1 :]]), some[:-1] & some[1:], rank[:-1]
-                at = np.flatnonzero(some)
-                low, high = _places(keys[at], bits)
-                at = at[(table[low] >= least) & (table[high] >= least)]
-                # the shorter phrase's number and the next word's: exact, whatever their hashes
-                found, first, back, times = np.unique(rank[at] * len(words) + numbers[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
-                for i, c in zip(at[first].tolist(), times.tolist(), strict=True):
-                    key = (langs[lang[i]], n, b" ".join([words[x] for x in numbers[i : i + n]]).decode())
-                    if key not in held:
-                        size += len(key[2])
-                    held[key] = held.get(key, 0) + c
-                some, rank = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-                some[at], rank[at] = True, back
-            if len(held) >= HELD or size >= HELD_BYTES:
-                yield out()
-                held, size = {}, 0
-        if held:
+            kept = [(p.decode(), c) for p, c in held.items() if c >= least or not p]
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(kept), pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p, _ in kept], pa.int32()), pa.array([p for p, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.int64())], names=["lang", "words", "phrase", "f"])
+
+        for batch in batches:
+            for lang, bucket, phrases, counts in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if (lang, bucket) != now:
+                    if now is not None:
+                        yield out()
+                    now, held = (lang, bucket), {}
+                for p, c in zip(zstandard.decompress(phrases).split(b"\n"), np.frombuffer(zstandard.decompress(counts), np.int64).tolist(), strict=True):
+                    held[p] = held.get(p, 0) + c
+        if now is not None:
             yield out()
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4) -> DataFrame:
-    """(lang, words, phrase, f): exact counts of all phrases of up to ``longest`` words that occur ``least`` times or more in a language.
+    """(lang, words, phrase, f): exact counts of all phrases of up to ``longest`` words (2 to 6) that occur ``least`` times or more in a language.
 
-    A row of 0 words and the empty phrase holds the number of all word occurrences of the language.
+    A row of 0 words and the empty phrase holds the number of all word occurrences of the language.  Words and pairs are
+    sketched first, then the longer n-grams whose pairs are all let through, which are few; tasks count what both let through
+    and hand on packed groups of phrases, so that what is shuffled is one row for each task, language and group.
     """
+    if not 2 <= longest <= 6:
+        raise ValueError("phrases have 2 to 6 words")
     spark = prepare(docs.sparkSession)
-    bits = sketch_bits(docs)
-    shared = spark.sparkContext.broadcast(count_min(docs, least, longest, bits))
-    found = docs.select("text", "lang").mapInArrow(_count(shared, bits, least, longest), "lang string, words int, phrase string, f long")
-    out = cut(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(f"words = 0 or f >= {int(least)}"), "phrases")
-    shared.destroy()
+    bits, n = sketch_bits(docs), parallelism(spark)
+    short = spark.sparkContext.broadcast(count_min(docs, least, longest, bits))
+    long = spark.sparkContext.broadcast(count_min(docs, least, longest, max(bits - 1, min(bits, LEAST_BITS)), short)) if longest > 2 else None
+    found = docs.select("text", "lang").mapInArrow(_count(short, long, longest, min(GROUPS, n)), COUNTS)
+    added = found.repartition(n, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_total(least), "lang string, words int, phrase string, f long")
+    out = cut(added, "phrases")
+    for b in (short, long):
+        if b is not None:
+            b.destroy()
     return out
 
 
@@ -193,8 +322,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
 
     Null text: no words.  Null lang: `und`, with texts that say so.  Texts of any length count whole; a text's last words and the
     next one's first are never one phrase.  Repeated rows count each time.  Tables without a frequent phrase, or without rows, give
-    no rows.  Other columns are left alone.  The sketch is at most 2^(MOST_BITS + 1) counters: beyond some 4 GB of text it lets
-    more through for the exact pass, whose rows are then more, but the result is the same.
+    no rows.  Other columns are left alone.  A sketch is at most 2^(MOST_BITS + 1) counters: beyond some 4 GB of text it lets
+    more through for the exact pass, which then counts and shuffles more, but the result is the same.
     """
     counted = phrase_counts(docs, least, longest)
     phrases = counted.where("words > 0").select("lang", "words", "phrase", F.col("f").alias("a"))

@@ -129,6 +129,7 @@ def test_phrases_of_odd_rows(spark, monkeypatch, bits, lanes):
     monkeypatch.setattr(phrase_mining, "sketch_bits", lambda docs: bits)
     monkeypatch.setattr(phrase_mining, "TILE", 4 if bits == 2 else 1 << 16)
     monkeypatch.setattr(phrase_mining, "HELD", 7)
+    monkeypatch.setattr(phrase_mining, "TOGETHER", 3000)
     monkeypatch.setattr(phrase_mining, "parallelism", lambda spark: lanes)
     texts = [None, "", " \t ", "...", "a b\tc a b c. a  b, c d", "Über Über\x0bstraße İ i", "a b c d e. " * 12, "x " * 70, "tie one tie one, one tie" * 3, ". a b c d", "und so und so und so"]
     rows = [(t, lang) for t in texts for lang in (None, "und", "en")] * 2 + [("a b c d " * 40_000, "en"), ("one" * 100_000 + " b", "fr"), ("only here now " * 4, "fr")]
@@ -141,7 +142,7 @@ def test_phrases_of_odd_rows(spark, monkeypatch, bits, lanes):
 
 def test_a_sketch_never_counts_too_low(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").repartition(6)
-    table = count_min(docs, 30, 4, 18)
+    table = count_min(docs, 30, 4, 18).table
     assert table.max() == 30 and len(table) == 1 << 19
     counts = {(r.lang, r.phrase): r.f for r in phrase_counts(docs).where("words = 1").collect()}
     words = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(F.lower("text"), r"[ \t.,;:!?\n\x0b\x0c\r]+")).alias("w")).where("w rlike '^[a-z]+$'")
