@@ -34,6 +34,8 @@ DULL = (
     r"\b(thanks? (you )?for the (follow|sub|raid|bits|gift)|welcome in|be right back|brb|my settings|can you hear me|is the audio|loading (in|into)|give me a second|setting up|see you (tomorrow|next))\b"
 )
 NOT_WORD = r"[^\p{L}\p{N}_]"
+#: White space of any script, with the separators U+001C to U+001F.
+SPACE = r"(?U)[\s\x1C-\x1F]"
 
 
 def _c(x: Column | str) -> Column:
@@ -44,6 +46,16 @@ def _right_strip(c: Column, characters: str) -> Column:
     return F.rtrim(c, F.lit(characters))
 
 
+def stripped(text: Column | str) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(_c(text), f"^{SPACE}+|{SPACE}+$", "")
+
+
+def folded(text: Column | str) -> Column:
+    """Runs of white space of any script as one space, none at the ends; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(_c(text), F.lit("")), f"{SPACE}+", " "))
+
+
 def bare(text: Column | str) -> Column:
     """Lower case, without punctuation at the edges."""
     return F.lower(F.regexp_replace(_c(text), f"^{NOT_WORD}+|{NOT_WORD}+$", ""))
@@ -72,7 +84,7 @@ def ends_caption(text: Column | str) -> Column:
 
 def display_word(text: Column | str, uppercase: bool = True) -> Column:
     """A word as a caption shows it."""
-    out = F.replace(F.replace(F.trim(_c(text)), F.lit("—"), F.lit("")), F.lit("–"), F.lit("-"))
+    out = F.replace(F.replace(stripped(text), F.lit("—"), F.lit("")), F.lit("–"), F.lit("-"))
     out = F.trim(out, F.lit("\"“”‘’()[]…"))
     out = F.regexp_replace(out, r"^[.,;:]+|[.,;:]+$", "")
     out = F.translate(out, "{}\\", "()/")
@@ -81,8 +93,7 @@ def display_word(text: Column | str, uppercase: bool = True) -> Column:
 
 def one_line(text: Column | str, limit: int) -> Column:
     """White space folded, cut to ``limit`` characters, no space at the end; null is empty."""
-    folded = F.trim(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"\s+", " "))
-    return F.rtrim(F.left(folded, F.lit(limit)))
+    return F.rtrim(F.left(folded(text), F.lit(limit)))
 
 
 def clean_hashtags(tags: Column | str, limit: int = 6) -> Column:
@@ -101,7 +112,7 @@ def post_text(caption: Column | str, standing: Column | str, own: Column | str)
 
 def headline(text: Column | str, most: int = 7) -> Column:
     """The opening sentence as a title: whole, or its first words and an ellipsis."""
-    words = F.filter(F.split(_c(text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(_c(text), f"{SPACE}+"), lambda w: w != "")
     whole = _right_strip(F.array_join(F.slice(words, 1, most), " "), ".,;:\"')”’")
     short = F.concat(_right_strip(F.array_join(F.slice(words, 1, most - 1), " "), ".,;:!?\"')”’"), F.lit("…"))
     cut = F.when(F.size(words) > most, short).otherwise(whole)
@@ -111,7 +122,7 @@ def headline(text: Column | str, most: int = 7) -> Column:
 def opener_score(text: Column | str, pause_before: Column | str) -> Column:
     """How well a sentence opens a clip."""
     low = F.lower(_c(text))
-    words = F.size(F.filter(F.split(low, r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(low, f"{SPACE}+"), lambda w: w != ""))
     plain = F.regexp_replace(low, r"[^\p{L}\p{N}_\s']", "")
     cues = sum((low.contains(c).cast("int") for c in OPENERS), F.lit(0))
     weak = F.lit(False)
@@ -175,37 +186,6 @@ def picker_line(picker: Column | str, model: Column | str) -> Column:
     return F.when(_c(picker) != "heuristic", F.format_string("Picked by %s (%s).", F.initcap(_c(picker)), _c(model))).otherwise(F.lit("Picked by the built-in fallback picker."))
 
 
-def wrapped_title(title: Column | str, size: float, width: float = 840.0, most: int = 3) -> Column:
-    """A headline in the fewest lines that fit, as even as can be (of equally even ones the earliest breaks); a character is
-    0.62 of the size wide.  Too long for ``most`` lines, it is filled line by line and cut with an ellipsis.
-    """
-    room = int(width / (size * 0.62) + 1e-9)
-    words = F.filter(F.split(_c(title), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    upto = F.transform(F.sequence(F.lit(0), n), lambda k: F.char_length(F.array_join(F.slice(words, F.lit(1), k), " ")))
-    long = lambda a, b: F.get(upto, b) - F.get(upto, a) - F.when(a > 0, 1).otherwise(0)
-    line = lambda a, b: F.array_join(F.slice(words, a + 1, b - a), " ")
-    none = F.array().cast("array<struct<widest:int,a:int,b:int>>")
-    way = lambda widest, a, b: F.struct(widest.cast("int").alias("widest"), a.cast("int").alias("a"), b.cast("int").alias("b"))
-    two = F.array_min(F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda a: way(F.greatest(long(F.lit(0), a), long(a, n)), a, a))).otherwise(none))
-    ways = F.transform(F.sequence(F.lit(1), n - 2), lambda a: F.transform(F.sequence(a + 1, n - 1), lambda b: way(F.greatest(long(F.lit(0), a), long(a, b), long(b, n)), a, b)))
-    three = F.array_min(F.when(n > 2, F.flatten(ways)).otherwise(none))
-
-    def fill(lines: Column, w: Column) -> Column:
-        now = F.concat_ws(" ", F.nullif(F.element_at(lines, -1), F.lit("")), w)
-        full = (F.element_at(lines, -1) != "") & (F.char_length(now) > room)
-        return F.when(full, F.concat(lines, F.array(w))).otherwise(F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(now)))
-
-    filled = F.slice(F.aggregate(words, F.array(F.lit("")), fill), 1, most)
-    cut = F.concat(F.slice(filled, F.lit(1), F.size(filled) - 1), F.array(F.concat(_right_strip(F.element_at(filled, -1), ".,;:"), F.lit("…"))))
-    out = F.when(n == 0, F.array().cast("array<string>")).when(F.get(upto, n) <= room, F.array(F.array_join(words, " ")))
-    if most >= 2:
-        out = out.when(two["widest"] <= room, F.array(line(F.lit(0), two["a"]), line(two["a"], n)))
-    if most >= 3:
-        out = out.when(three["widest"] <= room, F.array(line(F.lit(0), three["a"]), line(three["a"], three["b"]), line(three["b"], n)))
-    return out.otherwise(cut)
-
-
 def inline_colour(colour: Column | str) -> Column:
     """#RRGGBB as a colour tag inside a subtitle line."""
     c = _c(colour)

@@ -44,18 +44,22 @@ def clip_candidates(sentences: DataFrame, low: float = 20.0, high: float = 60.0,
 def trimmed_back(picks: DataFrame, sentences: DataFrame, low: float, high: float, parts: DataFrame | None = None) -> DataFrame:
     """Picks (rec_id, pick_id, first, last, title, score) cut back by whole sentences to 1.1 * high seconds, five points each.
 
+    A pick meets only sentences that begin in its own time bucket or the next; starts never fall from sentence to sentence.
+
     Those that point at no sentences, have no title, begin and end in different parts or are still out of range go.  asked is
     the score before.
     """
     a = sentences.select("rec_id", F.col("idx").alias("first"), F.col("start").alias("a_start"))
     z = sentences.select("rec_id", F.col("idx").alias("last"), F.col("start").alias("z_start"))
-    b = sentences.select("rec_id", F.col("idx").alias("j"), F.col("end").alias("b_end"))
+    most = high * 1.1
+    b = sentences.select("rec_id", F.col("idx").alias("j"), F.col("end").alias("b_end"), F.floor(F.col("start") / most).alias("_bucket"))
     sound = picks.where("first <= last and coalesce(title, '') <> ''").join(a, ["rec_id", "first"]).join(z, ["rec_id", "last"])
     if parts is not None:
         owner = lambda d, at, name: part_at(d.withColumn("t", F.col(at)), parts).withColumnRenamed("part_idx", name).drop("t", "origin_time")
         sound = owner(owner(sound, "a_start", "_p"), "z_start", "_q").where("_p <=> _q").drop("_p", "_q")
-    reach = sound.drop("z_start").join(b, "rec_id").where((F.col("j") >= F.col("first")) & (F.col("j") <= F.col("last")))
-    fits = reach.where((F.col("b_end") - F.col("a_start") <= high * 1.1) | (F.col("j") == F.col("first")))
+    near = F.explode(F.array(F.floor(F.col("a_start") / most), F.floor(F.col("a_start") / most) + 1))
+    reach = sound.drop("z_start").withColumn("_bucket", near).join(b, ["rec_id", "_bucket"]).where((F.col("j") >= F.col("first")) & (F.col("j") <= F.col("last")))
+    fits = reach.where((F.col("b_end") - F.col("a_start") <= most) | (F.col("j") == F.col("first")))
     best = fits.groupBy("rec_id", "pick_id", "first", "last", "score", "a_start").agg(F.max(F.struct("j", "b_end")).alias("m"))
     length = F.col("m.b_end") - F.col("a_start")
     return best.where((length >= low * 0.8) & (length <= high * 1.1)).select("rec_id", "pick_id", "first", F.col("m.j").alias("last"), F.greatest(F.lit(0.0), F.col("score") - 5 * (F.col("last") - F.col("m.j"))).alias("score"), F.col("score").alias("asked"))
@@ -65,7 +69,7 @@ def stretch_candidates(lines: DataFrame, loud: DataFrame, hints: DataFrame, span
     """(rec_id, idx, start, end, score, words, why): what begins at each line and lasts ``span`` seconds, scored by its talk,
     its first two loud moments and the views of hints within 15 seconds.  Phrases are looked for in the talk as a whole.
     """
-    l = lines.select("*", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n"))
+    l = lines.select("*", F.size(F.filter(F.split("text", f"{T.SPACE}+"), lambda w: w != "")).alias("n"))
     a = l.select("rec_id", "idx", F.col("start").alias("a_start"), F.explode(F.sequence(F.floor(F.col("start") / span), F.floor(F.col("start") / span) + 1)).alias("bucket"))
     b = l.select("rec_id", F.col("idx").alias("j"), "end", "n", "text", F.floor(F.col("end") / span).alias("bucket"))
     near = a.join(b, ["rec_id", "bucket"]).where((F.col("j") >= F.col("idx")) & (F.col("end") <= F.col("a_start") + span))
@@ -139,7 +143,13 @@ def line_marks(loud: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def shortlist_prompts(lines: DataFrame, marks: DataFrame, recordings: DataFrame, wanted: int, low: int = 20, high: int = 60, budget: int = 450_000) -> DataFrame:
-    """(rec_id, chunk, prompt): what a model is asked about each stretch of lines of recordings (rec_id, brief, title, duration, notes)."""
+    """(rec_id, chunk, prompt): what a model is asked about each stretch of lines of recordings (rec_id, brief, title, duration, notes).
+
+    recordings may have games, an array of struct(at, name): what was on from when.  Fixed values: the request's sentences.
+    """
+    if "games" not in recordings.columns:
+        recordings = recordings.withColumn("games", F.array().cast("array<struct<at:double,name:string>>"))
+    recordings = recordings.withColumn("_games", F.array_join(F.transform(F.coalesce("games", F.array().cast(dict(recordings.dtypes)["games"])), lambda g: F.concat(T.clock(g["at"].cast("double")), F.lit(" "), g["name"])), "; "))
     fact = lambda label, c: F.when(F.coalesce(T.one_line(c, 1_000_000), F.lit("")) != "", F.concat(F.lit(label + ": "), T.one_line(c, 1_000_000), F.lit("\n"))).otherwise("")
     said = F.concat(F.format_string("[%d] ", "idx"), T.clock("start"), F.lit(" "), "text", F.coalesce(F.concat(F.lit(" "), "marks"), F.lit("")))
     x = text_chunks(lines, budget).join(marks, ["rec_id", "idx"], "left").withColumn("_line", said).withColumn("_all", F.count("*").over(Window.partitionBy("rec_id")))
@@ -149,14 +159,14 @@ def shortlist_prompts(lines: DataFrame, marks: DataFrame, recordings: DataFrame,
     part = F.when(F.col("_n") < F.col("_all"), F.format_string("This is one part of the recording: lines %d to %d.\n", "_a", "_b")).otherwise("")
     asked = F.concat(
         F.format_string(f"Shortlist up to %d stretches, best first. The clips cut from them will each run {low} to {high} seconds.\n", share), fact("Recording", "title"),
-        F.lit("Length: "), T.clock("duration"), F.lit("\n"), fact("Editor's notes for this recording", "notes"), part,
+        F.lit("Length: "), T.clock("duration"), F.lit("\n"), fact("What was on, by time", "_games"), fact("Editor's notes for this recording", "notes"), part,
     )
     prompt = F.concat(F.lit("<brief>\n"), F.coalesce("brief", F.lit("")), F.lit("</brief>\n\n<request>\n"), asked, F.lit("</request>\n\n<transcript>\n"), "_body", F.lit("\n</transcript>"))
     return per.select("rec_id", "chunk", prompt.alias("prompt"))
 
 
 def clip_prompts(sentences: DataFrame, parts: DataFrame, recordings: DataFrame, wanted: int, low: int = 20, high: int = 60) -> DataFrame:
-    """(rec_id, prompt): what a model is asked about the sentences of recordings (rec_id, brief, title, duration, notes), under a heading for each part (rec_id, idx, start, end, origin, why)."""
+    """(rec_id, prompt): what a model is asked about the sentences of recordings (rec_id, brief, title, duration, notes), under a heading for each part (rec_id, idx, start, end, origin, why).  Fixed values: the request's sentences."""
     fact = lambda label, c: F.when(T.one_line(c, 1_000_000) != "", F.concat(F.lit(label + ": "), T.one_line(c, 1_000_000), F.lit("\n"))).otherwise("")
     w = Window.partitionBy("rec_id").orderBy("idx")
     s = part_at(sentences.withColumn("t", F.col("start")), parts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions import glyphs as G
 from tempora.functions import text as T
 from tempora.operators.temporal import part_breaks
 
@@ -12,7 +13,7 @@ from tempora.operators.temporal import part_breaks
 def clean_words(words: DataFrame) -> DataFrame:
     """Empty words go; starts never fall and are not negative; a word lasts 20 ms at least."""
     w = Window.partitionBy("rec_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0)
-    kept = words.withColumn("text", F.trim("text")).where("text <> ''")
+    kept = words.withColumn("text", T.stripped("text")).where("text <> ''")
     kept = kept.withColumn("start", F.greatest(F.max("start").over(w), F.lit(0.0)))
     return kept.withColumn("end", F.greatest(F.col("end"), F.col("start") + 0.02))
 
@@ -24,14 +25,25 @@ def rough_lines(phrases: DataFrame) -> DataFrame:
     one kept before.  No phrase begins earlier than its words could take to say.
     """
     w = Window.partitionBy("rec_id").orderBy("idx")
-    folded = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     guess = (F.col("logprob") < -1.3) | ((F.col("no_speech") > 0.85) & (F.col("logprob") < -0.8))
-    x = phrases.withColumn("text", folded).where((F.col("text") != "") & ~F.coalesce(guess, F.lit(False)))
+    x = phrases.withColumn("text", T.folded("text")).where((F.col("text") != "") & ~F.coalesce(guess, F.lit(False)))
     x = x.withColumn("_was", F.lag("text").over(w)).where("_was is null or _was <> text")
     said = 0.45 * F.size(F.split("text", " ")) + 1.5
     return x.select("rec_id", (F.row_number().over(w) - 1).alias("idx"), F.greatest("start", F.col("end") - said).alias("start"), "end", "text")
 
 
+def word_times(lines: DataFrame, extra: float = 1.5, gap: float = 0.02) -> DataFrame:
+    """(rec_id, idx, pos, text, start, end): the words of lines (rec_id, idx, start, end, text), which share a line's time by their
+    characters and ``extra`` each; a word ends ``gap`` before the next.  Lines without words have none.
+    """
+    words = lines.select("rec_id", "idx", F.col("start").alias("_a"), F.col("end").alias("_b"), F.posexplode(F.filter(F.split("text", f"{T.SPACE}+"), lambda w: w != "")).alias("pos", "text"))
+    w = Window.partitionBy("rec_id", "idx")
+    weight = F.char_length("text") + F.lit(extra)
+    upto = F.sum(weight).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda share: F.col("_a") + share / F.sum(weight).over(w) * (F.col("_b") - F.col("_a"))
+    return words.select("rec_id", "idx", "pos", "text", at(upto - weight).alias("start"), (at(upto) - gap).alias("end"))
+
+
 def hard_units(words: DataFrame, max_gap: float = 1.0, pauses: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """words with unit, soft and unit_end: units end at end punctuation, long gaps and pauses, where the part ends, and at the last word."""
     w = Window.partitionBy("rec_id").orderBy("word_idx")
@@ -123,24 +135,24 @@ def apply_replacements(words: DataFrame, rules: dict[str, str]) -> DataFrame:
     return out.select("rec_id", F.col("h.word_idx").alias("word_idx"), "sub_idx", text.alias("text"), F.when(plain, F.col("h.start")).otherwise(F.col("h.start") + F.col("sub_idx") * span).alias("start"), F.when(plain, F.col("h.end")).otherwise(F.col("h.start") + (F.col("sub_idx") + 1) * span).alias("end"))
 
 
-def caption_chunks(words: DataFrame, size: float = 72.0, most: int = 4, width: float = 900.0, gap: float = 0.45, uppercase: bool = True) -> DataFrame:
+def caption_chunks(words: DataFrame, size: float = 72.0, most: int = 4, width: float = 900.0, gap: float = 0.45, uppercase: bool = True, glyphs: G.Glyphs = G.PLAIN) -> DataFrame:
     """(rec_id, chunk, pos, text, start, end): captions that fit one line, of at most ``most`` words.
 
     Captions always break after a sentence and at a pause, so the fold that counts words and widths runs over one such
-    stretch at a time.  A character is 0.62 of the size wide.
+    stretch at a time.  Without glyphs a character is 0.62 of the size wide.
     """
     shown = words.withColumn("shown", T.display_word("text", uppercase)).where("shown <> ''")
     w = Window.partitionBy("rec_id").orderBy("word_idx")
     forced = F.coalesce(F.lag(T.ends_caption("text")).over(w), F.lit(True)) | F.coalesce(F.col("start") - F.lag("end").over(w) >= gap, F.lit(True))
     marked = shown.withColumn("_f", forced.cast("int")).withColumn("_stretch", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = marked.groupBy("rec_id", "_stretch").agg(F.array_sort(F.collect_list(F.struct("word_idx", "shown"))).alias("w"))
-    seed = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<bigint>").alias("begins"))
+    per = marked.groupBy("rec_id", "_stretch").agg(F.array_sort(F.collect_list(F.struct("word_idx", glyphs.width("shown").alias("wide")))).alias("w"), F.first(glyphs.width(F.lit(" "))).alias("gap"))
+    seed = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("wide"), F.array().cast("array<bigint>").alias("begins"))
 
     def step(s: Column, x: Column) -> Column:
-        length = F.char_length(x["shown"])
-        full = (s["n"] > 0) & ((s["n"] >= most) | ((s["chars"] + 1 + length) * (size * 0.62) > width))
+        line = s["wide"] + F.col("gap") + x["wide"]
+        full = (s["n"] > 0) & ((s["n"] >= most) | (line > glyphs.units(width, size)))
         new = full | (s["n"] == 0)
-        return F.struct(F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, length).otherwise(s["chars"] + 1 + length).alias("chars"), F.when(full, F.concat(s["begins"], F.array(x["word_idx"].cast("long")))).otherwise(s["begins"]).alias("begins"))
+        return F.struct(F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, x["wide"]).otherwise(line).alias("wide"), F.when(full, F.concat(s["begins"], F.array(x["word_idx"].cast("long")))).otherwise(s["begins"]).alias("begins"))
 
     begins = per.select("rec_id", F.explode(F.aggregate("w", seed, step)["begins"]).alias("word_idx")).withColumn("_b", F.lit(1))
     cut = marked.join(begins, ["rec_id", "word_idx"], "left").withColumn("_new", F.greatest("_f", F.coalesce("_b", F.lit(0))))

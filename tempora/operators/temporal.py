@@ -55,6 +55,44 @@ def nearest_line(lines: DataFrame, points: DataFrame, reach: float = 45.0) -> Da
     return best.groupBy("m.rec_id", "m.idx").agg(F.sum("m.views").alias("views"))
 
 
+def on_at(times: DataFrame, shows: DataFrame) -> DataFrame:
+    """times (rec_id, t, ...) with ``on``: the name of the last of shows (rec_id, at, name) that began by then, null before the first.
+
+    Of shows that begin at once the last by name counts.  One union and one window: no pairs, and no recording's shows in one row.
+    """
+    s = shows.select("rec_id", F.col("at").cast("double").alias("_at"), F.lit(0).alias("_tag"), F.col("name").alias("_name"))
+    x = times.select("*", F.col("t").cast("double").alias("_at"), F.lit(1).alias("_tag")).unionByName(s, allowMissingColumns=True)
+    upto = Window.partitionBy("rec_id").orderBy("_at", "_tag", "_name").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("on", F.last("_name", ignorenulls=True).over(upto)).where("_tag = 1").select(*times.columns, "on")
+
+
+def stretch_parts(windows: DataFrame, runs: DataFrame, least: float = 12.0, slack: float = 1.0) -> DataFrame:
+    """(rec_id, idx, run, file, offset, origin, length, why): what is looked at closely of windows (rec_id, idx, start, end, why).
+
+    runs (rec_id, run, seq, start, end, length) are the pieces of uninterrupted stretches; the pieces that a window, ``slack``
+    wider on both sides, touches in one run are one file, as long as its length column tells (null: as the pieces together).
+    A file, or what a window keeps of it, that is shorter than ``least`` seconds goes.  idx counts what is left in the order of windows
+    and runs; offset is the place in the file, origin the place in the recording.
+    """
+    spans = windows.select("rec_id", F.col("idx").alias("window"), F.col("start").alias("a"), F.col("end").alias("b"), "why")
+    wide = spans.withColumn("wa", F.col("a") - slack).withColumn("wb", F.col("b") + slack)
+    met = overlap_join(wide, runs.select("rec_id", "run", "seq", F.col("start").alias("p_start"), F.col("end").alias("p_end")), 60.0, "wa", "wb", "p_start", "p_end", strict=True)
+    files = met.groupBy("rec_id", "window", "run", "a", "b", "why").agg(F.min("p_start").alias("begin"), F.max_by("p_end", "seq").alias("stop"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    lengths = runs.where("length is not null").select("rec_id", "run", F.col("seq").alias("first"), "length")
+    files = files.where(F.col("stop") - F.col("begin") >= least).join(lengths, ["rec_id", "run", "first"], "left")
+    whole = F.coalesce("length", F.col("stop") - F.col("begin"))
+    kept = files.withColumn("origin", F.greatest("a", "begin")).withColumn("_b", F.least(F.col("b"), F.col("begin") + whole)).where(F.col("_b") - F.col("origin") >= least)
+    order = F.row_number().over(Window.partitionBy("rec_id").orderBy("window", "run")) - 1
+    file = F.format_string("%02d", F.row_number().over(Window.partitionBy("rec_id").orderBy("window", "run")))
+    return kept.select("rec_id", order.alias("idx"), "run", file.alias("file"), (F.col("origin") - F.col("begin")).alias("offset"), "origin", (F.col("_b") - F.col("origin")).alias("length"), "why")
+
+
+def laid_parts(stretches: DataFrame, rate: int = 16000, gap: float = 1.0) -> DataFrame:
+    """(rec_id, idx, start, end, origin, file, offset, why): the parts of a transcript, stretches end to end on the working clock."""
+    plan = stitch_plan(stretches, rate, gap).select("rec_id", "idx", "start", "end")
+    return stretches.join(plan, ["rec_id", "idx"]).select("rec_id", "idx", "start", "end", "origin", "file", "offset", "why")
+
+
 def loud_lines(lines: DataFrame, loud: DataFrame, slack: float = 1.0) -> DataFrame:
     """Lines that a loud moment touches, ``slack`` seconds around it."""
     wide = loud.select("rec_id", (F.col("at") - slack).alias("l_start"), (F.col("end") + slack).alias("l_end"))
@@ -231,20 +269,34 @@ def sound_plan(pieces: DataFrame, limit: float, rate: int = 16000, stub: float =
 
 
 def cut_segments(kept: DataFrame, segments: DataFrame, fps: int = 30) -> DataFrame:
-    """(rec_id, first, last, kind): frame ranges of each layout inside the kept ranges, neighbours of one kind joined.
+    """(rec_id, clip, first, last, kind, framing): the frames of each layout inside the kept ranges of a clip.
 
-    The first and last piece of each kept range are stretched to its edges; a range without a piece is one ``fit``.
+    kept is (rec_id, clip, first, last) in frames, segments (rec_id, clip, start, end, kind, framing) in seconds; neither overlaps
+    itself within a clip.  Neighbours of one kind and one framing are joined.  The first and last piece of each kept range are
+    stretched to its edges; a range in which no piece begins is one ``fit`` without framing.  A sweep over the points where
+    something begins or ends: one union, grouped by point, and running values in its order.
     """
-    k = kept.select("rec_id", F.col("first").alias("fa"), F.col("last").alias("fb"))
-    s = segments.select("rec_id", F.bround(F.col("start") * fps, 0).cast("long").alias("sa"), F.bround(F.col("end") * fps, 0).cast("long").alias("sb"), "kind")
-    pieces = overlap_join(k, s, 3000.0, "fa", "fb", "sa", "sb", strict=True).select("rec_id", F.greatest("fa", "sa").alias("a"), F.least("fb", "sb").alias("b"), "kind").where("b > a")
-    w = Window.partitionBy("rec_id").orderBy("a")
-    joined = pieces.withColumn("_new", F.coalesce(((F.lag("b").over(w) != F.col("a")) | (F.lag("kind").over(w) != F.col("kind"))).cast("int"), F.lit(1)))
-    joined = joined.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rec_id", "_run", "kind").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    inside = k.join(joined, "rec_id", "left").where((F.col("a") >= F.col("fa")) & (F.col("a") < F.col("fb")))
-    v = Window.partitionBy("rec_id", "fa").orderBy("a")
-    n = Window.partitionBy("rec_id", "fa")
-    inside = inside.withColumn("_i", F.row_number().over(v)).withColumn("_n", F.count("*").over(n))
-    inside = inside.select("rec_id", "fa", F.when(F.col("_i") == 1, F.col("fa")).otherwise(F.col("a")).alias("first"), F.when(F.col("_i") == F.col("_n"), F.col("fb")).otherwise(F.col("b")).alias("last"), "kind")
-    none = k.join(inside, ["rec_id", "fa"], "left_anti").select("rec_id", F.col("fa").alias("first"), F.col("fb").alias("last"), F.lit("fit").alias("kind"))
+    by = ["rec_id", "clip"]
+    frame = lambda c: F.bround(F.col(c) * fps, 0).cast("long")
+    s = segments.select(*by, frame("start").alias("sa"), frame("end").alias("sb"), "kind", "framing").where("sb > sa")
+    whole = F.struct(F.col("sa"), F.col("sb"), "kind", "framing").alias("_s")
+    range_ = F.struct(F.col("first").alias("fa"), F.col("last").alias("fb")).alias("_k")
+    no_s, no_k = F.lit(None).cast(s.select(whole).schema["_s"].dataType).alias("_s"), F.lit(None).cast(kept.select(range_).schema["_k"].dataType).alias("_k")
+    k = kept.where("last > first")
+    points = (
+        s.select(*by, F.col("sa").alias("at"), whole, no_k).unionByName(s.select(*by, F.col("sb").alias("at"), no_s, no_k))
+        .unionByName(k.select(*by, F.col("first").alias("at"), no_s, range_)).unionByName(k.select(*by, F.col("last").alias("at"), no_s, no_k))
+    )
+    w = Window.partitionBy(*by).orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    begins = points.groupBy(*by, "at").agg(F.max_by("_s", F.col("_s.sa")).alias("_s"), F.max("_k").alias("_k"))
+    swept = begins.select(*by, "at", F.lead("at").over(w).alias("until"), F.last("_s", ignorenulls=True).over(upto).alias("_s"), F.last("_k", ignorenulls=True).over(upto).alias("_k"))
+    pieces = swept.where("_k.fb > at and _s.sb > at").select(*by, "at", "until", F.col("_k.fa").alias("fa"), F.col("_k.fb").alias("fb"), F.col("_s.kind").alias("kind"), F.col("_s.framing").alias("framing"))
+    same = (F.lag("until").over(w) == F.col("at")) & F.lag("kind").over(w).eqNullSafe(F.col("kind")) & F.lag("framing").over(w).eqNullSafe(F.col("framing"))
+    runs = pieces.withColumn("_run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(upto)).groupBy(*by, "_run").agg(
+        F.min("at").alias("a"), F.max("until").alias("b"), F.min_by(F.struct("fa", "fb", "kind", "framing"), "at").alias("_p"))
+    v = Window.partitionBy(*by, "_p.fa").orderBy("a")
+    first, last = F.lag("a").over(v).isNull(), F.lead("a").over(v).isNull()
+    inside = runs.select(*by, F.col("_p.fa").alias("fa"), F.when(first, F.col("_p.fa")).otherwise(F.col("a")).alias("first"), F.when(last, F.col("_p.fb")).otherwise(F.col("b")).alias("last"), F.col("_p.kind").alias("kind"), F.col("_p.framing").alias("framing"))
+    none = k.withColumn("fa", F.col("first")).join(inside.select(*by, "fa"), [*by, "fa"], "left_anti").select(*by, "first", "last", F.lit("fit").alias("kind"), F.lit(None).cast(s.schema["framing"].dataType).alias("framing"))
     return inside.drop("fa").unionByName(none)

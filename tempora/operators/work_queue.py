@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions import text as T
+
 # Results depend on these lists.
 TRUSTED = ["OWNER", "MEMBER", "COLLABORATOR"]
 BOT = "github-actions[bot]"
@@ -26,7 +28,7 @@ def eligible(issues: DataFrame) -> DataFrame:
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return T.stripped(c)
 
 
 def issue_fields(issues: DataFrame) -> DataFrame:
@@ -127,3 +129,46 @@ def viewer_hints(clips: DataFrame, recordings: DataFrame, lead: float = 30.0, li
     x = clips.join(recordings, "rec_id").withColumn("at", F.col("created") - F.col("started") - lead).where(F.col("at").between(0, F.col("duration")))
     w = Window.partitionBy("rec_id").orderBy(F.desc("views"), "clip_id")
     return x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).select("rec_id", F.round("at", 1).alias("at"), "views", "title")
+
+
+# People read these texts.
+STUCK = (
+    "An earlier run on this episode stopped without finishing, most likely because it ran out of time. It was not retried automatically. "
+    "If the episode is very long, try a shorter cut of it or a faster transcribe.model for this client."
+)
+SILENT = "The run stopped before it could report a reason. The run log has the details."
+FAILED = "### Could not make clips\n\n%s\n\nTo try again, fix the problem (edit the issue if the link was wrong), then start the Clips workflow by hand with this issue's number, or remove the `failed` label and the nightly run will take it. [Run log](%s)\n"
+
+
+def label_steps(issues: DataFrame, events: DataFrame) -> DataFrame:
+    """(number, seq, kind, action, added, removed, labels, comment): what each event of events (number, seq, kind, reason, log) does to an issue.
+
+    issues is (number, labels).  ``start`` skips an issue that is clipped or failed, and fails one that is still processing, since the run
+    before never reported; any other is processing from then on.  ``publish`` and ``fail`` end the run.  A fold over the few
+    events of an issue with its labels as the state; labels stay in order, new ones last.  Events of unknown issues are left out.
+    """
+    per = events.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "reason", "log"))).alias("_e"))
+    none = F.array().cast("array<string>")
+    row = lambda x, action, added, removed, labels, comment: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), action.alias("action"), added.alias("added"), removed.alias("removed"), labels.alias("labels"), comment.alias("comment"))
+    names = lambda *n: F.array(*map(F.lit, n)) if n else none
+
+    def step(s: Column, x: Column) -> Column:
+        has = lambda name: F.array_contains(s["labels"], name)
+        kind = x["kind"]
+        stuck = (kind == "start") & has("processing")
+        action = (
+            F.when(kind == "publish", "publish").when(kind == "fail", "fail").when(kind != "start", "none").when(has("clipped") | has("failed"), "skip").when(stuck, "fail").otherwise("start")
+        )
+        added = F.when(action == "publish", names("clipped")).when(action == "fail", names("failed")).when(action == "start", names("processing")).otherwise(none)
+        removed = F.when(action == "publish", names("processing", "failed")).when(action == "fail", names("processing")).when(action == "start", names("failed")).otherwise(none)
+        told = F.coalesce(T.stripped(x["reason"]), F.lit(""))
+        reason = F.when(stuck, STUCK).when(told == "", SILENT).otherwise(F.left(told, F.lit(3000)))
+        comment = F.when(action == "fail", F.format_string(FAILED, reason, F.coalesce(x["log"], F.lit(""))))
+        # a label that is there already stays where it is
+        labels = F.array_union(F.array_except(s["labels"], removed), added)
+        return F.struct(labels.alias("labels"), F.concat(s["rows"], F.array(row(x, action, F.array_except(added, s["labels"]), F.array_intersect(removed, s["labels"]), labels, comment))).alias("rows"))
+
+    kind = "array<struct<seq:bigint,kind:string,action:string,added:array<string>,removed:array<string>,labels:array<string>,comment:string>>"
+    begin = F.struct(F.coalesce("labels", none).alias("labels"), F.array().cast(kind).alias("rows"))
+    folded = issues.join(per, "number").select("number", F.explode(F.aggregate("_e", begin, step)["rows"]).alias("r"))
+    return folded.select("number", "r.*")

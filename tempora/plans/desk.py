@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.functions import glyphs as G
 from tempora.functions import links as K
 from tempora.functions import text as T
 from tempora.operators import candidates as C
@@ -13,7 +14,7 @@ from tempora.operators import temporal as M
 from tempora.operators import work_queue as Q
 from tempora.plans.adapters import TURN_LINES, TURN_WORDS, r4, registry, table, turn_lines, turn_words
 from tempora.plans.signals import LOUD, loud_of
-from tempora.plans.speech import CANDIDATES, CHUNKED, GREEDY, HEADED, SENTENCES, titled_clips, turn_sentences
+from tempora.plans.speech import CANDIDATES, CHUNKED, GREEDY, HEADED, SENTENCES, chunks_by, titled_clips, turn_sentences
 from tempora.plans.studio import PARTS, _parts
 from tempora.sources import playlists as H
 from tempora.sources import readers as R
@@ -28,14 +29,19 @@ def clock(x: str) -> str:
     return f"(CASE WHEN {n} >= 3600 THEN printf('%d:%02d:%02d', {n} // 3600, {n} % 3600 // 60, {n} % 60) ELSE printf('%d:%02d', {n} // 60, {n} % 60) END)"
 
 
-@query(f"""WITH {TURN_LINES}, p AS (SELECT rec_id, idx, start, "end", CASE WHEN idx % 5 IN (1, 2) THEN 'so it  goes' ELSE text END AS text, -((idx * 7 + rec_id) % 20) / 10.0 AS lp, (idx % 10) / 10.0 AS ns FROM turn_lines),
-k AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM p), f AS (SELECT * FROM k WHERE t <> '' AND NOT (lp < -1.3 OR ns > 0.85 AND lp < -0.8)),
+# White space of any script, as RE2 has to be told.
+ANY_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(f"""WITH {TURN_LINES}, p AS (SELECT rec_id, idx, start, "end", CASE WHEN idx % 5 = 1 THEN 'so it  goes' WHEN idx % 5 = 2 THEN chr(8195) || 'so' || chr(160) || 'it' || chr(12288) || chr(28) || 'goes' || chr(11) WHEN idx % 15 = 8 THEN chr(12288) || chr(133) ELSE text END AS text, -((idx * 7 + rec_id) % 20) / 10.0 AS lp, (idx % 10) / 10.0 AS ns FROM turn_lines),
+k AS (SELECT *, trim(regexp_replace(text, '{ANY_SPACE}+', ' ', 'g')) AS t FROM p), f AS (SELECT * FROM k WHERE t <> '' AND NOT (lp < -1.3 OR ns > 0.85 AND lp < -0.8)),
 g AS (SELECT *, lag(t) OVER (PARTITION BY rec_id ORDER BY idx) AS was FROM f)
 SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY idx) - 1 AS INTEGER) AS idx, round(greatest(start, "end" - (0.45 * len(string_split(t, ' ')) + 1.5)), 4) AS start, round("end", 4) AS "end", t AS text FROM g WHERE was IS NULL OR was <> t""")
 def rough_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as a quick model's phrases, without guesses and repeats."""
+    """Turns as a quick model's phrases, without guesses and repeats, whatever white space they hold."""
     i = F.col("idx")
-    p = turn_lines(spark, sf_dir).withColumn("text", F.when(i % 5 == 1, "so it  goes").when(i % 5 == 2, "so it  goes").otherwise(F.col("text")))
+    said = F.when(i % 5 == 1, "so it  goes").when(i % 5 == 2, "\u2003so\u00a0it\u3000\x1cgoes\x0b").when(i % 15 == 8, "\u3000\x85").otherwise(F.col("text"))
+    p = turn_lines(spark, sf_dir).withColumn("text", said)
     p = p.withColumn("logprob", -((i * 7 + F.col("rec_id")) % 20) / 10.0).withColumn("no_speech", (i % 10) / 10.0)
     return S.rough_lines(p).select("rec_id", "idx", r4("start").alias("start"), r4("end").alias("end"), "text")
 
@@ -68,7 +74,70 @@ FROM t LEFT JOIN two ON two.rec_id = t.rec_id AND two.idx = t.idx LEFT JOIN thre
 def wrapped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence as a headline of three lines at most."""
     s = turn_sentences(spark, sf_dir).where(F.trim("text") != "")
-    return s.select("rec_id", "idx", F.array_join(T.wrapped_title("text", 48.0), " / ").alias("lines"))
+    return s.select("rec_id", "idx", F.array_join(G.wrapped_title("text", 48.0), " / ").alias("lines"))
+
+
+def wrapped_sql(name: str, source: str, room: int, gap: str) -> str:
+    """CTEs that end in ``name`` (rec_id, idx, lines): every way to break w (words) of source (rec_id, idx, w, ww (widths), n), and the fold that fills lines where none fits."""
+    wide = lambda a, b: f"(list_sum(ww[{a}:{b}]) + ({b} - ({a})) * {gap})"
+    line = lambda a, b: f"array_to_string(w[{a}:{b}], ' ')"
+    return f"""{name}_two AS (SELECT rec_id, idx, min({{'widest': greatest({wide(1, "a")}, {wide("a + 1", "n")}), 'a': a}}) AS m FROM (SELECT *, unnest(range(1, n)) AS a FROM {source} WHERE {wide(1, "n")} <= 2 * {room} + {gap}) GROUP BY rec_id, idx),
+{name}_three AS (SELECT rec_id, idx, min({{'widest': greatest({wide(1, "a")}, {wide("a + 1", "b")}, {wide("b + 1", "n")}), 'a': a, 'b': b}}) AS m FROM (SELECT *, unnest(range(a + 1, n)) AS b FROM (SELECT *, unnest(range(1, n - 1)) AS a FROM {source} WHERE {wide(1, "n")} <= 3 * {room} + 2 * {gap})) GROUP BY rec_id, idx),
+{name}_fill AS (
+  SELECT rec_id, idx, w, ww, n, 1 AS k, [w[1]] AS lines, ww[1] AS used FROM {source}
+  UNION ALL
+  SELECT rec_id, idx, w, ww, n, k + 1, CASE WHEN used + {gap} + ww[k + 1] > {room} THEN list_append(lines, w[k + 1]) ELSE list_append(lines[:-2], lines[-1] || ' ' || w[k + 1]) END, CASE WHEN used + {gap} + ww[k + 1] > {room} THEN ww[k + 1] ELSE used + {gap} + ww[k + 1] END FROM {name}_fill WHERE k < n
+), {name} AS (
+  SELECT t.rec_id, t.idx, CASE WHEN {wide(1, "n")} <= {room} THEN [{line(1, "n")}] WHEN two.m.widest <= {room} THEN [{line(1, "two.m.a")}, {line("two.m.a + 1", "n")}]
+  WHEN three.m.widest <= {room} THEN [{line(1, "three.m.a")}, {line("three.m.a + 1", "three.m.b")}, {line("three.m.b + 1", "n")}] ELSE list_append(f.lines[1:3][:-2], rtrim(f.lines[1:3][-1], '.,;:') || '…') END AS lines
+  FROM {source} t LEFT JOIN {name}_two two ON two.rec_id = t.rec_id AND two.idx = t.idx LEFT JOIN {name}_three three ON three.rec_id = t.rec_id AND three.idx = t.idx
+  JOIN (SELECT rec_id, idx, any_value(lines) AS lines FROM {name}_fill WHERE k = n GROUP BY rec_id, idx) f ON f.rec_id = t.rec_id AND f.idx = t.idx
+)"""
+
+
+# A made font: 1000 units to the em, advances of the code points from 33 on by the keys and sizes of parts; no space, no letters beyond ASCII.
+METRICS = """metrics AS (SELECT map(list(code), list(units)) AS m FROM (SELECT 32 + p_partkey AS code, 300 + (p_size * 37 + p_partkey * 13) % 700 AS units FROM part WHERE p_partkey BETWEEN 1 AND 94))"""
+ADVANCES = "list_sum(list_transform(string_split({}, ''), lambda c: coalesce(m[ord(c)] * 100, 62000)))"
+
+
+def made_font(spark: SparkSession, sf_dir: str) -> G.Glyphs:
+    p = table(spark, sf_dir, "part").where("p_partkey between 1 and 94")
+    return G.Glyphs.of(p.select((32 + F.col("p_partkey")).alias("code"), (300 + (F.col("p_size") * 37 + F.col("p_partkey") * 13) % 700).alias("units")), 1000)
+
+
+@query(f"""WITH RECURSIVE {SENTENCES}, {METRICS}, w AS (SELECT rec_id, idx, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM sentences),
+sizes AS MATERIALIZED (SELECT word, {ADVANCES.format("word")} AS wide FROM (SELECT DISTINCT unnest(w) AS word FROM w), metrics),
+t AS MATERIALIZED (SELECT rec_id, idx, list(word ORDER BY k) AS w, list(CAST(wide AS BIGINT) ORDER BY k) AS ww, CAST(count(*) AS BIGINT) AS n FROM (SELECT rec_id, idx, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM w) JOIN sizes USING (word) GROUP BY rec_id, idx),
+{wrapped_sql("wrapped", "t", 1750000, "62000")} SELECT rec_id, idx, array_to_string(lines, ' / ') AS lines FROM wrapped""")
+def titles_by_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence as a headline in a font of letters of unlike widths."""
+    s = turn_sentences(spark, sf_dir).where(F.trim("text") != "")
+    return s.select("rec_id", "idx", F.array_join(G.wrapped_title("text", 48.0, glyphs=made_font(spark, sf_dir)), " / ").alias("lines"))
+
+
+@query(f"""WITH RECURSIVE {METRICS}, {chunks_by(f"CAST({ADVANCES.format('s')} AS BIGINT)", "62000", "w.chars + 62000 + x.wide > 1250000", ", metrics")}
+SELECT rec_id, CAST(chunk AS BIGINT) AS chunk, CAST(row_number() OVER (PARTITION BY rec_id, chunk ORDER BY word_idx) - 1 AS INTEGER) AS pos, text FROM chunked""")
+def captions_by_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions of at most four words that fit a line in a font of letters of unlike widths."""
+    return S.caption_chunks(turn_words(spark, sf_dir), uppercase=False, glyphs=made_font(spark, sf_dir)).select("rec_id", "chunk", "pos", "text")
+
+
+SHOWN_TITLE = """translate(regexp_replace(trim(replace(replace(trim(text), '—', ''), '–', '-'), '"“”‘’()[]…'), '^[.,;:]+|[.,;:]+$', '', 'g'), '{}\\', '()/')"""
+
+
+@query(f"""WITH RECURSIVE {SENTENCES}, w AS (SELECT rec_id, idx, list_filter(regexp_split_to_array({SHOWN_TITLE}, '\\s+'), lambda x: x <> '') AS w FROM sentences WHERE idx % 5 > 0),
+t AS MATERIALIZED (SELECT rec_id, idx, w, list_transform(w, lambda x: length(x) * 62) AS ww, CAST(len(w) AS BIGINT) AS n FROM w WHERE len(w) > 0),
+{wrapped_sql("usual", "t", 1750, "62")}, {wrapped_sql("small", "t", 2048, "62")},
+l AS (SELECT u.rec_id, u.idx, len(u.lines) > 2 AS small, CASE WHEN len(u.lines) > 2 THEN s.lines ELSE u.lines END AS lines, CASE WHEN len(u.lines) > 2 THEN 41 ELSE 48 END AS size, CAST(u.idx % 5 AS DOUBLE) AS until, CAST(3.2 AS DOUBLE) AS duration, 200 + 50 * (u.idx % 4) AS title_y, CASE WHEN u.idx % 3 = 0 THEN CAST(300 + u.idx % 60 AS DOUBLE) END AS floor_ FROM usual u JOIN small s ON s.rec_id = u.rec_id AND s.idx = u.idx),
+b AS (SELECT *, len(lines) * size * CAST(1.2 AS DOUBLE) + 26 AS block, CAST(round_even(least(until, duration) * 100, 0) AS BIGINT) AS cs FROM l)
+SELECT rec_id, CAST(idx AS BIGINT) AS clip, printf('Dialogue: 1,0:00:00.00,0:%02d:%02d.%02d,Title,,0,0,0,,', cs // 6000, cs % 6000 // 100, cs % 100) || '{{\\an5\\pos(540,' || CAST(trunc(greatest(CASE WHEN floor_ IS NULL THEN title_y ELSE least(CAST(title_y AS DOUBLE), floor_ - block / 2) END, 120 + block / 2)) AS BIGINT) || ')'
+|| CASE WHEN small THEN '\\fs49.2' ELSE '' END || CASE WHEN until < duration - CAST(0.3 AS DOUBLE) THEN '\\fad(0,250)' ELSE '' END || '}}' || array_to_string(lines, '\\N') AS event FROM b""")
+def headline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline of each sentence, shown for one to four seconds of a clip of 3.2."""
+    i = F.col("idx")
+    s = turn_sentences(spark, sf_dir).where("idx % 5 > 0").withColumn("shown", T.display_word("text", False)).where(F.size(F.filter(F.split("shown", r"\s+"), lambda w: w != "")) > 0)
+    clips = s.select("rec_id", i.alias("clip"), F.col("text").alias("title"), F.lit(3.2).alias("duration"), (200 + 50 * (i % 4)).alias("title_y"), F.when(i % 3 == 0, (300 + i % 60).cast("double")).alias("floor"), (i % 5).cast("double").alias("until"))
+    return sinks.headline_events(clips)
 
 
 @query(r"""WITH t AS (SELECT conv_id AS rec_id, turn, text, list_filter(list_transform(list_concat(['#Show', 'new one'], regexp_split_to_array(text, ' ')), lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g'))), lambda x: x <> '') AS w FROM conversations WHERE text IS NOT NULL)
@@ -156,7 +225,7 @@ def comment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TURN_WORDS}, p AS (SELECT rec_id, string_agg('"' || word_idx || '":' || CAST(round(0.25 + (word_idx % 7) * 0.125, 2) AS DOUBLE), ',' ORDER BY word_idx) AS p FROM turn_words WHERE word_idx % 10 = 0 GROUP BY rec_id)
-SELECT rec_id, '{{"version":1,"language":"en","duration":' || round(CAST(max("end") AS DOUBLE), 3) || ',"model":"small \\"x\\"","pauses":{{' || any_value(p.p) || '}},"words":[' || string_agg('[' || CAST(to_json(text) AS VARCHAR) || ',' || round(CAST(start AS DOUBLE), 3) || ',' || round(CAST("end" AS DOUBLE), 3) || ']', ',' ORDER BY word_idx) || ']}}' AS json FROM turn_words JOIN p USING (rec_id) GROUP BY rec_id""")
+SELECT rec_id, '{{"version":1,"language":"en","duration":' || round(CAST(max("end") AS DOUBLE), 3) || ',"model":"small \\"x\\"","pauses":{{' || any_value(p.p) || '}},"parts":[],"words":[' || string_agg('[' || CAST(to_json(text) AS VARCHAR) || ',' || round(CAST(start AS DOUBLE), 3) || ',' || round(CAST("end" AS DOUBLE), 3) || ']', ',' ORDER BY word_idx) || ']}}' AS json FROM turn_words JOIN p USING (rec_id) GROUP BY rec_id""")
 def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as a transcript file."""
     w = turn_words(spark, sf_dir)

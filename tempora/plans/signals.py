@@ -11,7 +11,6 @@ from tempora.operators import framing as V
 from tempora.operators import signal as L
 from tempora.operators import temporal as M
 from tempora.plans.adapters import LEVELS, MOMENTS, TURN_LINES, TURN_WORDS, levels, moments, r4, registry, table, turn_lines, turn_words
-from tempora.sources import sinks
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -176,13 +175,6 @@ def retimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.retime(t, _pieces(spark, sf_dir)[1]).select("rec_id", "idx", r4("clip_t").alias("clip_t"))
 
 
-@query(f"""WITH {PIECES} SELECT rec_id, CAST(0 AS INTEGER) AS clip, string_agg(printf('[0:V:0]trim=start_frame=%d:end_frame=%d,setpts=PTS-STARTPTS[v%d]', CAST(round_even(start * 30, 0) AS BIGINT), CAST(round_even("end" * 30, 0) AS BIGINT), piece), ';' ORDER BY piece) || ';'
-|| string_agg('[v' || piece || ']', '' ORDER BY piece) || printf('concat=n=%d:v=1:a=0[vcat]', count(*)) AS plan FROM pieces GROUP BY rec_id""")
-def cut_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter graph that cuts and joins the pieces of each clip."""
-    return sinks.cut_plans(_pieces(spark, sf_dir)[1])
-
-
 @query(f"""WITH {LEVELS}, kinds AS (SELECT rec_id, idx // 4 AS s, CASE (idx // 4) % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'pair' ELSE 'fit' END AS kind, min(idx) AS a, max(idx) + 1 AS b FROM levels GROUP BY ALL),
 per AS (SELECT rec_id, kind, sum((b - a) * 30) AS frames, min(a) AS seen FROM kinds GROUP BY rec_id, kind)
 SELECT rec_id, arg_max(kind, frames * 1000000 - seen) AS kind, CAST(max(frames) AS BIGINT) AS frames, string_agg(kind, '+' ORDER BY kind) AS kinds FROM per GROUP BY rec_id""")
@@ -192,8 +184,8 @@ def dominant_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.floor(F.col("idx") / 4)
     kind = F.when(s % 3 == 0, "one").when(s % 3 == 1, "pair").otherwise("fit")
     segments = x.withColumn("s", s).withColumn("kind", kind).groupBy("rec_id", "s", "kind").agg(F.min("idx").cast("double").alias("start"), (F.max("idx") + 1.0).alias("end"))
-    kept = x.groupBy("rec_id").agg(F.lit(0).cast("long").alias("first"), ((F.max("idx") + 1) * 30).cast("long").alias("last"))
-    return V.dominant_layout(M.cut_segments(kept, segments.select("rec_id", "start", "end", "kind")))
+    kept = x.groupBy("rec_id").agg(F.lit(0).alias("clip"), F.lit(0).cast("long").alias("first"), ((F.max("idx") + 1) * 30).cast("long").alias("last"))
+    return V.dominant_layout(M.cut_segments(kept, segments.select("rec_id", F.lit(0).alias("clip"), "start", "end", "kind", F.lit(None).cast("double").alias("framing"))))
 
 
 @query(f"""WITH {LEVELS}, f AS (SELECT rec_id, idx // 10 AS shot, [{{'h': 0.30, 's': 0.9}}, {{'h': db / 300, 's': 0.5 + (idx % 5) / 8}}, {{'h': db / 200, 's': 0.8}}] AS faces FROM levels),

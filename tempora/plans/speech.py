@@ -21,12 +21,13 @@ IS_END = f"""(right(rtrim(text, '{CLOSERS}'), 1) IN ('.', '?', '!') AND lower(rt
 IS_SOFT = f"""right(rtrim(text, '{CLOSERS}'), 1) IN (',', ';', ':', '—', '–')"""
 
 
-@query(f"""WITH {DOCUMENT_WORDS}, late AS (SELECT rec_id, word_idx, trim(text) AS text, start - CASE WHEN word_idx % 11 = 10 THEN 0.5 ELSE 0 END AS start, "end" FROM document_words),
+@query(f"""WITH {DOCUMENT_WORDS}, late AS (SELECT rec_id, word_idx, CASE word_idx % 13 WHEN 3 THEN text WHEN 5 THEN '' ELSE text END AS text, start - CASE WHEN word_idx % 11 = 10 THEN 0.5 ELSE 0 END AS start, "end" FROM document_words),
 m AS (SELECT rec_id, word_idx, text, greatest(max(start) OVER (PARTITION BY rec_id ORDER BY word_idx), 0.0) AS start, "end" FROM late WHERE text <> '')
 SELECT rec_id, word_idx, text, round(start, 4) AS start, round(greatest("end", start + 0.02), 4) AS "end" FROM m""")
 def words_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents whose clock sometimes runs back, made monotone."""
-    w = document_words(spark, sf_dir).withColumn("start", F.col("start") - F.when(F.col("word_idx") % 11 == 10, 0.5).otherwise(0.0))
+    """Words of documents whose clock sometimes runs back, made monotone; some have white space around them, some are nothing else."""
+    said = F.when(F.col("word_idx") % 13 == 3, F.concat(F.lit("\t\u2003"), "text", F.lit("\u3000\x1f"))).when(F.col("word_idx") % 13 == 5, "\u00a0\n").otherwise(F.col("text"))
+    w = document_words(spark, sf_dir).withColumn("text", said).withColumn("start", F.col("start") - F.when(F.col("word_idx") % 11 == 10, 0.5).otherwise(0.0))
     return S.clean_words(w).select("rec_id", "word_idx", "text", r4("start").alias("start"), r4("end").alias("end"))
 
 
@@ -205,17 +206,23 @@ def hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("rec_id"), F.array_join(T.clean_hashtags(words, 6), " ").alias("tags"))
 
 
-CHUNKS = f"""{TURN_WORDS}, shown AS (SELECT *, translate(regexp_replace(trim(replace(replace(trim(text), '—', ''), '–', '-'), '"“”‘’()[]…'), '^[.,;:]+|[.,;:]+$', '', 'g'), '{{}}\\', '()/') AS s,
+
+def chunks_by(wide: str, gap: str, full: str, more: str = "") -> str:
+    """CTEs that end in chunked: captions by the width of a word s, of a space, and what fills a line (of w.chars and x.wide)."""
+    return f"""{TURN_WORDS}, shown AS (SELECT *, translate(regexp_replace(trim(replace(replace(trim(text), '—', ''), '–', '-'), '"“”‘’()[]…'), '^[.,;:]+|[.,;:]+$', '', 'g'), '{{}}\\', '()/') AS s,
   right(rtrim(text, '"”’)]'), 1) IN ('.', '?', '!') AS stop FROM turn_words),
-forced AS (SELECT *, row_number() OVER w AS n, coalesce(lag(stop) OVER w, true) OR coalesce(start - lag("end") OVER w >= 0.45, true) AS f FROM shown WHERE s <> '' WINDOW w AS (PARTITION BY rec_id ORDER BY word_idx)),
+forced AS (SELECT *, {wide} AS wide, row_number() OVER w AS n, coalesce(lag(stop) OVER w, true) OR coalesce(start - lag("end") OVER w >= 0.45, true) AS f FROM shown{more} WHERE s <> '' WINDOW w AS (PARTITION BY rec_id ORDER BY word_idx)),
 walk AS (
-  SELECT rec_id, n, word_idx, 1 AS k, CAST(length(s) AS BIGINT) AS chars, true AS new FROM forced WHERE n = 1
+  SELECT rec_id, n, word_idx, 1 AS k, wide AS chars, true AS new FROM forced WHERE n = 1
   UNION ALL
-  SELECT rec_id, n, word_idx, CASE WHEN new THEN 1 ELSE k + 1 END, CASE WHEN new THEN size ELSE chars + 1 + size END, new FROM (
-    SELECT x.rec_id, x.n, x.word_idx, w.k, w.chars, length(x.s) AS size, x.f OR w.k >= 4 OR (w.chars + 1 + length(x.s)) * (72.0 * 0.62) > 900 AS new FROM walk w JOIN forced x ON x.rec_id = w.rec_id AND x.n = w.n + 1)
+  SELECT rec_id, n, word_idx, CASE WHEN new THEN 1 ELSE k + 1 END, CASE WHEN new THEN size ELSE chars + {gap} + size END, new FROM (
+    SELECT x.rec_id, x.n, x.word_idx, w.k, w.chars, x.wide AS size, x.f OR w.k >= 4 OR {full} AS new FROM walk w JOIN forced x ON x.rec_id = w.rec_id AND x.n = w.n + 1)
 ), chunked AS MATERIALIZED (SELECT f.rec_id, sum(CAST(w.new AS INTEGER)) OVER (PARTITION BY f.rec_id ORDER BY f.n) - 1 AS chunk, f.word_idx, f.s AS text, f.start, greatest(f."end", f.start + 0.03) AS "end" FROM forced f JOIN walk w ON w.rec_id = f.rec_id AND w.n = f.n)"""
 
 
+CHUNKS = chunks_by("CAST(length(s) AS BIGINT)", "1", "(w.chars + 1 + x.wide) * (72.0 * 0.62) > 900")
+
+
 @query(f"""WITH RECURSIVE {CHUNKS} SELECT rec_id, CAST(chunk AS BIGINT) AS chunk, CAST(row_number() OVER (PARTITION BY rec_id, chunk ORDER BY word_idx) - 1 AS INTEGER) AS pos, text, round(start, 4) AS start, round("end", 4) AS "end" FROM chunked""")
 def caption_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions of at most four words that fit a line."""

@@ -10,7 +10,7 @@ from tempora.operators import framing as V
 from tempora.operators import segment as S
 from tempora.operators import signal as L
 from tempora.operators import temporal as M
-from tempora.plans.adapters import LEVELS, TURN_WORDS, levels, r4, registry, turn_words
+from tempora.plans.adapters import LEVELS, TURN_WORDS, levels, r4, registry, table, turn_words
 from tempora.plans.signals import EVEN, ISLANDS, PIECES, TWO, _parts, _pictures, _pieces, _silences
 from tempora.plans.speech import IS_END
 from tempora.plans.work import PIECES as PLAYLISTS
@@ -99,12 +99,83 @@ def kept_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEAD = "[0:a:0]aresample=48000,aformat=sample_fmts=fltp:channel_layouts=stereo,apad=pad_dur=1.5"
 
 
+GAIN = "CASE WHEN lufs > -70 AND lufs < 0 THEN greatest(-20.0, least(20.0, -14.0 - lufs)) ELSE 0.0 END"
+
+
 @query(f"""WITH {FRAMES}, o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY piece) - 1 AS i, count(*) OVER (PARTITION BY rec_id) AS n FROM frames),
-c AS (SELECT *, printf('atrim=start=%.5f:end=%.5f,asetpts=PTS-STARTPTS', CAST(first AS DOUBLE) / 30, CAST(last AS DOUBLE) / 30) || CASE WHEN i > 0 THEN ',afade=t=in:st=0:d=0.008' ELSE '' END || CASE WHEN i < n - 1 THEN printf(',afade=t=out:st=%.5f:d=0.008', greatest(0.0, CAST(last - first AS DOUBLE) / 30 - 0.008)) ELSE '' END AS chain FROM o)
-SELECT rec_id, CAST(0 AS INTEGER) AS clip, CASE WHEN any_value(n) = 1 THEN '{HEAD},' || any_value(chain) || '[acat]' ELSE '{HEAD},asplit=' || any_value(n) || string_agg('[a' || i || ']', '' ORDER BY i) || ';' || string_agg('[a' || i || ']' || chain || '[q' || i || ']', ';' ORDER BY i) || ';' || string_agg('[q' || i || ']', '' ORDER BY i) || printf('concat=n=%d:v=0:a=1[acat]', any_value(n)) END AS graph FROM c GROUP BY rec_id""")
+c AS (SELECT *, printf('atrim=start=%.5f:end=%.5f,asetpts=PTS-STARTPTS', CAST(first AS DOUBLE) / 30, CAST(last AS DOUBLE) / 30) || CASE WHEN i > 0 THEN ',afade=t=in:st=0:d=0.008' ELSE '' END || CASE WHEN i < n - 1 THEN printf(',afade=t=out:st=%.5f:d=0.008', greatest(0.0, CAST(last - first AS DOUBLE) / 30 - 0.008)) ELSE '' END AS chain FROM o),
+per AS (SELECT rec_id, CASE WHEN any_value(n) = 1 THEN '{HEAD},' || any_value(chain) || '[acat]' ELSE '{HEAD},asplit=' || any_value(n) || string_agg('[a' || i || ']', '' ORDER BY i) || ';' || string_agg('[a' || i || ']' || chain || '[q' || i || ']', ';' ORDER BY i) || ';' || string_agg('[q' || i || ']', '' ORDER BY i) || printf('concat=n=%d:v=0:a=1[acat]', any_value(n)) END AS graph FROM c GROUP BY rec_id),
+loud AS (SELECT rec_id, -(rec_id % 90) * 0.75 - 5.5 AS lufs FROM per)
+SELECT rec_id, CAST(0 AS INTEGER) AS clip, graph || ';[acat]volume=' || printf('%.2f', CAST({GAIN} AS DOUBLE)) || 'dB,alimiter=limit=0.84:attack=5:release=50:level=false:latency=1,aresample=48000' || CASE WHEN rec_id % 2 = 1 THEN ',asplit=2[aout][aw]' ELSE '[aout]' END AS graph FROM per JOIN loud USING (rec_id)""")
 def sound_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter graph that joins the sound of each clip's frames."""
-    return sinks.sound_graphs(M.kept_frames(_pieces(spark, sf_dir)[1]))
+    """The filter graph that joins and levels the sound of each clip's frames; every other clip's sound is drawn too."""
+    frames = M.kept_frames(_pieces(spark, sf_dir)[1])
+    clips = frames.select("rec_id", "clip").distinct().withColumn("lufs", -(F.col("rec_id") % 90) * 0.75 - 5.5).withColumn("wave", F.col("rec_id") % 2 == 1)
+    return sinks.sound_graphs(frames, L.steady_gain(clips))
+
+
+# Two clips of each recording: the second's frames are seven later, and its layouts change every three seconds, not eight.
+LAID = f"""{FRAMES}, kept AS (SELECT rec_id, CAST(0 AS INTEGER) AS clip, first, last FROM frames UNION ALL SELECT rec_id, 1, first + 7, last + 7 FROM frames),
+steps AS (SELECT rec_id, CAST(0 AS INTEGER) AS clip, idx // 4 AS s, idx // 8 % 3 AS k, min(idx) * 30 AS sa, (max(idx) + 1) * 30 AS sb FROM levels GROUP BY ALL UNION ALL SELECT rec_id, 1, idx // 3, idx // 3 % 3, min(idx) * 30, (max(idx) + 1) * 30 FROM levels GROUP BY ALL),
+segs AS (SELECT rec_id, clip, sa, sb, CASE WHEN k = 2 THEN 'fit' ELSE 'crop' END AS kind, CASE k WHEN 0 THEN 0.2 WHEN 1 THEN 0.8 END AS cx FROM steps),
+hit AS (SELECT k.rec_id, k.clip, first AS fa, last AS fb, greatest(first, sa) AS a, least(last, sb) AS b, kind, cx FROM kept k JOIN segs s ON s.rec_id = k.rec_id AND s.clip = k.clip AND least(last, sb) - greatest(first, sa) >= 1),
+stepped AS (SELECT *, CASE WHEN lag(b) OVER w = a AND lag(kind) OVER w = kind AND lag(cx) OVER w IS NOT DISTINCT FROM cx THEN 0 ELSE 1 END AS new FROM hit WINDOW w AS (PARTITION BY rec_id, clip ORDER BY a)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY rec_id, clip ORDER BY a) AS run FROM stepped),
+joined AS (SELECT rec_id, clip, run, min(a) AS a, max(b) AS b, any_value(kind) AS kind, any_value(cx) AS cx FROM numbered GROUP BY rec_id, clip, run),
+inside AS (SELECT k.rec_id, k.clip, k.first AS fa, CASE WHEN row_number() OVER (PARTITION BY k.rec_id, k.clip, k.first ORDER BY a) = 1 THEN k.first ELSE a END AS first, CASE WHEN row_number() OVER (PARTITION BY k.rec_id, k.clip, k.first ORDER BY a DESC) = 1 THEN k.last ELSE b END AS last, kind, cx
+  FROM kept k JOIN joined j ON j.rec_id = k.rec_id AND j.clip = k.clip AND a >= k.first AND a < k.last),
+laid AS (SELECT rec_id, clip, first, last, kind, CAST(cx AS DOUBLE) AS cx FROM inside UNION ALL SELECT rec_id, clip, first, last, 'fit', NULL FROM kept k WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.rec_id = k.rec_id AND i.clip = k.clip AND i.fa = k.first))"""
+
+
+def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, frames = levels(spark, sf_dir), M.kept_frames(_pieces(spark, sf_dir)[1]).select("rec_id", "first", "last")
+    kept = frames.withColumn("clip", F.lit(0)).unionByName(frames.select("rec_id", (F.col("first") + 7).alias("first"), (F.col("last") + 7).alias("last"), F.lit(1).alias("clip")))
+
+    def steps(clip: int, length: int, turn: int) -> DataFrame:
+        per = x.groupBy("rec_id", F.floor(F.col("idx") / length).alias("s"), (F.floor(F.col("idx") / turn) % 3).alias("k")).agg(F.min("idx").cast("double").alias("start"), (F.max("idx") + 1.0).alias("end"))
+        framing = F.when(F.col("k") < 2, F.struct(F.when(F.col("k") == 0, 0.2).otherwise(0.8).alias("cx")))
+        return per.select("rec_id", F.lit(clip).alias("clip"), "start", "end", F.when(F.col("k") == 2, "fit").otherwise("crop").alias("kind"), framing.alias("framing"))
+
+    return M.cut_segments(kept, steps(0, 4, 8).unionByName(steps(1, 3, 3)))
+
+
+@query(f"""WITH {LAID} SELECT * FROM laid""")
+def layout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of each layout of two clips; windows on two people are two layouts."""
+    return _laid(spark, sf_dir).select("rec_id", "clip", "first", "last", "kind", F.col("framing.cx").alias("cx"))
+
+
+@query(f"""WITH {LAID}, o AS (SELECT *, row_number() OVER (PARTITION BY rec_id, clip ORDER BY first) - 1 AS i, count(*) OVER (PARTITION BY rec_id, clip) AS n FROM laid),
+c AS (SELECT *, printf('[v%d]trim=start_frame=%d:end_frame=%d,setpts=PTS-STARTPTS,', i, first, last) || CASE WHEN kind = 'crop' THEN printf('crop=608:1080:%d:0,scale=1080:1920:flags=bicubic,setsar=1', CASE WHEN cx < 0.5 THEN 80 ELSE 1232 END)
+  ELSE printf('split=2[s%da][s%db];[s%da]@BLUR[s%dg];[s%db]scale=1080:608:flags=bicubic[s%df];[s%dg][s%df]overlay=(W-w)/2:(H-h)/2,setsar=1', i, i, i, i, i, i, i, i) END || CASE WHEN n > 1 THEN printf('[p%d]', i) ELSE '[vcat]' END AS piece FROM o)
+SELECT rec_id, clip, '[0:V:0]fps=30:start_time=0,tpad=stop_mode=clone:stop_duration=1.5,scale=1920:1080:flags=bicubic,format=yuv420p,setsar=1' || CASE WHEN any_value(n) = 1 THEN '[v0];' || any_value(piece)
+  ELSE ',split=' || any_value(n) || string_agg('[v' || i || ']', '' ORDER BY i) || ';' || string_agg(piece, ';' ORDER BY i) || ';' || string_agg('[p' || i || ']', '' ORDER BY i) || printf('concat=n=%d:v=1:a=0[vcat]', any_value(n)) END AS chain FROM c GROUP BY rec_id, clip""".replace("@BLUR", "scale=270:480:force_original_aspect_ratio=increase,crop=270:480,boxblur=10:2,scale=1080:1920:flags=bilinear,eq=brightness=-0.12:saturation=0.9"))
+def cut_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter graph that cuts, lays out and joins the picture of each clip."""
+    width, height = F.lit(1920), F.lit(1080)
+    x = _laid(spark, sf_dir).withColumn("width", width).withColumn("height", height)
+    x = x.withColumn("c", G.crop_box(F.col("framing.cx"), F.lit(None).cast("double"), F.lit(None).cast("double"), width, height))
+    whole = G.fit_box(F.lit(0.5), F.lit(None).cast("double"), F.lit(None).cast("double"), width, height)
+    box = F.when(F.col("kind") == "crop", G.box(*[F.col(f"c.{n}").cast("int") for n in "whxy"])).otherwise(whole)
+    inner = G.even(F.lit(1080.0) * height / width)
+    return sinks.video_chains(x, lambda tag: G.layout_graph(F.col("kind"), box, box, inner, F.lit(True), tag))
+
+
+@query("""SELECT o_orderkey AS rec_id, CAST(1 AS INTEGER) AS clip, CASE WHEN o_orderkey % 3 = 0 THEN '[1:v]fps=30,format=yuv420p,split=2[c1][c2];[c1]scale=270:480:force_original_aspect_ratio=increase,crop=270:480,boxblur=12:2,scale=1080:1920:flags=bilinear,eq=brightness=-0.22:saturation=0.85[bg];[c2]scale=640:640:force_original_aspect_ratio=increase,crop=640:640[art];[bg][art]overlay=(W-w)/2:300[base];[aw]showwaves=s=960x280:mode=cline:rate=30:colors=0xFFD400:scale=sqrt:draw=full,format=yuva420p[wave];[base][wave]overlay=(W-w)/2:1000:shortest=1,trim=duration='
+|| printf('%.3f', round(o_totalprice) / 7) || ',setsar=1[vcat]' ELSE 'color=c=0x12161c:s=1080x1920:r=30:d=' || printf('%.3f', round(o_totalprice) / 7) || '[base];[aw]showwaves=s=960x280:mode=cline:rate=30:colors=0xFFD400:scale=sqrt:draw=full,format=yuva420p[wave];[base][wave]overlay=(W-w)/2:700:shortest=1,setsar=1[vcat]' END AS chain FROM orders""")
+def audiograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picture of sound-only clips as long as a seventh of an order's price, every third with a cover."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_id"), F.lit(1).alias("clip"), (F.round("o_totalprice") / 7).alias("duration"), (F.col("o_orderkey") % 3 == 0).alias("cover"), F.lit("#FFD400").alias("colour"))
+    return sinks.audiogram_chains(o)
+
+
+@query("""WITH t AS (SELECT o_custkey AS rec_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderkey % 7 <> 3)
+SELECT rec_id, CASE WHEN any_value(n) = 1 THEN '[0:v]scale=360:640,setsar=1[sheet]' ELSE string_agg('[' || i || ':v]scale=360:640,setsar=1[t' || i || ']', ';' ORDER BY i) || ';' || string_agg('[t' || i || ']', '' ORDER BY i) || 'xstack=inputs=' || any_value(n) || ':layout='
+|| string_agg((i % least(5, n)) * 368 || '_' || (i // least(5, n)) * 648, '|' ORDER BY i) || ':fill=black[sheet]' END AS graph FROM t GROUP BY rec_id""")
+def contact_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of each customer's orders, some of which have no picture."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rec_id"), F.col("o_orderkey").alias("rank"), F.when(F.col("o_orderkey") % 7 != 3, F.format_string("%d.jpg", "o_orderkey")).alias("file"))
+    return sinks.contact_sheets(o)
 
 
 @query(f"""WITH {PLAYLISTS}, r AS (SELECT list_id, run, min(start) AS a, max(start + duration) AS b FROM pieces WHERE start < 300 GROUP BY list_id, run HAVING max(start + duration) - min(start) >= 5),

@@ -100,12 +100,48 @@ def test_shots_are_half_a_second_apart(spark):
 
 
 def test_cut_segments_stretch_to_the_range(spark):
-    kept = spark.createDataFrame([("r", 0, 100), ("r", 200, 250)], "rec_id string, first long, last long")
-    seg = spark.createDataFrame([("r", 0.5, 1.0, "one"), ("r", 1.0, 2.0, "one"), ("r", 2.0, 3.0, "pair")], "rec_id string, start double, end double, kind string")
+    kept = spark.createDataFrame([("r", 0, 0, 100), ("r", 0, 200, 250)], "rec_id string, clip int, first long, last long")
+    seg = spark.createDataFrame([("r", 0, 0.5, 1.0, "one"), ("r", 0, 1.0, 2.0, "one"), ("r", 0, 2.0, 3.0, "pair")], "rec_id string, clip int, start double, end double, kind string").withColumn("framing", F.lit(None).cast("double"))
     got = M.cut_segments(kept, seg).orderBy("first").collect()
     assert [(r.first, r.last, r.kind) for r in got] == [(0, 60, "one"), (60, 100, "pair"), (200, 250, "fit")]
 
 
+def plain_segments(kept, segments):
+    """Kept ranges against segments, one by one."""
+    pieces = []
+    for fa, fb in kept:
+        for start, end, kind, framing in segments:
+            a, b = max(fa, round(start * 30)), min(fb, round(end * 30))
+            if b > a:
+                if pieces and pieces[-1][1] == a and pieces[-1][2:] == (kind, framing):
+                    pieces[-1] = (pieces[-1][0], b, kind, framing)
+                else:
+                    pieces.append((a, b, kind, framing))
+    out = []
+    for fa, fb in kept:
+        inside = [p for p in pieces if fa <= p[0] < fb] or [(fa, fb, "fit", None)]
+        inside[0] = (fa, *inside[0][1:])
+        inside[-1] = (inside[-1][0], fb, *inside[-1][2:])
+        out += inside
+    return out
+
+
+def test_cut_segments_against_plain_code(spark):
+    """Unlike framings stay apart, clips of one recording do not mix, ranges that touch, and segments of no frame."""
+    rng, kept, segments, want = np.random.default_rng(3), [], [], []
+    for clip in range(40):
+        edges = sorted(rng.choice(400, 2 * int(rng.integers(1, 5)), replace=clip % 3 == 0).tolist())
+        ranges = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b > a]
+        times = np.cumsum(rng.choice([0.01, 0.4, 1.0, 2.2], 9)).round(3).tolist()
+        mine = [(a, b, str(rng.choice(["crop", "fit"])), float(rng.choice([0.2, 0.8])) if rng.random() < 0.8 else None) for a, b in zip([0.0, *times], times) if rng.random() < 0.85]
+        rec = f"r{clip % 4}"
+        kept += [(rec, clip, a, b) for a, b in ranges]
+        segments += [(rec, clip, *s) for s in mine]
+        want += [(rec, clip, *p) for p in plain_segments(ranges, mine)]
+    got = M.cut_segments(spark.createDataFrame(kept, "rec_id string, clip int, first long, last long"), spark.createDataFrame(segments, "rec_id string, clip int, start double, end double, kind string, framing double")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
 def test_sound_levels_of_a_wav(spark, tmp_path):
     with wave.open(str(tmp_path / "a.wav"), "wb") as f:
         f.setnchannels(1), f.setsampwidth(2), f.setframerate(16000)
