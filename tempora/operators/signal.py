@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tempora.operators.select import greedy_spaced
 from tempora.operators.temporal import islands
@@ -22,34 +28,56 @@ def loudness(levels: DataFrame, per: int = 50, p: float = 0.9) -> DataFrame:
     return levels.groupBy("rec_id", F.floor(F.col("idx") / per).alias("sec")).agg(F.percentile("db", F.lit(p)).alias("db"), F.count("*").alias("n")).where(F.col("n") == per).drop("n")
 
 
-def rolling_median(series: DataFrame, half: int, order: str = "sec", value: str = "db") -> DataFrame:
-    """series with around: the median of 2 * half + 1 rows, the first and last value repeated beyond the ends."""
-    ends = series.groupBy("rec_id").agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    steps = F.explode(F.sequence(F.lit(1), F.lit(half))).alias("k")
-    kind = series.schema[order].dataType
-    pads = ends.select("rec_id", "first", "last", "lo", "hi", steps)
-    low = pads.select("rec_id", (F.col("lo") - F.col("k")).cast(kind).alias(order), F.col("first").alias(value))
-    high = pads.select("rec_id", (F.col("hi") + F.col("k")).cast(kind).alias(order), F.col("last").alias(value))
-    real = series.withColumn("_real", F.lit(True))
-    padded = real.unionByName(low, allowMissingColumns=True).unionByName(high, allowMissingColumns=True)
-    w = Window.partitionBy("rec_id").orderBy(order).rowsBetween(-half, half)
-    return padded.withColumn("around", F.expr(f"percentile({value}, 0.5)").over(w)).where("_real").drop("_real")
-
-
-def _around(series: DataFrame, half: int) -> DataFrame:
-    """series with around: the median of as many rows on each side as half, or as half of the recording if that is less.
+def rolling_median(series: DataFrame, half: int | str, order: str = "sec", value: str = "db") -> DataFrame:
+    """(rec_id, order, value, around) of a series: the median of 2 * half + 1 values, the first and last value repeated beyond the ends.
 
-    Short recordings are arrays of fewer than 2 * half values; long ones go through a window.
+    half is a number or a column, the same for all rows of a recording; rows without a value are left out.  Recordings stream
+    through tasks in order, and a task holds one window: its values as they came, and the same in order of size, in which
+    one is put and one taken out a row.
     """
-    n = series.groupBy("rec_id").agg(F.count("*").alias("_n"))
-    long = series.join(n.where(F.col("_n") >= 2 * half).select("rec_id"), "rec_id", "left_semi")
-    short = series.join(n.where(F.col("_n") < 2 * half).select("rec_id"), "rec_id", "left_semi")
-    per = short.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("sec", "db"))).alias("s")).withColumn("h", F.floor(F.size("s") / 2).cast("int"))
-    ends = lambda at: F.array_repeat(F.element_at("s", at)["db"], F.col("h"))
-    per = per.withColumn("v", F.concat(ends(1), F.transform("s", lambda x: x["db"]), ends(-1)))
-    middle = lambda i: F.element_at(F.array_sort(F.slice("v", i + 1, 2 * F.col("h") + 1)), F.col("h") + 1)
-    rows = per.select("rec_id", F.explode(F.transform("s", lambda x, i: F.struct(x["sec"].alias("sec"), x["db"].alias("db"), middle(i).alias("around")))).alias("x"))
-    return rolling_median(long, half).unionByName(rows.select("rec_id", "x.sec", "x.db", "x.around"))
+    wide = series.select("rec_id", order, F.col(value).cast("double").alias(value), (F.col(half) if isinstance(half, str) else F.lit(half)).cast("int").alias("_half")).where(F.col(value).isNotNull())
+    out = StructType([*wide.drop("_half").schema.fields, StructField("around", DoubleType())])
+    names = [*wide.columns[:3], "around"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rec, h, waiting, window, ranked, done = None, 0, deque(), deque(), [], []
+
+        def push(x: float) -> None:
+            window.append(x)
+            insort(ranked, x)
+            if len(window) == 2 * h + 1:
+                done.append((*waiting.popleft(), ranked[h]))
+                del ranked[bisect_left(ranked, window.popleft())]
+
+        def end() -> None:
+            last = waiting[-1][2] if waiting else None
+            while waiting:
+                push(last)
+
+        def batch_of(like: pa.RecordBatch) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True))
+            kinds = [like.schema.field(i).type for i in range(3)] + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        batch = None
+        for batch in batches:
+            for r, at, x, half_ in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if r != rec or h != half_:
+                    end()
+                    rec, h = r, half_
+                    window.clear(), ranked.clear()
+                    for _ in range(h):
+                        window.append(x), ranked.append(x)
+                waiting.append((r, at, x))
+                push(x)
+            if done:
+                yield batch_of(batch)
+                done.clear()
+        end()
+        if done:
+            yield batch_of(batch)
+
+    return wide.repartition("rec_id").sortWithinPartitions("rec_id", order).mapInArrow(run, out)
 
 
 def loud_moments(series: DataFrame, limit: int = 12, least: int = 60, half: int = 150, spread: float = 6.0, local: float = 7.0, typical: float = 3.5, join: int = 3, apart: float = 20.0) -> DataFrame:
@@ -57,9 +85,9 @@ def loud_moments(series: DataFrame, limit: int = 12, least: int = 60, half: int
 
     Every second knows the last loud one before it, so a stretch is a run of rows: no join of stretches with the series.
     """
-    facts = series.groupBy("rec_id").agg(F.percentile("db", F.lit(0.85)).alias("typical"), F.percentile("db", F.lit(0.15)).alias("low"), F.count("*").alias("n"))
-    facts = facts.where((F.col("n") >= least) & (F.col("typical") - F.col("low") >= spread)).select("rec_id", "typical")
-    around = _around(series.select("rec_id", "sec", "db").join(facts.select("rec_id"), "rec_id", "left_semi"), half)
+    facts = series.groupBy("rec_id").agg(F.percentile("db", F.array(F.lit(0.85), F.lit(0.15))).alias("p"), F.count("*").alias("n"))
+    facts = facts.where((F.col("n") >= least) & (F.get("p", F.lit(0)) - F.get("p", F.lit(1)) >= spread)).select("rec_id", F.get("p", F.lit(0)).alias("typical"), F.least(F.lit(half), F.floor(F.col("n") / 2)).alias("half"))
+    around = rolling_median(series.select("rec_id", "sec", "db").join(facts.select("rec_id", "half"), "rec_id"), "half")
     w = Window.partitionBy("rec_id").orderBy("sec")
     x = around.join(facts, "rec_id").withColumn("_hit", F.when(F.col("db") >= F.greatest(F.col("around") + local, F.col("typical") + typical), F.col("sec")))
     x = x.withColumn("_was", F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -73,11 +101,13 @@ def loud_moments(series: DataFrame, limit: int = 12, least: int = 60, half: int
     return kept.select("rec_id", F.col("first").cast("double").alias("at"), (F.col("last") + 1).cast("double").alias("end"), F.round("lift", 1).alias("lift"))
 
 
-def chunk_edges(series: DataFrame, chunk: int = 900, tail: int = 20) -> DataFrame:
+def chunk_edges(series: DataFrame, chunk: int = 900, tail: int = 20, durations: DataFrame | None = None) -> DataFrame:
     """(rec_id, chunk, start, end): stretches of about ``chunk`` seconds of a series (rec_id, sec, db), each ended in the middle
-    of the quietest of its last ``tail`` seconds; the last takes what is left.  A fold over the seconds of one recording.
+    of the quietest of its last ``tail`` seconds; the last takes what is left, to the end that durations (rec_id, duration) tell,
+    or else of the series' whole seconds.  A fold over the seconds of one recording.
     """
-    per = series.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sec", "db"))), lambda x: x["db"]).alias("v")).withColumn("n", F.size("v"))
+    per = series.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sec", "db"))), lambda x: x["db"]).alias("v"))
+    per = per.withColumn("n", F.size("v").cast("double")) if durations is None else per.join(durations.select("rec_id", F.col("duration").cast("double").alias("n")), "rec_id")
 
     def step(edges: Column, _: Column) -> Column:
         at = F.element_at(edges, -1)
@@ -85,7 +115,7 @@ def chunk_edges(series: DataFrame, chunk: int = 900, tail: int = 20) -> DataFram
         low = F.greatest(edge - tail, F.lit(0))
         near = F.slice("v", low + 1, F.greatest(edge - low, F.lit(1)))
         quiet = low + F.array_position(near, F.array_min(near)) - 1
-        return F.when(at >= F.col("n"), edges).when(at + chunk >= F.col("n"), F.concat(edges, F.array(F.col("n").cast("double")))).otherwise(F.concat(edges, F.array(quiet + 0.5)))
+        return F.when(at >= F.col("n"), edges).when(at + chunk >= F.col("n"), F.concat(edges, F.array(F.col("n")))).otherwise(F.concat(edges, F.array(quiet + 0.5)))
 
     steps = F.sequence(F.lit(0), F.ceil(F.col("n") / (chunk - tail)).cast("int"))
     edged = per.select("rec_id", F.aggregate(steps, F.array(F.lit(0.0)), step).alias("e"))

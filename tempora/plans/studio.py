@@ -42,15 +42,17 @@ def snap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.snapped(clips, words, _silences(spark, sf_dir), ends).select("rec_id", "first", "last", r4("start").alias("start"), r4("end").alias("end"))
 
 
-@query(f"""WITH RECURSIVE {LEVELS}, v AS (SELECT rec_id, list(db ORDER BY idx) AS v, count(*) AS n FROM levels GROUP BY rec_id),
+@query(f"""WITH RECURSIVE {LEVELS}, v AS (SELECT rec_id, list(db ORDER BY idx) AS v, count(*) + CAST(0.4 AS DOUBLE) AS n FROM levels GROUP BY rec_id),
 walk AS (
-  SELECT rec_id, v, n, 0 AS chunk, CAST(0 AS DOUBLE) AS a, CASE WHEN 20 >= n THEN CAST(n AS DOUBLE) ELSE 14 + list_position(v[15:20], list_min(v[15:20])) - CAST(0.5 AS DOUBLE) END AS b FROM v
+  SELECT rec_id, v, n, 0 AS chunk, CAST(0 AS DOUBLE) AS a, CASE WHEN 20 >= n THEN n ELSE 14 + list_position(v[15:20], list_min(v[15:20])) - CAST(0.5 AS DOUBLE) END AS b FROM v
   UNION ALL
-  SELECT rec_id, v, n, chunk + 1, b, CASE WHEN b + 20 >= n THEN CAST(n AS DOUBLE) ELSE lo + list_position(v[lo + 1:lo + 6], list_min(v[lo + 1:lo + 6])) - CAST(0.5 AS DOUBLE) END FROM (SELECT *, CAST(floor(b + 20) AS BIGINT) - 6 AS lo FROM walk WHERE b < n)
+  SELECT rec_id, v, n, chunk + 1, b, CASE WHEN b + 20 >= n THEN n ELSE lo + list_position(v[lo + 1:lo + 6], list_min(v[lo + 1:lo + 6])) - CAST(0.5 AS DOUBLE) END FROM (SELECT *, CAST(floor(b + 20) AS BIGINT) - 6 AS lo FROM walk WHERE b < n)
 ) SELECT rec_id, CAST(chunk AS INTEGER) AS chunk, a AS start, b AS "end" FROM walk""")
 def chunk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each series in chunks of about twenty seconds that end where it is quiet."""
-    return L.chunk_edges(levels(spark, sf_dir).select("rec_id", F.col("idx").alias("sec"), "db"), 20, 6)
+    """Each series, which ends 0.4 s after its last whole second, in chunks of about twenty seconds that end where it is quiet."""
+    x = levels(spark, sf_dir)
+    ends = x.groupBy("rec_id").agg((F.count("*") + 0.4).alias("duration"))
+    return L.chunk_edges(x.select("rec_id", F.col("idx").alias("sec"), "db"), 20, 6, ends)
 
 
 PARTS = """parts AS (SELECT rec_id, k AS idx, k * 20.0 AS start, k * 20.0 + 19 AS "end", k * 15.0 AS origin FROM (SELECT DISTINCT rec_id FROM turn_words), range(3) r(k))"""
