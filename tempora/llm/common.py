@@ -203,11 +203,12 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).mapInArrow(_contract, "src long, dst long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(id, component_id) of every id on an edge (src, dst); component_id is the smallest id that edges reach.
 
     Alternates large-star and small-star steps, which need minima by node and joins only: no node's
-    neighbours are ever gathered.  Each round is written to the shared folder.  Null ends are ignored;
+    neighbours are ever gathered.  Each round is written to the shared folder; the number of rounds grows with the square of
+    the logarithm of the number of ids at most, and ``rounds`` only keeps a fault from running for ever.  Null ends are ignored;
     ids without an edge to another id have no row.
     """
     now = cut(contracted(edges.where("src is not null and dst is not null and src <> dst")), "cc")

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from tempora.llm.common import mix64, prepare, slices
 
 BUCKETS, DIMENSION, LONGEST = 1 << 18, 12, 4
-#: Labelled rows to learn from for each language; of a longer text than LONGEST_TEXT characters, that many from a place chosen by its hash.
-SAMPLE, LONGEST_TEXT = 1500, 20_000
-#: Languages to learn at most, those with the most rows.
-MOST_LANGUAGES = 400
+#: Labelled rows to learn from for each language, bytes of all of them together, and bytes of one: longer texts are not among them.
+SAMPLE, SAMPLE_BYTES, ROW_BYTES = 1500, 64 << 20, 200_000
+#: Languages of the sample at most, those with the most rows: more than there are.
+MOST_LANGUAGES = 8192
 UNKNOWN = "und"
 
 
@@ -37,12 +37,12 @@ def folded(text: str) -> np.ndarray:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[:1] = True
-    return points[keep].astype(np.uint64)
+    return points[keep]
 
 
 def grams(points: np.ndarray) -> np.ndarray:
     """Buckets of the n-grams of folded code points."""
-    out = []
+    out, points = [], points.astype(np.uint64)
     with np.errstate(over="ignore"):
         h = np.zeros(len(points), np.uint64)
         for n in range(1, LONGEST + 1):
@@ -55,16 +55,24 @@ def grams(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """Languages, the table of each bucket's contributions, the temperature and the score to accept from."""
+    """Languages, the table of each bucket, the softmax over it, the temperature and the score to accept from.
+
+    The table holds embeddings, or with fewer languages than they have numbers, their products with the softmax, which is
+    then no more needed: a mean of products is the product of the mean.
+    """
 
     languages: list[str]
     table: np.ndarray
+    softmax: np.ndarray | None
     temperature: float
     accept: float
 
+    def logits(self, points: np.ndarray) -> np.ndarray:
+        z = self.table[grams(points)].mean(0, dtype=np.float64)
+        return z if self.softmax is None else z @ self.softmax
+
     def probabilities(self, text: str) -> np.ndarray:
-        ids = grams(folded(text))
-        z = self.table[ids].mean(0, dtype=np.float64) / self.temperature
+        z = self.logits(folded(text)) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -111,8 +119,8 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 2.0, seed: i
     for i in learn:
         seen[grams(data[i][0])] = True
     e[~seen] = 0
-    table = (e @ w).astype(np.float32)
-    z = np.array([table[grams(data[i][0])].mean(0, dtype=np.float64) for i in held]).reshape(len(held), table.shape[1])
+    model = LanguageModel(languages, (e @ w).astype(np.float32), None, 1.0, 0.0) if len(languages) <= DIMENSION else LanguageModel(languages, e.astype(np.float32), w, 1.0, 0.0)
+    z = np.array([model.logits(data[i][0]) for i in held]).reshape(len(held), w.shape[1])
     y = np.array([data[i][1] for i in held], int)
 
     def at(t: float) -> np.ndarray:
@@ -128,29 +136,34 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 2.0, seed: i
     most = np.quantile(score[right], 0.001) if right.any() else 0.0
     chance = lambda n: errors * n + 2 * np.sqrt(errors * n) + 1
     accept = next((s for s in (floor, *np.sort(score[score > floor])) if (~right[score >= s]).sum() <= chance((score >= s).sum())), floor)
-    return LanguageModel(languages, table, temperature, float(max(floor, min(accept, most))))
+    model.temperature, model.accept = temperature, float(max(floor, min(accept, most)))
+    return model
 
 
 def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
+def train(docs: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES, sample_bytes: int = SAMPLE_BYTES, row_bytes: int = ROW_BYTES) -> LanguageModel:
     """Learn from docs (doc_id, text, lang), none of the held-out fold (crc32 of doc_id mod 4 is 2).
 
-    The bounds of the sample: the ``most_languages`` languages with the most rows, and about ``sample`` rows of each, chosen
-    by a hash of doc_id and text (copies under one id count once) and learned from in the order of that hash, so how files
-    and partitions lie changes nothing.  Of a text longer than LONGEST_TEXT characters a stretch of that length is learned.
+    The bounds of the sample, all of labelled rows: about ``sample`` rows of each language, and an equal share of about ``sample_bytes``
+    of text; the ``most_languages`` languages with the most rows.  Rows are chosen by a hash of doc_id and text (copies under
+    one id count once, with the first of their languages by name) and learned from whole, in the order of that hash, so how
+    files and partitions lie changes nothing.  Texts of more than ``row_bytes`` are not chosen, unless a language has no other.
     """
-    usable = docs.where((fold_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & (F.col("text") != ""))
-    top = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    usable = docs.where((fold_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & (F.col("text") != "")).withColumn("_b", F.octet_length("text"))
+    short = F.col("_b") <= row_bytes
+    sums = [F.count("*").alias("n"), F.sum("_b").alias("bytes"), F.sum(F.when(short, 1).otherwise(0)).alias("n_short"), F.sum(F.when(short, F.col("_b")).otherwise(0)).alias("bytes_short")]
+    top = usable.groupBy("lang").agg(*sums).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not top:
         return fit([])
-    share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], int(min(1.0, sample / r["n"]) * (1 << 40)))])
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    at = F.pmod(h, F.greatest(F.char_length("text") - LONGEST_TEXT + 1, F.lit(1))) + 1
-    chosen = usable.withColumn("_h", h).where(F.col("_h") < F.coalesce(share[F.col("lang")], F.lit(0))).select("_h", F.substr(F.col("text"), at.cast("int"), F.lit(LONGEST_TEXT)).alias("text"), "lang")
-    rows = chosen.dropDuplicates(["_h"]).collect()  # about sample rows of each of the languages
+    room = sample_bytes / len(top)
+    share = lambda r: min(1.0, sample / (r["n_short"] or r["n"]), room / (r["bytes_short"] or r["bytes"]))
+    known = docs.sparkSession.createDataFrame([(r["lang"], int(share(r) * (1 << 40)), row_bytes if r["n_short"] else 1 << 62) for r in top], "lang string, _share long, _most long")
+    hashed = usable.withColumn("_h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(F.broadcast(known), "lang")  # a row for each language of the sample
+    chosen = hashed.where((F.col("_h") < F.col("_share")) & (F.col("_b") <= F.col("_most")))
+    rows = chosen.groupBy("_h").agg(F.min(F.struct("lang", "text")).alias("r")).select("_h", "r.*").collect()  # about sample rows of each language, sample_bytes in all
     return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["_h"], r["text"]))])
 
 
@@ -188,6 +201,11 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, accepted) of every row of docs (doc_id, text, lang, ...), with a model trained there."""
+    """(doc_id, held_out, lang_pred, score, accepted) of every row of docs (doc_id, text, lang, ...), with a model trained there.
+
+    held_out is false for a null doc_id.  Null lang: not learned from.  Null and empty texts and texts without letters are
+    `und`, score 0; whole texts of any length are read.  Repeated rows come back as often; ties go to the first language by
+    name; other columns are left alone; an empty table gives an empty result, and so do all texts `und` where nothing is labelled.
+    """
     found = predict(docs, train(docs))
     return found.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

@@ -26,8 +26,8 @@ LABELLERS = ("symbols", "shouting", "separators", "repeated_words", "sentences",
 #: Labellers, by number, that look for one kind of flaw.
 KINDS = ((0, 6), (1,), (2, 7), (3, 5, 8, 9), (4,))
 FEATURES = 1 << 14
-#: Documents to train on for each class; of a longer text than LONGEST_TEXT characters, that many from a place chosen by its hash.
-SAMPLE, LONGEST_TEXT = 2500, 100_000
+#: Documents to train on for each class, bytes of all of them together, and bytes of one: longer texts are not among them.
+SAMPLE, SAMPLE_BYTES, ROW_BYTES = 2500, 64 << 20, 200_000
 #: Documents that score below are rejected.
 KEEP = 0.5
 SYMBOLS = "#$%&*@^~<>{}=\\|+_"
@@ -227,13 +227,13 @@ def _score(model, keep: float, columns: tuple[str, ...]):
     return run
 
 
-def classify_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+def classify_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, keep: float = KEEP, sample_bytes: int = SAMPLE_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
     """``columns`` with posterior, quality_score (0 to 1) and kept, of every row of docs (doc_id, text, ...).
 
     Null, empty and white texts score 0 and are rejected; whole texts of any length are looked at.  Votes of all documents
-    are counted.  The scorer learns from about ``sample`` documents of each class at most, chosen by a hash of doc_id
-    and text (so copies under one id, and null ids, count once for each text), in the order of that hash: how files and
-    partitions lie changes nothing.  A posterior of 0.5 counts as good, a score of ``keep`` is kept.  Repeated rows are
+    are counted.  The scorer learns from about ``sample`` documents of each class and about ``sample_bytes`` of text, chosen by a hash of doc_id
+    and text (so copies under one id, and null ids, count once for each text), whole and in the order of that hash: how files
+    and partitions lie changes nothing.  Texts of more than ``row_bytes`` are not chosen, unless there are no others.  A posterior of 0.5 counts as good, a score of ``keep`` is kept.  Repeated rows are
     kept; other columns are ignored; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
@@ -241,20 +241,23 @@ def classify_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), sa
     counts = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3**10 rows
     _, _, posterior = estimate(counts)
     size = {c: sum(n for p, n in counts.items() if (posterior[p] >= 0.5) == bool(c)) for c in (0, 1)}
-    share = [min(1.0, sample / max(size[c], 1)) for c in (0, 1)]
     known = spark.sparkContext.broadcast(posterior)
+    sized = docs.where("text <> ''").select("text", F.octet_length("text").alias("b"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
+    short = F.col("b") <= row_bytes
+    found = sized.agg(F.count("*").alias("n"), F.sum("b").alias("bytes"), F.sum(F.when(short, 1)).alias("n_short"), F.sum(F.when(short, F.col("b"))).alias("bytes_short")).first()
+    mean = (found.bytes_short or found.bytes or 0) / max(found.n_short or found.n, 1)  # bytes of a document that may be chosen
+    share = [min(1.0, min(sample, sample_bytes / 2 / max(mean, 1)) / max(size[c], 1)) for c in (0, 1)]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             h = batch.column("h").to_numpy()
             post = np.array([known.value.get(p, 0.5) for p in Looks(batch.column("text")).patterns().tolist()])
-            take = np.flatnonzero((h < np.where(post >= 0.5, share[1], share[0]) * (1 << 40)))
+            take = pa.array(np.flatnonzero(h < np.where(post >= 0.5, share[1], share[0]) * (1 << 40)))
             if len(take):
-                text = [t[(at := int(x) % max(1, len(t) - LONGEST_TEXT + 1)) : at + LONGEST_TEXT] for t, x in zip(batch.column("text").take(pa.array(take)).to_pylist(), h[take], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(text, pa.string()), pa.array(post[take])], names=["h", "text", "y"])
+                yield pa.RecordBatch.from_arrays([batch.column("h").take(take), batch.column("text").take(take), pa.array(post).take(take)], names=["h", "text", "y"])
 
-    hashed = docs.where("text <> ''").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h")).where(F.col("h") < int(max(share) * (1 << 40)))
-    rows = hashed.mapInArrow(choose, "h long, text string, y double").dropDuplicates(["h"]).collect()  # about 2 * sample rows: the share of each class is set by its size
+    hashed = (sized.where(short) if found.n_short else sized).where(F.col("h") < int(max(share) * (1 << 40))).select("text", "h")
+    rows = hashed.mapInArrow(choose, "h long, text string, y double").dropDuplicates(["h"]).collect()  # about 2 * sample rows, sample_bytes in all
     weights = fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.text))])
     used = docs.select(*columns, *(["text"] if "text" not in columns else []))
     schema = ", ".join(f"`{c}` {t}" for c, t in used.select(*columns).dtypes) + ", posterior double, quality_score double, kept boolean"

@@ -545,3 +545,94 @@ def test_quality_of_odd_rows(spark, odd):
     rows = classify_quality(odd).collect()
     assert len(rows) == len(TEXTS) and not any(r.kept for r in rows if r.doc_id in (1, 2, 3))
     assert classify_quality(odd.limit(0)).count() == 0
+
+
+def test_language_scores_against_a_plain_softmax(spark, documents, data):
+    """With few languages and with more than the embeddings have numbers, the scores are those of the mean embedding, word by word."""
+    from tempora.llm import language_id as L
+
+    rows = [(t, lang) for _, t, lang in documents if t and lang][:120]
+    few = L.fit(rows)
+    many = L.fit([(f"{t} {'zxcvbnmqwertyu'[i % 14] * 9}", f"{lang}{i % 14}") for i, (t, lang) in enumerate(rows)], epochs=1)
+    assert few.softmax is None and few.table.shape[1] == 4 and many.softmax is not None and many.table.shape[1] == L.DIMENSION and len(many.languages) > L.DIMENSION
+    for model in (few, many):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(spark.read.parquet(f"{data}/documents.parquet").limit(40), model).collect()}
+        for i, text, _ in documents:
+            if i in got and text:
+                z = np.zeros(len(model.languages))
+                ids = L.grams(L.folded(text))
+                for g in ids.tolist():
+                    z += model.table[g].astype(float) if model.softmax is None else model.table[g].astype(float) @ model.softmax
+                e = np.exp(z / len(ids) / model.temperature - (z / len(ids) / model.temperature).max())
+                assert got[i][0] == model.languages[int(e.argmax())] and abs(got[i][1] - e.max() / e.sum()) < 1e-6
+
+
+def test_samples_hold_whole_texts_within_their_bytes(spark, monkeypatch):
+    """Long texts are learned from only where a language has no others; what is learned is whole; bytes are bounded."""
+    from tempora.llm import language_id as L
+
+    rows = [(i, f"der die das {i} und nicht " * 3, "de") for i in range(60)] + [(100 + i, f"the and of {i} with not " * 40, "en") for i in range(60)] + [(200, "only long words here " * 100, "xx"), (300, "w " * 3000, "de")]
+    rows += [(400, "le la les et", "fr"), (400, "le la les et", "es")]  # one document under two languages
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda r, *a: seen.append(r))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    L.train(df, row_bytes=1000)
+    learned = {t for t, _ in seen[0]}
+    assert learned <= {t for _, t, _ in rows} and "w " * 3000 not in learned and ("only long words here " * 100 in learned) == (zlib.crc32(b"200") % 4 != 2)
+    assert sum(t == "le la les et" for t, _ in seen[0]) <= 1 and ("le la les et", "fr") not in seen[0]
+    L.train(df, sample_bytes=4000)
+    assert 0 < sum(len(t) for t, lang in seen[1] if lang == "en") < 3000
+    L.train(df.repartition(7), row_bytes=1000)
+    assert seen[2] == seen[0]
+
+
+def test_label_model_against_plain_expectation_maximisation(spark, documents):
+    """Counting documents by their votes changes nothing: every document on its own gives the same posteriors."""
+    import pyarrow as pa
+
+    from tempora.llm.weak_quality import Looks, votes_of
+
+    texts = [t for _, t, _ in documents if t][:150] + ["#$% ^& ## " * 20, "STOP NOW " * 30, "a a a a a a " * 30]
+    patterns = Looks(pa.array(texts)).patterns().tolist()
+    _, _, got = estimate(Counter(patterns))
+    classes = 1 + len(KINDS)
+    belief = [[[0.02, 0.13, 0.85]] + [[0.8, 0.13, 0.07] if i in own else [0.1, 0.13, 0.77] for own in KINDS] for i in range(len(LABELLERS))]
+    table, share = [[list(c) for c in b] for b in belief], [0.8] + [0.2 / len(KINDS)] * len(KINDS)
+    votes = [votes_of(p) for p in patterns]
+    for _ in range(60):
+        post = []
+        for v in votes:
+            like = [share[c] * np.prod([table[i][c][v[i] + 1] for i in range(len(v))]) for c in range(classes)]
+            post.append([x / sum(like) for x in like])
+        mass = [sum(q[c] for q in post) for c in range(classes)]
+        for i in range(len(LABELLERS)):
+            for c in range(classes):
+                seen = [sum(q[c] for q, v in zip(post, votes) if v[i] == vote) + belief[i][c][vote + 1] * (1 + 0.5 * mass[c] + 0.002 * len(votes)) for vote in (-1, 0, 1)]
+                table[i][c] = [x / sum(seen) for x in seen]
+        share = [(m + 1) / (len(votes) + classes) for m in mass]
+    for p, q in zip(patterns, post):
+        assert abs(got[p] - q[0]) < 1e-4
+
+
+def test_scores_against_a_plain_scorer(spark, data):
+    """quality_score is the logistic of the weights of a text's features, one by one."""
+    import pyarrow as pa
+
+    from tempora.llm import weak_quality as W
+
+    rng = np.random.default_rng(0)
+    weights = rng.normal(size=W.WIDTH)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(30)
+    run = W._score(spark.sparkContext.broadcast((weights, {})), 0.5, ("doc_id",))
+    got = {r.doc_id: (r.quality_score, r.kept, r.posterior) for r in docs.mapInArrow(run, "doc_id long, posterior double, quality_score double, kept boolean").collect()}
+    for r in docs.collect():
+        ids, x = W.Looks(pa.array([r.text])).features(0)
+        s = 1 / (1 + np.exp(-sum(weights[i] * v for i, v in zip(ids.tolist(), x.tolist()))))
+        assert abs(got[r.doc_id][0] - s) < 1e-9 and got[r.doc_id][1] == (s >= 0.5) and got[r.doc_id][2] == 0.5
+
+
+def test_quality_where_all_texts_are_long(spark):
+    rows = [(i, f"A fair sentence about topic {i} stands here, as it should. " * 30) for i in range(60)] + [(100 + i, "#### $$$$ @@@@ " * 60) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.kept for r in classify_quality(df).collect()}
+    assert {r.doc_id: r.kept for r in classify_quality(df, row_bytes=10).collect()} == whole and not whole[100]
