@@ -62,15 +62,16 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     group; of such rows only repeated ones go.  An empty table gives an empty result.
     """
     inside = _inside(docs)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), *[F.col(f"`{c}`").alias(n) for c, n in inside.items()])
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check"), *[F.col(f"`{c}`").alias(n) for c, n in inside.items()])
     found = jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"), k=5, percent=80)
     groups = cut(found.select(F.col("doc_id").alias("key"), "component_id"), "pipeline")
     release(found)
     others = groups.where("key <> component_id").distinct()
     members = others.unionByName(others.select(F.col("component_id").alias("key"), "component_id").distinct())
-    members = members.join(keyed.select("key", "doc_id").distinct(), "key")
+    members = members.join(keyed.select("key", "check", "doc_id").distinct(), "key")
+    clash = members.groupBy("key").agg((F.min("check") != F.max("check")).alias("clash"))  # two documents under one key: both stay
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
-    gone = members.join(best, "component_id").where(F.col("key") != F.col("best.key")).select("key", F.lit(True).alias("gone"), F.lit(False).alias("repeated"))
+    gone = members.join(best, "component_id").where(F.col("key") != F.col("best.key")).join(clash.where("not clash"), "key").select("key", F.lit(True).alias("gone"), F.lit(False).alias("repeated"))
     repeated = groups.groupBy("key").count().where("count > 1").select("key", F.lit(False).alias("gone"), F.lit(True).alias("repeated"))
     marks = cut(gone.unionByName(repeated).groupBy("key").agg(F.max("gone").alias("gone"), F.max("repeated").alias("repeated")), "pipeline")
     release(groups)
@@ -85,7 +86,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rest, looked = keyed.where("not marked"), keyed.where("marked").join(marks, "key", "left").where("not coalesce(gone, false)")
     names = list(inside.values())
     single = looked.where("not coalesce(repeated, false)")
-    first = looked.where("repeated").groupBy("key").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*[n for n in names if n != "text"]))).alias("row")).select("row.*")
+    first = looked.where("repeated").groupBy("key", "check").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*[n for n in names if n != "text"]))).alias("row")).select("row.*")
     kept = rest.select(names).unionByName(single.select(names)).unionByName(first.select(names))
     return kept.select(*[F.col(n).alias(c) for c, n in inside.items()])
 
@@ -106,7 +107,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without doc_id are packed each for itself; an empty table gives an empty result.
     """
     # workers that have run four stages before have less room to remember in
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=(80_000, 200_000))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=(100_000, 200_000))
 
 
 STAGES = [
