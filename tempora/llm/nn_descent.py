@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components, contracted, cut, forest, parallelism, prepare, release
+from tempora.llm.common import components, contracted, cut, forest, parallelism, prepare, reads, release
 
 K, LEAF, TILE, AUDIT, LINKED = 10, 512, 2048, 4096, 64
 #: Rows that one pass of the comparison of all classes deals out.
@@ -259,31 +259,66 @@ def enough_trees(bits: int, threshold: float, goal: float) -> int:
     return int(np.ceil(np.log(1 - goal) / np.log1p(-np.clip(together, 1e-9, 1 - 1e-9))))
 
 
+def _tiled(members: DataFrame) -> DataFrame:
+    """members (cid, comp, ...) with tiles: how many tiles a component of more than one is cut into, null for all others.
+
+    A large component meets its number of tiles in as many places as there are partitions, so no task has all of it.
+    """
+    spread = parallelism(members.sparkSession)
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("tiles")).where("tiles > 1")
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return members.withColumn("_salt", F.pmod(F.xxhash64("cid"), F.lit(spread)).cast("int")).join(sizes, ["comp", "_salt"], "left").drop("_salt")
+
+
 def _dealt(members: DataFrame, packs: int, low: int = 0, high: int | None = None) -> DataFrame:
-    """(cid, comp, copies, task, side) of the pairs of tiles of each component of members (cid, comp, copies), first tiles from low to high."""
-    size = members.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.count("*").alias("size"))
+    """(cid, comp, copies, task, side) of the pairs of tiles of components of members (cid, comp, copies, tiles), first tiles from low to high.
+
+    Components of one tile come with the first pass, several to a task.
+    """
+    size = members.where("tiles is not null").select("comp", "tiles").distinct()
     firsts = F.sequence(F.lit(low).cast("long"), F.col("tiles") - 1 if high is None else F.least(F.col("tiles") - 1, F.lit(high - 1).cast("long")))
-    pairs = size.select("comp", "size", "tiles", F.explode(firsts).alias("a")).select("comp", "tiles", "a", F.explode(F.sequence(F.col("a"), F.col("tiles") - 1)).alias("b"))
-    task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("string")).otherwise(F.concat_ws("-", "comp", "a", "b"))
-    sides = pairs.select("comp", "a", "b", task.alias("task")).select("comp", "task", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("salt"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("salt"), F.lit(0).alias("side")), F.struct(F.col("b").alias("salt"), F.lit(1).alias("side"))))).alias("x")).select("comp", "task", "x.salt", "x.side")
-    return members.join(size, "comp").withColumn("salt", F.pmod(F.xxhash64("cid"), "tiles")).join(sides, ["comp", "salt"]).select("cid", "comp", "copies", "task", "side")
+    pairs = size.where(F.col("tiles") > low).select("comp", "tiles", F.explode(firsts).alias("a")).select("comp", "tiles", "a", F.explode(F.sequence(F.col("a"), F.col("tiles") - 1)).alias("b"))
+    one = lambda tile, side: F.struct(F.col(tile).alias("salt"), F.lit(side).alias("side"))
+    sides = pairs.select("comp", F.concat_ws("-", "comp", "a", "b").alias("task"), F.explode(F.when(F.col("a") == F.col("b"), F.array(one("a", 0))).otherwise(F.array(one("a", 0), one("b", 1)))).alias("x")).select("comp", "task", "x.salt", "x.side")
+    large = members.where("tiles is not null").withColumn("salt", F.pmod(F.xxhash64("cid"), "tiles")).join(sides, ["comp", "salt"]).select("cid", "comp", "copies", "task", "side")
+    if low:
+        return large
+    return large.unionByName(members.where("tiles is null").select("cid", "comp", "copies", F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("string").alias("task"), F.lit(0).alias("side")))
+
+
+def passes(members: DataFrame) -> Iterator[tuple[int, int]]:
+    """Ranges of first tiles such that a pass deals about PASS_ROWS rows at most, and one tile of each component at least."""
+    large = members.where("tiles is not null").agg(F.max("tiles").alias("tiles"), F.count("*").alias("n")).first()
+    step = max(1, PASS_ROWS // (2 * large.n)) if large.n else 1
+    for low in range(0, large.tiles or 1, step):
+        yield low, low + step
 
 
 def all_links(classes: DataFrame, n: int, threshold: float, packs: int) -> DataFrame:
     """Edges (src, dst) that join what the links of all classes join: every pair of tiles, in passes of bounded disk."""
-    whole, edges = classes.select("cid", "copies", F.lit(0).cast("long").alias("comp")), None
-    tiles = -(-n // TILE)
-    step = max(1, PASS_ROWS // (n + TILE * tiles))
-    for low in range(0, tiles, step):
-        dealt = _dealt(whole, packs, low, low + step)
-        found = dealt.join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_tile_chains(threshold), "src long, dst long")
+    whole, edges = cut(_tiled(classes.select("cid", "copies", F.lit(0).cast("long").alias("comp"))), "vectors"), None
+    for low, high in passes(whole):
+        found = _dealt(whole, packs, low, high).join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_tile_chains(threshold), "src long, dst long")
         both = cut(contracted(found if edges is None else found.unionByName(edges)), "vectors")
         if edges is not None:
             release(edges)
         edges = both
+    release(whole)
     return edges
 
 
+def counted_links(classes: DataFrame, members: DataFrame, threshold: float, packs: int) -> DataFrame:
+    """(cid, links): links of each class inside its component of members (cid, comp, copies, tiles), counted in passes of bounded disk."""
+    total = None
+    for low, high in passes(members):
+        found = _dealt(members, packs, low, high).join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_count_links(threshold), "cid long, links long")
+        both = cut((found if total is None else found.unionByName(total)).groupBy("cid").agg(F.sum("links").alias("links")), "vectors")
+        if total is not None:
+            release(total)
+        total = both
+    return total
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = K, trees: int | None = None, rounds: int = 2, goal: float = 0.97, attempts: int = 3, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...).
 
@@ -314,11 +349,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
     packs = max(parts, n // 2000)
 
     def settled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members (cid, rep, copies, comp) of the components of edges, and (cid, links), counted inside them."""
+        """Members (cid, rep, copies, comp, tiles) of the components of edges, and (cid, links), counted inside them."""
         comps = components(edges)
-        members = cut(classes.select("cid", "rep", "copies").join(comps, classes["cid"] == comps["id"]).select("cid", "rep", "copies", F.col("component_id").alias("comp")), "vectors")
-        counted = _dealt(members, packs).join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_count_links(threshold), "cid long, links long")
-        return members, cut(counted.groupBy("cid").agg(F.sum("links").alias("links")), "vectors")
+        members = cut(_tiled(classes.select("cid", "rep", "copies").join(comps, classes["cid"] == comps["id"]).select("cid", "rep", "copies", F.col("component_id").alias("comp"))), "vectors")
+        release(comps)
+        return members, counted_links(classes, members, threshold, packs)
 
     def found(links: DataFrame) -> float:
         return recall(real, {r.cid: r.links for r in links.where(F.col("cid").isin(list(real))).collect()} if real else {}, k)  # at most AUDIT rows
@@ -354,11 +389,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
         members, links = settled(graph.where(F.col("chain") | (F.col("sim") >= threshold)).select(F.col("u").alias("src"), F.col("v").alias("dst")))
         if found(links) >= goal:
             break
+        release(members)
+        release(links)
     else:
-        members, links = settled(all_links(classes, n, threshold, packs))
+        edges = all_links(classes, n, threshold, packs)
+        members, links = settled(edges)
+        release(edges)
+    release(graph)
     low = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
     known = classes.select("cid", "fp_a", "fp_b", "copies", "rep").join(links, "cid", "left").join(members.select("cid", "comp"), "cid", "left").join(low, "comp", "left")
     known = known.select("fp_a", "fp_b", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     good = rows.where(sound).select("vec_id", "fp_a", "fp_b").join(known, ["fp_a", "fp_b"]).select("vec_id", "n_links", "component_id")
     bad = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return reads(good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id")), classes, members, links)

@@ -188,6 +188,27 @@ def test_near_vectors_of_lost_pairs(spark):
     assert [got[i] for i in range(len(m))] == want
 
 
+@pytest.mark.parametrize("how", [{}, {"trees": 1, "rounds": 0, "attempts": 1}])
+def test_near_vectors_of_components_over_many_tiles(spark, monkeypatch, how):
+    """Large components in several passes, beside small ones, counted exactly both after the graph and after comparing all."""
+    from tempora.llm import nn_descent as V
+
+    dealt, real = [], V._dealt
+    monkeypatch.setattr(V, "TILE", 40)
+    monkeypatch.setattr(V, "PASS_ROWS", 2500)
+    monkeypatch.setattr(V, "_dealt", lambda m, p, low=0, high=None: dealt.append(((out := real(m, p, low, high)).count(), low)) or out)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((40, 24))
+    m = np.concatenate([base[0] + 0.15 * rng.standard_normal((420, 24)), base[1] + 0.1 * rng.standard_normal((130, 24)), base[rng.integers(2, 40, 150)] + 0.1 * rng.standard_normal((150, 24)), np.tile(base[2], (30, 1))]).astype(np.float32)
+    x = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    comp = linked(zip(*[i.tolist() for i in np.nonzero(near)], strict=True), range(len(m)))
+    got = {r.vec_id: r for r in near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(4), **how).collect()}
+    assert [got[i].n_links for i in range(len(m))] == (near.sum(1) - 1).tolist()
+    assert [got[i].component_id for i in range(len(m))] == [comp[i] for i in range(len(m))]
+    assert max(low for _, low in dealt) > 0 and all(n <= 2500 for n, low in dealt if low)
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 def expected_chat(turns):
     h, loss = hashlib.sha256(), "".join(t or "" for r, t in turns if r == "assistant")
