@@ -242,10 +242,14 @@ def fresh_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.fresh(items, F.lit(946684800 + 20 * 86400)).select("feed", "key", "rank")
 
 
-@query("""WITH l AS (SELECT o_orderkey AS ord, 'v' || o_orderkey AS id, o_orderkey % 7 = 0 AS live, CAST(o_totalprice AS DOUBLE) / 37 AS d, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'L' || o_orderkey END AS t FROM orders WHERE o_orderkey % 3 <> 0),
-x AS (SELECT ord, id, 'twitch-' || (ord // 2) AS key, CASE WHEN ord % 4 = 1 THEN d ELSE d + 60 END AS d, CASE WHEN ord % 6 = 1 THEN 'R' || ord WHEN t <> '' THEN t ELSE 'Stream' END AS title, CASE WHEN ord % 8 = 5 THEN NULL ELSE 1000000 - (ord % 9) * 86400 END AS started FROM l
-  WHERE NOT live AND ord % 11 <> 0 AND NOT (ord % 5 = 0) AND NOT ((ord // 2) % 13 = 0))
-SELECT key, arg_min(id, ord) AS id, arg_min(title, ord) AS title, round(arg_min(d, ord), 4) AS duration FROM x WHERE NOT (d > 0 AND d < 1800) AND NOT coalesce(1000000 - started - d > 345600, false) GROUP BY key""")
+@query(r"""WITH o AS (SELECT o_orderkey AS k, o_orderkey // 2 AS half, 'v' || o_orderkey AS name, CAST(o_totalprice AS DOUBLE) / 37 AS length FROM orders WHERE o_orderkey % 3 <> 0),
+listed AS (SELECT k AS ord, name AS id, k % 7 = 0 AS live, length, CASE WHEN k % 4 = 0 THEN '' ELSE 'L' || k END AS title FROM o),
+told AS (SELECT name AS id, 'twitch-' || half AS key, k % 11 = 0 AS live, CASE WHEN k % 4 = 1 THEN 0.0 ELSE length + 60 END AS length, CASE WHEN k % 8 <> 5 THEN 1000000 - (k % 9) * 86400.0 END AS started, CASE WHEN k % 6 = 1 THEN 'R' || k ELSE '' END AS title FROM o),
+bodies AS (SELECT CASE WHEN k % 5 = 0 THEN '<!-- stream-item:twitch-' || name || ' -->' WHEN half % 13 = 0 THEN 'x stream-item:twitch-' || half || ' y' END AS body FROM o UNION ALL SELECT 'stream-item:twitch-' || half FROM o WHERE k % 5 = 0 AND half % 13 = 0),
+filed AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(body, ''), 'stream-item:([\w-]+)', 1)) AS key FROM bodies),
+new AS (SELECT l.ord, l.id, t.key, t.started, coalesce(nullif(t.length, 0), l.length) AS d, coalesce(nullif(t.title, ''), nullif(l.title, ''), 'Stream') AS title FROM listed l JOIN told t ON t.id = l.id
+  WHERE NOT l.live AND NOT t.live AND 'twitch-' || left(regexp_replace(l.id, '[^A-Za-z0-9]', '', 'g'), 40) NOT IN (SELECT key FROM filed) AND t.key NOT IN (SELECT key FROM filed))
+SELECT key, arg_min(id, ord) AS id, arg_min(title, ord) AS title, round(arg_min(d, ord), 4) AS duration FROM new WHERE NOT (d > 0 AND d < 1800) AND NOT coalesce(started > 0 AND 1000000 - started - d > 345600, false) GROUP BY key""")
 def unfiled_broadcasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broadcasts that no request carries, neither under the listing's id nor under the key it turns out to have."""
     k = F.col("o_orderkey")
@@ -259,7 +263,9 @@ def unfiled_broadcasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.unfiled_broadcasts(listed, read, filed, F.lit(1000000.0), 30).select("key", "id", "title", r4("duration").alias("duration"))
 
 
-@query("""SELECT o_custkey AS channel, arg_min(o_orderkey, o_orderkey) AS id, CASE WHEN o_custkey % 3 = 0 THEN 'acme' ELSE 'named' END AS client FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey""")
+@query("""WITH b AS (SELECT o_custkey AS channel, o_orderkey AS id, o_orderstatus = 'P' AS live, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'named' END AS client FROM orders), clients AS (SELECT * FROM (VALUES ('acme', true), ('_template', false)) t(client, is_real)),
+only_ AS (SELECT CASE WHEN count(*) = 1 THEN any_value(client) END AS client FROM clients WHERE is_real)
+SELECT channel, id, coalesce(nullif(client, ''), (SELECT client FROM only_)) AS client FROM b WHERE NOT live QUALIFY row_number() OVER (PARTITION BY channel ORDER BY id) = 1""")
 def latest_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first finished order of each customer as a channel's broadcast, with the client it is for."""
     o = table(spark, sf_dir, "orders")
@@ -268,7 +274,14 @@ def latest_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.with_client(Q.latest_finished(b), clients).select("channel", "id", "client")
 
 
-@query("""SELECT p_partkey AS list_id, CASE p_partkey % 7 WHEN 1 THEN 'no playlist' WHEN 2 THEN 'encrypted' WHEN 3 THEN 'byte ranges' WHEN 4 THEN 'empty' END AS media, CASE p_partkey % 7 WHEN 1 THEN 'no playlist' WHEN 4 THEN 'empty' WHEN 5 THEN 'sound apart' END AS master FROM part WHERE p_partkey % 7 BETWEEN 1 AND 5""")
+@query("""WITH texts AS (SELECT p_partkey AS list_id, CASE p_partkey % 7 WHEN 0 THEN ['#EXTM3U', '#EXT-X-KEY:METHOD=NONE', '#EXTINF:4,', 'a.ts'] WHEN 1 THEN ['<html>', '#EXTINF:4,', 'a.ts'] WHEN 2 THEN ['#EXTM3U', '#EXT-X-KEY:METHOD=AES-128,URI="k"', '#EXTINF:4,', 'a.ts']
+  WHEN 3 THEN ['#EXTM3U', '#EXT-X-BYTERANGE:10@0', '#EXTINF:4,', 'a.ts'] WHEN 4 THEN ['#EXTM3U', '#EXT-X-ENDLIST'] WHEN 5 THEN ['#EXTM3U', '#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="a",URI="b.m3u8"', '#EXT-X-STREAM-INF:BANDWIDTH=1', 'a.m3u8'] ELSE ['', '#EXTM3U', '#EXTINF:4,', 'a.ts'] END AS lines FROM part),
+lines AS (SELECT list_id, trim(unnest(lines)) AS line, generate_subscripts(lines, 1) AS k FROM texts),
+facts AS (SELECT list_id, arg_min(line, k) AS head, bool_or(starts_with(line, '#EXTINF')) AS timed, bool_or(starts_with(line, '#EXT-X-STREAM-INF:')) AS levels, bool_or(NOT starts_with(line, '#')) AS links, bool_or(starts_with(line, '#EXT-X-KEY:') AND regexp_extract(line, 'METHOD=([^,]*)', 1) NOT IN ('', 'NONE')) AS locked,
+  bool_or(starts_with(line, '#EXT-X-BYTERANGE')) AS ranges, bool_or(starts_with(line, '#EXT-X-MEDIA:') AND regexp_extract(line, 'URI="([^"]*)"', 1) <> '') AS apart FROM lines WHERE line <> '' GROUP BY list_id),
+found AS (SELECT list_id, CASE WHEN list_id % 7 = 5 THEN NULL WHEN NOT starts_with(head, '#EXTM3U') THEN 'no playlist' WHEN locked THEN 'encrypted' WHEN ranges THEN 'byte ranges' WHEN NOT (timed AND links) THEN 'empty' END AS media,
+  CASE WHEN NOT starts_with(head, '#EXTM3U') THEN 'no playlist' WHEN timed THEN NULL WHEN apart THEN 'sound apart' WHEN NOT (levels AND links) THEN 'empty' END AS master FROM facts)
+SELECT * FROM found WHERE media IS NOT NULL OR master IS NOT NULL""")
 def playlist_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why playlists cannot be used, as media and as master playlists."""
     k = F.col("p_partkey")
@@ -299,8 +312,18 @@ def probe_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.probe_facts(table(spark, sf_dir, "part").select(k.alias("rec_id"), text.alias("probe"))).withColumn("fps", r4("fps"))
 
 
-@query("""WITH l AS (SELECT o_orderkey AS id, o_totalprice AS d, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 10.0 + (o_orderkey % 3) * 0.04 END AS v, 10.0 + (o_orderkey % 4) * 0.029 AS a FROM orders)
-SELECT id, CASE WHEN id % 6 = 0 THEN 'no sound' WHEN d < 30 THEN 'too short' WHEN d > 28800 THEN 'too long' WHEN id % 4 = 1 THEN 'too large' END AS media, CASE WHEN v IS NULL THEN 'missing' WHEN abs(v - a) > 0.05 OR abs(v - 10.0) > 0.05 THEN 'lengths' END AS render FROM l""")
+@query("""SELECT p_partkey AS id, CASE WHEN NOT (p_partkey % 7 = 0) AND (p_container_ SIMILAR TO '.*(mp4|mov|matroska|webm|wav|flac|ogg).*') THEN NULL WHEN p_partkey % 3 = 0 THEN 'mkv' ELSE 'mka' END AS rewrapped, CASE WHEN NOT (p_partkey % 7 = 0) AND (p_container_ SIMILAR TO '.*(mp4|mov|matroska|webm|wav|flac|ogg).*') THEN '' WHEN p_partkey % 3 = 0 THEN '0:a:0 0:V:0' ELSE '0:a:0' END AS maps
+FROM (SELECT p_partkey, ['mov,mp4,m4a', 'mp3', 'mpegts', 'matroska,webm', 'aac', 'wav', '', 'flac', 'ogg'][p_partkey % 9 + 1] AS p_container_ FROM part)""")
+def rewraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files are put into a container that can be cut anywhere, and what of them."""
+    k = F.col("p_partkey")
+    kinds = F.array(*map(F.lit, ["mov,mp4,m4a", "mp3", "mpegts", "matroska,webm", "aac", "wav", "", "flac", "ogg"]))
+    x = table(spark, sf_dir, "part").select(k.alias("id"), F.element_at(kinds, (k % 9 + 1).cast("int")).alias("format"), (k % 3 == 0).alias("has_video"), (k % 7 == 0).alias("forced"))
+    return R.rewraps(x).select("id", "rewrapped", F.array_join("maps", " ").alias("maps"))
+
+
+@query("""WITH files AS (SELECT o_orderkey AS id, o_orderkey % 6 <> 0 AS sound, o_totalprice AS d, CASE WHEN o_orderkey % 4 = 1 THEN 9 * CAST(1073741824 AS BIGINT) ELSE 1 END AS bytes, CASE WHEN o_orderkey % 5 <> 0 THEN 10.0 + (o_orderkey % 3) * 0.04 END AS v, 10.0 + (o_orderkey % 4) * 0.029 AS a, 10.0 AS expected FROM orders)
+SELECT id, CASE WHEN NOT sound THEN 'no sound' WHEN d < 30 THEN 'too short' WHEN d > 8 * 3600 THEN 'too long' WHEN bytes > 8 * CAST(1073741824 AS BIGINT) THEN 'too large' END AS media, CASE WHEN v IS NULL OR a IS NULL THEN 'missing' WHEN abs(v - a) > 0.05 OR abs(v - expected) > 0.05 THEN 'lengths' END AS render FROM files""")
 def media_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are no episodes, and clips whose picture and sound are unlike."""
     k = F.col("o_orderkey")
@@ -308,10 +331,15 @@ def media_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.render_faults(R.usable_media(x).withColumnRenamed("fault", "media")).select("id", "media", F.col("fault").alias("render"))
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, lower(c_mktsegment) AS s FROM customer)
-SELECT id, CASE id % 5 WHEN 0 THEN s WHEN 1 THEN s WHEN 2 THEN s WHEN 3 THEN '' END AS channel, CASE WHEN id % 5 = 2 THEN 'https://www.twitch.tv/' || s ELSE 'https://kick.com/' || s END AS url, 'twitch-' || left(regexp_replace(s || '-' || id, '[^A-Za-z0-9]', '', 'g'), 40) AS key,
-CASE id % 4 WHEN 0 THEN 'https://www.dropbox.com/s/' || id || '?dl=1' WHEN 1 THEN 'https://www.dropbox.com/s/' || id || '?a=b&dl=1' WHEN 2 THEN 'https://www.dropbox.com/s/' || id || '?dl=1' ELSE 'https://example.org/?dl=0' END AS link,
-CASE id % 3 WHEN 0 THEN 'abcdefghij' || id WHEN 1 THEN 'xyz' || id ELSE '' END AS drive, id % 5 = 2 OR id % 2 = 0 AS long, CASE id % 4 WHEN 0 THEN CAST(1700000000 + id AS DOUBLE) WHEN 1 THEN 1704067200.0 WHEN 2 THEN 1704067200.0 + 3600 END AS started FROM c""")
+@query(r"""WITH typed AS (SELECT c_custkey AS id, lower(c_mktsegment) AS s, CASE c_custkey % 5 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN '@' || upper(c_mktsegment) WHEN 2 THEN 'https://www.twitch.tv/' || lower(c_mktsegment) WHEN 3 THEN '  ' ELSE 'not a channel!' END AS name,
+  CASE c_custkey % 4 WHEN 0 THEN 'https://www.dropbox.com/s/' || c_custkey || '?dl=0' WHEN 1 THEN 'https://www.dropbox.com/s/' || c_custkey || '?a=b' WHEN 2 THEN 'https://www.dropbox.com/s/' || c_custkey ELSE 'https://example.org/?dl=0' END AS share,
+  CASE c_custkey % 3 WHEN 0 THEN 'https://drive.google.com/file/d/abcdefghij' || c_custkey || '/view' WHEN 1 THEN 'https://drive.google.com/open?id=xyz' || c_custkey || '&b=1' ELSE 'https://example.org/d/abcdefghijk' END AS file,
+  CASE c_custkey % 4 WHEN 0 THEN CAST(1700000000 + c_custkey AS VARCHAR) WHEN 1 THEN '2024-01-01' WHEN 2 THEN '2024-01-01 01:00:00+00:00' ELSE 'soon' END AS moment FROM customer),
+p AS (SELECT *, trim(name) AS v, regexp_extract(name, '^https?://([^/]*)', 1) AS host, regexp_extract(share, '^https?://([^/]*)', 1) AS share_host, regexp_replace(share, '([?&])dl=[0-9]', '\1dl=1') AS asked, ltrim(regexp_replace(trim(name), '^https://www\.twitch\.tv/', ''), '@') AS bare FROM typed)
+SELECT id, CASE WHEN v = '' THEN '' WHEN regexp_full_match(bare, '[A-Za-z0-9_]+') THEN lower(bare) END AS channel, CASE WHEN host = '' THEN 'https://kick.com/' ELSE 'https://www.twitch.tv/' END || s AS url, 'twitch-' || left(regexp_replace(s || '-' || id, '[^A-Za-z0-9]', '', 'g'), 40) AS key,
+CASE WHEN share_host NOT LIKE '%dropbox.com' THEN share WHEN regexp_matches(asked, '[?&]dl=1') THEN asked WHEN contains(asked, '?') THEN asked || '&dl=1' ELSE asked || '?dl=1' END AS link,
+CASE WHEN file NOT LIKE 'https://drive.google.com/%' THEN '' WHEN regexp_matches(file, '/d/[A-Za-z0-9_-]{10,}') THEN regexp_extract(file, '/d/([A-Za-z0-9_-]{10,})', 1) ELSE regexp_extract(file, '[?&]id=([^&#]*)', 1) END AS drive,
+host LIKE '%twitch.tv' OR id % 2 = 0 AS long, CASE WHEN TRY_CAST(moment AS DOUBLE) > 0 THEN TRY_CAST(moment AS DOUBLE) ELSE epoch(TRY_CAST(moment AS TIMESTAMPTZ)) END AS started FROM p""")
 def link_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels, keys, download links, file ids and times from what people type."""
     k, s = F.col("c_custkey"), F.lower("c_mktsegment")
@@ -326,7 +354,8 @@ def link_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderkey % 4 = 1 AND o_orderstatus <> 'F')""")
+@query("""WITH raised AS (SELECT o_orderkey AS id, o_custkey AS client, 'notice:' || o_orderkey || '.' AS text FROM orders), open_ AS (SELECT o_custkey AS client, 'so notice:' || o_orderkey || '. it is' AS body FROM orders WHERE o_orderkey % 4 = 1 AND o_orderstatus <> 'F')
+SELECT r.id FROM raised r WHERE NOT EXISTS (SELECT 1 FROM open_ o WHERE o.client = r.client AND contains(o.body, r.text))""")
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems that no open request of their client mentions yet."""
     k = F.col("o_orderkey")
@@ -336,8 +365,9 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.unnoticed(raised, issues).select(F.col("notice_id").alias("id"))
 
 
-@query("""WITH r AS (SELECT c_custkey AS id FROM customer) SELECT id AS rec_id, CASE WHEN id % 4 = 0 THEN 'model' ELSE 'heuristic' END AS picker, CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN 'The model was not reachable (timed out), so the built-in fallback picked instead.' WHEN id % 4 = 2 THEN 'The model returned no usable clips, so the built-in fallback picked instead.' ELSE 'No credential is set, so the built-in fallback picked these.' END AS note,
-CASE WHEN id % 4 = 0 THEN 2 ELSE 1 END AS first FROM r""")
+@query("""WITH chosen AS (SELECT c_custkey AS id, 2 AS first FROM customer WHERE c_custkey % 4 = 0), failed AS (SELECT c_custkey AS id, 'timed out' AS error FROM customer WHERE c_custkey % 4 = 1), asked AS (SELECT c_custkey AS id, c_custkey % 4 <> 3 AS asked FROM customer),
+known AS (SELECT a.id, a.asked, f.error, c.first FROM asked a LEFT JOIN failed f USING (id) LEFT JOIN chosen c USING (id))
+SELECT id AS rec_id, CASE WHEN first IS NULL THEN 'heuristic' ELSE 'model' END AS picker, CASE WHEN first IS NOT NULL THEN '' WHEN error IS NOT NULL THEN 'The model was not reachable (' || left(error, 200) || '), so the built-in fallback picked instead.' WHEN asked THEN 'The model returned no usable clips, so the built-in fallback picked instead.' ELSE 'No credential is set, so the built-in fallback picked these.' END AS note, coalesce(first, 1) AS first FROM known""")
 def picks_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's picks where it gave any, else those of the fallback, and why."""
     k = F.col("c_custkey")

@@ -116,6 +116,24 @@ def word_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.word_times(lines).select("rec_id", "idx", "pos", "text", r4("start").alias("start"), r4("end").alias("end"))
 
 
+# Each customer's orders are clips; every third run is on a stream, some of which were only begun.
+@query(f"""WITH clips AS (SELECT o_custkey AS rec_id, list({{'rank': row_number, 'title': 'Order ' || o_orderkey}} ORDER BY row_number) AS clips FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_number FROM orders) GROUP BY o_custkey),
+r AS (SELECT rec_id, clips, CAST(3000 + rec_id % 50 * 100 AS DOUBLE) AS length, CAST(3600 AS DOUBLE) AS skimmed, CAST(rec_id % 9 AS INTEGER) AS stretches, CASE WHEN rec_id % 2 = 0 THEN 'A note.' ELSE '' END AS note FROM clips),
+n AS (SELECT *, CASE WHEN rec_id % 3 = 0 AND length > skimmed + 60 THEN concat_ws(' ', nullif(note, ''), 'Only the first ' || {desk.clock("skimmed")} || ' of this ' || {desk.clock("length")} || ' stream was looked at.') ELSE note END AS told FROM r)
+SELECT rec_id, CAST(CASE WHEN rec_id % 3 = 0 THEN to_json({{'client': 'acme', 'show': 'Show', 'title': '', 'source': '', 'picker': 'heuristic', 'model': '', 'clips': clips, 'recording': {{'platform': 'twitch', 'channel': 'c' || rec_id, 'length': length, 'skimmed': skimmed, 'stretches': stretches}}, 'note': told}})
+  ELSE to_json({{'client': 'acme', 'show': 'Show', 'title': '', 'source': '', 'picker': 'heuristic', 'model': '', 'clips': clips, 'note': told}}) END AS VARCHAR) AS manifest FROM n""")
+def stream_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of each customer's clips, with what is known of the stream they are from."""
+    from pyspark.sql import Window
+
+    rec = F.col("rec_id")
+    clips = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rec_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"))
+    length = (3000 + rec % 50 * 100).cast("double")
+    stream = F.struct(F.lit("twitch").alias("platform"), F.concat(F.lit("c"), rec.cast("string")).alias("channel"), length.alias("length"), F.lit(3600.0).alias("skimmed"), (rec % 9).cast("int").alias("stretches"))
+    runs = clips.select("rec_id").distinct().select("rec_id", F.lit("acme").alias("client"), F.lit("Show").alias("show"), *[F.lit(v).alias(c) for c, v in (("title", ""), ("source", ""), ("picker", "heuristic"), ("model", ""))], F.array(F.when(rec % 2 == 0, "A note.").otherwise("")).alias("notes"), F.when(rec % 3 == 0, stream).alias("recording"))
+    return sinks.manifests(clips, runs, ("rank", "title"))
+
+
 # Each order is a request whose labels its key tells; its lines are what happens to it, in order.
 STUCK, SILENT, FAILED = (x.replace("'", "''") for x in (Q.STUCK, Q.SILENT, Q.FAILED))
 HEAD, MIDDLE, TAIL = FAILED.replace("\n", "'||chr(10)||'").split("%s")

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 TRANSCRIPT = "version int, language string, duration double, model string, pauses map<string,double>, parts array<struct<index:int,start:double,end:double,origin:double,file:string,offset:double,why:string>>, words array<array<string>>"
 
 
+# Containers that can be cut at any moment.
+INDEXED = ["mp4", "mov", "matroska", "webm", "wav", "flac", "ogg"]
+
 FILES = {
     "scan": "meta struct<title:string,duration:double>, lines array<array<string>>, loud array<struct<at:double,end:double,lift:double>>, hints array<struct<at:double,views:bigint,title:string>>",
     "windows": "picker string, model string, note string, windows array<struct<start:double,end:double,why:string,score:double>>",
@@ -87,6 +90,19 @@ def render_faults(lengths: DataFrame, slack: float = 0.05) -> DataFrame:
     return lengths.withColumn("fault", F.when(F.col("video").isNull() | F.col("audio").isNull(), "missing").when(off, "lengths"))
 
 
+def rewraps(media: DataFrame) -> DataFrame:
+    """media (format, has_video, forced, ...) with rewrapped, the ending of the container that a file is put into without encoding it
+    anew, null where it stays, and maps, its streams.  Formats without an index cannot be cut at a moment; pieces of a
+    stream are always put into one.
+    """
+    indexed = F.lit(False)
+    for name in INDEXED:
+        indexed = indexed | F.coalesce("format", F.lit("")).contains(name)
+    stays = ~F.coalesce("forced", F.lit(False)) & indexed
+    streams = F.when(F.col("has_video"), F.array(F.lit("0:a:0"), F.lit("0:V:0"))).otherwise(F.array(F.lit("0:a:0")))
+    return media.withColumn("rewrapped", F.when(~stays, F.when(F.col("has_video"), "mkv").otherwise("mka"))).withColumn("maps", F.when(stays, F.array().cast("array<string>")).otherwise(streams))
+
+
 def page_titles(pages: DataFrame) -> DataFrame:
     """(page_id, title): the text of each page's title element, white space folded; null without one."""
     found = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)

@@ -36,12 +36,24 @@ def _heading(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_heading", F.array_join(F.filter(F.array("show", "title"), lambda x: x != ""), " — "))
 
 
+def _looked_at(runs: DataFrame) -> Column:
+    """A line on a long recording, empty where runs have none."""
+    if "recording" not in runs.columns:
+        return F.lit("")
+    r = F.col("recording")
+    return F.coalesce(F.concat(F.lit("\nFrom a "), T.clock(r["length"]), F.lit(" stream. "), r["stretches"].cast("string"), F.lit(" stretches of it were looked at closely.\n")), F.lit(""))
+
+
 def review_sheets(clips: DataFrame, runs: DataFrame, whole: str = "episode") -> DataFrame:
     """(rec_id, sheet): the markdown list of clips (rec_id, rank, title, file, duration, source_start, source_end, trimmed, post, why,
-    text, watch) of runs (rec_id, show, title, picker, model, note).  Fixed values: people read these texts.
+    text, watch) of runs (rec_id, show, title, picker, model, note).  Runs on long recordings may have a struct recording (length,
+    stretches): they are streams, and how much of them was looked at is told.  Fixed values: people read these texts.
     """
+    long = F.col("recording").isNotNull() if "recording" in runs.columns else F.lit(False)
+    told = _looked_at(runs)
+    clips = clips.join(runs.select("rec_id", F.when(long, "stream").otherwise(whole).alias("_whole")), "rec_id")
     linked = F.when(F.coalesce("watch", F.lit("")) != "", F.concat(F.lit(" ([watch it there]("), "watch", F.lit("))"))).otherwise("")
-    where = F.concat(F.lit("from "), T.clock("source_start"), F.lit(" to "), T.clock("source_end"), F.lit(f" of the {whole}"), linked)
+    where = F.concat(F.lit("from "), T.clock("source_start"), F.lit(" to "), T.clock("source_end"), F.lit(" of the "), "_whole", linked)
     less = F.when(F.col("trimmed") >= 0.5, F.format_string("%.1fs of pauses removed", "trimmed"))
     facts = F.concat_ws(" · ", F.concat(F.lit("`"), "file", F.lit("`")), T.clock("duration"), where, less)
     why = F.when(F.coalesce("why", F.lit("")) != "", F.concat(F.lit("\n\n**Why this one:** "), "why")).otherwise("")
@@ -50,12 +62,12 @@ def review_sheets(clips: DataFrame, runs: DataFrame, whole: str = "episode") ->
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n> "), "note", F.lit("\n"))).otherwise("")
     count = F.concat(F.col("_n").cast("string"), F.when(F.col("_n") == 1, " clip").otherwise(" clips"), F.lit(", best first. "), T.picker_line("picker", "model"))
     x = _heading(runs).join(per, "rec_id")
-    return x.select("rec_id", F.concat(F.lit("# "), "_heading", F.lit("\n\n"), count, F.lit("\n"), note, "_body", F.lit("\n")).alias("sheet"))
+    return x.select("rec_id", F.concat(F.lit("# "), "_heading", F.lit("\n\n"), count, F.lit("\n"), told, note, "_body", F.lit("\n")).alias("sheet"))
 
 
 def comment_tables(clips: DataFrame, runs: DataFrame) -> DataFrame:
     """(rec_id, comment): what is said under a request when its clips are ready; runs have release_url and download_url too.
-    Fixed values: people read these texts.
+    A recording is told of as in review_sheets.  Fixed values: people read these texts.
     """
     at = F.when(F.coalesce("watch", F.lit("")) != "", F.concat(F.lit("["), T.clock("source_start"), F.lit("]("), "watch", F.lit(")"))).otherwise(T.clock("source_start"))
     c = clips.join(runs.select("rec_id", "download_url"), "rec_id")
@@ -64,7 +76,7 @@ def comment_tables(clips: DataFrame, runs: DataFrame) -> DataFrame:
     more = F.concat(F.format_string("**%d. %s**\n\n", "rank", "title"), "post", F.lit("\n"), why)
     per = c.groupBy("rec_id").agg(F.count("*").alias("_n"), in_order("rank", row, "\n").alias("_rows"), in_order("rank", more, "\n").alias("_more"))
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n> **Note:** "), "note", F.lit("\n"))).otherwise("")
-    head = F.concat(F.lit("### "), F.col("_n").cast("string"), F.when(F.col("_n") == 1, " clip ready\n\n").otherwise(" clips ready\n\n"), T.picker_line("picker", "model"), F.lit(" [All files and the contact sheet]("), "release_url", F.lit(")\n"), note)
+    head = F.concat(F.lit("### "), F.col("_n").cast("string"), F.when(F.col("_n") == 1, " clip ready\n\n").otherwise(" clips ready\n\n"), T.picker_line("picker", "model"), F.lit(" [All files and the contact sheet]("), "release_url", F.lit(")\n"), _looked_at(runs), note)
     table = F.concat(F.lit("\n| # | Headline | Length | Starts at | File |\n|---|---|---|---|---|\n"), "_rows", F.lit("\n\n<details><summary>Post text and reasons</summary>\n\n"), "_more", F.lit("\n</details>\n"))
     return runs.join(per, "rec_id").select("rec_id", F.concat(head, table).alias("comment"))
 
