@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import cut, parallelism, prepare, slices
+from tempora.llm.common import SLICE_BYTES, cut, parallelism, prepare, reads, release, slices
 from tempora.llm.token_counts import counter
 
 BLOCK = 256
@@ -69,9 +69,15 @@ def _counted(path: str):
 
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.int64(), pa.int64()]
+    out: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["conv_id", "window_id", "formatted", "loss_spans", "n_context", "n_targets", "n_tokens"])
+
     for batch in batches:
-        out: list[tuple] = []
-        for conv, window, turns in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "window_id", "turns")), strict=True):
+        size = 0
+        for conv, window, turns in ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()) for i in range(batch.num_rows)):
             parts, at, spans, context = [], 0, [], 0
             for t in turns:
                 text, a, b = format_turn(t["role"], t["text"])
@@ -82,8 +88,14 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(text)
                 at += len(text)
             out.append((conv, window, "".join(parts), spans, context, len(turns) - context, sum(t["tokens"] for t in turns)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["conv_id", "window_id", "formatted", "loss_spans", "n_context", "n_targets", "n_tokens"])
+            size += at
+            if size >= SLICE_BYTES:
+                yield made()
+                out.clear()
+                size = 0
+        if out:
+            yield made()
+            out.clear()
 
 
 def chat_windows(turns: DataFrame, path: str, budget: int = 1024, history: int = 256) -> DataFrame:
@@ -106,6 +118,7 @@ def chat_windows(turns: DataFrame, path: str, budget: int = 1024, history: int =
     blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("before"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("turns_before"))
     placed = keyed.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "role", "text", "tokens", (F.col("before") + F.col("upto") - F.col("tokens")).alias("start"), (F.col("turns_before") + F.col("nth") - 1).alias("idx"))
     placed = cut(placed.withColumn("window_id", F.floor(F.col("start") / span)), "chat")
+    release(counted)
     lead = (F.col("idx") == 0) & (F.col("role") == LEAD)
     later = F.when(~lead & (F.col("start") >= (F.col("window_id") + 1) * span - history), F.array(F.struct((F.col("window_id") + 1).alias("window_id"), F.lit(1).alias("kind"))))
     dealt = placed.withColumn("at", F.explode(F.concat(F.array(F.struct("window_id", F.lit(2).alias("kind"))), F.coalesce(later, F.array().cast("array<struct<window_id:bigint,kind:int>>"))))).select("conv_id", "at.window_id", "at.kind", "idx", "role", "text", "tokens")
@@ -114,7 +127,8 @@ def chat_windows(turns: DataFrame, path: str, budget: int = 1024, history: int =
     led = others.join(leads, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "window_id", F.lit(0).alias("kind"), "idx", "role", "text", "tokens")
     grouped = dealt.unionByName(led).groupBy("conv_id", "window_id").agg(F.array_sort(F.collect_list(F.struct("kind", "idx", "role", "text", "tokens"))).alias("turns"))
     grouped = grouped.where(F.exists("turns", lambda t: t["kind"] == 2))
-    return grouped.mapInArrow(_formatted, "conv_id long, window_id long, formatted string, loss_spans array<struct<start:bigint,end:bigint>>, n_context long, n_targets long, n_tokens long")
+    grouped = grouped.select("conv_id", "window_id", "turns")
+    return reads(grouped.mapInArrow(_formatted, "conv_id long, window_id long, formatted string, loss_spans array<struct<start:bigint,end:bigint>>, n_context long, n_targets long, n_tokens long"), placed)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

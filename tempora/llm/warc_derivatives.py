@@ -11,13 +11,14 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import prepare
+from tempora.llm.common import SLICE_BYTES, prepare, slices
 from tempora.llm.html_text import MARKUP, RAW, attributes, blocks
 
 FIELDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_payload_digest string, header string, content string"
@@ -94,7 +95,7 @@ def derive(source: dict) -> list[tuple]:
 
 
 def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "payload"):
         rows = [r for source in batch.to_pylist() for r in derive(source)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(KINDS)], names=[n for n, _ in KINDS])
 
@@ -103,7 +104,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows for each response (page_id, record_id, target_uri, date, http_status, http_headers, payload, ...).
 
     A null or empty payload gives an empty conversion; a null record_id is made from URI and date; null headers are left
-    out.  Line breaks inside header values are folded.  Repeated responses give repeated records with equal ids; extra
+    out.  Line breaks inside header values are folded.  Payloads of any length are converted whole, a slice of bounded bytes, or one, at a time.  Repeated responses give repeated records with equal ids; extra
     columns are ignored; an empty table gives an empty result.  One narrow pass.
     """
     prepare(responses.sparkSession)
@@ -122,19 +123,50 @@ def serialized(records: DataFrame) -> DataFrame:
     return records.select("page_id", "record_type", F.encode(F.concat("header", "content", F.lit("\r\n\r\n")), "UTF-8").alias("warc"))
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The records of a file that is compressed record by record, or the file as it is."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    rest = memoryview(data)
+    while len(rest):
+        unzip = zlib.decompressobj(31)
+        yield unzip.decompress(rest)
+        rest = rest[len(rest) - len(unzip.unused_data) :] if unzip.eof else rest[:0]
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    held: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=["path", "headers", "content"])
+
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            rows, at = [], 0
-            while (end := data.find(b"\r\n\r\n", at)) >= 0:
-                head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-                size = int(head["Content-Length"])
-                rows.append((path, head, data[end + 4 : end + 4 + size]))
-                at = end + 8 + size
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([list(r[1].items()) for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r[2] for r in rows], pa.binary())], names=["path", "headers", "content"])
+            size = 0
+            for part in members(data):
+                at = 0
+                while (end := part.find(b"\r\n\r\n", at)) >= 0:
+                    head = dict(x.partition(":")[::2] for x in part[at:end].decode().split("\r\n")[1:])
+                    head = {k: v.strip() for k, v in head.items()}
+                    length = int(head["Content-Length"])
+                    held.append((path, list(head.items()), part[end + 4 : end + 4 + length]))
+                    at = end + 8 + length
+                    size += length
+                    if size >= SLICE_BYTES:
+                        yield out()
+                        held.clear()
+                        size = 0
+            if held:
+                yield out()
+                held.clear()
 
 
 def read_records(files: DataFrame) -> DataFrame:
-    """(path, headers, content) of the records in uncompressed WARC files, as binaryFile gives them (path, content, ...)."""
+    """(path, headers, content) of the records in WARC files, plain or compressed record by record, as binaryFile gives them (path, content, ...).
+
+    A file is one row, so files have to fit a task; their records are handed on a slice at a time.
+    """
     prepare(files.sparkSession)
     return files.select("path", "content").mapInArrow(_split, "path string, headers map<string,string>, content binary")

@@ -93,6 +93,18 @@ def test_warc_records_are_read_back(spark, data, tmp_path):
     assert all(p["metadata"].refers_to == p["conversion"].refers_to and p["conversion"].record_id in p["metadata"].content for p in pairs.values())
 
 
+def test_warc_records_of_compressed_files(spark, data, tmp_path):
+    """Files compressed record by record, as crawls are stored, read like plain ones."""
+    import gzip
+
+    rows = serialized(derivatives(responses_of(spark.read.parquet(f"{data}/pages.parquet").limit(20)))).orderBy("page_id", "record_type").collect()
+    (tmp_path / "a.warc").write_bytes(b"".join(r.warc for r in rows))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(bytes(r.warc)) for r in rows))
+    found = read_records(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    plain, packed = ([(tuple(sorted(r.headers.items())), bytes(r.content)) for r in found if r.path.endswith(end)] for end in (".warc", ".gz"))
+    assert plain == packed and len(plain) == 40
+
+
 def test_warc_fields_against_plain_code(spark, data, duck):
     """Every page's two records, their fields taken apart and made again with hashlib only."""
     html = dict(duck.execute("SELECT page_id, coalesce(html, '') FROM pages").fetchall())
