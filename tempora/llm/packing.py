@@ -332,8 +332,9 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2,
     """(pid, sequence_id, offset) for pieces (pid, length), lengths from 1 to capacity; pids are distinct.
 
     At every size: blocks of about ``block`` pieces, and levels until one block is left or a level saves less than the share
-    ``saving`` of the bins that it was given.
+    ``saving`` of the bins that it was given.  0 goes on while any bin is saved.
     """
+    prepare(pieces.sparkSession)
     done = pieces.where(F.col("length") >= capacity).select("pid", (-F.col("pid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = pieces.where(F.col("length") < capacity).select("pid", "length")
     n, level, given = left.count(), 0, None
@@ -358,7 +359,8 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2,
         if last:
             break
         given = placed.where(~full & (F.col("offset") == 0)).count()
-        left = cut(placed.where(~full).select("pid").join(left, "pid"), "packing")
+        before, left = left, cut(placed.where(~full).select("pid").join(left, "pid"), "packing")
+        release(before)
         n = left.count()
     return done
 

@@ -312,14 +312,16 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
 def flag_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs (doc_id, text, ...) with leaked: whether they hold a benchmark item.  One narrow pass if the items can be broadcast.
 
-    Rows are judged by their text alone, so rows without doc_id and unlike texts under one doc_id count too.
+    Rows are judged by their text alone, so rows without doc_id and unlike texts under one doc_id count too; a column ``leaked`` that
+    docs have is replaced.  Beyond the broadcast each text is tiled once, however many rows repeat it.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("leaked")
     items = _broadcast(benchmark, least, broadcast_bytes)
     if items is not None:
         schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", leaked boolean"
         return docs.mapInArrow(_flagged(items, cover, docs.columns), schema)
     named = docs.withColumn("_key", F.xxhash64("text"))
-    texts = named.select(F.col("_key").alias("doc_id"), "text")
+    texts = named.select(F.col("_key").alias("doc_id"), "text").distinct()
     leaked = leaked_items(texts, benchmark, least, cover, broadcast_bytes).select(F.col("doc_id").alias("_key"), F.lit(True).alias("_leaked")).distinct()
     return named.join(leaked, "_key", "left").select(*docs.columns, F.coalesce("_leaked", F.lit(False)).alias("leaked"))

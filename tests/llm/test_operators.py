@@ -669,3 +669,17 @@ def test_quality_where_all_texts_are_long(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     whole = {r.doc_id: r.kept for r in classify_quality(df).collect()}
     assert {r.doc_id: r.kept for r in classify_quality(df, row_bytes=10).collect()} == whole and not whole[100]
+
+
+def test_flags_of_repeated_texts_and_a_column_of_that_name(spark):
+    """With and without the broadcast: copies are flagged alike, and a window that very many documents share loses nothing."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    other = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    common = " ".join(item.split()[:8])
+    rows = [(i, f"{common} and something else number {i} entirely of its own making", True) for i in range(400)] + [(1000 + i, f"so {item} it goes", False) for i in range(40)] + [(None, f"so {item} it goes", None), (2000, other, True), (2001, None, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, leaked boolean").repartition(4)
+    benchmark = spark.createDataFrame([(1, item), (2, other), (3, item)], "item_id long, text string")
+    want = sorted((-1 if i is None else i, i is None or i >= 1000 and i != 2001) for i, _, _ in rows)
+    for most in (1 << 20, 0):
+        got = flag_leaks(docs, benchmark, broadcast_bytes=most)
+        assert got.columns == ["doc_id", "text", "leaked"] and sorted((-1 if r.doc_id is None else r.doc_id, r.leaked) for r in got.collect()) == want
