@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,41 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BLOOM_BITS = 1 << 27
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package; where the session leaves Arrow batches at Spark's default, hold them to SLICE_ROWS rows.
+_TIDIED = [0.0]
+
+
+def tidy(every: float = 1.0) -> None:
+    """Give memory that this worker no longer uses back to the machine, once in ``every`` seconds at most.
+
+    Workers live on between stages; what the largest slice once took would otherwise stay with them while other stages run.
+    """
+    if time.monotonic() - _TIDIED[0] < every:
+        return
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+    _TIDIED[0] = time.monotonic()
+
+
+def tidied(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f for applyInArrow, after which tidy() runs, when what f held is free."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        tidy()
+        return out
+
+    return run
+
+
+def prepare(spark: SparkSession, rows: int = SLICE_ROWS) -> SparkSession:
+    """Let Python workers import this package; where the session leaves Arrow batches at Spark's default, hold them to so many rows.
 
     Batches are whole texts here: ten thousand rows of them, in the JVM and in a worker, are what fills an executor.
     """
     if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, str(SLICE_ROWS))
+        spark.conf.set(ARROW_ROWS, str(rows))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
@@ -36,7 +66,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in slices of at most ``most`` bytes of the column (or one row) and SLICE_ROWS rows; nothing is copied."""
+    """The rows of batches in slices of at most ``most`` bytes of the column (or one row) and SLICE_ROWS rows; nothing is copied.
+
+    Memory that is free then goes back after the last.
+    """
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         upto, at = np.cumsum(size), 0
@@ -45,6 +78,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = min(max(at + 1, int(np.searchsorted(upto, before + most, "right"))), at + SLICE_ROWS)
             yield batch.slice(at, end - at)
             at = end
+    batch = None
+    tidy(0)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

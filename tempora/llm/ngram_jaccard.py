@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import bloom, components, contracted, cut, in_bloom, mix64, numbered_words, parallelism, prepare, reads, release, slices
+from tempora.llm.common import bloom, components, contracted, cut, in_bloom, mix64, numbered_words, parallelism, prepare, reads, release, slices, tidied
 
 SKETCH_BITS = 20
 BLOCK = 4096
@@ -429,7 +429,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     members = cut(classes.join(candidates, classes["fp_a"] == candidates["id"]).select(F.col("component_id").alias("comp"), "fp_a", "fp_b", F.col("rep").alias("doc_id"), "n"), "jaccard")
     release(candidates)
     arrays = docs.where("doc_id is not null").withColumn("key", _key()).mapInArrow(_sets(k, spark.sparkContext.broadcast(bloom(members.select(_key().alias("key")), "key"))), "fp_a long, fp_b long, doc_id long, shingles array<long>")
-    found = arrays.join(_tiles(members, percent), ["fp_a", "fp_b", "doc_id"]).select("task", "comp", "side", "fp_a", "doc_id", "shingles").groupBy("task").applyInArrow(_compare(percent), "src long, dst long")
+    found = arrays.join(_tiles(members, percent), ["fp_a", "fp_b", "doc_id"]).select("task", "comp", "side", "fp_a", "doc_id", "shingles").groupBy("task").applyInArrow(tidied(_compare(percent)), "src long, dst long")
     copies = sets.where("n > 0 and doc_id is not null").join(classes.where("copies > 1").select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"]).where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
     final = components(found.unionByName(copies))
     release(members)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components, contracted, cut, forest, parallelism, prepare, reads, release
+from tempora.llm.common import components, contracted, cut, forest, parallelism, prepare, reads, release, tidied
 
 K, LEAF, TILE, AUDIT, LINKED = 10, 512, 2048, 4096, 64
 #: Rows that one pass of the comparison of all classes deals out.
@@ -298,7 +298,7 @@ def all_links(classes: DataFrame, n: int, threshold: float, packs: int) -> DataF
     """Edges (src, dst) that join what the links of all classes join: every pair of tiles, in passes of bounded disk."""
     whole, edges = cut(_tiled(classes.select("cid", "copies", F.lit(0).cast("long").alias("comp"))), "vectors"), None
     for low, high in passes(whole):
-        found = _dealt(whole, packs, low, high).join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_tile_chains(threshold), "src long, dst long")
+        found = _dealt(whole, packs, low, high).join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(tidied(_tile_chains(threshold)), "src long, dst long")
         both = cut(contracted(found if edges is None else found.unionByName(edges)), "vectors")
         if edges is not None:
             release(edges)
@@ -311,7 +311,7 @@ def counted_links(classes: DataFrame, members: DataFrame, threshold: float, pack
     """(cid, links): links of each class inside its component of members (cid, comp, copies, tiles), counted in passes of bounded disk."""
     total = None
     for low, high in passes(members):
-        found = _dealt(members, packs, low, high).join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(_count_links(threshold), "cid long, links long")
+        found = _dealt(members, packs, low, high).join(classes.select("cid", "embedding"), "cid").groupBy("task").applyInArrow(tidied(_count_links(threshold)), "cid long, links long")
         both = cut((found if total is None else found.unionByName(total)).groupBy("cid").agg(F.sum("links").alias("links")), "vectors")
         if total is not None:
             release(total)
@@ -363,7 +363,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
         codes = cut(classes.mapInArrow(_codes(trees, bits, seed + attempt), "cid long, tree int, code long"), "vectors")
         full = codes.groupBy("tree", "code").count().where(F.col("count") > 1).select("tree", "code", F.ceil(F.col("count") / LEAF).alias("salts"))
         leaves = codes.join(full, ["tree", "code"]).select("cid", F.xxhash64("tree", "code", F.pmod(F.xxhash64("cid", "tree"), "salts")).alias("leaf"))
-        first = leaves.join(classes.select("cid", "embedding"), "cid").withColumn("pack", F.pmod("leaf", F.lit(max(parts, n * trees // 5000)))).groupBy("pack").applyInArrow(_leaf(k, threshold), edge).withColumn("fresh", F.lit(True))
+        first = leaves.join(classes.select("cid", "embedding"), "cid").withColumn("pack", F.pmod("leaf", F.lit(max(parts, n * trees // 5000)))).groupBy("pack").applyInArrow(tidied(_leaf(k, threshold)), edge).withColumn("fresh", F.lit(True))
         if graph is not None:
             first = first.unionByName(graph.select("u", "v", "sim", "chain", "fresh"))
         merged = first.groupBy("u", "v", "chain").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
@@ -379,7 +379,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, k: int =
             worst = lists.groupBy("u").agg(F.count("*").alias("held"), F.min("sim").alias("low")).select(F.col("u").alias("cid"), F.when(F.col("held") < k, -2.0).otherwise(F.col("low")).alias("worst"))
             nodes = classes.select("cid", "embedding").join(worst, "cid", "left").select(F.col("cid").alias("v"), "embedding", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
             buckets = max(parts, n // 2000)
-            proposed = around.join(nodes, "v").withColumn("bucket", F.pmod(F.xxhash64("u"), F.lit(buckets))).groupBy("bucket").applyInArrow(_local_join(k, threshold), edge)
+            proposed = around.join(nodes, "v").withColumn("bucket", F.pmod(F.xxhash64("u"), F.lit(buckets))).groupBy("bucket").applyInArrow(tidied(_local_join(k, threshold)), edge)
             both = graph.select("u", "v", "sim", "chain", F.lit(False).alias("fresh")).unionByName(proposed.withColumn("fresh", F.lit(True)))
             nxt = cut(shortened(both.groupBy("u", "v", "chain").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))), "vectors")
             release(graph)

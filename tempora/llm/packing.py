@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import cut, numbered_words, prepare, reads, release, slices
+from tempora.llm.common import cut, numbered_words, prepare, reads, release, slices, tidied
 
 CAPACITY, BLOCK, FULL = 4096, 6000, 0.998
 #: The pattern of word_bpe_49k.json, for chunks in which all letters are Latin.
@@ -322,7 +322,7 @@ def _evolved(sizes: DataFrame, first: DataFrame, capacity: int, islands: int, ep
     for epoch in range(epochs):
         own, guests = state.withColumnRenamed("labels", "own"), state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("labels").alias("guest"))
         dealt = isles.join(own, ["block", "island"], "left").join(guests, ["block", "island"], "left").select("block", "island", "lengths", "own", "guest")
-        nxt = cut(dealt.groupBy("block", "island").applyInArrow(_epoch(capacity, generations, seed + 7 * epoch), SOLVED), "packing")
+        nxt = cut(dealt.groupBy("block", "island").applyInArrow(tidied(_epoch(capacity, generations, seed + 7 * epoch)), SOLVED), "packing")
         release(state)
         state = reads(nxt.select("block", "island", "labels"), nxt)
     return nxt
@@ -343,13 +343,13 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2,
         keyed = left.withColumn("block", F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(blocks)))
         sizes = keyed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pid", "length"))).alias("x")).select("block", F.col("x.pid").alias("pids"), F.col("x.length").alias("lengths"))
         sizes = cut(sizes, "packing")
-        first = cut(sizes.groupBy("block").applyInArrow(_first(capacity), SOLVED), "packing")
+        first = cut(sizes.groupBy("block").applyInArrow(tidied(_first(capacity)), SOLVED), "packing")
         tables, solved, over = [first], first, first.where("bins > least")
         if epochs and over.limit(1).count():
             tables.append(_evolved(sizes, over, capacity, islands, epochs, generations, seed))
             solved = first.unionByName(tables[-1])
         best = solved.groupBy("block").agg(F.min_by("labels", F.struct("bins", -F.col("fitness"), "island")).alias("labels"))
-        placed = cut(sizes.join(best, "block").groupBy("block").applyInArrow(_placed, "pid long, block long, bin long, offset long, fill long"), "packing")
+        placed = cut(sizes.join(best, "block").groupBy("block").applyInArrow(tidied(_placed), "pid long, block long, bin long, offset long, fill long"), "packing")
         for table in (sizes, *tables):
             release(table)
         level, full = level + 1, F.col("fill") >= FULL * capacity
