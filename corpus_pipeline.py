@@ -21,6 +21,10 @@ from tempora.llm.string_tiling import flag_leaks
 from tempora.llm.weak_quality import classify_quality
 
 
+#: Rows of an Arrow batch, and chunks and words that packing remembers: executors that run all stages have less room for each.
+ROWS, REMEMBER = 250, (30_000, 60_000)
+
+
 def _inside(docs: DataFrame) -> dict[str, str]:
     """Names for the columns of docs that cannot clash with those made by operators."""
     return {c: c if c in ("text", "doc_id") else f"_{i}" for i, c in enumerate(docs.columns)}
@@ -40,6 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and texts without letters are rejected.  Rows are judged by their text alone, whole and of any
     length; repeated rows and rows without doc_id are rows like others; an empty table gives an empty result.
     """
+    prepare(spark, ROWS)
     model = train(docs.select("doc_id", "text", "lang"))
     return _filtered(docs, lambda d, columns: predict(d, model, columns), "accepted")
 
@@ -50,6 +55,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null, empty and white texts are rejected.  Rows are judged by their text alone, whole and of any length; repeated rows
     and rows without doc_id are rows like others; an empty table gives an empty result.
     """
+    prepare(spark, ROWS)
     return _filtered(docs, classify_quality, "kept")
 
 
@@ -61,6 +67,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     all others of their group (ties: by a hash of the text).  Null and empty texts and texts of white space are in no
     group; of such rows only repeated ones go.  An empty table gives an empty result.
     """
+    prepare(spark, ROWS)
     inside = _inside(docs)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check"), *[F.col(f"`{c}`").alias(n) for c, n in inside.items()])
     found = jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"), k=5, percent=80)
@@ -97,6 +104,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Rows are judged by their text alone, whole and of any length: rows without doc_id and repeated rows too.  Null and empty
     texts hold nothing and stay; an empty table gives an empty result, and an empty benchmark leaves all rows.
     """
+    prepare(spark, ROWS)
     return _filtered(docs, lambda d, _: flag_leaks(d, read(spark, sf_dir, "benchmark")), "not leaked")
 
 
@@ -106,8 +114,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are pieces of one token, the end; longer documents than a sequence are cut; repeated rows and rows
     without doc_id are packed each for itself; an empty table gives an empty result.
     """
-    # workers that have run four stages before have less room to remember in
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=(100_000, 200_000))
+    prepare(spark, ROWS)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=REMEMBER)
 
 
 STAGES = [
@@ -124,7 +132,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare(spark, ROWS).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         before, docs = docs, cut(stage(spark, docs, sf_dir), name)
         release(before)
