@@ -11,13 +11,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tempora.functions.numbers import between, rounded
 from tempora.operators.select import greedy_spaced
 from tempora.operators.temporal import islands
 
 
+def quantiles(series: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, one column for each name of shares): quantiles between the two nearest of the sorted values; n counts the values.
+
+    Values are ranked by a sort that may spill, and only the few that a quantile lies between are gathered.
+    """
+    w = Window.partitionBy(*by)
+    x = series.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.count("*").over(w).alias("n"), (F.row_number().over(w.orderBy(value)) - 1).alias("_r"))
+    at = {name: (F.col("n") - 1) * p for name, p in shares.items()}
+    pick = lambda place: F.max(F.when(F.col("_r") == place, F.col("_v")))
+    near = x.groupBy(*by, "n").agg(*[pick(f(c)).alias(f"_{side}_{name}") for name, c in at.items() for side, f in (("low", F.floor), ("high", F.ceil))])
+    lies = lambda name, c: F.when(F.floor(c) == F.ceil(c), F.col(f"_low_{name}")).otherwise(between(F.col(f"_low_{name}"), F.col(f"_high_{name}"), c - F.floor(c)))
+    return near.select(*by, "n", *[lies(name, c).alias(name) for name, c in at.items()])
+
+
 def silences(levels: DataFrame, frame: float = 0.02, min_len: float = 0.25, spread: float = 18.0, below_loud: float = 30.0, above_quiet: float = 6.0) -> DataFrame:
     """(rec_id, first, last, start, end) of quiet runs in levels (rec_id, idx, db); none where the level hardly varies."""
-    limits = levels.groupBy("rec_id").agg(F.percentile("db", F.lit(0.95)).alias("loud"), F.percentile("db", F.lit(0.10)).alias("quiet")).where(F.col("loud") - F.col("quiet") >= spread)
+    limits = quantiles(levels, ["rec_id"], "db", {"loud": 0.95, "quiet": 0.10}).drop("n").where(F.col("loud") - F.col("quiet") >= spread)
     flagged = levels.join(limits, "rec_id")
     runs = islands(flagged, F.col("db") < F.greatest(F.col("loud") - below_loud, F.col("quiet") + above_quiet))
     return runs.where((F.col("last") - F.col("first") + 1) * frame >= min_len).select("rec_id", "first", "last", (F.col("first") * frame).alias("start"), ((F.col("last") + 1) * frame).alias("end"))
@@ -25,7 +40,7 @@ def silences(levels: DataFrame, frame: float = 0.02, min_len: float = 0.25, spre
 
 def loudness(levels: DataFrame, per: int = 50, p: float = 0.9) -> DataFrame:
     """(rec_id, sec, db): how loud each second gets; a last, partial second is dropped."""
-    return levels.groupBy("rec_id", F.floor(F.col("idx") / per).alias("sec")).agg(F.percentile("db", F.lit(p)).alias("db"), F.count("*").alias("n")).where(F.col("n") == per).drop("n")
+    return quantiles(levels.withColumn("sec", F.floor(F.col("idx") / per)), ["rec_id", "sec"], "db", {"_p": p}).where(F.col("n") == per).select("rec_id", "sec", F.col("_p").alias("db"))
 
 
 def rolling_median(series: DataFrame, half: int | str, order: str = "sec", value: str = "db") -> DataFrame:
@@ -85,8 +100,8 @@ def loud_moments(series: DataFrame, limit: int = 12, least: int = 60, half: int
 
     Every second knows the last loud one before it, so a stretch is a run of rows: no join of stretches with the series.
     """
-    facts = series.groupBy("rec_id").agg(F.percentile("db", F.array(F.lit(0.85), F.lit(0.15))).alias("p"), F.count("*").alias("n"))
-    facts = facts.where((F.col("n") >= least) & (F.get("p", F.lit(0)) - F.get("p", F.lit(1)) >= spread)).select("rec_id", F.get("p", F.lit(0)).alias("typical"), F.least(F.lit(half), F.floor(F.col("n") / 2)).alias("half"))
+    facts = quantiles(series, ["rec_id"], "db", {"typical": 0.85, "quiet": 0.15})
+    facts = facts.where((F.col("n") >= least) & (F.col("typical") - F.col("quiet") >= spread)).select("rec_id", "typical", F.least(F.lit(half), F.floor(F.col("n") / 2)).alias("half"))
     around = rolling_median(series.select("rec_id", "sec", "db").join(facts.select("rec_id", "half"), "rec_id"), "half")
     w = Window.partitionBy("rec_id").orderBy("sec")
     x = around.join(facts, "rec_id").withColumn("_hit", F.when(F.col("db") >= F.greatest(F.col("around") + local, F.col("typical") + typical), F.col("sec")))
@@ -98,7 +113,7 @@ def loud_moments(series: DataFrame, limit: int = 12, least: int = 60, half: int
     size = F.col("last") - F.col("first") + 1
     scored = lifted.where((size >= 2) | (F.col("lift") >= 8)).withColumn("score", F.col("lift") + F.least(F.lit(6), size))
     kept = greedy_spaced(scored, apart, limit)
-    return kept.select("rec_id", F.col("first").cast("double").alias("at"), (F.col("last") + 1).cast("double").alias("end"), F.round("lift", 1).alias("lift"))
+    return kept.select("rec_id", F.col("first").cast("double").alias("at"), (F.col("last") + 1).cast("double").alias("end"), rounded("lift", 1).alias("lift"))
 
 
 def chunk_edges(series: DataFrame, chunk: int = 900, tail: int = 20, durations: DataFrame | None = None) -> DataFrame:
