@@ -14,7 +14,7 @@ from tempora.operators import temporal as M
 from tempora.operators import work_queue as Q
 from tempora.plans.adapters import TURN_LINES, TURN_WORDS, r4, registry, table, turn_lines, turn_words
 from tempora.plans.signals import LOUD, loud_of
-from tempora.plans.speech import CANDIDATES, CHUNKED, GREEDY, HEADED, SENTENCES, chunks_by, titled_clips, turn_sentences
+from tempora.plans.speech import CANDIDATES, CHUNKED, GREEDY, HEADED, SENTENCES, chunks_by, talks, titled_clips, turn_sentences
 from tempora.plans.studio import PARTS, _parts
 from tempora.sources import playlists as H
 from tempora.sources import readers as R
@@ -189,15 +189,14 @@ SHEET = f"""{GREEDY}, {HEADED}, timed AS (SELECT c.*, a.start + 0.013 AS start,
 
 
 def _sheet_clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = turn_sentences(spark, sf_dir)
-    timed = titled_clips(spark, sf_dir).join(s.select("rec_id", F.col("idx").alias("first"), (F.col("start") + 0.013).alias("start")), ["rec_id", "first"]).join(s.select("rec_id", F.col("idx").alias("last"), (F.col("end") + 0.027).alias("end")), ["rec_id", "last"])
+    timed = titled_clips(spark, sf_dir).withColumn("start", F.col("start") + 0.013).withColumn("end", F.col("end") + 0.027)
     watch = F.when(F.col("rank") % 2 == 0, F.concat(F.lit("https://example.org/at/"), F.col("rank").cast("string"))).otherwise("")
     clips = timed.select(
         "rec_id", "rank", F.concat("title", F.when(F.col("rank") == 1, " | first").otherwise("")).alias("title"), F.format_string("%02d-clip.mp4", "rank").alias("file"), (F.col("end") - F.col("start")).alias("duration"), F.col("start").alias("source_start"), F.col("end").alias("source_end"),
         (F.col("rank") % 3 * 0.25).alias("trimmed"), F.lit("#talk").alias("post"), F.when(F.col("rank") % 2 == 1, "its opening").otherwise("").alias("why"), F.col("caption").alias("text"), watch.alias("watch"),
     )
     name = F.col("rec_id").cast("string")
-    runs = clips.select("rec_id").distinct().select(
+    runs = talks(spark, sf_dir).select(
         "rec_id", F.lit("Talks").alias("show"), F.when(F.col("rec_id") % 2 == 0, F.concat(F.lit("Talk "), name)).otherwise("").alias("title"), F.lit("heuristic").alias("picker"), F.lit("").alias("model"), F.when(F.col("rec_id") % 3 == 0, "A note.").otherwise("").alias("note"),
         F.concat(F.lit("https://example.org/r/"), name).alias("release_url"), F.concat(F.lit("https://example.org/d/"), name).alias("download_url"),
     )

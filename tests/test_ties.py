@@ -43,3 +43,13 @@ def test_a_pick_of_the_longest_length_stays(spark):
     picks = spark.createDataFrame([("r", 0, 0, 1, "T", 9.0)], "rec_id string, pick_id int, first int, last int, title string, score double")
     assert [(r.last, r.score) for r in C.trimmed_back(picks, s, 5.01, 15.01).collect()] == [(1, 9.0)]
     assert [(r.last, r.score) for r in C.trimmed_back(picks, late, 5.01, 15.01).collect()] == [(0, 4.0)]
+
+
+def test_words_are_dealt_once_for_sentences_and_clips(spark, data):
+    from tempora.plans import desk, speech
+
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert moved(speech.turn_sentences(spark, data)) == 1  # of turns; cuts are not joined to words
+    one = moved(speech.clip_selected(spark, data))
+    assert moved(speech.stitch_clock(spark, data)) <= one + 2
+    assert moved(desk.comment_tables(spark, data)) <= one + 6  # no second and third run of the whole choice
