@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,37 +147,54 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     return raw.where(F.lower(link).rlike("^https?://")).select("feed", F.left(F.sha1(guid), F.lit(16)).alias("key"), title.alias("title"), link.alias("source"), stamp.alias("published"))
 
 
+def _once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), with c computed once however often it is used."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def reply_items(reply: Column, key: str = "clips") -> Column:
     """The items of a model's reply (array of variants), which may be fenced or surrounded by talk, a list or an object that holds
     one under ``key``; null where there is no JSON.
     """
-    text = F.regexp_replace(reply, r"^\s+|\s+$", "")
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.+?)```", 1)
-    braced, bracketed = F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.regexp_extract(reply, r"(?s)(\[.*\])", 1)
-    # the parser stops after a first value; in a list of its own, what follows shows
-    alone = [F.try_variant_get(F.try_parse_json(F.when(c != "", F.concat(F.lit("["), c, F.lit("]")))), "$", "array<variant>") for c in (text, fenced, braced, bracketed)]
-    whole = F.coalesce(*[F.when(F.size(x) == 1, F.get(x, F.lit(0))) for x in alone])
-    kind = F.schema_of_variant(whole)
-    listed = F.when(kind.startswith("OBJECT"), F.try_variant_get(whole, f"$.{key}", "array<variant>")).when(kind.startswith("ARRAY"), F.try_variant_get(whole, "$", "array<variant>"))
-    return F.when(whole.isNotNull(), F.coalesce(listed, F.array().cast("array<variant>")))
+    def tried(c: Column) -> Column:
+        # the parser stops after a first value; in a list of its own, what follows shows
+        alone = F.try_variant_get(F.try_parse_json(F.when(c != "", F.concat(F.lit("["), c, F.lit("]")))), "$", "array<variant>")
+        return _once(alone, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
+
+    def listed(whole: Column) -> Column:
+        kind = F.schema_of_variant(whole)
+        found = F.when(kind.startswith("OBJECT"), F.try_variant_get(whole, f"$.{key}", "array<variant>")).when(kind.startswith("ARRAY"), F.try_variant_get(whole, "$", "array<variant>"))
+        return F.when(whole.isNotNull(), F.coalesce(found, F.array().cast("array<variant>")))
+
+    def read(r: Column) -> Column:
+        tries = [F.regexp_replace(r, r"^\s+|\s+$", ""), *[F.regexp_extract(r, p, 1) for p in (r"(?s)```(?:json)?\s*(.+?)```", r"(?s)(\{.*\})", r"(?s)(\[.*\])")]]
+        return _once(F.coalesce(*map(tried, tries)), listed)
+
+    return _once(reply, read)
 
 
 def _whole(item: Column, name: str) -> Column:
     """A whole number as int() reads it: numbers are cut, text must be one."""
-    v = F.try_variant_get(item, f"$.{name}", "variant")
-    kind, text = F.schema_of_variant(v), F.try_variant_get(item, f"$.{name}", "string")
-    number = F.when(kind == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.regexp_replace(text, r"\s+", "").try_cast("double"))).when(kind == "BOOLEAN", F.try_variant_get(item, f"$.{name}", "boolean").cast("double")).otherwise(F.try_variant_get(item, f"$.{name}", "double"))
-    return number.try_cast("int")
+    def read(v: Column) -> Column:
+        kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+        said = _once(text, lambda t: F.when(t.rlike(r"^\s*[+-]?\d+\s*$"), F.regexp_replace(t, r"\s+", "").try_cast("double")))
+        number = F.when(kind == "STRING", said).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
+        return number.try_cast("int")
+
+    return _once(F.try_variant_get(item, f"$.{name}", "variant"), read)
 
 
 def valid_items(replies: DataFrame) -> DataFrame:
     """(reply_id, pos, first, last, title, caption, hashtags, why, score) of the objects in replies whose two numbers are whole.
 
     A score that is missing or no number is 50; scores lie between 0 and 100.  Texts are one line of 80, 600 and 400 characters.
+    Parsing takes far longer than reading, so replies are dealt to all cores even where their file is one split,
+    and exploded with their nulls: Spark would parse again to filter them first.
     """
     from tempora.functions.text import clean_hashtags, one_line
 
-    x = replies.select("reply_id", F.posexplode(reply_items(F.col("reply"))).alias("pos", "x")).where(F.schema_of_variant("x").startswith("OBJECT"))
+    replies = replies.repartition(4 * replies.sparkSession.sparkContext.defaultParallelism, "reply_id")
+    x = replies.select("reply_id", F.posexplode_outer(reply_items(F.col("reply"))).alias("pos", "x")).where(F.schema_of_variant("x").startswith("OBJECT"))
     item, text = F.col("x"), lambda name: F.try_variant_get(F.col("x"), f"$.{name}", "string")
     score = F.coalesce(text("score").try_cast("double"), F.lit(50.0))
     x = x.select(

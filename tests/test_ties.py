@@ -53,3 +53,13 @@ def test_words_are_dealt_once_for_sentences_and_clips(spark, data):
     one = moved(speech.clip_selected(spark, data))
     assert moved(speech.stitch_clock(spark, data)) <= one + 2
     assert moved(desk.comment_tables(spark, data)) <= one + 6  # no second and third run of the whole choice
+
+
+def test_replies_are_parsed_once_and_by_all_cores(spark):
+    from tempora.sources import readers as R
+
+    replies = spark.range(1, numPartitions=1).select(F.col("id").alias("reply_id"), F.concat(F.lit('[{"first": 1, "last": "2", "x": '), F.col("id").cast("string"), F.lit("}, 3]")).alias("reply"))
+    found = R.valid_items(replies)
+    assert [(r.pos, r.first, r.last, r.score) for r in found.collect()] == [(0, 1, 2, 50.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 6 and "RepartitionByExpression" in plan
