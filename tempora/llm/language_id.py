@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import mix64, prepare, slices
+from tempora.llm.common import mix64, prepare, slices, tidy
 
 BUCKETS, DIMENSION, LONGEST = 1 << 18, 12, 4
 #: Labelled rows to learn from for each language, bytes of all of them together, and bytes of one: longer texts are not among them.
@@ -40,6 +40,11 @@ def folded(text: str) -> np.ndarray:
     return points[keep]
 
 
+def narrow(points: np.ndarray) -> np.ndarray:
+    """The same code points in half the room, where none is beyond 16 bits."""
+    return points.astype(np.uint16) if points.max(initial=0) < 1 << 16 else points
+
+
 def grams(points: np.ndarray) -> np.ndarray:
     """Buckets of the n-grams of folded code points."""
     out, points = [], points.astype(np.uint64)
@@ -82,7 +87,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 2.0, seed: i
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
     number = {lang: i for i, lang in enumerate(languages)}
-    data = [(folded(t), number[lang]) for t, lang in rows]
+    data = [(narrow(folded(t)), number[lang]) for t, lang in rows]
     data = [(p, y) for p, y in data if (p != 32).any()]
     order = rng.permutation(len(data))
     held, learn = order[: len(data) // 5], order[len(data) // 5 :]
@@ -164,7 +169,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_LANG
     hashed = usable.withColumn("_h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(F.broadcast(known), "lang")  # a row for each language of the sample
     chosen = hashed.where((F.col("_h") < F.col("_share")) & (F.col("_b") <= F.col("_most")))
     rows = chosen.groupBy("_h").agg(F.min(F.struct("lang", "text")).alias("r")).select("_h", "r.*").collect()  # about sample rows of each language, sample_bytes in all
-    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["_h"], r["text"]))])
+    model = fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["_h"], r["text"]))])
+    del rows
+    tidy(0)  # the driver lives on, and has the sample no more
+    return model
 
 
 def _predict(model, keep: tuple[str, ...]):

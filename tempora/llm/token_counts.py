@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import prepare, slices
+from tempora.llm.common import code_points, every_character, prepare, slices
 
 CHUNK, SPAN = 64, 2_000_000
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE, WHITE_LAST, WHITE, RESET = range(10)
@@ -36,10 +36,10 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, ONE_MORE, TWO_M
 def character_classes() -> np.ndarray:
     """LETTER, NUMBER, OTHER, SPACE (only U+0020) or WHITE of every code point."""
     table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = every_character()
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, every):
-            table[[ord(c) for c in m[0]]] = kind
+            table[code_points(m[0])] = kind
     table[0x20] = SPACE
     return table
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import mix64, numbered_words, prepare, slices
+from tempora.llm.common import code_points, every_character, mix64, numbered_words, prepare, slices, tidy
 
 LABELLERS = ("symbols", "shouting", "separators", "repeated_words", "sentences", "repeated_lines", "letters", "top_word", "repeated_pairs", "runs")
 #: Labellers, by number, that look for one kind of flaw.
@@ -41,10 +41,10 @@ NOISY, CAPITAL, BARE, ENDING, LONG = range(5)
 def characters() -> np.ndarray:
     """Flags of every code point."""
     table = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = every_character()
     for flag, pattern in ((LETTER, r"\p{L}+"), (UPPER, r"\p{Lu}+"), (LOWER, r"\p{Ll}+"), (DIGIT, r"\p{Nd}+")):
         for m in regex.finditer(pattern, every):
-            table[[ord(c) for c in m[0]]] |= flag
+            table[code_points(m[0])] |= flag
     for flag, some in ((SYMBOL, SYMBOLS), (END, ENDS)):
         table[[ord(c) for c in some]] |= flag
     return table
@@ -259,6 +259,8 @@ def classify_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), sa
     hashed = (sized.where(short) if found.n_short else sized).where(F.col("h") < int(max(share) * (1 << 40))).select("text", "h")
     rows = hashed.mapInArrow(choose, "h long, text string, y double").dropDuplicates(["h"]).collect()  # about 2 * sample rows, sample_bytes in all
     weights = fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.text))])
+    del rows
+    tidy(0)  # the driver lives on, and has the sample no more
     used = docs.select(*columns, *(["text"] if "text" not in columns else []))
     schema = ", ".join(f"`{c}` {t}" for c, t in used.select(*columns).dtypes) + ", posterior double, quality_score double, kept boolean"
     return used.mapInArrow(_score(spark.sparkContext.broadcast((weights, posterior)), keep, columns), schema)

@@ -65,3 +65,21 @@ def test_single_copies_against_all_pairs(spark, data, duck):
     for i, root in low.items():
         groups.setdefault(root, []).append(rows[i][0])
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, data).collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_tables_of_characters_and_samples_leave_the_driver_room():
+    import tracemalloc
+
+    import numpy as np
+
+    from tempora.llm import language_id, token_counts, weak_quality
+
+    for table in (token_counts.character_classes, weak_quality.characters):
+        tracemalloc.start()
+        table.__wrapped__()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6  # 120 MB and more where each character is a string
+    some, far = language_id.folded("Größe"), language_id.folded("größe \U00010400")
+    assert language_id.narrow(some).nbytes == some.nbytes // 2 and language_id.narrow(far).nbytes == far.nbytes
+    assert np.array_equal(language_id.grams(some), language_id.grams(language_id.narrow(some)))
