@@ -23,14 +23,15 @@ def _tapes(spark: SparkSession, sf_dir: str) -> str:
     place = F.row_number().over(Window.partitionBy("tape").orderBy("user_id", "event_id")) - 1
     level = F.hex(F.col("event_id") * 37 % 30000)  # a sample, its low byte first
     sample = F.concat(F.substring(F.lpad(level, 4, "0"), 3, 2), F.substring(F.lpad(level, 4, "0"), 1, 2))
-    blocks = e.select(F.format_string("tape%d.wav", "tape").alias("name"), place.cast("long").alias("seq"), F.unhex(F.repeat(sample, FRAME)).alias("content"))
+    blocks = e.select(F.format_string("tape%d.wav", "tape").alias("name"), place.cast("long").alias("seq"), F.unhex(sample).alias("content"))
     folder = shared_folder(spark, "tapes")
-    write_files(wav_files(blocks, RATE), folder)
+    sound = F.when(F.octet_length("content") == 2, F.unhex(F.repeat(F.hex("content"), FRAME))).otherwise(F.col("content"))  # heads are longer
+    write_files(wav_files(blocks, RATE, FRAME), folder, sound)
     return folder
 
 
 def _name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)\.\w+$", 1)
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"^([^/]*)\.\w+$", 1)  # over a whole path the search begins anew at each character
 
 
 TAPES = """tapes AS (SELECT 'tape' || (user_id % 8) AS tape, row_number() OVER (PARTITION BY user_id % 8 ORDER BY user_id, event_id) - 1 AS idx, CAST(event_id * 37 % 30000 AS DOUBLE) AS v FROM events WHERE user_id IS NOT NULL)"""

@@ -9,9 +9,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -33,6 +34,16 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
+def joined(contents: pa.Array) -> Iterator[pa.Buffer]:
+    """The bytes of contents, one after another; those that lie together come together.  A null adds nothing."""
+    if contents.null_count or contents.type != pa.binary():
+        yield from (c.as_buffer() for c in contents if c.is_valid)
+    elif len(contents):
+        ends = np.frombuffer(contents.buffers()[1], np.int32)[contents.offset : contents.offset + len(contents) + 1]
+        if ends[-1] > ends[0]:
+            yield contents.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0]))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
@@ -54,7 +65,10 @@ class NamedFilesWriter(DataSourceArrowWriter):
         names, now, out = [], None, None
         try:
             for batch in iterator:
-                for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                given, content = batch.column("name").to_pylist(), batch.column("content")
+                first = [i for i in range(len(given)) if not i or given[i] != given[i - 1]]
+                for a, b in zip(first, [*first[1:], len(given)], strict=True):
+                    name = given[a]
                     if name != now:
                         if not name or os.path.basename(name) != name or name.startswith("_run-"):
                             raise ValueError(f"no name for a file: {name!r}")
@@ -62,8 +76,8 @@ class NamedFilesWriter(DataSourceArrowWriter):
                             out.close()
                         now, out = name, place.open_output_stream(f"{mine}/{name}")
                         names.append(f"{mine}/{name}")
-                    if content.is_valid:
-                        out.write(content.as_buffer())
+                    for part in joined(content.slice(a, b - a)):
+                        out.write(part)
         finally:
             if out is not None:
                 out.close()
@@ -99,16 +113,19 @@ class NamedFiles(DataSource):
         return NamedFilesWriter(self.options["path"])
 
 
-def write_files(contents: DataFrame, folder: str) -> None:
+def write_files(contents: DataFrame, folder: str, made: Column | None = None) -> None:
     """Write contents (name, seq, content) to files in a folder: each name's contents in the order of seq, files with those names replaced.
 
     One task streams a file, a content at a time.  Files appear under their names only after all tasks have ended well; a
     task that fails, or a run that is stopped, changes no file.  A null content adds nothing; a name that is empty, null or
-    no plain name is refused.
+    no plain name is refused.  Where ``made`` says how contents come from what contents holds instead (name, seq, content), they are made
+    after rows are dealt and in order, so that rows stay short until then.
     """
     spark = importable(contents.sparkSession)
     spark.dataSource.register(NamedFiles)
     dealt = contents.select("name", F.col("seq").cast("long").alias("seq"), F.col("content").cast("binary").alias("content")).repartition("name").sortWithinPartitions("name", "seq")
+    if made is not None:
+        dealt = dealt.select("name", "seq", made.cast("binary").alias("content"))
     dealt.write.format("named_files").option("path", folder).mode("append").save()
 
 

@@ -19,6 +19,8 @@ from tempora.sources.files import importable, located
 
 #: Frames read at a time, and seconds of sound in a block that is copied.
 FRAMES, BLOCK = 5000, 60.0
+#: Ranges of a source, about: beyond, ranges are longer, since a task costs more to begin than a short range to read.
+MOST_RANGES = 1000
 
 
 @dataclass(frozen=True)
@@ -78,15 +80,16 @@ class SoundReader(DataSourceReader):
         return sorted(root + f.path[len(top) :] for f in place.get_file_info(fs.FileSelector(top, recursive=True)) if f.type == fs.FileType.File and f.path.lower().endswith(".wav"))
 
     def partitions(self) -> list[SoundRange]:
-        out = []
+        files = []
         for path in self._paths():
             place, at = located(path)
             with place.open_input_file(at) as f:
                 head = wav_head(f, f.size(), path)
             if head.bits != 16 or any(w not in (None, h) for w, h in zip(self.want, (head.rate, head.channels), strict=True)):
                 raise ValueError(f"{path}: {head.channels} channels of {head.bits} bits at {head.rate} Hz")
-            n = head.samples // int(head.rate * self.frame)
-            out += [SoundRange(path, head, a, min(n, a + self.per_task)) for a in range(0, n, self.per_task)]
+            files.append((path, head, head.samples // int(head.rate * self.frame)))
+        each = max(self.per_task, -(-sum(n for *_, n in files) // MOST_RANGES))
+        out = [SoundRange(path, head, a, min(n, a + each)) for path, head, n in files for a in range(0, n, each)]
         return out or [SoundRange("", WavHead(1, 1, 16, 0, 0), 0, 0)]
 
     def read(self, partition: SoundRange) -> Iterator[pa.RecordBatch]:
@@ -121,6 +124,7 @@ class SoundLevels(DataSource):
 
 def sound_levels(spark: SparkSession, path: str, rate: int | None = 16000, channels: int | None = 1, frames_per_task: int = 180_000) -> DataFrame:
     """(rec_id, idx, db) of a WAV file or of all under a folder; a task reads an hour of sound by default, so long files are many tasks.
+    Where that would be more than MOST_RANGES tasks, each reads as much more.
 
     Files of another rate or number of channels are refused (None: any will do).  The last samples, fewer than a frame, are left out.
     """
@@ -135,9 +139,12 @@ def wav_bytes(samples: int, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + 2 * samples) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", 2 * samples)
 
 
-def wav_files(blocks: DataFrame, rate: int = 16000) -> DataFrame:
-    """(name, seq, content) for write_files: blocks (name, seq, content) of samples, 16 bits of one channel, and the head of each file before them."""
-    n = F.sum(F.octet_length("content"))
+def wav_files(blocks: DataFrame, rate: int = 16000, times: int = 1) -> DataFrame:
+    """(name, seq, content) for write_files: blocks (name, seq, content) of samples, 16 bits of one channel, and the head of each file before them.
+
+    With ``times`` each content will be repeated so often when it is made (see write_files), which heads count.
+    """
+    n = F.sum(F.octet_length("content")) * times
 
     def little(c: Column) -> Column:
         h = F.lpad(F.hex(c), 8, "0")
