@@ -26,7 +26,9 @@ FILES = {
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(rec_id, language, duration, model, pauses, parts, words) of transcript files; missing fields get defaults."""
-    raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path).withColumn("rec_id", F.col("_metadata.file_name"))
+    # as whole texts: the JSON source goes back to the file for each number that is read as text
+    text = spark.read.text(path, wholetext=True).where(F.trim("value", F.lit(" \t\r\n")) != "").select(F.col("_metadata.file_name").alias("rec_id"), F.from_json("value", TRANSCRIPT).alias("t"))
+    raw = text.select("rec_id", "t.*")
     return raw.select("rec_id", F.coalesce("language", F.lit("en")).alias("language"), F.coalesce("duration", F.lit(0.0)).alias("duration"), F.coalesce("model", F.lit("")).alias("model"), "pauses", "parts", "words")
 
 
