@@ -144,31 +144,48 @@ def label_steps(issues: DataFrame, events: DataFrame) -> DataFrame:
     """(number, seq, kind, action, added, removed, labels, comment): what each event of events (number, seq, kind, reason, log) does to an issue.
 
     issues is (number, labels).  ``start`` skips an issue that is clipped or failed, and fails one that is still processing, since the run
-    before never reported; any other is processing from then on.  ``publish`` and ``fail`` end the run.  A fold over the few
-    events of an issue with its labels as the state; labels stay in order, new ones last.  Events of unknown issues are left out.
+    before never reported; any other is processing from then on.  ``publish`` and ``fail`` end the run; other kinds do nothing.  Labels
+    stay in order, new ones last.  Events of unknown issues are left out.
+
+    After a publish or a failure every start skips, so the labels follow from the first ones, the last end, whether anything was
+    published and how many starts there were: running values of one window, and no event meets more than one issue.
     """
-    per = events.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "reason", "log"))).alias("_e"))
+    before = Window.partitionBy("number").orderBy("seq", "kind", "reason", "log").rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.coalesce("kind", F.lit(""))
+    ends, starts, publishes = kind.isin("publish", "fail"), kind == "start", kind == "publish"
+    so_far = events.select(
+        "number", "seq", "kind", "reason", "log", F.last(F.when(ends, kind), ignorenulls=True).over(before).alias("_end"),
+        F.coalesce(F.max(publishes).over(before), F.lit(False)).alias("_out"), F.coalesce(F.sum(starts.cast("long")).over(before), F.lit(0)).alias("_starts"),
+    )
     none = F.array().cast("array<string>")
-    row = lambda x, action, added, removed, labels, comment: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), action.alias("action"), added.alias("added"), removed.alias("removed"), labels.alias("labels"), comment.alias("comment"))
-    names = lambda *n: F.array(*map(F.lit, n)) if n else none
-
-    def step(s: Column, x: Column) -> Column:
-        has = lambda name: F.array_contains(s["labels"], name)
-        kind = x["kind"]
-        stuck = (kind == "start") & has("processing")
-        action = (
-            F.when(kind == "publish", "publish").when(kind == "fail", "fail").when(kind != "start", "none").when(has("clipped") | has("failed"), "skip").when(stuck, "fail").otherwise("start")
-        )
-        added = F.when(action == "publish", names("clipped")).when(action == "fail", names("failed")).when(action == "start", names("processing")).otherwise(none)
-        removed = F.when(action == "publish", names("processing", "failed")).when(action == "fail", names("processing")).when(action == "start", names("failed")).otherwise(none)
-        told = F.coalesce(T.stripped(x["reason"]), F.lit(""))
-        reason = F.when(stuck, STUCK).when(told == "", SILENT).otherwise(F.left(told, F.lit(3000)))
-        comment = F.when(action == "fail", F.format_string(FAILED, reason, F.coalesce(x["log"], F.lit(""))))
-        # a label that is there already stays where it is
-        labels = F.array_union(F.array_except(s["labels"], removed), added)
-        return F.struct(labels.alias("labels"), F.concat(s["rows"], F.array(row(x, action, F.array_except(added, s["labels"]), F.array_intersect(removed, s["labels"]), labels, comment))).alias("rows"))
-
-    kind = "array<struct<seq:bigint,kind:string,action:string,added:array<string>,removed:array<string>,labels:array<string>,comment:string>>"
-    begin = F.struct(F.coalesce("labels", none).alias("labels"), F.array().cast(kind).alias("rows"))
-    folded = issues.join(per, "number").select("number", F.explode(F.aggregate("_e", begin, step)["rows"]).alias("r"))
-    return folded.select("number", "r.*")
+    had = lambda name: F.coalesce(F.array_contains("labels", name), F.lit(False)).alias(f"_{name}")
+    first = issues.select("number", F.array_distinct(F.coalesce("labels", none)).alias("labels"), had("processing"), had("failed"), had("clipped"))
+    x = so_far.join(first, "number")
+
+    def state(end: Column, out: Column, n: Column) -> tuple[Column, Column, Column]:
+        """Whether an issue is processing, failed and clipped after n starts, of which the second of one run fails."""
+        idle = F.col("_failed") | F.col("_clipped")
+        runs = F.when(idle, 0).otherwise(n + F.col("_processing").cast("long"))
+        stuck = runs >= 2
+        return end.isNull() & ~stuck & (F.col("_processing") | (runs == 1)), F.when(end.isNull(), F.col("_failed") | stuck).otherwise(end == "fail"), F.col("_clipped") | out
+
+    was, now = ("_end", "_out", "_starts"), (F.coalesce(F.when(ends, kind), "_end"), F.col("_out") | publishes, F.col("_starts") + starts.cast("long"))
+    x = x.select("*", *[c.alias(f"_was_{i}") for i, c in enumerate(state(*map(F.col, was)))], *[c.alias(f"_now_{i}") for i, c in enumerate(state(*now))], now[1].alias("_published"))
+    processing, failed, clipped = (F.col(f"_was_{i}") for i in range(3))
+    action = F.when(ends, kind).when(~starts, "none").when(clipped | failed, "skip").when(processing, "fail").otherwise("start")
+    x = x.withColumn("action", action)
+    name = lambda given, c: F.when(given, F.array(F.lit(c))).otherwise(none)
+    does = lambda what: F.col("action") == what
+    added = F.when(does("publish"), name(~clipped, "clipped")).when(does("fail"), name(~failed, "failed")).when(does("start"), name(F.lit(True), "processing")).otherwise(none)
+    removed = F.when(does("publish"), F.concat(name(processing, "processing"), name(failed, "failed"))).when(does("fail"), name(processing, "processing")).otherwise(none)
+    processing, failed, clipped = (F.col(f"_now_{i}") for i in range(3))
+    # a label that is there already stays where it is
+    moved = F.col("_published") | ~failed
+    kept = F.when(~processing, F.array_remove("labels", "processing")).otherwise(F.col("labels"))
+    kept = F.when(moved, F.array_remove(kept, "failed")).otherwise(kept)
+    labels = F.concat(kept, name(processing & ~F.col("_processing"), "processing"), name(clipped & ~F.col("_clipped"), "clipped"), name(failed & (moved | ~F.col("_failed")), "failed"))
+    told = F.coalesce(T.stripped("reason"), F.lit(""))
+    reason = F.when(starts, STUCK).when(told == "", SILENT).otherwise(F.left(told, F.lit(3000)))
+    head, middle, tail = map(F.lit, FAILED.split("%s"))
+    comment = F.when(does("fail"), F.concat(head, reason, middle, F.coalesce("log", F.lit("")), tail))
+    return x.select("number", "seq", "kind", "action", added.alias("added"), removed.alias("removed"), labels.alias("labels"), comment.alias("comment"))

@@ -157,11 +157,13 @@ def label_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     names = lambda *n: F.array(*map(F.lit, n))
     issues = table(spark, sf_dir, "orders").select(key.alias("number"), F.when(key % 4 == 0, names("episode", "processing")).when(key % 4 == 1, names("episode", "failed")).otherwise(names("episode")).alias("labels"))
-    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 4
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    events = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("number"), seq.alias("seq"), F.when(kind == 0, "publish").when(kind == 1, "fail").otherwise("start").alias("kind"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.format_string("  broken %d ", "l_linenumber")).otherwise("").alias("reason"), F.concat(F.lit("https://example.org/run/"), seq.cast("string")).alias("log"),
+    # named before they are dealt, so that numbering and labelling share one deal
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("number"), "l_linenumber", "l_partkey", "l_suppkey")
+    kind = (F.col("number") + F.col("l_linenumber")) % 4
+    seq = F.row_number().over(Window.partitionBy("number").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    events = lines.withColumn("seq", seq).select(
+        "number", "seq", F.when(kind == 0, "publish").when(kind == 1, "fail").otherwise("start").alias("kind"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("  broken "), F.col("l_linenumber").cast("string"), F.lit(" "))).otherwise("").alias("reason"), F.concat(F.lit("https://example.org/run/"), F.col("seq").cast("string")).alias("log"),
     )
     join = lambda c: F.array_join(c, " ").alias(c)
     return Q.label_steps(issues, events).select("number", "seq", "kind", "action", join("added"), join("removed"), join("labels"), "comment")
