@@ -63,3 +63,32 @@ def test_replies_are_parsed_once_and_by_all_cores(spark):
     assert [(r.pos, r.first, r.last, r.score) for r in found.collect()] == [(0, 1, 2, 50.0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") <= 6 and "RepartitionByExpression" in plan
+
+
+def test_words_are_dealt_once_for_captions(spark, data):
+    from tempora.plans import speech
+
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert moved(speech.caption_chunks(spark, data)) == 1  # of turns; captions are cut where they lie
+    assert moved(speech.subtitle_events(spark, data)) == 2  # the same once more, for the lengths of recordings
+
+
+def test_spaces_are_those_of_the_pattern(spark):
+    c = spark.range(1, 0x10000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    got = c.select("c", (F.regexp_replace("c", f"^{T.SPACE}+|{T.SPACE}+$", "") == "").alias("old"), (T.stripped("c") == "").alias("new")).where("old or new").collect()
+    assert len(got) == len(T.SPACES) and all(r.old and r.new for r in got)
+
+
+def test_captions_and_their_words_agree(spark):
+    from tempora.operators import segment as S
+    from tempora.sources import sinks
+
+    said = "one {two} “three”, four five-six seven. — eight; ... nine ten".split()
+    w = spark.createDataFrame([("r", 2 * i, s, i * 0.4, i * 0.4 + 0.3) for i, s in enumerate(said)], "rec_id string, word_idx int, text string, start double, end double")
+    ends = spark.createDataFrame([("r", 9.0)], "rec_id string, duration double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    chunks = S.caption_chunks(w, uppercase=False)
+    assert [(r[1], r[2], r[3]) for r in rows(chunks)] == [(0, 0, "one"), (0, 1, "(two)"), (0, 2, "three”"), (1, 0, "four"), (1, 1, "five-six"), (1, 2, "seven"), (2, 0, "eight"), (3, 0, "nine"), (3, 1, "ten")]
+    whole, parts = S.held_events(S.captions(w, uppercase=False), ends), S.caption_events(chunks, ends)
+    assert whole.columns == parts.columns and rows(whole) == rows(parts)
+    assert rows(sinks.subtitle_events(whole, 9))[5][3] == r"Dialogue: 0,0:00:02.00,0:00:02.65,Cap,,0,0,0,,{\an5\pos(540,9)}four five-six {\c&H00D4FF&}seven{\c&HFFFFFF&}"
